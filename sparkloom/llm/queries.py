@@ -7,6 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from sparkloom.llm.byte_bpe import round_trip
 from sparkloom.llm.exact_dedup import exact_dedup
 from sparkloom.llm.token_counts import token_counts
 from sparkloom.llm.token_records import encode_to_records
@@ -28,6 +29,10 @@ def op8_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_to_records(spark, table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
