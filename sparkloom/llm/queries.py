@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.llm.byte_bpe import round_trip
 from sparkloom.llm.exact_dedup import exact_dedup
+from sparkloom.llm.parity_join import jaccard_components
 from sparkloom.llm.suffix_dedup import suffix_dedup
 from sparkloom.llm.token_counts import token_counts
 from sparkloom.llm.token_records import encode_to_records
@@ -27,6 +28,10 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op6_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(spark, table(spark, sf_dir, "documents"))
+
+
 def op8_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_to_records(spark, table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
