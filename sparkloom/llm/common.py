@@ -213,8 +213,8 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
 WIDTH_CODE = splitmix(64, 0x77)
 
 
-def shingles(data: np.ndarray, offsets: np.ndarray, width: int = 5) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct ``width``-word shingles as 64-bit hashes with their rows, sorted by (row, hash).
+def shingle_sequence(data: np.ndarray, offsets: np.ndarray, width: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hash of the ``width``-word shingle at each word, and its row, in the order of the texts.
 
     A row with fewer words gives its whole sequence as one shingle; a row without words gives none.
     """
@@ -222,19 +222,23 @@ def shingles(data: np.ndarray, offsets: np.ndarray, width: int = 5) -> tuple[np.
     if not len(h):
         return h, row
     count = np.bincount(row, minlength=len(offsets) - 1)
-    width_of = np.minimum(count[row], width)
     first = np.r_[0, np.cumsum(count)[:-1]]
-    at = np.arange(len(h)) - first[row]
-    keep = at + width_of <= count[row]
-    idx = np.flatnonzero(keep)
-    wide = width_of[idx]
+    wide = np.minimum(count[row], width)
+    idx = np.flatnonzero(np.arange(len(h)) - first[row] + wide <= count[row])
+    wide = wide[idx]
     with np.errstate(over="ignore"):
         acc = wide.astype(U64) * U64(0xA24BAED4963EE407)
         for k in range(width):
-            in_it = k < wide
-            acc[in_it] = (acc[in_it] ^ mix64(h[idx[in_it] + k] + WIDTH_CODE[k])) * U64(0x9FB21C651E98DF25)
-        acc = mix64(acc)
-    rows = row[idx]
+            at = np.minimum(idx + k, len(h) - 1)
+            acc = np.where(k < wide, (acc ^ mix64(h[at] + WIDTH_CODE[k])) * U64(0x9FB21C651E98DF25), acc)
+        return mix64(acc), row[idx]
+
+
+def shingles(data: np.ndarray, offsets: np.ndarray, width: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct shingles of each row, sorted by (row, hash)."""
+    acc, rows = shingle_sequence(data, offsets, width)
+    if not len(acc):
+        return acc, rows
     order = np.lexsort((acc, rows))
     acc, rows = acc[order], rows[order]
     new = np.r_[True, (acc[1:] != acc[:-1]) | (rows[1:] != rows[:-1])]
