@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.llm.byte_bpe import round_trip
+from sparkloom.llm.decontaminate import contaminated
 from sparkloom.llm.exact_dedup import exact_dedup
 from sparkloom.llm.parity_join import jaccard_components
 from sparkloom.llm.suffix_dedup import suffix_dedup
@@ -32,6 +33,10 @@ def op6_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(spark, table(spark, sf_dir, "documents"))
 
 
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_to_records(spark, table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -50,12 +55,35 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
 
+#: Distinct 5-word shingles (id, g) of a table's texts, A-Z lowered; a text with fewer words is one shingle.
+SHINGLES = r"""{out}_words AS (
+            SELECT {id} AS id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM {table}),
+        {out}_at AS (SELECT id, w, unnest(generate_series(1, greatest(1, len(w) - 4))) AS k FROM {out}_words WHERE len(w) > 0),
+        {out} AS (SELECT DISTINCT id, array_to_string(list_slice(w, k, k + 4), ' ') AS g FROM {out}_at)"""
+
 ORACLE = {
     "op1_exact_dedup": """
         WITH d AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
         g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY t)
         SELECT d.doc_id, g.keep_id, g.group_size, d.doc_id = g.keep_id AS kept, sha256(d.t) AS text_sha256 FROM d JOIN g USING (t)
     """,
+    "op6_parity_join": f"""
+        WITH RECURSIVE {SHINGLES.format(table="documents", id="doc_id", out="s")},
+        n AS (SELECT id, count(*) AS n FROM s GROUP BY id),
+        pairs AS (SELECT a.id AS a, b.id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.id < b.id GROUP BY a.id, b.id),
+        links AS (SELECT p.a, p.b FROM pairs p JOIN n x ON x.id = p.a JOIN n y ON y.id = p.b WHERE 100 * p.c >= 75 * (x.n + y.n - p.c)),
+        edges AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+        reach AS (SELECT a AS id, a AS other FROM edges UNION SELECT r.id, e.b FROM reach r JOIN edges e ON e.a = r.other),
+        least AS (SELECT id, min(other) AS component_id FROM reach GROUP BY id)
+        SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(least.component_id, d.doc_id) AS component_id
+        FROM documents d LEFT JOIN n ON n.id = d.doc_id LEFT JOIN least ON least.id = d.doc_id
+    """,
+    "op7_decontaminate": f"""
+        WITH {SHINGLES.format(table="documents", id="doc_id", out="s")}, {SHINGLES.format(table="benchmark", id="item_id", out="b")},
+        n AS (SELECT id, count(*) AS n_item FROM b GROUP BY id)
+        SELECT s.id AS doc_id, b.id AS item_id, n.n_item, count(*) AS n_common, count(*) / n.n_item AS containment
+        FROM s JOIN b ON s.g = b.g JOIN n ON n.id = b.id GROUP BY s.id, b.id, n.n_item HAVING 100 * count(*) >= 75 * n.n_item
+    """,
 }
 
 

@@ -20,6 +20,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import TextView, Workspace, get_file, partitions_for, plain, put_file
+from sparkloom.llm.common import IS_GAP, TextView, Workspace, get_file, partitions_for, plain, put_file
 
 NO_ID = -(1 << 63)
 
@@ -118,16 +119,39 @@ def unframe(buf: memoryview, at: int) -> tuple[memoryview, int]:
 # ---------------------------------------------------------------- encoding
 
 
+_ODD = np.zeros(256, bool)
+_ODD[[0x0B, 0x0C, 0x1C, 0x1D, 0x1E, 0x1F, 0xC2, 0xE1, 0xE2, 0xE3]] = True
+#: UTF-8 of the white space beyond ASCII, and control characters that libraries class differently.
+_ODD_STARTS = tuple(c.encode() for c in "\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000")
+
+
+def uncut(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Whether a row must be encoded whole: white space beside a space, at its edge, or beyond the plain kind."""
+    n = len(offsets) - 1
+    out = np.zeros(n, bool)
+    if len(data):
+        blank, gap = data == 0x20, IS_GAP[data]
+        beside = np.flatnonzero(blank[:-1] & gap[1:] | gap[:-1] & blank[1:])
+        odd = np.flatnonzero(_ODD[data])
+        odd = np.array([i for i in odd.tolist() if data[i : i + 3].tobytes().startswith(_ODD_STARTS)], np.int64)
+        out[np.searchsorted(offsets, np.r_[beside, odd], "right") - 1] = True
+        full = np.flatnonzero(np.diff(offsets))
+        out[full] |= blank[offsets[full]] | blank[offsets[full + 1] - 1]
+    return out
+
+
 class UnitEncoder:
     """ids of texts as little-endian bytes, by the tokenizers library, with a memo of units.
 
     A text is cut before each single space that stands between two characters that are no white space; in byte-level
-    vocabularies a token starts there and nothing before or behind it looks across. Texts where white space meets a space,
-    with special strings, or with code points that libraries class differently, are encoded whole.
+    vocabularies a token starts there and nothing before or behind it looks across. A unit of plain letters and then other
+    plain marks is asked for in these two parts, which the vocabulary's pattern never joins. Texts where white space meets
+    a space, with special strings, or with code points that libraries class differently, are encoded whole.
+    The memo lives as long as the worker process and stops growing at ``MEMO`` units; it only saves time.
     """
 
-    MEMO, LONGEST = 200_000, 64
-    WHOLE = re.compile("[ ][\\s]|[\\s][ ]|^[ ]|[ ]$|[\x1c-\x1f\x85]")
+    MEMO, LONGEST = 700_000, 40
+    PARTS = re.compile(rb"([A-Za-z]+)([!-&(-/:-@\[-`{-~]+)")
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -137,39 +161,62 @@ class UnitEncoder:
         self.tok.no_truncation()
         self.tok.no_padding()
         self.width = 2 if self.tok.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
-        self.dtype = np.dtype("<u2" if self.width == 2 else "<u4")
-        self.special = re.compile("|".join(re.escape(t.content) for t in self.tok.get_added_tokens_decoder().values()) or "(?!)")
-        self.cuts = self._ids(["ab cd."])[0] == b"".join(self._ids(["ab", " cd."]))
-        self.memo: dict[str, bytes] = {}
+        self.dtype, self.code = np.dtype("<u2" if self.width == 2 else "<u4"), "H" if self.width == 2 else "I"
+        self.special = [t.content.encode() for t in self.tok.get_added_tokens_decoder().values()]
+        self.cuts = self._ids([b"ab cd.##"])[0] == b"".join(self._ids([b"ab", b" cd", b".##"]))
+        self.memo: dict[bytes, bytes] = {}  # of " " + unit
+        self.marks: dict[bytes, bytes] = {}
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.dtype).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+    def _ids(self, texts: list[bytes]) -> list[bytes]:
+        found = self.tok.encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)
+        return [array(self.code, e.ids).tobytes() for e in found]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes] = [b""] * len(texts)
-        whole = [i for i, t in enumerate(texts) if not self.cuts or self.WHOLE.search(t) or self.special.search(t)]
-        for at in range(0, len(whole), 16):
-            for i, x in zip(whole[at : at + 16], self._ids([texts[i] for i in whole[at : at + 16]]), strict=True):
-                out[i] = x
-        skip = set(whole)
-        units = {i: t.split(" ") for i, t in enumerate(texts) if i not in skip}
-        new = {u for x in units.values() for u in x[1:]} - self.memo.keys()
-        if len(self.memo) + len(new) > self.MEMO:
-            self.memo.clear()
-            new = {u for x in units.values() for u in x[1:]}
-        ask = list(new)
+    def _learn(self, memo: dict, ask: list[bytes], before: bytes) -> None:
         for at in range(0, len(ask), 4000):
             part = ask[at : at + 4000]
-            self.memo.update(zip(part, self._ids([" " + u for u in part]), strict=True))
-        get = self.memo.__getitem__
-        firsts = self._ids([x[0] for x in units.values()])
-        for (i, x), first in zip(units.items(), firsts, strict=True):
-            out[i] = first + b"".join(map(get, x[1:]))
-        for u in [u for u in new if len(u) > self.LONGEST]:
-            self.memo.pop(u, None)
+            memo.update(zip(part, self._ids([before + u for u in part]), strict=True))
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> list[bytes]:
+        raw, off = data.tobytes(), offsets.tolist()
+        texts = [raw[a:b] for a, b in zip(off, off[1:], strict=False)]
+        whole = uncut(data, offsets) | (not self.cuts)
+        out: list[bytes] = [b""] * len(texts)
+        units, new = {}, set()
+        for i, t in enumerate(texts):
+            if whole[i] or any(x in t for x in self.special):
+                out[i] = self._ids([t])[0]
+            else:
+                units[i] = t.split(b" ")
+                new.update(units[i][1:])
+        new.difference_update(self.memo)
+        split = {u: m for u in new if (m := self.PARTS.fullmatch(u))}
+        direct = {u for u in new if u not in split}
+        heads = {m[1] for m in split.values()} - self.memo.keys()
+        self._learn(self.marks, list({m[2] for m in split.values()} - self.marks.keys()), b"")
+        self._learn(self.memo, list(direct | heads), b" ")
+        memo, marks = self.memo, self.marks
+        for u, m in split.items():
+            memo[u] = memo[m[1]] + marks[m[2]]
+        for (i, x), first in zip(units.items(), self._ids([x[0] for x in units.values()]), strict=True):
+            out[i] = first + b"".join(map(memo.__getitem__, x[1:]))
+        full = len(memo) > self.MEMO
+        for u in new | heads:
+            if full or len(u) > self.LONGEST:
+                memo.pop(u, None)
+        if len(marks) > self.MEMO // 10:
+            marks.clear()
         return out
 
 
+_LOADED: dict[str, UnitEncoder] = {}
+
+
+def encoder(path: str) -> UnitEncoder:
+    if path not in _LOADED:
+        _LOADED[path] = UnitEncoder(path)
+    return _LOADED[path]
+
+
 # ---------------------------------------------------------------- writing and reading
 
 
@@ -177,7 +224,7 @@ def _write_shards(path: str, tokenizer: str, end_id: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        shard, enc, state = TaskContext.get().partitionId(), UnitEncoder(tokenizer), {"at": 0, "ids": [], "offs": [], "n": []}
+        shard, enc, state = TaskContext.get().partitionId(), encoder(tokenizer), {"at": 0, "ids": [], "offs": [], "n": []}
         end = np.array([end_id], enc.dtype).tobytes()
 
         def write(out):
@@ -185,9 +232,7 @@ def _write_shards(path: str, tokenizer: str, end_id: int):
                 view = TextView(b.column("text"))
                 ids = b.column("doc_id").cast(pa.int64()).fill_null(NO_ID).to_numpy(zero_copy_only=False)
                 for i, j, data, off in view.slices():
-                    raw = data.tobytes()
-                    texts = [raw[off[k] : off[k + 1]].decode("utf-8", "replace") for k in range(j - i)]
-                    for d, x in zip(ids[i:j].tolist(), enc.encode(texts), strict=True):
+                    for d, x in zip(ids[i:j].tolist(), enc.encode(data, off), strict=True):
                         record = frame(d.to_bytes(8, "little", signed=True) + bytes([enc.width]) + bytes(7) + x + end)
                         out.write(record)
                         state["ids"].append(d), state["offs"].append(state["at"]), state["n"].append(len(x) // enc.width + 1)
