@@ -13,9 +13,10 @@ All words that are equal number at least n - D of a set's n filled words, hence
 share: words with most shingles first, which are those least likely to be equal by chance. A set that fills no more than
 D words (rare) also sends all its shingles, where it meets the others of its kind.
 
-*Verification.* A group of sets with an equal word is a candidate group. First each member is verified against the group's
-smallest member; verified links give components. Groups of three or more that still span several components are then searched whole,
-in tiles, for pairs across components whose sizes and parity sketches (Hamming distance at most D) admit a link, and those are verified too.
+*Verification.* Sets with an equal word are a candidate group. First each set is verified against one leader, the smallest
+member of all its groups; verified links give components. Groups that still span several components are then searched
+whole, in tiles, for pairs across components whose sizes and parity sketches (Hamming distance at most D) admit a link. Of these
+the closest pair for each two components is verified next, and at last all that still lie across components.
 So every pair of different sets that links lies in one component, though not all pairs of a group are ever listed.
 
 Equal sets (copies) are one entity throughout: a word is sent once an entity and Arrow batch. Verification decides on whole shingle sets of the texts.
@@ -177,7 +178,7 @@ PAIR, GROUP, DOCUMENT = range(3)
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of a range of keys: documents pass through; words give (smallest member, member) and the groups of three or more."""
+    """Rows of a range of keys: documents pass through; words give (smallest member, member) and the groups."""
     blobs = []
     for b in batches:
         is_doc = b.column("ent").is_valid()
@@ -204,9 +205,9 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     count = np.diff(np.r_[first, len(key)])
     lead = np.repeat(ent[first], count)
     pair = np.flatnonzero(lead != ent)
-    order = pair[np.lexsort((ent[pair], lead[pair]))]
+    order = pair[np.lexsort((lead[pair], ent[pair]))]
     a, z = lead[order], ent[order]
-    once = np.r_[True, (a[1:] != a[:-1]) | (z[1:] != z[:-1])] if len(a) else np.zeros(0, bool)
+    once = np.r_[True, z[1:] != z[:-1]] if len(a) else np.zeros(0, bool)  # the smallest leader of this range of keys
     a, z = a[once], z[once]
     for at in range(0, len(a), 100_000):
         yield _found(PAIR, as_long(a[at : at + 100_000]), as_long(z[at : at + 100_000]))
@@ -214,7 +215,7 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gid = mix64(np.add.reduceat(mix64(ent), first) + count.astype(U64))  # groups of equal members are one
     once = np.zeros(len(first), bool)
     once[np.unique(gid, return_index=True)[1]] = True
-    keep = np.repeat(once & (count > 2), count)
+    keep = np.repeat(once & (count > 1), count)
     g, e = np.repeat(gid, count)[keep], ent[keep]
     for at in range(0, len(g), 100_000):
         yield _found(GROUP, as_long(g[at : at + 100_000]), as_long(e[at : at + 100_000]))
@@ -284,11 +285,13 @@ def _across(limit: Threshold):
                 p, q = np.nonzero(ok)
                 if not len(p):
                     continue
-                far = np.bitwise_count(words[i][p] ^ words[j][q]).sum(axis=1)
+                far = np.bitwise_count(words[i][p] ^ words[j][q]).sum(axis=1, dtype=np.int64)
                 good = (far <= limit.differ(a[p, 0], b[0, q])) & (p + at < q + to)
-                if good.any():
-                    x, y = ents[i][p[good]], ents[j][q[good]]
-                    out.append((np.minimum(x, y), np.maximum(x, y)))
+                p, q, far = p[good], q[good], far[good]
+                if len(p):
+                    swap = ents[i][p] > ents[j][q]
+                    x, y, cx, cy = ents[i][p], ents[j][q], comps[i][p], comps[j][q]
+                    out.append((np.where(swap, y, x), np.where(swap, x, y), np.minimum(cx, cy), np.maximum(cx, cy), far))
         return out
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -298,8 +301,8 @@ def _across(limit: Threshold):
             t = pa.Table.from_batches(parts)
             bits = np.frombuffer(b"".join(t.column("bits").to_pylist()), np.uint8).reshape(t.num_rows, -1)
             out = pairs(t.column("ent").to_numpy(), t.column("comp").to_numpy(), t.column("n").to_numpy(), bits)
-            a, b = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 2
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+            cols = [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 5
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["a", "b", "ca", "cb", "far"])
 
         for b in batches:
             g = b.column("gid").to_numpy()
@@ -325,7 +328,7 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, num: int = 75, den:
     met = ws.write(sent.repartitionById(parts, F.col("part")).mapInArrow(_meet, _FOUND), "met")
     rows = met.where(F.col("kind") == DOCUMENT).select(F.col("a").alias("doc_id"), "n", F.col("b").alias("ent"))
     entities = ws.write(met.where((F.col("kind") == DOCUMENT) & (F.col("n") > 0) & F.col("a").isNotNull()).groupBy(F.col("b").alias("ent")).agg(F.min("a").alias("rep"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.count("*").alias("copies")), "entities")
-    pairs = ws.write(met.where(F.col("kind") == PAIR).select("a", "b").distinct(), "pairs")
+    pairs = ws.write(met.where(F.col("kind") == PAIR).groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "pairs")
     texts = docs.where("doc_id IS NOT NULL")
     links = ws.write(verify(spark, texts, pairs, entities, limit, width), "links")
     labels = connected_components(spark, ws, links, "first")
@@ -335,10 +338,17 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, num: int = 75, den:
     open_ = labelled.groupBy("gid").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("gid")
     members = labelled.join(open_, "gid").join(entities.select("ent", "n", "bits"), "ent").repartition(parts, "gid").sortWithinPartitions("gid").select("gid", "ent", "comp", "n", "bits")
     tried = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = ws.write(members.mapInArrow(_across(limit), "a long, b long").distinct().join(tried, ["a", "b"], "left_anti"), "more")
-    if not more.isEmpty():
-        links = links.unionByName(ws.write(verify(spark, texts, more, entities, limit, width), "more-links"))
-        labels = connected_components(spark, ws, links, "last")
+    across = ws.write(members.mapInArrow(_across(limit), "a long, b long, ca long, cb long, far long").distinct().join(tried, ["a", "b"], "left_anti"), "across")
+    if not across.isEmpty():
+        closest = ws.write(across.groupBy("ca", "cb").agg(F.min(F.struct("far", "a", "b")).alias("m")).select("m.a", "m.b"), "closest")
+        links = links.unionByName(ws.write(verify(spark, texts, closest, entities, limit, width), "closest-links"))
+        labels = ws.write(connected_components(spark, ws, links, "second"), "labels")
+        comp = lambda c: labels.select(F.col("node").alias(c), F.col("comp").alias(f"comp_{c}"))
+        still = F.coalesce("comp_a", "a") != F.coalesce("comp_b", "b")
+        rest = ws.write(across.select("a", "b").join(closest, ["a", "b"], "left_anti").join(comp("a"), "a", "left").join(comp("b"), "b", "left").where(still).select("a", "b"), "rest")
+        if not rest.isEmpty():
+            links = links.unionByName(ws.write(verify(spark, texts, rest, entities, limit, width), "rest-links"))
+            labels = connected_components(spark, ws, links, "last")
 
     labelled = entities.join(labels.withColumnRenamed("node", "ent"), "ent", "left").select("ent", "rep", "copies", F.coalesce("comp", "ent").alias("comp"))
     smallest = labelled.groupBy("comp").agg(F.min("rep").alias("component_id"))
