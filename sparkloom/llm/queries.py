@@ -11,10 +11,13 @@ from pyspark.sql import functions as F
 from sparkloom.llm.byte_bpe import round_trip
 from sparkloom.llm.decontaminate import contaminated
 from sparkloom.llm.exact_dedup import exact_dedup
+from sparkloom.llm.html_render import html_render
 from sparkloom.llm.parity_join import jaccard_components
+from sparkloom.llm.quality_crf import quality
 from sparkloom.llm.suffix_dedup import suffix_dedup
 from sparkloom.llm.token_counts import token_counts
 from sparkloom.llm.token_records import encode_to_records
+from sparkloom.llm.url_filter import url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,10 +28,25 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(spark, table(spark, sf_dir, "documents"))
 
 
+URL_RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block")]
+
+
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter(spark, table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op4_html_render(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_render(table(spark, sf_dir, "pages"))
+
+
+def op5_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(spark, table(spark, sf_dir, "documents"))
 
