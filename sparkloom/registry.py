@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _ORACLES: dict[str, str] = {}
-MODULES: tuple[str, ...] = ("sparkloom.plans.retrieval",)
+MODULES: tuple[str, ...] = ("sparkloom.plans.retrieval", "sparkloom.plans.analytics")
 
 
 def query(sql: str | None = None, name: str | None = None) -> Callable[[Query], Query]:
