@@ -43,7 +43,7 @@ def _byte_table() -> np.ndarray:
 
 
 _T = _byte_table()
-_BLOCK = 1024
+_BLOCK = 256
 
 
 def _advance(state: np.ndarray) -> np.ndarray:
@@ -67,53 +67,81 @@ def _shift_tables() -> np.ndarray:
     return state.reshape(4, 256)
 
 
-_POS, _SHIFT = _position_table(), _shift_tables()
-_ROWS = np.arange(_BLOCK)
+_POS, _SHIFT = _position_table().ravel(), _shift_tables()
+_CARRY = [t.tolist() for t in _SHIFT]
+_PLACE = (np.arange(_BLOCK) * 256).astype(np.int32)
+_PART = 1 << 21
+
+
+def crc32c_many(items: list[bytes]) -> list[int]:
+    """CRC-32C of each item: all bytes of all blocks by table look-ups at once, then block after block by linearity.
+
+    An item is padded in front to whole blocks; zeros there leave a state of zero, and the initial state is XORed into its first
+    four bytes. Items of fewer than four bytes go byte by byte.
+    """
+    out = [0] * len(items)
+    at = 0
+    while at < len(items):
+        to, size, where = at, 0, []
+        while to < len(items) and (to == at or size + len(items[to]) < _PART):
+            blocks = -(-len(items[to]) // _BLOCK) if len(items[to]) >= 4 else 0
+            where.append((size, blocks))
+            size += blocks * _BLOCK
+            to += 1
+        buf = bytearray(size)
+        for x, (first, blocks) in zip(items[at:to], where, strict=True):
+            if blocks:
+                buf[first + blocks * _BLOCK - len(x) : first + blocks * _BLOCK] = x
+        a = np.frombuffer(buf, np.uint8)
+        starts = np.array([first + blocks * _BLOCK - len(x) for x, (first, blocks) in zip(items[at:to], where, strict=True) if blocks], np.int64)
+        for k in range(4):
+            a[starts + k] ^= 0xFF
+        parts: list[int] = []
+        for k in range(0, size // _BLOCK, 4096):
+            m = a[k * _BLOCK : (k + 4096) * _BLOCK].reshape(-1, _BLOCK)
+            parts += np.bitwise_xor.reduce(_POS.take(m + _PLACE), axis=1).tolist()
+        c0, c1, c2, c3 = _CARRY
+        for i, (first, blocks) in enumerate(where):
+            state = 0
+            if blocks:
+                for p in parts[first // _BLOCK : first // _BLOCK + blocks]:
+                    state = c0[state & 255] ^ c1[state >> 8 & 255] ^ c2[state >> 16 & 255] ^ c3[state >> 24] ^ p
+            else:
+                state = 0xFFFFFFFF
+                for b in items[at + i]:
+                    state = int(_T[(state ^ b) & 255]) ^ state >> 8
+            out[at + i] = state ^ 0xFFFFFFFF
+        at = to
+    return out
 
 
 def crc32c(data: bytes) -> int:
-    """CRC-32C; whole blocks by table look-ups for all their bytes at once, the rest likewise in one short block."""
-    a = np.frombuffer(data, np.uint8)
-    head = len(a) % _BLOCK
-    state = 0xFFFFFFFF
-    if head:  # a short block first: the state passes through it byte-wise by linearity
-        s = np.array([state], np.uint32)
-        first = a[:head]
-        if head >= 4:
-            mixed = first.copy()
-            mixed[:4] ^= np.frombuffer(np.uint32(state).tobytes(), np.uint8)
-            state = int(np.bitwise_xor.reduce(_POS[_ROWS[_BLOCK - head :], mixed]))
-        else:
-            for b in first:
-                s = _T[(s ^ b) & 0xFF] ^ (s >> 8)
-            state = int(s[0])
-    blocks = a[head:].reshape(-1, _BLOCK)
-    for at in range(0, len(blocks), 1024):
-        parts = np.bitwise_xor.reduce(_POS[_ROWS, blocks[at : at + 1024]], axis=1)
-        for p in parts.tolist():
-            state = int(_SHIFT[0, state & 255] ^ _SHIFT[1, state >> 8 & 255] ^ _SHIFT[2, state >> 16 & 255] ^ _SHIFT[3, state >> 24]) ^ p
-    return state ^ 0xFFFFFFFF
+    return crc32c_many([data])[0]
 
 
 def masked(crc: int) -> int:
     return ((crc >> 15 | crc << 17) + 0xA282EAD8) & 0xFFFFFFFF
 
 
-def frame(payload: bytes) -> bytes:
-    n = len(payload).to_bytes(8, "little")
-    return b"".join((n, masked(crc32c(n)).to_bytes(4, "little"), payload, masked(crc32c(payload)).to_bytes(4, "little")))
+def frames(payloads: list[bytes]) -> list[bytes]:
+    heads = [len(p).to_bytes(8, "little") for p in payloads]
+    sums = crc32c_many(heads + payloads)
+    n = len(payloads)
+    return [b"".join((heads[i], masked(sums[i]).to_bytes(4, "little"), p, masked(sums[n + i]).to_bytes(4, "little"))) for i, p in enumerate(payloads)]
 
 
-def unframe(buf: memoryview, at: int) -> tuple[memoryview, int]:
-    """The payload of the record at a byte offset, checked, and the offset behind it."""
-    head = bytes(buf[at : at + 8])
-    if masked(crc32c(head)) != int.from_bytes(buf[at + 8 : at + 12], "little"):
-        raise ValueError(f"length checksum differs at byte {at}")
-    n = int.from_bytes(head, "little")
-    payload = buf[at + 12 : at + 12 + n]
-    if len(payload) != n or masked(crc32c(bytes(payload))) != int.from_bytes(buf[at + 12 + n : at + 16 + n], "little"):
-        raise ValueError(f"payload checksum differs at byte {at}")
-    return payload, at + 16 + n
+def unframe(buf: memoryview, offsets: list[int]) -> list[bytes]:
+    """The payloads of the records at the byte offsets; every checksum is verified."""
+    heads = [bytes(buf[at : at + 8]) for at in offsets]
+    sizes = [int.from_bytes(h, "little") for h in heads]
+    for at, h, s in zip(offsets, heads, crc32c_many(heads), strict=True):
+        if masked(s) != int.from_bytes(buf[at + 8 : at + 12], "little"):
+            raise ValueError(f"length checksum differs at byte {at}")
+    payloads = [bytes(buf[at + 12 : at + 12 + n]) for at, n in zip(offsets, sizes, strict=True)]
+    for at, n, p, s in zip(offsets, sizes, payloads, crc32c_many(payloads), strict=True):
+        if len(p) != n or masked(s) != int.from_bytes(buf[at + 12 + n : at + 16 + n], "little"):
+            raise ValueError(f"payload checksum differs at byte {at}")
+    return payloads
 
 
 # ---------------------------------------------------------------- encoding
@@ -232,8 +260,9 @@ def _write_shards(path: str, tokenizer: str, end_id: int):
                 view = TextView(b.column("text"))
                 ids = b.column("doc_id").cast(pa.int64()).fill_null(NO_ID).to_numpy(zero_copy_only=False)
                 for i, j, data, off in view.slices():
-                    for d, x in zip(ids[i:j].tolist(), enc.encode(data, off), strict=True):
-                        record = frame(d.to_bytes(8, "little", signed=True) + bytes([enc.width]) + bytes(7) + x + end)
+                    coded, names = enc.encode(data, off), ids[i:j].tolist()
+                    records = frames([d.to_bytes(8, "little", signed=True) + bytes([enc.width]) + bytes(7) + x + end for d, x in zip(names, coded, strict=True)])
+                    for d, x, record in zip(names, coded, records, strict=True):
                         out.write(record)
                         state["ids"].append(d), state["offs"].append(state["at"]), state["n"].append(len(x) // enc.width + 1)
                         state["at"] += len(record)
@@ -266,8 +295,8 @@ def read_ids(path: str, shard: int, index_rows: np.ndarray | None = None) -> Ite
     """(doc_id, ids) of the records of a shard, in file order or as the given rows of its index ask for them."""
     buf = memoryview(get_file(f"{path}/part-{shard:05d}.tfr"))
     offs = read_index(path, shard)[1]
-    for at in (offs if index_rows is None else offs[index_rows]).tolist():
-        payload, _ = unframe(buf, at)
+    wanted = (offs if index_rows is None else offs[index_rows]).tolist()
+    for payload in (p for k in range(0, len(wanted), 500) for p in unframe(buf, wanted[k : k + 500])):
         yield int.from_bytes(payload[:8], "little", signed=True), np.frombuffer(payload[16:], "<u2" if payload[8] == 2 else "<u4")
 
 
