@@ -178,7 +178,7 @@ class UnitEncoder:
     The memo lives as long as the worker process and stops growing at ``MEMO`` units; it only saves time.
     """
 
-    MEMO, LONGEST = 700_000, 40
+    MEMO, LONGEST = 1_500_000, 40
     PARTS = re.compile(rb"([A-Za-z]+)([!-&(-/:-@\[-`{-~]+)")
 
     def __init__(self, path: str):
