@@ -39,8 +39,8 @@ def page_completeness(df: DataFrame, page: str, declared: Column) -> DataFrame:
 
 
 def ledger_last(df: DataFrame, key: str, seq: str, values: Sequence[str]) -> DataFrame:
-    """The last row of each path."""
-    return df.groupBy(key).agg(F.max_by(F.struct(seq, *values), seq).alias("_r")).select(key, "_r.*")
+    """The last row of each path; of rows with one sequence number the largest."""
+    return df.groupBy(key).agg(F.max(F.struct(seq, *values)).alias("_r")).select(key, "_r.*")
 
 
 def html_lines(html: Column) -> Column:
