@@ -4,7 +4,7 @@ A document's set is its distinct 5-word shingles, as 64-bit hashes. Two document
 so their symmetric difference is at most D = (|A| + |B|) (den - num) / (den + num).
 
 *Sketch.* Every shingle is XORed into one of the words of a sketch. A shingle in only one of two sets changes one word, so the
-number of words that differ is at most the symmetric difference (the same holds bit by bit for a 1024-bit parity sketch, in which a
+number of words that differ is at most the symmetric difference (the same holds bit by bit for a parity sketch of 1024 bits or more, in which a
 shingle flips one bit).
 
 *Pigeonhole join per size band.* Bands are powers of two of the set size; a pair meets in the band of its larger set. Sketches of a
@@ -13,8 +13,8 @@ All words that are equal number at least n - D of a set's n filled words, hence
 share: words with most shingles first, which are those least likely to be equal by chance. A set that fills no more than
 D words (rare) also sends all its shingles, where it meets the others of its kind.
 
-*Verification.* Sets with an equal word are a candidate group. First each set is verified against one leader, the smallest
-member of all its groups; verified links give components. Groups that still span several components are then searched
+*Verification.* Sets with an equal word are a candidate group, its smallest member leads. First each set is verified against the
+leader that leads most of its groups (if the parity sketches do not rule it out); verified links give components. Groups that still span several components are then searched
 whole, in tiles, for pairs across components whose sizes and parity sketches (Hamming distance at most D) admit a link. Of these
 the closest pair for each two components is verified next, and at last all that still lie across components.
 So every pair of different sets that links lies in one component, though not all pairs of a group are ever listed.
@@ -75,17 +75,38 @@ def set_ids(h: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
         return mix64(out + np.bincount(row, minlength=n).astype(U64) * U64(0x9E3779B97F4A7C15))
 
 
-def parity_bits(h: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
-    """(n, 128) uint8: the parity of the shingles at each of 1024 bits."""
-    bit = (h >> U64(54)).astype(np.int64)
-    out = np.empty((n, SKETCH_BITS // 8), np.uint8)
-    for at in range(0, n, 1024):
-        a, z = np.searchsorted(row, at), np.searchsorted(row, at + 1024)
-        m = min(1024, n - at)
-        out[at : at + m] = np.packbits((np.bincount((row[a:z] - at) * SKETCH_BITS + bit[a:z], minlength=m * SKETCH_BITS) & 1).astype(bool).reshape(m, SKETCH_BITS), axis=1)
+def parity_bits(h: np.ndarray, row: np.ndarray, n: int) -> list[bytes]:
+    """Parity sketch of each row: shingle h flips bit h mod m, where m is a power of two of at least 1024 and twice the set's size."""
+    size = np.bincount(row, minlength=n)
+    width = np.maximum(SKETCH_BITS, 1 << np.frexp(np.maximum(2 * size - 1, 1))[1]).astype(np.int64)
+    out: list[bytes] = [b""] * n
+    for m in np.unique(width).tolist():
+        rows = np.flatnonzero(width == m)
+        place = np.full(n, -1)
+        for at in range(0, len(rows), max(1, (1 << 20) // m)):
+            part = rows[at : at + max(1, (1 << 20) // m)]
+            place[:] = -1
+            place[part] = np.arange(len(part))
+            own = place[row]
+            pick = own >= 0
+            flips = np.bincount(own[pick] * m + (h[pick] & U64(m - 1)).astype(np.int64), minlength=len(part) * m)
+            for r, x in zip(part.tolist(), np.packbits((flips & 1).astype(bool).reshape(len(part), m), axis=1), strict=True):
+                out[r] = x.tobytes()
     return out
 
 
+def fold(sketches: list[bytes], size: int | None = None) -> np.ndarray:
+    """Sketches of one width (the least among them, or ``size`` bytes) as rows of 64-bit words; halves of a wider one are XORed."""
+    size = size or min(map(len, sketches))
+    out = np.empty((len(sketches), size), np.uint8)
+    for i, x in enumerate(sketches):
+        a = np.frombuffer(x, np.uint8)
+        while len(a) > size:
+            a = a[: len(a) // 2] ^ a[len(a) // 2 :]
+        out[i] = a
+    return out.view(U64)
+
+
 def sketch_keys(h: np.ndarray, row: np.ndarray, n: int, limit: Threshold) -> tuple[np.ndarray, np.ndarray]:
     """(keys, rows): the words that each set sends. h sorted by row."""
     size = np.bincount(row, minlength=n)
@@ -145,7 +166,8 @@ def _send(limit: Threshold, parts: int, width: int):
                 keep = once[row]
                 key, r = sketch_keys(h[keep], row[keep], n, limit)
                 out.append((key, ids[r]))
-            size, ids, bits = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, U64), np.zeros((0, 128), np.uint8))
+            size, ids = (np.concatenate([np.zeros(0, t), *[f[k] for f in found]]) for k, t in ((0, np.int64), (1, U64)))
+            bits = [x for f in found for x in f[2]]
             key, ent = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, U64),) * 2
             part = ((key >> U64(32)) * U64(parts) >> U64(32)).astype(np.int64)
             by = np.lexsort((ent, key)) if len(key) else part
@@ -159,7 +181,7 @@ def _send(limit: Threshold, parts: int, width: int):
                 names=["part", "blob", "doc_id", "n", "ent", "bits"],
             )
             yield pa.RecordBatch.from_arrays(
-                [pa.array((ids % U64(parts)).astype(np.int32)), pa.nulls(len(ids), pa.binary()), b.column("doc_id").cast(pa.int64()), pa.array(size, pa.int64()), as_long(ids), pa.array(list(map(bytes, bits)), pa.binary())],
+                [pa.array((ids % U64(parts)).astype(np.int32)), pa.nulls(len(ids), pa.binary()), b.column("doc_id").cast(pa.int64()), pa.array(size, pa.int64()), as_long(ids), pa.array(bits, pa.binary())],
                 names=["part", "blob", "doc_id", "n", "ent", "bits"],
             )
 
@@ -207,10 +229,11 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     pair = np.flatnonzero(lead != ent)
     order = pair[np.lexsort((lead[pair], ent[pair]))]
     a, z = lead[order], ent[order]
-    once = np.r_[True, z[1:] != z[:-1]] if len(a) else np.zeros(0, bool)  # the smallest leader of this range of keys
+    once = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (z[1:] != z[:-1])]) if len(a) else order
+    words = np.diff(np.r_[once, len(a)])
     a, z = a[once], z[once]
     for at in range(0, len(a), 100_000):
-        yield _found(PAIR, as_long(a[at : at + 100_000]), as_long(z[at : at + 100_000]))
+        yield _found(PAIR, as_long(a[at : at + 100_000]), as_long(z[at : at + 100_000]), pa.array(words[at : at + 100_000], pa.int64()))
     with np.errstate(over="ignore"):
         gid = mix64(np.add.reduceat(mix64(ent), first) + count.astype(U64))  # groups of equal members are one
     once = np.zeros(len(first), bool)
@@ -268,7 +291,25 @@ def verify(spark: SparkSession, docs: DataFrame, pairs: DataFrame, entities: Dat
     return placed.select("lead", "ent", "text").mapInArrow(_verify(limit, width), "a long, b long")
 
 
-_POP = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).sum(axis=1).astype(np.uint8)
+def _admit(limit: Threshold):
+    """Pairs that sizes and parity sketches do not rule out."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = np.zeros(b.num_rows, bool)
+            n, m = b.column("n_a").to_numpy(), b.column("n_b").to_numpy()
+            x, y = b.column("bits_a").to_pylist(), b.column("bits_b").to_pylist()
+            for i in np.flatnonzero(np.minimum(n, m) * limit.den >= np.maximum(n, m) * limit.num).tolist():
+                size = min(len(x[i]), len(y[i]))
+                keep[i] = np.bitwise_count(fold([x[i]], size) ^ fold([y[i]], size)).sum() <= limit.differ(n[i], m[i])
+            yield b.select(["a", "b"]).filter(pa.array(keep))
+
+    return rows
+
+
+def admitted(pairs: DataFrame, entities: DataFrame, limit: Threshold) -> DataFrame:
+    side = lambda c: entities.select(F.col("ent").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(_admit(limit), "a long, b long")
 
 
 def _across(limit: Threshold):
@@ -276,7 +317,7 @@ def _across(limit: Threshold):
 
     def pairs(ents, comps, sizes, bits):
         n, out = len(ents), []
-        words = np.ascontiguousarray(bits).view(U64)
+        words = bits
         for at in range(0, n, 64):
             for to in range(at, n, 1024):
                 i, j = slice(at, min(at + 64, n)), slice(to, min(to + 1024, n))
@@ -299,7 +340,7 @@ def _across(limit: Threshold):
 
         def flush(parts):
             t = pa.Table.from_batches(parts)
-            bits = np.frombuffer(b"".join(t.column("bits").to_pylist()), np.uint8).reshape(t.num_rows, -1)
+            bits = fold(t.column("bits").to_pylist())
             out = pairs(t.column("ent").to_numpy(), t.column("comp").to_numpy(), t.column("n").to_numpy(), bits)
             cols = [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 5
             return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["a", "b", "ca", "cb", "far"])
@@ -328,9 +369,10 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, num: int = 75, den:
     met = ws.write(sent.repartitionById(parts, F.col("part")).mapInArrow(_meet, _FOUND), "met")
     rows = met.where(F.col("kind") == DOCUMENT).select(F.col("a").alias("doc_id"), "n", F.col("b").alias("ent"))
     entities = ws.write(met.where((F.col("kind") == DOCUMENT) & (F.col("n") > 0) & F.col("a").isNotNull()).groupBy(F.col("b").alias("ent")).agg(F.min("a").alias("rep"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.count("*").alias("copies")), "entities")
-    pairs = ws.write(met.where(F.col("kind") == PAIR).groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "pairs")
+    led = met.where(F.col("kind") == PAIR).groupBy("a", "b").agg(F.sum("n").alias("words"))
+    pairs = ws.write(led.groupBy("b").agg(F.max(F.struct("words", "a")).alias("m")).select("m.a", "b"), "pairs")
     texts = docs.where("doc_id IS NOT NULL")
-    links = ws.write(verify(spark, texts, pairs, entities, limit, width), "links")
+    links = ws.write(verify(spark, texts, ws.write(admitted(pairs, entities, limit), "admitted"), entities, limit, width), "links")
     labels = connected_components(spark, ws, links, "first")
 
     groups = met.where(F.col("kind") == GROUP).select(F.col("a").alias("gid"), F.col("b").alias("ent")).distinct()
