@@ -192,6 +192,10 @@ class UnitEncoder:
         self.dtype, self.code = np.dtype("<u2" if self.width == 2 else "<u4"), "H" if self.width == 2 else "I"
         self.special = [t.content.encode() for t in self.tok.get_added_tokens_decoder().values()]
         self.cuts = self._ids([b"ab cd.##"])[0] == b"".join(self._ids([b"ab", b" cd", b".##"]))
+        vocab = self.tok.get_vocab(with_added_tokens=True)
+        self.lengths = np.zeros(max(vocab.values()) + 1, np.int64)
+        for t, i in vocab.items():
+            self.lengths[i] = len(t)
         self.memo: dict[bytes, bytes] = {}  # of " " + unit
         self.marks: dict[bytes, bytes] = {}
 
@@ -204,6 +208,24 @@ class UnitEncoder:
             part = ask[at : at + 4000]
             memo.update(zip(part, self._ids([before + u for u in part]), strict=True))
 
+    def _learn_joined(self, ask: list[bytes]) -> None:
+        """Units with their spaces, many in one text: a token ends where a unit does, and tokens are as long as their bytes."""
+        for at in range(0, len(ask), 4000):
+            part = ask[at : at + 4000]
+            found = self.tok.encode_batch_fast([(b" " + b" ".join(part)).decode("utf-8", "replace")], add_special_tokens=False)[0].ids
+            ids = np.array(found, self.dtype)
+            ends = np.cumsum([len(u) + 1 for u in part])
+            upto = np.cumsum(self.lengths[ids])
+            cut = np.searchsorted(upto, ends)
+            if len(ids) == 0 or upto[-1] != ends[-1] or (upto[cut] != ends).any():  # not a byte-level vocabulary, or invalid text
+                self._learn(self.memo, part, b" ")
+                continue
+            raw, w = ids.tobytes(), self.width
+            a = 0
+            for u, z in zip(part, ((cut + 1) * w).tolist(), strict=True):
+                self.memo[u] = raw[a:z]
+                a = z
+
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> list[bytes]:
         raw, off = data.tobytes(), offsets.tolist()
         texts = [raw[a:b] for a, b in zip(off, off[1:], strict=False)]
@@ -221,7 +243,7 @@ class UnitEncoder:
         direct = {u for u in new if u not in split}
         heads = {m[1] for m in split.values()} - self.memo.keys()
         self._learn(self.marks, list({m[2] for m in split.values()} - self.marks.keys()), b"")
-        self._learn(self.memo, list(direct | heads), b" ")
+        self._learn_joined(list(direct | heads))
         memo, marks = self.memo, self.marks
         for u, m in split.items():
             memo[u] = memo[m[1]] + marks[m[2]]
