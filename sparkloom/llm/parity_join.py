@@ -14,9 +14,10 @@ share: words with most shingles first, which are those least likely to be equal
 D words (rare) also sends all its shingles, where it meets the others of its kind.
 
 *Verification.* Sets with an equal word are a candidate group, its smallest member leads. First each set is verified against the
-leader that leads most of its groups (if the parity sketches do not rule it out); verified links give components. Groups that still span several components are then searched
-whole, in tiles, for pairs across components whose sizes and parity sketches (Hamming distance at most D) admit a link. Of these
-the closest pair for each two components is verified next, and at last all that still lie across components.
+leader that leads most of its groups (if the parity sketches do not rule it out); verified links give components. Groups that
+still span several components are then searched whole, in tiles, for pairs across components whose sizes and parity sketches
+(Hamming distance at most D) admit a link. In ``CLOSEST_ROUNDS`` rounds every component of a group verifies its closest such pair, which
+is linear in the group and merges families of near copies; what is still across components after that is verified in full.
 So every pair of different sets that links lies in one component, though not all pairs of a group are ever listed.
 
 Equal sets (copies) are one entity throughout: a word is sent once an entity and Arrow batch. Verification decides on whole shingle sets of the texts.
@@ -42,6 +43,7 @@ from sparkloom.llm.components import connected_components
 SKETCH_BITS = 1024
 FILTER_SLOTS = 1 << 19
 PAIRS_A_TASK = 4000
+CLOSEST_ROUNDS = 2
 _SALT = splitmix(128, 0x9A)
 
 
@@ -76,9 +78,9 @@ def set_ids(h: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
 
 
 def parity_bits(h: np.ndarray, row: np.ndarray, n: int) -> list[bytes]:
-    """Parity sketch of each row: shingle h flips bit h mod m, where m is a power of two of at least 1024 and twice the set's size."""
+    """Parity sketch of each row: shingle h flips bit h mod m, where m is a power of two of at least 1024 and four times the set's size."""
     size = np.bincount(row, minlength=n)
-    width = np.maximum(SKETCH_BITS, 1 << np.frexp(np.maximum(2 * size - 1, 1))[1]).astype(np.int64)
+    width = np.maximum(SKETCH_BITS, 1 << np.frexp(np.maximum(4 * size - 1, 1))[1]).astype(np.int64)
     out: list[bytes] = [b""] * n
     for m in np.unique(width).tolist():
         rows = np.flatnonzero(width == m)
@@ -312,38 +314,60 @@ def admitted(pairs: DataFrame, entities: DataFrame, limit: Threshold) -> DataFra
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(_admit(limit), "a long, b long")
 
 
-def _across(limit: Threshold):
-    """Pairs across components of a group whose sizes and sketches admit a link. Rows come sorted by gid."""
+def _across(limit: Threshold, closest: bool):
+    """Pairs across components of a group whose sizes and sketches admit a link: the closest of each component, or all.
 
-    def pairs(ents, comps, sizes, bits):
-        n, out = len(ents), []
-        words = bits
+    Rows come sorted by gid.
+    """
+
+    def admit(ents, comps, sizes, words):
+        n = len(ents)
         for at in range(0, n, 64):
-            for to in range(at, n, 1024):
+            for to in range(at // 1024 * 1024, n, 1024):
                 i, j = slice(at, min(at + 64, n)), slice(to, min(to + 1024, n))
                 a, b = sizes[i][:, None], sizes[j][None, :]
                 ok = (comps[i][:, None] != comps[j][None, :]) & (np.minimum(a, b) * limit.den >= np.maximum(a, b) * limit.num)
                 p, q = np.nonzero(ok)
-                if not len(p):
-                    continue
-                far = np.bitwise_count(words[i][p] ^ words[j][q]).sum(axis=1, dtype=np.int64)
-                good = (far <= limit.differ(a[p, 0], b[0, q])) & (p + at < q + to)
-                p, q, far = p[good], q[good], far[good]
+                later = p + at < q + to
+                p, q = p[later], q[later]
                 if len(p):
-                    swap = ents[i][p] > ents[j][q]
-                    x, y, cx, cy = ents[i][p], ents[j][q], comps[i][p], comps[j][q]
-                    out.append((np.where(swap, y, x), np.where(swap, x, y), np.minimum(cx, cy), np.maximum(cx, cy), far))
-        return out
+                    far = np.bitwise_count(words[i][p] ^ words[j][q]).sum(axis=1, dtype=np.int64)
+                    good = far <= limit.differ(a[p, 0], b[0, q])
+                    yield p[good] + at, q[good] + to, far[good]
+
+    def found(ents, comps, sizes, words):
+        if not closest:
+            for p, q, _ in admit(ents, comps, sizes, words):
+                yield ents[p], ents[q]
+            return
+        none = np.iinfo(np.int64).max
+        best = np.full(len(ents), none)  # distance, then partner
+        for p, q, far in admit(ents, comps, sizes, words):
+            np.minimum.at(best, p, far << 32 | q)
+            np.minimum.at(best, q, far << 32 | p)
+        has = np.flatnonzero(best != none)
+        by = has[np.lexsort((best[has], comps[has]))]
+        first = by[np.r_[True, comps[by][1:] != comps[by][:-1]]] if len(by) else by
+        yield ents[first], ents[best[first] & 0xFFFFFFFF]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
+        out: list[np.ndarray] = []
+        size = 0
 
         def flush(parts):
+            nonlocal size
             t = pa.Table.from_batches(parts)
-            bits = fold(t.column("bits").to_pylist())
-            out = pairs(t.column("ent").to_numpy(), t.column("comp").to_numpy(), t.column("n").to_numpy(), bits)
-            cols = [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 5
-            return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["a", "b", "ca", "cb", "far"])
+            for x, y in found(t.column("ent").to_numpy(), t.column("comp").to_numpy(), t.column("n").to_numpy(), fold(t.column("bits").to_pylist())):
+                out.append(np.stack([np.minimum(x, y), np.maximum(x, y)]))
+                size += len(x)
+
+        def emit():
+            nonlocal size
+            m = np.unique(np.concatenate([np.zeros((2, 0), np.int64), *out], axis=1), axis=1)
+            out.clear()
+            size = 0
+            return pa.RecordBatch.from_arrays([pa.array(m[0]), pa.array(m[1])], names=["a", "b"])
 
         for b in batches:
             g = b.column("gid").to_numpy()
@@ -352,11 +376,14 @@ def _across(limit: Threshold):
                 if x == y:
                     continue
                 if held and held[-1].column("gid")[0].as_py() != g[x]:
-                    yield flush(held)
+                    flush(held)
                     held = []
                 held.append(b.slice(x, y - x))
+                if size > 2_000_000:
+                    yield emit()
         if held:
-            yield flush(held)
+            flush(held)
+        yield emit()
 
     return rows
 
@@ -375,22 +402,18 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, num: int = 75, den:
     links = ws.write(verify(spark, texts, ws.write(admitted(pairs, entities, limit), "admitted"), entities, limit, width), "links")
     labels = connected_components(spark, ws, links, "first")
 
-    groups = met.where(F.col("kind") == GROUP).select(F.col("a").alias("gid"), F.col("b").alias("ent")).distinct()
-    labelled = ws.write(groups.join(labels.withColumnRenamed("node", "ent"), "ent", "left").select("gid", "ent", F.coalesce("comp", "ent").alias("comp")), "groups")
-    open_ = labelled.groupBy("gid").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("gid")
-    members = labelled.join(open_, "gid").join(entities.select("ent", "n", "bits"), "ent").repartition(parts, "gid").sortWithinPartitions("gid").select("gid", "ent", "comp", "n", "bits")
+    groups = ws.write(met.where(F.col("kind") == GROUP).select(F.col("a").alias("gid"), F.col("b").alias("ent")).distinct(), "groups")
     tried = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    across = ws.write(members.mapInArrow(_across(limit), "a long, b long, ca long, cb long, far long").distinct().join(tried, ["a", "b"], "left_anti"), "across")
-    if not across.isEmpty():
-        closest = ws.write(across.groupBy("ca", "cb").agg(F.min(F.struct("far", "a", "b")).alias("m")).select("m.a", "m.b"), "closest")
-        links = links.unionByName(ws.write(verify(spark, texts, closest, entities, limit, width), "closest-links"))
-        labels = ws.write(connected_components(spark, ws, links, "second"), "labels")
-        comp = lambda c: labels.select(F.col("node").alias(c), F.col("comp").alias(f"comp_{c}"))
-        still = F.coalesce("comp_a", "a") != F.coalesce("comp_b", "b")
-        rest = ws.write(across.select("a", "b").join(closest, ["a", "b"], "left_anti").join(comp("a"), "a", "left").join(comp("b"), "b", "left").where(still).select("a", "b"), "rest")
-        if not rest.isEmpty():
-            links = links.unionByName(ws.write(verify(spark, texts, rest, entities, limit, width), "rest-links"))
-            labels = connected_components(spark, ws, links, "last")
+    for k in range(CLOSEST_ROUNDS + 1):
+        labelled = ws.write(groups.join(labels.withColumnRenamed("node", "ent"), "ent", "left").select("gid", "ent", F.coalesce("comp", "ent").alias("comp")), f"open-{k}")
+        spans = labelled.groupBy("gid").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("gid")
+        members = labelled.join(spans, "gid").join(entities.select("ent", "n", "bits"), "ent").repartition(parts, "gid").sortWithinPartitions("gid").select("gid", "ent", "comp", "n", "bits")
+        across = ws.write(members.mapInArrow(_across(limit, k < CLOSEST_ROUNDS), "a long, b long").distinct().join(tried, ["a", "b"], "left_anti"), f"across-{k}")
+        if across.isEmpty():
+            continue  # nothing new is close; the last round still searches in full
+        tried = tried.unionByName(across)
+        links = links.unionByName(ws.write(verify(spark, texts, across, entities, limit, width), f"links-{k}"))
+        labels = connected_components(spark, ws, links, f"cc-{k}")
 
     labelled = entities.join(labels.withColumnRenamed("node", "ent"), "ent", "left").select("ent", "rep", "copies", F.coalesce("comp", "ent").alias("comp"))
     smallest = labelled.groupBy("comp").agg(F.min("rep").alias("component_id"))
