@@ -158,10 +158,10 @@ def type_retention(spark, d):
     return spark.createDataFrame([(x,) for x in back], "comp string")
 
 
-@query("SELECT item_id, rule, variant FROM (SELECT item_id, text, unnest(['upper', 'spaced', 'cut', 'doubled']) AS rule, unnest([upper(text), replace(text, ' ', '  '), text[1:40], replace(text, '.', '..')]) AS variant FROM benchmark) WHERE variant <> text")
+@query("SELECT item_id, rule, variant FROM (SELECT item_id, text, unnest(['lower', 'spaced', 'cut', 'doubled']) AS rule, unnest([lower(text), replace(text, ' ', '  '), text[1:40], replace(text, '.', '..')]) AS variant FROM benchmark) WHERE variant <> text")
 def inject_variants(spark, d):
     t = F.col("text")
-    rules = [("upper", F.upper(t)), ("spaced", F.replace(t, F.lit(" "), F.lit("  "))), ("cut", F.substring(t, 1, 40)), ("doubled", F.replace(t, F.lit("."), F.lit("..")))]
+    rules = [("lower", F.lower(t)), ("spaced", F.replace(t, F.lit(" "), F.lit("  "))), ("cut", F.substring(t, 1, 40)), ("doubled", F.replace(t, F.lit("."), F.lit("..")))]
     return S.variants(table(spark, d, "benchmark").select("item_id", "text"), "text", rules).drop("text")
 
 

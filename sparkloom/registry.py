@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _ORACLES: dict[str, str] = {}
-MODULES: tuple[str, ...] = tuple(f"sparkloom.plans.{m}" for m in ("retrieval", "analytics", "texts", "governance", "metrics", "matching", "judge"))
+MODULES: tuple[str, ...] = tuple(f"sparkloom.plans.{m}" for m in ("retrieval", "analytics", "texts", "governance", "metrics", "matching", "judge", "streams"))
 
 
 def query(sql: str | None = None, name: str | None = None) -> Callable[[Query], Query]:
