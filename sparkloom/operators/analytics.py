@@ -7,10 +7,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-KST = F.expr("INTERVAL 9 HOURS")
 UNITS = {"hour": "INTERVAL 1 HOUR", "day": "INTERVAL 1 DAY", "week": "INTERVAL 7 DAYS", "month": "INTERVAL 1 MONTH"}
 
 
+def kst() -> Column:
+    return F.expr("INTERVAL 9 HOURS")
+
+
 def share_by(df: DataFrame, key: str) -> DataFrame:
     """Count and percentage of each key; an empty total counts as 1."""
     counts = df.groupBy(key).agg(F.count("*").alias("n"))
@@ -22,7 +25,7 @@ def local_bucket(ts: Column, unit: str) -> Column:
     """Start of the unit in the fixed +9 hour zone. Weeks start on Monday."""
     if unit not in UNITS:
         raise ValueError(f"unknown unit {unit!r}")
-    return F.date_trunc(unit, ts + KST)
+    return F.date_trunc(unit, ts + kst())
 
 
 def axis(df: DataFrame, first: Column, last: Column, unit: str) -> DataFrame:

@@ -45,7 +45,7 @@ def kst_daily_counts(spark, d):
     SELECT strftime(a.bucket, '%Y-%m-%d %H') AS hour, coalesce(n, 0) AS n FROM a LEFT JOIN b USING (bucket)""")
 def zero_filled_series(spark, d):
     ev = table(spark, d, "events")
-    ax = A.axis(ev.agg((F.min("ts") + A.KST).alias("a"), (F.max("ts") + A.KST).alias("z")), F.col("a"), F.col("z"), "hour")
+    ax = A.axis(ev.agg((F.min("ts") + A.kst()).alias("a"), (F.max("ts") + A.kst()).alias("z")), F.col("a"), F.col("z"), "hour")
     counts = ev.where("event_type = 'error'").groupBy(A.local_bucket(F.col("ts"), "hour").alias("bucket")).agg(F.count("*").alias("n"))
     return A.zero_filled(ax, counts, "n").select(F.date_format("bucket", "yyyy-MM-dd HH").alias("hour"), "n")
 
@@ -63,7 +63,7 @@ def trailing7(spark, d):
     from pyspark.sql import Window
 
     ev = table(spark, d, "events")
-    ax = A.axis(ev.agg((F.max("ts") + A.KST).alias("z")), F.col("z") - F.expr("INTERVAL 6 DAYS"), F.col("z"), "day")
+    ax = A.axis(ev.agg((F.max("ts") + A.kst()).alias("z")), F.col("z") - F.expr("INTERVAL 6 DAYS"), F.col("z"), "day")
     counts = ev.groupBy(A.local_bucket(F.col("ts"), "day").alias("bucket")).agg(F.count("*").alias("n"))
     top = F.greatest(F.lit(1), F.max("n").over(Window.partitionBy()))
     return A.zero_filled(ax, counts, "n").select(F.date_format("bucket", "yyyy-MM-dd").alias("day"), "n", F.round(F.col("n") * 100 / top, 1).alias("pct_of_max"))

@@ -21,7 +21,10 @@ RANKS = f"""{LEX}, {VEC},
     l AS (SELECT doc_id, row_number() OVER (ORDER BY matched DESC, tf DESC, doc_id) AS rank_l FROM lex ORDER BY matched DESC, tf DESC, doc_id LIMIT 50),
     v AS (SELECT vec_id AS doc_id, row_number() OVER (ORDER BY distance, vec_id) AS rank_r FROM vec WHERE vec_id IN (SELECT doc_id FROM documents) ORDER BY distance, vec_id LIMIT 50),
     fused AS (SELECT coalesce(l.doc_id, v.doc_id) AS doc_id, rank_l, rank_r, round(coalesce(1 / (60 + rank_l), 0) + coalesce(1 / (60 + rank_r), 0), 9) AS rrf FROM l FULL OUTER JOIN v ON l.doc_id = v.doc_id)"""
-LEX_ORDER = (F.desc("matched"), F.desc("tf"), F.asc("doc_id"))
+
+
+def lex_order():
+    return (F.desc("matched"), F.desc("tf"), F.asc("doc_id"))
 
 
 def _lexical(spark: SparkSession, d: str) -> DataFrame:
@@ -36,7 +39,7 @@ def _vector(spark: SparkSession, d: str) -> DataFrame:
 def _fused(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("vec_id"))
     vec = R.ranked(_vector(spark, d).join(docs, "vec_id", "left_semi"), [F.asc("distance"), F.asc("vec_id")], "rank_r", R.POOL)
-    return R.fuse(R.ranked(_lexical(spark, d), LEX_ORDER, "rank_l", R.POOL).select("doc_id", "rank_l"), vec.select(F.col("vec_id").alias("doc_id"), "rank_r"), "doc_id")
+    return R.fuse(R.ranked(_lexical(spark, d), lex_order(), "rank_l", R.POOL).select("doc_id", "rank_l"), vec.select(F.col("vec_id").alias("doc_id"), "rank_r"), "doc_id")
 
 
 @query(f"""WITH {RANKS},
@@ -60,7 +63,7 @@ def vector_topk_per_label(spark, d):
 
 @query(f"WITH {LEX} SELECT doc_id, source, matched, tf, rn FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY matched DESC, tf DESC, doc_id) AS rn FROM lex) WHERE rn <= 3")
 def lexical_topk_per_source(spark, d):
-    return R.top_per(_lexical(spark, d), ["source"], LEX_ORDER, 3).select("doc_id", "source", "matched", "tf", "rn")
+    return R.top_per(_lexical(spark, d), ["source"], lex_order(), 3).select("doc_id", "source", "matched", "tf", "rn")
 
 
 @query(f"WITH {RANKS} SELECT doc_id, rank_l, rank_r, rrf FROM fused")
@@ -75,12 +78,12 @@ def rrf_fuse_full_outer(spark, d):
 def rrf_filter_then_fuse(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "source")
     vec = _vector(spark, d).select(F.col("vec_id").alias("doc_id"), "distance").join(docs, "doc_id")
-    return R.law_view(_lexical(spark, d), vec, "doc_id", F.col("source") == "src0", LEX_ORDER, [F.asc("distance"), F.asc("doc_id")]).select("doc_id", "rank_l", "rank_r", "rrf")
+    return R.law_view(_lexical(spark, d), vec, "doc_id", F.col("source") == "src0", lex_order(), [F.asc("distance"), F.asc("doc_id")]).select("doc_id", "rank_l", "rank_r", "rrf")
 
 
 @query(f"WITH {LEX} SELECT doc_id, source, row_number() OVER (ORDER BY n > 2, matched DESC, tf DESC, doc_id) AS place FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY matched DESC, tf DESC, doc_id) AS n FROM lex)")
 def diversify_cap(spark, d):
-    return R.diversify(_lexical(spark, d), "source", LEX_ORDER).select("doc_id", "source", "place")
+    return R.diversify(_lexical(spark, d), "source", lex_order()).select("doc_id", "source", "place")
 
 
 GOLD = f"""WITH {LEX}, gold AS (SELECT b.item_id, min(d.doc_id) AS doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text) GROUP BY b.item_id),
@@ -91,7 +94,7 @@ GOLD = f"""WITH {LEX}, gold AS (SELECT b.item_id, min(d.doc_id) AS doc_id FROM b
 def _gold(spark: SparkSession, d: str) -> DataFrame:
     bench, docs = table(spark, d, "benchmark"), table(spark, d, "documents")
     gold = docs.select("doc_id", F.col("text").alias("t")).join(F.broadcast(bench), F.col("t").contains(F.col("text"))).groupBy("item_id").agg(F.min("doc_id").alias("doc_id"))
-    pool = R.ranked(_lexical(spark, d), LEX_ORDER, "rank", 500).select("doc_id", "rank")
+    pool = R.ranked(_lexical(spark, d), lex_order(), "rank", 500).select("doc_id", "rank")
     return bench.select("item_id").join(gold, "item_id", "left").join(pool, "doc_id", "left")
 
 
@@ -138,7 +141,7 @@ def search_state_envelope(spark, d):
     g AS (SELECT *, min(r) OVER (PARTITION BY source, lang) AS f1, row_number() OVER (PARTITION BY source, lang ORDER BY (doc_id % 2 = 0) DESC, r) AS n FROM f)
     SELECT doc_id, source, lang, pick FROM (SELECT *, row_number() OVER (ORDER BY f1) AS pick FROM g WHERE n = 1) WHERE pick <= 5""")
 def pick_dedupe(spark, d):
-    return R.pick_distinct(_lexical(spark, d), ["source", "lang"], LEX_ORDER, (F.col("doc_id") % 2 == 0).cast("int"), 5).select("doc_id", "source", "lang", "pick")
+    return R.pick_distinct(_lexical(spark, d), ["source", "lang"], lex_order(), (F.col("doc_id") % 2 == 0).cast("int"), 5).select("doc_id", "source", "lang", "pick")
 
 
 @query(r"""WITH w AS (SELECT item_id, list_filter(list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda w: w <> ''), lambda w: w NOT IN ('the','and','of','to','in','is','a')) AS w FROM benchmark),

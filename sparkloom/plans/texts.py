@@ -10,7 +10,6 @@ from sparkloom.registry import query
 from sparkloom.session import table
 
 NAMES = ("Example", "Pharma", "Pharma Group", "The")
-T_ = F.col("text")
 
 
 def _docs(spark: SparkSession, d: str) -> DataFrame:
@@ -19,34 +18,34 @@ def _docs(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT doc_id, sha256(translate(text, '·•‧∙・|/;', '········')) AS norm_sha, length(text) - length(replace(translate(text, '·•‧∙・|/;', '········'), '·', '')) AS dots FROM documents")
 def sep_normalize(spark, d):
-    n = X.sep_norm(T_)
-    return _docs(spark, d).select("doc_id", X.sha(n).alias("norm_sha"), (F.length(T_) - F.length(F.replace(n, F.lit("·"), F.lit("")))).alias("dots"))
+    n = X.sep_norm(F.col("text"))
+    return _docs(spark, d).select("doc_id", X.sha(n).alias("norm_sha"), (F.length(F.col("text")) - F.length(F.replace(n, F.lit("·"), F.lit("")))).alias("dots"))
 
 
 @query(r"SELECT doc_id, sha256(lower(regexp_replace(text, '[ \t\r\n]+', '', 'g'))) AS norm_sha, length(regexp_replace(text, '[ \t\r\n]+', '', 'g')) AS n FROM documents")
 def matching_norm(spark, d):
-    return _docs(spark, d).select("doc_id", X.sha(X.match_norm(T_)).alias("norm_sha"), F.length(X.match_norm(T_)).alias("n"))
+    return _docs(spark, d).select("doc_id", X.sha(X.match_norm(F.col("text"))).alias("norm_sha"), F.length(X.match_norm(F.col("text"))).alias("n"))
 
 
 @query(r"""SELECT doc_id, concat_ws(',', CASE WHEN regexp_matches(text, '[\x{200b}\x{200c}\x{200d}\x{2060}\x{feff}\x{00ad}]') THEN 'invisible' END,
     CASE WHEN regexp_matches(lower(text), 'f[-.*_ ]r[-.*_ ]e[-.*_ ]e|p[-.*_ ]i[-.*_ ]l[-.*_ ]l[-.*_ ]s|w[-.*_ ]i[-.*_ ]n') THEN 'spaced_word' END,
     CASE WHEN regexp_matches(text, '[!?]{2,}') THEN 'marks' END, CASE WHEN regexp_matches(text, '[%&#$*]{3,}') THEN 'symbols' END) AS flags FROM documents""")
 def evasion_flags(spark, d):
-    return _docs(spark, d).select("doc_id", F.array_join(X.evasion_flags(T_), ",").alias("flags"))
+    return _docs(spark, d).select("doc_id", F.array_join(X.evasion_flags(F.col("text")), ",").alias("flags"))
 
 
 @query(r"""WITH a AS (SELECT doc_id, regexp_replace(text, '[A-Za-z0-9._+-]+@[A-Za-z0-9.-]+\.[a-z]{2,}', '[email]', 'g') AS t FROM documents),
     b AS (SELECT doc_id, regexp_replace(t, '\+?[0-9][0-9() .-]{7,}[0-9]', '[number]', 'g') AS t FROM a), c AS (SELECT doc_id, regexp_replace(t, '(sk|AKIA|ghp)[-_A-Za-z0-9]{12,}', '[key]', 'g') AS t FROM b)
     SELECT doc_id, sha256(t) AS redacted_sha, length(t) || ':' || sha256(t)[1:8] AS fingerprint FROM c""")
 def redact_text(spark, d):
-    r = X.redact(T_)
+    r = X.redact(F.col("text"))
     return _docs(spark, d).select("doc_id", X.sha(r).alias("redacted_sha"), X.fingerprint(r).alias("fingerprint"))
 
 
 @query("""WITH m AS (SELECT doc_id, replace(replace(replace(replace(text, 'Pharma Group', '[org]'), 'Example', '[org]'), 'Pharma', '[org]'), 'The', '[org]') AS t FROM documents)
     SELECT doc_id, (length(t) - length(replace(t, '[org]', ''))) // 5 AS masked, len(regexp_extract_all(t, '(Example|Pharma|Pharma Group|The)')) AS residue FROM m""")
 def mask_residue(spark, d):
-    m = X.mask_anchors(T_, NAMES)
+    m = X.mask_anchors(F.col("text"), NAMES)
     return _docs(spark, d).select("doc_id", ((F.length(m) - F.length(F.replace(m, F.lit("[org]"), F.lit("")))) / 5).cast("long").alias("masked"), X.residue(m, NAMES).alias("residue"))
 
 
@@ -55,24 +54,24 @@ SENT = r"list_filter(list_transform(string_split(regexp_replace({t}, '([.!?])[ ]
 
 @query(f"WITH s AS (SELECT conv_id, turn, {SENT.format(t='text')} AS s FROM conversations), f AS (SELECT s.conv_id, s.turn, CASE WHEN len(s) > 0 THEN s ELSE [c.text] END AS s FROM s JOIN conversations c USING (conv_id, turn)) SELECT conv_id, turn, generate_subscripts(s, 1) - 1 AS sent_no, unnest(s) AS sentence FROM f")
 def sentence_split(spark, d):
-    return table(spark, d, "conversations").select("conv_id", "turn", F.posexplode(X.sentences(T_)).alias("sent_no", "sentence"))
+    return table(spark, d, "conversations").select("conv_id", "turn", F.posexplode(X.sentences(F.col("text"))).alias("sent_no", "sentence"))
 
 
 @query(f"WITH s AS (SELECT doc_id, {SENT.format(t='text')} AS s FROM documents) SELECT doc_id, greatest(len(s), 1) AS sentences, coalesce(list_max(list_transform(s, lambda x: length(x))), 0) AS longest FROM s")
 def sentence_stats(spark, d):
-    s = X.sentences(T_)
+    s = X.sentences(F.col("text"))
     return _docs(spark, d).select("doc_id", F.size(s).alias("sentences"), F.array_max(F.transform(s, F.length)).alias("longest"))
 
 
 @query("SELECT doc_id, k AS part_no, n AS part_total, sha256(substr(text, k * 700 + 1, 700)) AS part_sha FROM (SELECT doc_id, text, greatest(1, CAST(ceil(length(text) / 700) AS INT)) AS n, unnest(generate_series(0, greatest(1, CAST(ceil(length(text) / 700) AS INT)) - 1)) AS k FROM documents)")
 def chunk_hard_cut(spark, d):
-    c = X.hard_cut(T_)
+    c = X.hard_cut(F.col("text"))
     return _docs(spark, d).select("doc_id", F.size(c).alias("part_total"), F.posexplode(c).alias("part_no", "p")).select("doc_id", "part_no", "part_total", X.sha(F.col("p")).alias("part_sha"))
 
 
 @query()
 def chunk_pack(spark, d):
-    return _docs(spark, d).select("doc_id", F.posexplode(X.pack_chunks(T_)).alias("part_no", "chunk"))
+    return _docs(spark, d).select("doc_id", F.posexplode(X.pack_chunks(F.col("text"))).alias("part_no", "chunk"))
 
 
 @query(r"""WITH s AS (SELECT doc_id, text, regexp_replace(text, '\s+', '', 'g') AS solid FROM documents UNION ALL SELECT conv_id * 1000 + turn, text, regexp_replace(text, '\s+', '', 'g') FROM conversations)
@@ -80,7 +79,7 @@ def chunk_pack(spark, d):
     WHEN length(regexp_replace(solid, '[^\p{L}]+', '', 'g')) / greatest(length(solid), 1) < 0.25 THEN 'few_letters' WHEN length(text) <= 40 AND NOT regexp_matches(text, '[.!?]') THEN 'title_only' END AS skip FROM s""")
 def low_info_filter(spark, d):
     c = table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), "text")
-    return _docs(spark, d).select("doc_id", "text").unionByName(c).select("doc_id", X.low_information(T_).alias("skip"))
+    return _docs(spark, d).select("doc_id", "text").unionByName(c).select("doc_id", X.low_information(F.col("text")).alias("skip"))
 
 
 STRIP = r"trim(regexp_replace(regexp_replace(regexp_replace(html, '<(script|style)[^>]*>[^<]*</', '</', 'g'), '<br[^>]*>|</(p|li|h1|div|article)>', chr(10), 'g'), '<[^>]*>', '', 'g'))"
@@ -112,7 +111,7 @@ def cell_extract(spark, d):
     c AS (SELECT *, CASE WHEN pos > 0 THEN string_split(regexp_replace(substr(text, 1, pos - 1), '[,;.!?\n]', chr(10), 'g'), chr(10))[-1] || string_split(regexp_replace(substr(text, pos), '[,;.!?\n]', chr(10), 'g'), chr(10))[1] END AS clause FROM p)
     SELECT conv_id, turn, regexp_matches(text, '[!?]') AS asks, NOT regexp_matches(text, '[0-9]') AND contains(text, 'and') AS claims, regexp_matches(lower(text), 'not|never|without') AS negated, clause FROM c""")
 def guard_flags(spark, d):
-    t, at = T_, F.instr("text", "the")
+    t, at = F.col("text"), F.instr("text", "the")
     return table(spark, d, "conversations").select(
         "conv_id", "turn", t.rlike("[!?]").alias("asks"), (~t.rlike("[0-9]") & t.contains("and")).alias("claims"),
         F.lower(t).rlike("not|never|without").alias("negated"), F.when(at > 0, X.clause_around(t, at)).alias("clause"),
@@ -122,13 +121,13 @@ def guard_flags(spark, d):
 @query(r"""WITH w AS (SELECT conv_id, turn, lower(regexp_extract(text, '(\p{L}+)[^\p{L}]*$', 1)) AS w FROM conversations)
     SELECT conv_id, turn, CASE WHEN length(w) >= 4 AND right(w, 4) IN ('tion') THEN right(w, 4) WHEN length(w) >= 3 AND right(w, 3) IN ('ing', 'hat') THEN right(w, 3) WHEN length(w) >= 2 AND right(w, 2) IN ('ly', 'er', 'ed') THEN right(w, 2) END AS ending FROM w""")
 def last_word_suffix(spark, d):
-    return table(spark, d, "conversations").select("conv_id", "turn", X.last_word_suffix(T_, ["tion", "ing", "hat", "ly", "er", "ed"]).alias("ending"))
+    return table(spark, d, "conversations").select("conv_id", "turn", X.last_word_suffix(F.col("text"), ["tion", "ing", "hat", "ly", "er", "ed"]).alias("ending"))
 
 
 @query("SELECT doc_id, sha256(CASE WHEN lang = 'en' THEN text ELSE source || chr(10) || text END) AS fingerprint FROM documents")
 def input_fingerprint(spark, d):
     context = F.when(F.col("lang") == "en", "").otherwise(F.col("source"))
-    return _docs(spark, d).select("doc_id", X.sha(X.embed_input(context, T_)).alias("fingerprint"))
+    return _docs(spark, d).select("doc_id", X.sha(X.embed_input(context, F.col("text"))).alias("fingerprint"))
 
 
 @query("SELECT DISTINCT source, lang, text[1:12] AS head FROM documents")
@@ -148,25 +147,25 @@ def header_scope(spark, d):
 
 @query()
 def normalize_offsets(spark, d):
-    return _docs(spark, d).withColumn("n", X.normalise_udf(T_)).select("doc_id", "n.norm", "n.offset_map", "n.rules")
+    return _docs(spark, d).withColumn("n", X.normalise_udf(F.col("text"))).select("doc_id", "n.norm", "n.offset_map", "n.rules")
 
 
 @query()
 def offset_roundtrip(spark, d):
     """Whether the map has a raw offset for each character and never runs backwards."""
-    n = _docs(spark, d).withColumn("n", X.normalise_udf(T_))
+    n = _docs(spark, d).withColumn("n", X.normalise_udf(F.col("text")))
     up = F.forall(F.sequence(F.lit(2), F.greatest(F.size("n.offset_map"), F.lit(2))), lambda k: F.coalesce(F.try_element_at("n.offset_map", k) >= F.try_element_at("n.offset_map", k - 1), F.lit(True)))
     return n.select("doc_id", (F.length("n.norm") == F.size("n.offset_map")).alias("complete"), up.alias("ascending"))
 
 
 @query()
 def quoted_spans(spark, d):
-    return _docs(spark, d).select("doc_id", F.posexplode(X.quoted_udf(T_)).alias("k", "quote"))
+    return _docs(spark, d).select("doc_id", F.posexplode(X.quoted_udf(F.col("text"))).alias("k", "quote"))
 
 
 @query()
 def sentence_offsets(spark, d):
-    return table(spark, d, "conversations").withColumn("s", X.sentences(T_)).select("conv_id", "turn", X.offsets_udf(T_, F.col("s")).alias("offsets"))
+    return table(spark, d, "conversations").withColumn("s", X.sentences(F.col("text"))).select("conv_id", "turn", X.offsets_udf(F.col("text"), F.col("s")).alias("offsets"))
 
 
 @query()
