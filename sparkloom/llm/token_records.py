@@ -17,6 +17,7 @@ all written, in order of text. Rows whose doc_id is null come first, with doc_id
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 import zlib
@@ -153,18 +154,26 @@ _ODD[[0x0B, 0x0C, 0x1C, 0x1D, 0x1E, 0x1F, 0xC2, 0xE1, 0xE2, 0xE3]] = True
 _ODD_STARTS = tuple(c.encode() for c in "\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000")
 
 
+_LEADS = [bytes([i]) for i in np.flatnonzero(_ODD).tolist()]
+_BESIDE = [b"  ", *(x for c in b"\t\n\x0b\x0c\r" for x in (bytes([0x20, c]), bytes([c, 0x20])))]
+
+
 def uncut(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Whether a row must be encoded whole: white space beside a space, at its edge, or beyond the plain kind."""
     n = len(offsets) - 1
     out = np.zeros(n, bool)
     if len(data):
-        blank, gap = data == 0x20, IS_GAP[data]
-        beside = np.flatnonzero(blank[:-1] & gap[1:] | gap[:-1] & blank[1:])
-        odd = np.flatnonzero(_ODD[data])
-        odd = np.array([i for i in odd.tolist() if data[i : i + 3].tobytes().startswith(_ODD_STARTS)], np.int64)
+        raw = data.tobytes()
+        beside = odd = np.zeros(0, np.int64)
+        if any(x in raw for x in _BESIDE):
+            blank, gap = data == 0x20, IS_GAP[data]
+            beside = np.flatnonzero(blank[:-1] & gap[1:] | gap[:-1] & blank[1:])
+        if any(x in raw for x in _LEADS):
+            odd = np.flatnonzero(_ODD[data])
+            odd = np.array([i for i in odd.tolist() if raw.startswith(_ODD_STARTS, i)], np.int64)
         out[np.searchsorted(offsets, np.r_[beside, odd], "right") - 1] = True
         full = np.flatnonzero(np.diff(offsets))
-        out[full] |= blank[offsets[full]] | blank[offsets[full + 1] - 1]
+        out[full] |= (data[offsets[full]] == 0x20) | (data[offsets[full + 1] - 1] == 0x20)
     return out
 
 
@@ -289,7 +298,11 @@ def _write_shards(path: str, tokenizer: str, end_id: int):
                         state["ids"].append(d), state["offs"].append(state["at"]), state["n"].append(len(x) // enc.width + 1)
                         state["at"] += len(record)
 
-        put_file(f"{path}/part-{shard:05d}.tfr", write)
+        gc.disable()  # millions of short-lived lists and no cycles
+        try:
+            put_file(f"{path}/part-{shard:05d}.tfr", write)
+        finally:
+            gc.enable()
         index = np.r_[len(state["ids"]), state["ids"], state["offs"], state["n"]].astype("<i8")
         put_file(f"{path}/part-{shard:05d}.idx", lambda out: out.write(index.tobytes()))
         yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([len(state["ids"])], pa.int64()), pa.array([int(index[1 + 2 * len(state["ids"]) :].sum())], pa.int64())], names=["shard", "records", "ids"])
