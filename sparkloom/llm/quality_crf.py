@@ -39,7 +39,7 @@ def line_table(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     breaks = np.flatnonzero(data == 10)
     starts = np.unique(np.r_[offsets[:-1], breaks + 1])
     starts = starts[starts < n]
-    ends = np.r_[starts[1:], n]
+    ends = np.r_[starts[1:], n][: len(starts)]
     ends = ends - (data[ends - 1] == 10) if len(ends) else ends
     full = ends > starts
     starts, ends = starts[full], ends[full]
@@ -57,9 +57,6 @@ def line_table(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     acc = np.r_[0, np.cumsum(lead)]
     chars = np.maximum(1, acc[ends] - acc[starts])
     # words of each line
-    bounds = np.zeros(n + 1, np.int64)
-    bounds[starts] = 1
-    line_of = np.cumsum(bounds[:n]) - 1
     h, wrow = word_hashes(data, np.r_[starts, n] if starts[0] == 0 else np.r_[0, starts, n])
     wline = wrow if starts[0] == 0 else wrow - 1
     ok = wline >= 0
@@ -87,7 +84,6 @@ def line_table(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
         np.log1p(size), *(counts[:, k] / size for k in range(KINDS)), np.log1p(words), chars / w1 / 10, distinct / w1, again.astype(float),
         double / w1, *((s[ends] - s[starts]) / w1 for s in symbols), last == 4, first == 0, counts[:, 0] / np.maximum(1, counts[:, 0] + counts[:, 1]),
     ], axis=1)
-    del line_of
     return x.astype(np.float32), row, size.astype(np.int64)
 
 
