@@ -317,7 +317,7 @@ def admitted(pairs: DataFrame, entities: DataFrame, limit: Threshold) -> DataFra
 def _across(limit: Threshold, closest: bool):
     """Pairs across components of a group whose sizes and sketches admit a link: the closest of each component, or all.
 
-    Rows come sorted by gid.
+    Rows come sorted by gid. A row (gid, null) names a group that has such a pair; components only grow, so the other groups are done.
     """
 
     def admit(ents, comps, sizes, words):
@@ -353,21 +353,25 @@ def _across(limit: Threshold, closest: bool):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         out: list[np.ndarray] = []
+        live: list[int] = []
         size = 0
 
         def flush(parts):
             nonlocal size
-            t = pa.Table.from_batches(parts)
+            t, before = pa.Table.from_batches(parts), size
             for x, y in found(t.column("ent").to_numpy(), t.column("comp").to_numpy(), t.column("n").to_numpy(), fold(t.column("bits").to_pylist())):
                 out.append(np.stack([np.minimum(x, y), np.maximum(x, y)]))
                 size += len(x)
+            if size > before:
+                live.append(t.column("gid")[0].as_py())
 
         def emit():
             nonlocal size
             m = np.unique(np.concatenate([np.zeros((2, 0), np.int64), *out], axis=1), axis=1)
-            out.clear()
+            gids = pa.array(live, pa.int64())
+            out.clear(), live.clear()
             size = 0
-            return pa.RecordBatch.from_arrays([pa.array(m[0]), pa.array(m[1])], names=["a", "b"])
+            return pa.RecordBatch.from_arrays([pa.chunked_array([pa.array(m[0]), gids]).combine_chunks(), pa.chunked_array([pa.array(m[1]), pa.nulls(len(gids), pa.int64())]).combine_chunks()], names=["a", "b"])
 
         for b in batches:
             g = b.column("gid").to_numpy()
@@ -408,7 +412,9 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, num: int = 75, den:
         labelled = ws.write(groups.join(labels.withColumnRenamed("node", "ent"), "ent", "left").select("gid", "ent", F.coalesce("comp", "ent").alias("comp")), f"open-{k}")
         spans = labelled.groupBy("gid").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("gid")
         members = labelled.join(spans, "gid").join(entities.select("ent", "n", "bits"), "ent").repartition(parts, "gid").sortWithinPartitions("gid").select("gid", "ent", "comp", "n", "bits")
-        across = ws.write(members.mapInArrow(_across(limit, k < CLOSEST_ROUNDS), "a long, b long").distinct().join(tried, ["a", "b"], "left_anti"), f"across-{k}")
+        said = ws.write(members.mapInArrow(_across(limit, k < CLOSEST_ROUNDS), "a long, b long"), f"said-{k}")
+        groups = groups.join(said.where("b IS NULL").select(F.col("a").alias("gid")), "gid", "left_semi")
+        across = ws.write(said.where("b IS NOT NULL").distinct().join(tried, ["a", "b"], "left_anti"), f"across-{k}")
         if across.isEmpty():
             continue  # nothing new is close; the last round still searches in full
         tried = tried.unionByName(across)
