@@ -191,7 +191,7 @@ def outline_tree(spark, d):
 
 @query()
 def path_repair(spark, d):
-    rows = table(spark, d, "lineitem").where("l_orderkey < 2000").select(F.col("l_orderkey").alias("doc"), F.col("l_linenumber").alias("seq"), F.concat(F.lit("1."), (F.col("l_linenumber") % 3).cast("string")).alias("path"))
+    rows = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("doc"), F.col("l_linenumber").alias("seq"), F.concat(F.lit("1."), (F.col("l_linenumber") % 3).cast("string")).alias("path"))
     return O.unique_paths(rows, "doc", "seq", "path")
 
 

@@ -39,3 +39,19 @@ def test_neighbours_equal_the_sql_where_it_looks(spark, sf):
     df = QUERIES["nullsafe_same_place"](spark, sf)
     users = spark.read.parquet(f"{sf}/events.parquet").where("user_id <= 20 AND event_id % 50 = 0").select("event_id")
     assert rows_of(df.columns, map(tuple, df.join(users, "event_id").select(df.columns).collect())) == rows_of([c[0] for c in cur.description], cur.fetchall())
+
+
+def test_paths_of_late_orders_are_repaired(spark, made):
+    d = made("lineitem", [(k, n) for k in (1, 1999, 2000, 10**9) for n in range(1, 5)], "l_orderkey long, l_linenumber int")
+    got = {(r["doc"], r["seq"]): r["unique_path"] for r in QUERIES["path_repair"](spark, d).collect()}
+    assert got == {(k, n): ("1.1~1", "1.2", "1.0", "1.1~2")[n - 1] for k in (1, 1999, 2000, 10**9) for n in range(1, 5)}
+
+
+def test_late_orders_have_an_effective_date(spark, made):
+    day = lambda y: datetime.datetime(y, 6, 1)
+    rows = [(k, day(y)) for k in (12, 5000, 5001, 10**9) for y in (1995, 1996)]
+    d = made("orders", rows, "o_orderkey long, o_orderdate timestamp_ntz")
+    got = sorted(map(tuple, QUERIES["effective_date_split"](spark, d).collect()))
+    assert got == sorted((k, t > day(1995)) for k, t in rows)
+
+
