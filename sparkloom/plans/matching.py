@@ -197,7 +197,7 @@ def path_repair(spark, d):
 
 @query()
 def table_parse(spark, d):
-    drawn = F.concat(F.lit("+---+---+\n| kind | n |\n+---+---+\n| "), F.replace(F.substring("url", 1, 20), F.lit("/"), F.lit(" | ")), F.lit(" |\n+---+---+"))
+    drawn = F.concat(F.lit("+---+---+\n| kind | n |\n+---+---+\n| "), F.replace("url", F.lit("/"), F.lit(" | ")), F.lit(" |\n+---+---+"))
     from sparkloom.sources.files import BoxTable
 
     return table(spark, d, "pages").select("page_id", drawn.alias("t")).lateralJoin(BoxTable(F.col("t").outer())).select("page_id", "row_no", "cells", "irregular")

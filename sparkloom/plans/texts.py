@@ -170,7 +170,7 @@ def sentence_offsets(spark, d):
 
 @query()
 def claim_split(spark, d):
-    t = F.replace(F.substring("text", 1, 200), F.lit(","), F.lit("·"))
+    t = F.replace("text", F.lit(","), F.lit("·"))
     return table(spark, d, "benchmark").select("item_id", F.posexplode(X.split_claims_udf(t)).alias("k", "claim"))
 
 

@@ -55,3 +55,17 @@ def test_late_orders_have_an_effective_date(spark, made):
     assert got == sorted((k, t > day(1995)) for k, t in rows)
 
 
+def test_claims_behind_a_long_beginning_are_split(spark, made):
+    from sparkloom.functions.text import split_claims
+
+    text = ", ".join(f"claim number {k} holds" for k in range(40))
+    d = made("benchmark", [(1, text)], "item_id long, text string")
+    got = [r["claim"] for r in QUERIES["claim_split"](spark, d).orderBy("k").collect()]
+    assert got == split_claims(text.replace(",", "·")) and got[-1].endswith("claim number 39 holds")
+
+
+def test_all_cells_of_a_url_are_parsed(spark, made):
+    url = "https://example.org/" + "/".join(f"part{k}" for k in range(30))
+    d = made("pages", [(1, url)], "page_id long, url string")
+    got = QUERIES["table_parse"](spark, d).orderBy("row_no").collect()
+    assert [r["cells"] for r in got] == [["kind", "n"], url.split("/")]
