@@ -1,9 +1,11 @@
 """HTML extraction by layout-aware rendering.
 
 A scanner gives tags and text; the tree builder adds what HTML lets authors omit (a block closes an open paragraph, an item
-the one before it, a cell its neighbour, an end tag all it encloses; void elements have no content). Visibility: no
-element of the head, no scripts, styles, templates or form controls' hidden values, nothing under ``hidden``, ``aria-hidden=true``,
-inline ``display:none`` or ``visibility:hidden``, nor under a class, id or tag that a style sheet of the page hides.
+the one before it, a cell its neighbour, an end tag all it encloses; the first content ends the head; void elements have no content).
+Visibility: no element of the head, no scripts, styles, templates or form controls' hidden values, no content that stands in for an
+object, frame, canvas, sound or film, no definitions and descriptions of drawings and formulas, nothing under ``hidden``,
+``aria-hidden=true``, inline ``display:none`` or ``visibility:hidden``, nor under a class, id or tag that a style sheet of the page
+hides on every screen (rules for other media, or for some screens only, hide nothing).
 All other text is emitted: blocks on lines of their own, paragraphs and headings set off by an empty line, list items with
 marks and indents, preformatted text as it stands, table cells padded to columns.
 
@@ -27,16 +29,21 @@ from sparkloom.llm.common import plain
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(?:!|\?)[^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _BLANKS = re.compile(r"[ \t\n\r\f]+")
-_RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
+_CSS_SKIP = re.compile(r"/\*.*?(?:\*/|\Z)|<!--|-->", re.S)
+_CSS_STRING = re.compile(r"\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'", re.S)
 _GONE = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))\b", re.I)
 
 # Element groups of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-UNSEEN = frozenset("head script style template noscript title iframe noembed noframes object audio video canvas svg math datalist meta link base".split())
-BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table caption tbody td tfoot th thead tr ul".split())
-SPACED = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre ul ol dl table figure hr".split())
-CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section table ul".split())
+UNSEEN = frozenset("head script style template noscript title iframe noembed noframes object audio video canvas datalist meta link base".split())
+BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table caption tbody td tfoot th thead tr ul xmp".split())
+SPACED = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre xmp ul ol dl table figure hr".split())
+CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section table ul xmp".split())
+#: What may stand in the head; anything else ends it.
+IN_HEAD = frozenset("head base basefont bgsound link meta title style script noscript noframes template".split())
+#: Parts of drawings (svg) and formulas (math) that are not drawn.
+UNDRAWN = frozenset("desc defs metadata symbol clippath mask marker pattern annotation annotation-xml".split())
 #: An opening tag closes these open elements, looked for up to the scope's elements.
 IMPLIED = {
     "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "option": ({"option"}, {"select", "datalist"}), "optgroup": ({"option", "optgroup"}, {"select"}),
@@ -69,8 +76,14 @@ def build(html: str) -> tuple[Node, list[str]]:
 
     def text(s: str) -> None:
         if s:
+            if stack[-1].tag == "head" and s.strip(" \t\n\r\f"):
+                end_head()
             stack[-1].kids.append(unescape(s) if "&" in s else s)
 
+    def end_head() -> None:
+        if stack[-1].tag == "head":
+            count[stack.pop().tag] -= 1
+
     def close(tags, scope) -> bool:
         if any(count[t] for t in tags):
             for i in range(len(stack) - 1, 0, -1):
@@ -101,9 +114,13 @@ def build(html: str) -> tuple[Node, list[str]]:
                 close({tag}, PARTS.get(tag, SCOPE) - {tag})
             continue
         if tag in ("html", "body"):
+            if tag == "body":
+                end_head()
             if m[3].strip():
                 root.attrs += " " + m[3]
             continue
+        if tag not in IN_HEAD:
+            end_head()
         if tag in CLOSES_P:
             close({"p"}, SCOPE)
         if tag in IMPLIED:
@@ -114,27 +131,67 @@ def build(html: str) -> tuple[Node, list[str]]:
             count[stack.pop().tag] -= 1
         node = Node(tag, m[3])
         stack[-1].kids.append(node)
+        foreign = count["svg"] > 0 or count["math"] > 0
+        if foreign and tag in UNDRAWN:
+            node.attrs += " hidden"
+        if m[3].endswith("/") and (foreign or tag in ("svg", "math", "path", "g", "use")):
+            continue
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}[\s/>]", re.I).search(html, at)
             body = html[at : end.start() if end else n]
-            if tag == "style":
+            if tag == "style" and for_screen(node.get().get("media", "")):
                 sheets.append(body)
+            elif tag == "xmp":
+                node.kids.append(body)
             elif tag == "textarea":
                 node.kids.append(unescape(body))
             at = html.find(">", end.start()) + 1 or n if end else n
-        elif tag not in VOID and not (m[3].endswith("/") and tag in ("svg", "path", "g", "use")):
+        elif tag not in VOID:
             stack.append(node)
             count[tag] += 1
     return root, sheets
 
 
+def for_screen(media: str) -> bool:
+    """Whether a list of media queries holds on every screen; features (widths, colours) hold on some screens only."""
+    for q in media.lower().split(","):
+        w = q.split()
+        if not w and not media.strip() or w in (["all"], ["screen"], ["only", "screen"], ["only", "all"]):
+            return True
+        if len(w) > 1 and w[0] == "not" and w[1] not in ("all", "screen") and re.fullmatch(r"[\w-]+", w[1]):
+            return True
+    return False
+
+
+def applies(rule: str) -> bool:
+    """Whether the rules in the block of an at-rule count for every screen."""
+    name = re.match(r"@[\w-]*", rule)[0]
+    rest = rule[len(name) :]
+    return name == "@layer" or name == "@media" and for_screen(rest) or name == "@supports" and not rest.lstrip().startswith("not")
+
+
 def hidden_by(sheets: list[str]) -> frozenset[str]:
     """Simple selectors (tag, .class, #id) that the sheets hide."""
     out = set()
     for s in sheets:
-        for names, body in _RULE.findall(re.sub(r"/\*.*?\*/", "", s, flags=re.S)):
-            if _GONE.search(body):
-                out.update(x for x in (y.strip() for y in names.split(",")) if re.fullmatch(r"[.#]?[\w-]+", x))
+        s = _BLANKS.sub(" ", _CSS_STRING.sub('""', _CSS_SKIP.sub(" ", s)))
+        # open blocks: (selectors, declarations) of a rule, True of an at-rule that counts, False of all others
+        stack: list = []
+        at = 0
+        for m in re.finditer(r"[{};]", s + "}" * s.count("{")):
+            before, at = s[at : m.start()].strip(), m.end()
+            if m[0] == "{":
+                if all(x is True for x in stack):
+                    stack.append(applies(before.lower()) if before[:1] == "@" else (before, []))
+                else:
+                    stack.append(False)
+                continue
+            if stack and isinstance(stack[-1], tuple):
+                stack[-1][1].append(before)
+            if m[0] == "}" and stack:
+                top = stack.pop()
+                if isinstance(top, tuple) and _GONE.search(";".join(top[1])):
+                    out.update(x for x in (y.strip() for y in top[0].split(",")) if re.fullmatch(r"[.#]?[\w-]+", x))
     return frozenset(out)
 
 
@@ -265,7 +322,7 @@ def render(root: Node, gone: frozenset[str], depth: int = 0) -> str:
             page.space()
             continue
         if tag not in BLOCK:
-            todo += reversed(x.kids)
+            todo += [" ", *reversed(x.kids), " "] if tag == "text" else reversed(x.kids)  # labels of a drawing stand apart
             continue
         page.space() if tag in SPACED and not (tag in ("ul", "ol") and lists) else page.end()
         before = page.indent
