@@ -12,14 +12,31 @@ from pyspark.sql import types as T
 
 from sparkloom.functions.text import match_norm
 
-#: Terms are sent to every task; above this many a dictionary is joined through its words instead.
+#: Terms are sent to every task; above this many a dictionary is joined through its first characters instead.
 BROADCAST_TERMS = 10_000
+#: How many first characters of a term are looked up, and in how many places of a text at a time.
+GRAM, PLACES = 6, 256
+
+
+def containing(texts: DataFrame, terms: DataFrame) -> DataFrame:
+    """Distinct pairs (text_norm, term_norm) where the one contains the other, by an equi-join on the first characters of the term.
+
+    A term of fewer than ``GRAM`` characters is looked up as a whole. The lookup moves digests of texts, not the texts.
+    """
+    n = terms.select("term_norm").distinct().withColumn("_g", F.substring("term_norm", 1, GRAM))
+    t = texts.select("text_norm").distinct().withColumn("_h", F.sha2("text_norm", 256))
+    parts = F.transform(F.sequence(F.lit(1), F.greatest(F.length("text_norm"), F.lit(1)), F.lit(PLACES)), lambda k: F.col("text_norm").substr(k, F.lit(PLACES + GRAM - 1)))
+    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.length("_p"), F.lit(1))), lambda k: F.col("_p").substr(k, F.col("_w")))
+    widths = F.broadcast(n.select(F.length("_g").alias("_w")).distinct())
+    places = t.select("_h", F.explode(parts).alias("_p")).crossJoin(widths).select("_h", F.explode(F.array_distinct(grams)).alias("_g"))
+    found = places.join(n, "_g").select("_h", "term_norm").distinct()
+    return t.join(found, "_h").where("instr(text_norm, term_norm) > 0").select("text_norm", "term_norm")
 
 
 def dictionary_hits(docs: DataFrame, terms: DataFrame, text: str = "text") -> DataFrame:
     """Theta join: (row, term) where the matching form of the term lies in that of the text, with its first 1-based position there.
 
-    A dictionary of a checked size is broadcast; a larger one meets the text on each term's first word.
+    A dictionary of a checked size is broadcast; a larger one meets the text on each term's first characters, with the same rows.
     """
     t = terms.withColumn("term_norm", match_norm(F.col("term")))
     d = docs.withColumn("text_norm", match_norm(F.col(text)))
@@ -27,9 +44,7 @@ def dictionary_hits(docs: DataFrame, terms: DataFrame, text: str = "text") -> Da
     if t.count() <= BROADCAST_TERMS:
         joined = d.join(F.broadcast(t), holds)
     else:
-        first = F.regexp_extract(F.lower(F.trim("term")), r"^(\S+)", 1)
-        words = d.withColumn("_w", F.explode(F.array_distinct(F.split(F.lower(F.col(text)), r"\s+"))))
-        joined = words.join(t.withColumn("_w", first), "_w").where(holds).drop("_w")
+        joined = d.join(containing(d, t), "text_norm").join(t, "term_norm").select(*d.columns, *t.columns)
     return joined.withColumn("at", F.expr("instr(text_norm, term_norm)")).drop("text_norm", "term_norm")
 
 

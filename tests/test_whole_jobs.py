@@ -69,3 +69,15 @@ def test_all_cells_of_a_url_are_parsed(spark, made):
     d = made("pages", [(1, url)], "page_id long, url string")
     got = QUERIES["table_parse"](spark, d).orderBy("row_no").collect()
     assert [r["cells"] for r in got] == [["kind", "n"], url.split("/")]
+
+
+def test_large_dictionaries_find_what_small_ones_do(spark, monkeypatch):
+    from sparkloom.operators import matching as D
+
+    docs = spark.createDataFrame([(1, "Something, else."), (2, "ABCD thing."), (3, None), (4, ""), (5, "ab cd ab cd"), (5, "ab cd ab cd"), (6, "x"), (7, "é" * 254 + "a b c d" + "é" * 600 + "x")], "i int, text string")
+    terms = spark.createDataFrame([("thing", 1), ("ab cd", 2), ("abcd", 3), ("x", 4), ("Some thing, else", 5), ("thinner", 6), ("g", 7), (None, 8), ("", 9), ("x", 10)], "term string, k int")
+    small = sorted(map(tuple, D.dictionary_hits(docs, terms).collect()), key=repr)
+    monkeypatch.setattr(D, "BROADCAST_TERMS", 3)
+    large = D.dictionary_hits(docs, terms)
+    assert sorted(map(tuple, large.collect()), key=repr) == small and large.columns == D.dictionary_hits(docs, terms.limit(1)).columns
+    assert {(2, "thing", 1, 5), (1, "thing", 1, 5), (2, "ab cd", 2, 1)} <= {(r[0], r[2], r[3], r[4]) for r in small}
