@@ -192,13 +192,46 @@ def build_dictionary(entries: DataFrame, approved: DataFrame, claims_not: DataFr
     return j.select("norm", "types", "sources", "raws", confidence.alias("confidence"), (confidence == "single").alias("decides"))
 
 
+def nearly_equal(a: DataFrame, b: DataFrame, least: float) -> DataFrame:
+    """Pairs (_c, _o) that hold all with an edit ratio of at least ``least`` (above 0), and others.
+
+    Of a _o cut into one piece more than the edits that any such partner may need, one piece stands unchanged in the partner, moved by
+    no more than the edits on its left or on its right allow; rows meet on length, number and text of a piece.
+    """
+    low, high = lambda n: F.ceil(n * least - 1e-9).cast("int"), lambda n: F.floor(n / least + 1e-9).cast("int")
+    piece = lambda df: df.withColumn("_k", F.floor(F.col("_n") * ((1 - least) / least) + 1e-9).cast("int")).withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_k")))).withColumns(
+        {"_from": F.floor(F.col("_i") * F.col("_n") / (F.col("_k") + 1)).cast("int"), "_to": F.floor((F.col("_i") + 1) * F.col("_n") / (F.col("_k") + 1)).cast("int")}
+    )
+    o = piece(b.select("_o", F.length("_o").alias("_n")).distinct().where("_n > 0"))
+    o = o.select("_o", "_n", "_i", F.col("_o").substr(F.col("_from") + 1, F.col("_to") - F.col("_from")).alias("_p"))
+    size = F.length("_c")
+    c = a.select("_c").distinct().where(size > 0).withColumn("_n", F.explode(F.sequence(low(size), high(size))))
+    c = piece(c.join(F.broadcast(o.select("_n").distinct()), "_n"))
+    more = size - F.col("_n")
+    first = F.greatest(-F.col("_i"), more - (F.col("_k") - F.col("_i")), -F.col("_from"))
+    last = F.least(F.col("_i"), more + (F.col("_k") - F.col("_i")), size - F.col("_to"))
+    c = c.withColumns({"_first": first, "_last": last}).where("_first <= _last").withColumn("_move", F.explode(F.sequence("_first", "_last")))
+    c = c.select("_c", "_n", "_i", F.col("_c").substr(F.col("_from") + F.col("_move") + 1, F.col("_to") - F.col("_from")).alias("_p"))
+    return c.join(o, ["_n", "_i", "_p"]).select("_c", "_o").distinct()
+
+
 def best_claim(claims: DataFrame, official: DataFrame, least: float = 0.8) -> DataFrame:
-    """exact > core equal > contains > contained > nearest by edit distance at least ``least``, else none. official is small and checked."""
+    """exact > core equal > contains > contained > nearest by edit distance at least ``least`` (above 0), else none.
+
+    Distinct matching forms meet by equi-joins only; the best of the pairs found is the best of all pairs.
+    """
     o = official.select(F.col("name"), match_norm(F.col("name")).alias("_o"))
     c = claims.withColumn("_c", match_norm(F.col("claim")))
+    forms, names = c.select("_c").where("_c IS NOT NULL").distinct(), o.select("_o").where("_o IS NOT NULL").distinct()
+    equal = forms.join(names, F.col("_c") == F.col("_o"))
+    rest = forms.join(names, F.col("_c") == F.col("_o"), "left_anti")
+    as_text, as_term = lambda df, x: df.select(F.col(x).alias("text_norm")), lambda df, x: df.select(F.col(x).alias("term_norm"))
+    contains = containing(as_text(rest, "_c"), as_term(names, "_o")).select(F.col("text_norm").alias("_c"), F.col("term_norm").alias("_o"))
+    contained = containing(as_text(names, "_o"), as_term(rest, "_c")).select(F.col("term_norm").alias("_c"), F.col("text_norm").alias("_o"))
+    pairs = equal.unionByName(contains).unionByName(contained).unionByName(nearly_equal(rest, names, least)).distinct()
     ratio = 1 - F.levenshtein("_c", "_o") / F.greatest(F.length("_c"), F.length("_o"), F.lit(1))
     rank = F.when(F.col("claim") == F.col("name"), 5).when(F.col("_c") == F.col("_o"), 4).when(F.expr("instr(_c, _o) > 0"), 3).when(F.expr("instr(_o, _c) > 0"), 2).when(ratio >= least, 1)
-    hits = c.join(F.broadcast(o), rank.isNotNull())
+    hits = c.join(pairs, "_c").join(o, "_o").where(rank.isNotNull())
     best = hits.groupBy("claim_id").agg(F.max(F.struct(rank.alias("rank"), F.round(ratio, 6).alias("ratio"), "name")).alias("b"))
-    names = F.when(F.col("b.rank") == 5, "exact").when(F.col("b.rank") == 4, "core").when(F.col("b.rank") == 3, "contains").when(F.col("b.rank") == 2, "contained").when(F.col("b.rank") == 1, "near").otherwise("none")
-    return claims.select("claim_id").join(best, "claim_id", "left").select("claim_id", names.alias("kind"), "b.name", "b.ratio")
+    kind = F.when(F.col("b.rank") == 5, "exact").when(F.col("b.rank") == 4, "core").when(F.col("b.rank") == 3, "contains").when(F.col("b.rank") == 2, "contained").when(F.col("b.rank") == 1, "near").otherwise("none")
+    return claims.select("claim_id").join(best, "claim_id", "left").select("claim_id", kind.alias("kind"), "b.name", "b.ratio")

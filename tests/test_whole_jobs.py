@@ -81,3 +81,49 @@ def test_large_dictionaries_find_what_small_ones_do(spark, monkeypatch):
     large = D.dictionary_hits(docs, terms)
     assert sorted(map(tuple, large.collect()), key=repr) == small and large.columns == D.dictionary_hits(docs, terms.limit(1)).columns
     assert {(2, "thing", 1, 5), (1, "thing", 1, 5), (2, "ab cd", 2, 1)} <= {(r[0], r[2], r[3], r[4]) for r in small}
+
+
+def test_claims_meet_every_official_name(spark, made):
+    long = "y" * 45
+    rows = [(k, f"name {k:04d}") for k in range(600)] + [(600, f"{long} one"), (601, f"{long} two")]
+    d = made("part", rows, "p_partkey long, p_name string")
+    got = {r["claim_id"]: (r["kind"], r["name"]) for r in QUERIES["claim_nearest"](spark, d).collect()}
+    assert got == {k: ("core", name) for k, name in rows}
+
+
+def test_best_claim_equals_all_pairs(spark):
+    import random
+
+    from sparkloom.operators.matching import best_claim
+
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row, old = [i], row
+            for j, y in enumerate(b, 1):
+                row.append(min(old[j] + 1, row[-1] + 1, old[j - 1] + (x != y)))
+        return row[-1]
+
+    r = random.Random(7)
+    names = sorted({"".join(r.choices("abcD ", k=r.choice([6, 11, 18, 33]))) for _ in range(120)} | {""})
+    claims = [None, "", " "]
+    for n in names:
+        c = list(n)
+        for _ in range(r.randint(0, 1 + len(n) // 4)):
+            at = r.randrange(len(c) + 1)
+            c[at : at + r.randint(0, 1)] = r.choice(["", "x", "a", "bc"])
+        claims.append("".join(c))
+    names.remove("")
+    norm = lambda s: s.lower().replace(" ", "")
+    names = [n for n in names if norm(n)]
+    want, kinds = {}, ["", "near", "contained", "contains", "core", "exact"]
+    for k, c in enumerate(claims):
+        best = None
+        for n in names if c is not None else []:
+            x, y = norm(c), norm(n)
+            ratio = 1 - edits(x, y) / max(len(x), len(y), 1)
+            rank = 5 if c == n else 4 if x == y else 3 if y in x else 2 if x in y else 1 if ratio >= 0.8 else 0
+            best = max(best or (0,), (rank, round(ratio, 6), n)) if rank else best
+        want[k] = (kinds[best[0]], best[2], best[1]) if best else ("none", None, None)
+    got = {x["claim_id"]: (x["kind"], x["name"], x["ratio"]) for x in best_claim(spark.createDataFrame(list(enumerate(claims)), "claim_id int, claim string"), spark.createDataFrame([(n,) for n in names], "name string")).collect()}
+    assert got == want
