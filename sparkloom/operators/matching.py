@@ -235,3 +235,21 @@ def best_claim(claims: DataFrame, official: DataFrame, least: float = 0.8) -> Da
     best = hits.groupBy("claim_id").agg(F.max(F.struct(rank.alias("rank"), F.round(ratio, 6).alias("ratio"), "name")).alias("b"))
     kind = F.when(F.col("b.rank") == 5, "exact").when(F.col("b.rank") == 4, "core").when(F.col("b.rank") == 3, "contains").when(F.col("b.rank") == 2, "contained").when(F.col("b.rank") == 1, "near").otherwise("none")
     return claims.select("claim_id").join(best, "claim_id", "left").select("claim_id", kind.alias("kind"), "b.name", "b.ratio")
+
+
+def first_of_similar(rows: DataFrame, group: str, order: str, norm: str, reason: str) -> DataFrame:
+    """(group, order, reason) with ``duplicate`` for rows without a reason whose norm has an edit ratio of at least 0.8 to one accepted before.
+
+    An equal norm is decided by rank, as what stands against the first stands against all; only first ones are held against each other.
+    """
+    n = F.row_number().over(Window.partitionBy(group, norm).orderBy(order))
+    free = rows.where(F.col(reason).isNull()).select(group, order, norm, n.alias("_n"))
+    longer = lambda a, b: F.greatest(F.length(a), F.length(b))
+    near = lambda a, b: (F.least(F.length(a), F.length(b)) * 5 >= longer(a, b) * 4) & (F.call_function("levenshtein", a, b, F.floor(longer(a, b) / 5).cast("int")) >= 0)
+    state = lambda x, new: F.array(F.struct(x[norm].alias("norm"), new.alias("new")))
+    add = lambda acc, x: F.concat(acc, state(x, ~F.exists(acc, lambda y: y["new"] & F.coalesce(near(y["norm"], x[norm]), F.lit(False)))))
+    sets = free.where("_n = 1").groupBy(group).agg(F.sort_array(F.collect_list(F.struct(order, norm))).alias("_r"))
+    seen = sets.withColumn("_s", F.aggregate("_r", F.expr("CAST(array() AS array<struct<norm:string,new:boolean>>)"), add))
+    first = seen.select(group, F.explode(F.arrays_zip("_r", "_s")).alias("_z")).select(group, F.col(f"_z._r.{order}").alias(order), F.when(~F.col("_z._s.new"), "duplicate").alias(reason))
+    rest = free.where("_n > 1").select(group, order, F.lit("duplicate").alias(reason))
+    return rows.where(F.col(reason).isNotNull()).select(group, order, reason).unionByName(first).unionByName(rest)

@@ -213,11 +213,10 @@ def tier_pick(spark, d):
 
 @query()
 def candidate_filter(spark, d):
-    """First failing reason of each candidate; one that repeats an earlier accepted text is a duplicate."""
+    """First failing reason of each candidate; one that repeats an earlier accepted text, by an edit ratio of 0.8 of whole matching forms, is a duplicate."""
     t = table(spark, d, "conversations").select("conv_id", "turn", "text")
-    seen = F.row_number().over(Window.partitionBy("conv_id", D.match_norm(F.substring("text", 1, 20))).orderBy("turn"))
-    reason = F.when(F.length("text") < 20, "short").when(F.col("text").rlike("[0-9]{3,}"), "number").when(F.col("text").rlike("[%&#$*]{3,}"), "symbols").when(seen > 1, "duplicate")
-    return t.select("conv_id", "turn", reason.alias("reason"))
+    reason = F.when(F.length("text") < 20, "short").when(F.col("text").rlike("[0-9]{3,}"), "number").when(F.col("text").rlike("[%&#$*]{3,}"), "symbols")
+    return D.first_of_similar(t.withColumn("reason", reason).withColumn("norm", D.match_norm(F.col("text"))), "conv_id", "turn", "norm", "reason").select("conv_id", "turn", "reason")
 
 
 @query()

@@ -127,3 +127,18 @@ def test_best_claim_equals_all_pairs(spark):
         want[k] = (kinds[best[0]], best[2], best[1]) if best else ("none", None, None)
     got = {x["claim_id"]: (x["kind"], x["name"], x["ratio"]) for x in best_claim(spark.createDataFrame(list(enumerate(claims)), "claim_id int, claim string"), spark.createDataFrame([(n,) for n in names], "name string")).collect()}
     assert got == want
+
+
+def test_candidates_are_held_against_accepted_whole_texts(spark, made):
+    start, end = "the very same beginning of ", " and the words that end this candidate text"
+    texts = [
+        (start + "one tale about ships", None), (start + "quite another report, on cooking and on gardens", None),  # alike for 20 characters only
+        ("now " + start + "one tale about ships", "duplicate"), (start + "one tale about ships", "duplicate"), (start.upper() + "one tale about  ships", "duplicate"),
+        ("a number 1234" + end, "number"), ("a number one" + end, None),  # the rejected one does not count
+        ("short", "short"), ("short", "short"), (None, None), (None, "duplicate"),
+    ]
+    d = made("conversations", [(c, k, t) for c in (1, 2) for k, (t, _) in enumerate(texts)] + [(3, 0, texts[2][0])], "conv_id long, turn int, text string")
+    got = {(r["conv_id"], r["turn"]): r["reason"] for r in QUERIES["candidate_filter"](spark, d).collect()}
+    assert got == {(c, k): why for c in (1, 2) for k, (_, why) in enumerate(texts)} | {(3, 0): None}
+    again = {r["conv_id"]: (r["kept"], r["state"]) for r in QUERIES["retry_loop"](spark, d).collect()}
+    assert again == {1: (3, "ok"), 2: (3, "ok"), 3: (1, "search_failed")}
