@@ -1,18 +1,21 @@
 """Token-ID output as length-delimited binary records with masked checksums and a separate offset index.
 
-A shard ``part-00007.tfr`` is a run of records in ascending doc_id order, in the public TFRecord framing, little-endian:
+A shard ``part-00007-0000.tfr`` is a run of records in ascending doc_id order, in the public TFRecord framing, little-endian:
 
     uint64 length of the payload | uint32 masked CRC-32C of those 8 bytes | payload | uint32 masked CRC-32C of the payload
 
-The payload of a document: int64 doc_id, uint8 width (2 or 4 bytes an id: 2 where the vocabulary fits), 7 zero bytes,
-then its ids. ``part-00007.idx`` holds, for reads in any order, one row a record: int64 doc_id, int64 byte offset,
-int64 number of ids; all three columns one after another behind an int64 row count.
+The payload of a document: int64 doc_id, uint8 width (2 or 4 bytes an id: 2 where the vocabulary fits), uint8 1 if the doc_id is
+null, 6 zero bytes, then its ids. ``part-00007-0000.idx`` holds, for reads in any order, one row a record: int64 doc_id, int64 byte
+offset, int64 number of ids; all three columns one after another behind an int64 row count. Readers fetch byte ranges only.
 Masking is the usual rotation by 15 bits plus 0xA282EAD8.
 
-Texts are range-partitioned by doc_id on quantiles of the doc_id column alone; each task sorts, encodes and writes one
-shard under an attempt's own name and renames it, so a lost executor leaves no torn shard. Global starts come from the
-shards' totals (a row a shard). Null counts as empty: a record with only the end id. Rows that repeat a doc_id are
-all written, in order of text. Rows whose doc_id is null come first, with doc_id -2^63. An empty table writes no records.
+Texts are range-partitioned by doc_id on quantiles of the doc_id column alone; each task sorts, encodes and writes a new shard
+every ``SHARD_BYTES``, under an attempt's own name and then renamed, so a lost executor leaves no torn shard. Global starts come from
+the shards' totals (a row a shard). Very long texts are encoded one at a time.
+
+Null and empty texts: a record with only the end id. Rows that repeat a doc_id, which may fill several ranges, are all written, in order of
+a hash of their text, then of the text. Rows whose doc_id is null come first (in the index with -2^63). An empty table writes
+no records and gives no rows. Extra columns, also such whose names differ only in case, are ignored.
 """
 
 from __future__ import annotations
@@ -29,9 +32,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import IS_GAP, TextView, Workspace, get_file, partitions_for, plain, put_file
+from sparkloom.llm.common import IS_GAP, TextView, Workspace, filesystem, get_file, partitions_for, plain, put_file
 
 NO_ID = -(1 << 63)
+SHARD_BYTES, READ_BYTES, CODE_BYTES = 256 << 20, 4 << 20, 1 << 20
 
 # ---------------------------------------------------------------- CRC-32C
 
@@ -154,22 +158,17 @@ _ODD[[0x0B, 0x0C, 0x1C, 0x1D, 0x1E, 0x1F, 0xC2, 0xE1, 0xE2, 0xE3]] = True
 _ODD_STARTS = tuple(c.encode() for c in "\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000")
 
 
-_LEADS = [bytes([i]) for i in np.flatnonzero(_ODD).tolist()]
-_BESIDE = [b"  ", *(x for c in b"\t\n\x0b\x0c\r" for x in (bytes([0x20, c]), bytes([c, 0x20])))]
-
-
 def uncut(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Whether a row must be encoded whole: white space beside a space, at its edge, or beyond the plain kind."""
     n = len(offsets) - 1
     out = np.zeros(n, bool)
     if len(data):
-        raw = data.tobytes()
-        beside = odd = np.zeros(0, np.int64)
-        if any(x in raw for x in _BESIDE):
-            blank, gap = data == 0x20, IS_GAP[data]
-            beside = np.flatnonzero(blank[:-1] & gap[1:] | gap[:-1] & blank[1:])
-        if any(x in raw for x in _LEADS):
-            odd = np.flatnonzero(_ODD[data])
+        gap = IS_GAP[data]
+        beside = np.flatnonzero(gap[:-1] & gap[1:])
+        beside = beside[(data[beside] == 0x20) | (data[beside + 1] == 0x20)]
+        odd = np.flatnonzero(_ODD[data])
+        if len(odd):
+            raw = data.tobytes()
             odd = np.array([i for i in odd.tolist() if raw.startswith(_ODD_STARTS, i)], np.int64)
         out[np.searchsorted(offsets, np.r_[beside, odd], "right") - 1] = True
         full = np.flatnonzero(np.diff(offsets))
@@ -184,10 +183,11 @@ class UnitEncoder:
     vocabularies a token starts there and nothing before or behind it looks across. A unit of plain letters and then other
     plain marks is asked for in these two parts, which the vocabulary's pattern never joins. Texts where white space meets
     a space, with special strings, or with code points that libraries class differently, are encoded whole.
-    The memo lives as long as the worker process and stops growing at ``MEMO`` units; it only saves time.
+    The memo lives as long as the worker process and only saves time. It stops growing at ``MEMO`` units, and starts anew where a
+    slice finds less than ``STALE`` of its units in a full one.
     """
 
-    MEMO, LONGEST = 1_500_000, 40
+    MEMO, LONGEST, STALE = 400_000, 40, 0.7
     PARTS = re.compile(rb"([A-Za-z]+)([!-&(-/:-@\[-`{-~]+)")
 
     def __init__(self, path: str):
@@ -212,13 +212,9 @@ class UnitEncoder:
         found = self.tok.encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)
         return [array(self.code, e.ids).tobytes() for e in found]
 
-    def _learn(self, memo: dict, ask: list[bytes], before: bytes) -> None:
-        for at in range(0, len(ask), 4000):
-            part = ask[at : at + 4000]
-            memo.update(zip(part, self._ids([before + u for u in part]), strict=True))
-
-    def _learn_joined(self, ask: list[bytes]) -> None:
+    def _learn_joined(self, ask: list[bytes]) -> dict[bytes, bytes]:
         """Units with their spaces, many in one text: a token ends where a unit does, and tokens are as long as their bytes."""
+        out: dict[bytes, bytes] = {}
         for at in range(0, len(ask), 4000):
             part = ask[at : at + 4000]
             found = self.tok.encode_batch_fast([(b" " + b" ".join(part)).decode("utf-8", "replace")], add_special_tokens=False)[0].ids
@@ -227,43 +223,62 @@ class UnitEncoder:
             upto = np.cumsum(self.lengths[ids])
             cut = np.searchsorted(upto, ends)
             if len(ids) == 0 or upto[-1] != ends[-1] or (upto[cut] != ends).any():  # not a byte-level vocabulary, or invalid text
-                self._learn(self.memo, part, b" ")
+                out.update(zip(part, self._ids([b" " + u for u in part]), strict=True))
                 continue
             raw, w = ids.tobytes(), self.width
             a = 0
             for u, z in zip(part, ((cut + 1) * w).tolist(), strict=True):
-                self.memo[u] = raw[a:z]
+                out[u] = raw[a:z]
                 a = z
+        return out
+
+    def _learn(self, new: set[bytes]) -> dict[bytes, bytes]:
+        """The ids of units that no memo has."""
+        split = {u: m for u in new if (m := self.PARTS.fullmatch(u))}
+        marks = list({m[2] for m in split.values()}.difference(self.marks))
+        for at in range(0, len(marks), 4000):
+            part = marks[at : at + 4000]
+            self.marks.update(zip(part, self._ids(part), strict=True))
+        heads = {m[1]: x for m in split.values() if (x := self.memo.get(m[1]))}
+        ask = {m[1] for m in split.values()}.difference(heads)
+        ask.update(u for u in new if u not in split)
+        found = self._learn_joined(list(ask)) | heads
+        found.update({u: found[m[1]] + self.marks[m[2]] for u, m in split.items()})
+        if len(self.marks) > self.MEMO // 10:
+            self.marks.clear()
+        return found
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> list[bytes]:
         raw, off = data.tobytes(), offsets.tolist()
         texts = [raw[a:b] for a, b in zip(off, off[1:], strict=False)]
         whole = uncut(data, offsets) | (not self.cuts)
+        if any(x in raw for x in self.special):
+            whole |= np.array([any(x in t for x in self.special) for t in texts], bool)
         out: list[bytes] = [b""] * len(texts)
-        units, new = {}, set()
-        for i, t in enumerate(texts):
-            if whole[i] or any(x in t for x in self.special):
-                out[i] = self._ids([t])[0]
-            else:
-                units[i] = t.split(b" ")
-                new.update(units[i][1:])
-        new.difference_update(self.memo)
-        split = {u: m for u in new if (m := self.PARTS.fullmatch(u))}
-        direct = {u for u in new if u not in split}
-        heads = {m[1] for m in split.values()} - self.memo.keys()
-        self._learn(self.marks, list({m[2] for m in split.values()} - self.marks.keys()), b"")
-        self._learn_joined(list(direct | heads))
-        memo, marks = self.memo, self.marks
-        for u, m in split.items():
-            memo[u] = memo[m[1]] + marks[m[2]]
-        for (i, x), first in zip(units.items(), self._ids([x[0] for x in units.values()]), strict=True):
-            out[i] = first + b"".join(map(memo.__getitem__, x[1:]))
-        full = len(memo) > self.MEMO
-        for u in new | heads:
-            if full or len(u) > self.LONGEST:
-                memo.pop(u, None)
-        if len(marks) > self.MEMO // 10:
-            marks.clear()
+        rows, heads, units, ends = np.flatnonzero(~whole).tolist(), [], [], []
+        for i in rows:
+            own = texts[i].split(b" ")
+            heads.append(own[0])
+            units += own
+            ends.append(len(units))
+        for i in np.flatnonzero(whole).tolist():
+            out[i] = self._ids([texts[i]])[0]
+        memo = self.memo
+        got = list(map(memo.get, units))
+        missing = [k for k, x in enumerate(got) if x is None]
+        if missing:
+            fresh = self._learn({units[k] for k in missing})
+            for k in missing:
+                got[k] = fresh[units[k]]
+            if len(memo) > self.MEMO and len(missing) > (1 - self.STALE) * len(units):
+                memo.clear()
+            if len(memo) <= self.MEMO:
+                memo.update((u, x) for u, x in fresh.items() if len(u) <= self.LONGEST)
+        a = 0
+        for i, z, first in zip(rows, ends, self._ids(heads), strict=True):
+            got[a] = first
+            out[i] = b"".join(got[a:z])
+            a = z
         return out
 
 
@@ -279,65 +294,96 @@ def encoder(path: str) -> UnitEncoder:
 # ---------------------------------------------------------------- writing and reading
 
 
-def _write_shards(path: str, tokenizer: str, end_id: int):
+def _write_shards(path: str, tokenizer: str, end_id: int, shard_bytes: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        shard, enc, state = TaskContext.get().partitionId(), encoder(tokenizer), {"at": 0, "ids": [], "offs": [], "n": []}
+        task, enc, seq = TaskContext.get().partitionId(), encoder(tokenizer), 0
         end = np.array([end_id], enc.dtype).tobytes()
 
-        def write(out):
+        def slices():
             for b in batches:
-                view = TextView(b.column("text"))
-                ids = b.column("doc_id").cast(pa.int64()).fill_null(NO_ID).to_numpy(zero_copy_only=False)
-                for i, j, data, off in view.slices():
-                    coded, names = enc.encode(data, off), ids[i:j].tolist()
-                    records = frames([d.to_bytes(8, "little", signed=True) + bytes([enc.width]) + bytes(7) + x + end for d, x in zip(names, coded, strict=True)])
-                    for d, x, record in zip(names, coded, records, strict=True):
-                        out.write(record)
-                        state["ids"].append(d), state["offs"].append(state["at"]), state["n"].append(len(x) // enc.width + 1)
-                        state["at"] += len(record)
+                view, names = TextView(b.column("text")), b.column("doc_id").cast(pa.int64()).to_pylist()
+                for i, j, data, off in view.slices(CODE_BYTES):
+                    yield names[i:j], data, off
 
+        source = slices()
+        piece = next(source, None)
         gc.disable()  # millions of short-lived lists and no cycles
         try:
-            put_file(f"{path}/part-{shard:05d}.tfr", write)
+            while piece is not None:  # a file each round
+                shard, ids, offs, sizes, at = f"{task:05d}-{seq:04d}", [], [], [], 0
+                seq += 1
+
+                def write(out):
+                    nonlocal piece, at
+                    while piece is not None and at < shard_bytes:
+                        names, data, off = piece
+                        coded = enc.encode(data, off)
+                        heads = [(NO_ID if d is None else d).to_bytes(8, "little", signed=True) + bytes([enc.width, d is None]) + bytes(6) for d in names]
+                        for d, x, record in zip(names, coded, frames([h + x + end for h, x in zip(heads, coded, strict=True)]), strict=True):
+                            out.write(record)
+                            ids.append(NO_ID if d is None else d), offs.append(at), sizes.append(len(x) // enc.width + 1)
+                            at += len(record)
+                        piece = next(source, None)
+
+                put_file(f"{path}/part-{shard}.tfr", write)
+                index = np.r_[len(ids), ids, offs, sizes].astype("<i8")
+                put_file(f"{path}/part-{shard}.idx", lambda out, index=index: out.write(index.tobytes()))
+                yield pa.RecordBatch.from_arrays([pa.array([shard]), pa.array([len(ids)], pa.int64()), pa.array([sum(sizes)], pa.int64())], names=["shard", "records", "ids"])
         finally:
             gc.enable()
-        index = np.r_[len(state["ids"]), state["ids"], state["offs"], state["n"]].astype("<i8")
-        put_file(f"{path}/part-{shard:05d}.idx", lambda out: out.write(index.tobytes()))
-        yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([len(state["ids"])], pa.int64()), pa.array([int(index[1 + 2 * len(state["ids"]) :].sum())], pa.int64())], names=["shard", "records", "ids"])
 
     return rows
 
 
-def write_records(spark: SparkSession, docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, shards: int | None = None) -> DataFrame:
+def write_records(spark: SparkSession, docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, tasks: int | None = None, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """Write ``docs`` (doc_id, text) below ``path``; returns the manifest: shard, records, ids, start (global)."""
-    docs, shards = plain(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long")), shards or partitions_for(spark)
-    cuts = docs.select(F.percentile_approx("doc_id", [i / shards for i in range(1, shards)] or [0.5], 10_000).alias("q")).first()["q"] or []
+    tasks = tasks or partitions_for(spark)
+    docs = plain(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
+    key = F.coalesce("doc_id", F.lit(NO_ID))
+    cuts = docs.select(F.percentile_approx(key, [i / tasks for i in range(1, tasks)] or [0.5], 10_000).alias("q")).first()["q"] or []
     bounds = F.array(*[F.lit(int(x)).cast("long") for x in cuts]) if cuts else F.array().cast("array<long>")
-    part = F.coalesce(F.size(F.filter(bounds, lambda x: x < F.col("doc_id"))), F.lit(0)) if cuts else F.lit(0)
-    placed = docs.withColumn("_part", F.least(F.greatest(part, F.lit(0)), F.lit(shards - 1)).cast("int"))
-    sorted_ = placed.repartitionById(shards, F.col("_part")).sortWithinPartitions(F.asc_nulls_first("doc_id"), F.asc_nulls_first("text")).select("doc_id", "text")
-    done = sorted_.mapInArrow(_write_shards(path, tokenizer, end_id), "shard int, records long, ids long").collect()  # a row a shard
+    # a doc_id that fills k ranges is dealt over them by a hash of the text, by which its rows are in order
+    share = F.pmod(F.xxhash64("text"), F.lit(1 << 20))
+    own = F.size(F.filter(bounds, lambda x: x == key))
+    part = F.size(F.filter(bounds, lambda x: x < key)) + F.floor(share * own / (1 << 20))
+    placed = docs.withColumn("_share", share).withColumn("_part", F.least(part, F.lit(tasks - 1)).cast("int"))
+    sorted_ = placed.repartitionById(tasks, F.col("_part")).sortWithinPartitions(F.asc_nulls_first("doc_id"), "_share", F.asc_nulls_first("text")).select("doc_id", "text")
+    done = sorted_.mapInArrow(_write_shards(path, tokenizer, end_id, shard_bytes), "shard string, records long, ids long").collect()  # a row a file of shard_bytes
     rows, start = [], 0
-    for r in sorted(done, key=lambda r: r["shard"]):
+    for r in sorted(done, key=lambda r: [int(x) for x in r["shard"].split("-")]):
         rows.append((r["shard"], r["records"], r["ids"], start))
         start += r["ids"]
-    return spark.createDataFrame(rows, "shard int, records long, ids long, start long")
+    return spark.createDataFrame(rows, "shard string, records long, ids long, start long")
 
 
-def read_ids(path: str, shard: int, index_rows: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray]]:
-    """(doc_id, ids) of the records of a shard, in file order or as the given rows of its index ask for them."""
-    buf = memoryview(get_file(f"{path}/part-{shard:05d}.tfr"))
-    offs = read_index(path, shard)[1]
-    wanted = (offs if index_rows is None else offs[index_rows]).tolist()
-    for payload in (p for k in range(0, len(wanted), 500) for p in unframe(buf, wanted[k : k + 500])):
-        yield int.from_bytes(payload[:8], "little", signed=True), np.frombuffer(payload[16:], "<u2" if payload[8] == 2 else "<u4")
+def read_index(path: str, shard: str) -> np.ndarray:
+    """doc_ids, byte offsets and numbers of ids of a shard's records."""
+    a = np.frombuffer(get_file(f"{path}/part-{shard}.idx"), "<i8")
+    return a[1:].reshape(3, int(a[0]))
 
 
-def read_index(path: str, shard: int) -> np.ndarray:
-    a = np.frombuffer(get_file(f"{path}/part-{shard:05d}.idx"), "<i8")
-    return a[1:].reshape(3, int(a[0]))
+def read_ids(path: str, shard: str, index_rows: np.ndarray | None = None) -> Iterator[tuple[int | None, np.ndarray]]:
+    """(doc_id, ids) of the records of a shard, in file order or as the given rows of its index ask for them.
+
+    Only byte ranges are read: runs of neighbouring records of at most ``READ_BYTES`` (or one longer record) at once.
+    """
+    fs, name = filesystem(f"{path}/part-{shard}.tfr")
+    with fs.open_input_file(name) as f:
+        offs = read_index(path, shard)[1]
+        ends = np.r_[offs[1:], f.size()]
+        wanted = np.arange(len(offs)) if index_rows is None else np.asarray(index_rows, np.int64)
+        at = 0
+        while at < len(wanted):
+            to, first = at + 1, int(offs[wanted[at]])
+            while to < len(wanted) and wanted[to] == wanted[to - 1] + 1 and ends[wanted[to]] - first <= READ_BYTES:
+                to += 1
+            some = wanted[at:to]
+            buf = memoryview(f.read_at(int(ends[some[-1]]) - first, first))
+            for p in unframe(buf, (offs[some] - first).tolist()):
+                yield None if p[9] else int.from_bytes(p[:8], "little", signed=True), np.frombuffer(p[16:], "<u2" if p[8] == 2 else "<u4")
+            at = to
 
 
 def read_records(spark: SparkSession, manifest: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
@@ -353,7 +399,7 @@ def read_records(spark: SparkSession, manifest: DataFrame, path: str, with_ids:
             for shard, start in zip(b.column("shard").to_pylist(), b.column("start").to_pylist(), strict=True):
                 out = []
                 for d, ids in read_ids(path, shard):
-                    out.append((None if d == NO_ID else d, start, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), ids.astype(np.int64) if with_ids else None))
+                    out.append((d, start, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), ids.astype(np.int64) if with_ids else None))
                     start += len(ids)
                     if len(out) >= (200 if with_ids else 5000):
                         yield batch(out)
