@@ -7,6 +7,8 @@ as one numpy array plus offsets, and ``slices`` cuts a batch so that working mem
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import os
 import tempfile
 import uuid
@@ -68,7 +70,12 @@ def put_file(uri: str, write) -> None:
     temp = f"{path}.{uuid.uuid4().hex}.tmp"
     with fs.open_output_stream(temp) as out:
         write(out)
-    fs.move(temp, path)
+    try:
+        fs.move(temp, path)
+    except OSError:  # some file systems do not replace; the file there came whole from another attempt at the same rows
+        if fs.get_file_info(path).type != pafs.FileType.File:
+            raise
+        fs.delete_file(temp)
 
 
 def get_file(uri: str) -> pa.Buffer:
@@ -77,8 +84,22 @@ def get_file(uri: str) -> pa.Buffer:
         return f.read_buffer()
 
 
-def partitions_for(spark: SparkSession) -> int:
-    return max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
+PART_BYTES = 64 << 20
+
+
+def partitions_for(spark: SparkSession, docs: DataFrame | None = None) -> int:
+    """Shuffle partitions as set, and more where the planner's estimate of the size of ``docs`` needs them (at most 256 times as many)."""
+    n = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    if docs is None:
+        return n
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(n, min(256 * n, size // PART_BYTES))
+
+
+def settled(ws: Workspace, docs: DataFrame) -> DataFrame:
+    """``docs`` itself if it comes from a scan, whose retried tasks read the same rows in the same order; else written down first."""
+    plan = docs._jdf.queryExecution().executedPlan().toString()
+    return ws.write(docs, "input") if any(x in plan for x in ("Exchange", "ExistingRDD", "MapInArrow", "Python", "Pandas")) else docs
 
 
 def plain(docs: DataFrame, *cols: str) -> DataFrame:
@@ -118,6 +139,37 @@ def heavy_at(n: int) -> int:
     return max(1000, n // 4096)
 
 
+def smallest_hashes(rows: DataFrame, key: Column, n: int, k: int) -> DataFrame:
+    """Those of the ``n`` rows whose 64-bit hash ``key`` is below a threshold that about k + 6 sqrt(k) of them pass.
+
+    Tasks then send little more than k rows in all to whatever sorts them and takes the k smallest.
+    """
+    want = k + 6 * k**0.5 + 20
+    return rows if n <= want else rows.where(key < F.lit(int(-(2**63) + 2**64 * (want / n))))
+
+
+def release_memory() -> None:
+    """Give what a task no longer uses back to the system, because Python workers outlive tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        return
+
+
+def tidy(rows):
+    """Wrap a function for mapInArrow: memory is released when its task has given all rows."""
+
+    @functools.wraps(rows)
+    def run(batches):
+        try:
+            yield from rows(batches)
+        finally:
+            release_memory()
+
+    return run
+
+
 # ---------------------------------------------------------------- Arrow text views
 
 
