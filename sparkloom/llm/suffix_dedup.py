@@ -7,19 +7,26 @@ that depends on the string alone. So wherever the string occurs, the suffix at t
 about one suffix in 18 needs to be compared.
 
 1. *Blocks.* Each scan task writes its texts to a block file on shared storage (Arrow, zstd) and sends the distinct gram
-   hashes of its suffixes, by hash range. Texts are not shuffled. A gram that millions of documents share is sent once a block.
-2. *Shared grams.* A range owner tells each block which of its grams occur in another document.
+   hashes of its suffixes, by hash range, with the number of different surroundings. Texts are not shuffled. A gram that millions of
+   documents share is sent once a block.
+2. *Shared grams.* A range owner tells each block which of its grams occur in another document, and which have more than
+   ``HOT_CONTEXTS`` surroundings in all.
 3. *Contexts.* Blocks send the suffixes of shared grams (up to 50 bytes from the gram on, 34 before it) with the smallest
    doc_id of the block that has this context, once for each distinct context. Splitters sampled from the grams range-partition
    them by leading bytes; a splitter never separates suffixes with equal leading grams, so nothing can match across a boundary.
+   Of a gram with very many surroundings the up to 35 whole strings around it are sent instead, by their hashes, so such a gram is
+   spread over all tasks; one string costs its task a row a block.
 4. *Buckets* sort their suffixes by multikey quicksort (on 8-byte words; ties go on to the next word) and what stands before
    them likewise, compare neighbours, and so know for each of the 35 string positions around a gram which contexts agree there
    and the smallest doc_id among them: the owner. Only owners smaller than the context's own document are told to the blocks.
 5. Blocks mark the covered bytes and give the results.
 
 Hashes only select candidates; matches are decided on bytes. Memory: a block (``BLOCK_BYTES`` of text, or one longer document) or a
-bucket at a time. Null texts count as empty. A null doc_id counts as larger than all others. Rows that repeat a doc_id do not
-remove one another's bytes. Empty table: no rows.
+bucket at a time. Input whose order could change between attempts (it comes from a shuffle) is written down first.
+
+Null and empty texts have no strings. A null doc_id counts as large as the largest possible one. Rows that repeat a doc_id do not remove one
+another's bytes. Of equal texts the smallest doc_id keeps its bytes. Empty table: no rows. Extra columns, also such whose names differ
+only in case, are ignored.
 """
 
 from __future__ import annotations
@@ -31,9 +38,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import BYTE_CODE, U64, TextView, Workspace, get_file, mix64, partitions_for, plain, put_file
+from sparkloom.llm.common import BYTE_CODE, U64, TextView, Workspace, get_file, mix64, partitions_for, plain, put_file, settled, smallest_hashes, tidy
 
-GRAM, BLOCK_BYTES, SLICE, LAST_ID = 16, 48 << 20, 2 << 20, (1 << 63) - 1
+GRAM, BLOCK_BYTES, SLICE, LAST_ID = 16, 8 << 20, 1 << 20, (1 << 63) - 1
+HOT_CONTEXTS = 100_000
+COUNT_BITS = U64(0x3F)
 _CODEC = "zstd"
 
 
@@ -44,7 +53,7 @@ def gram_hashes(data: np.ndarray) -> np.ndarray:
         while step < GRAM:
             h = h[: len(h) - step] * U64(mult) + h[step:]
             step, mult = step * 2, mult * mult * 0xD6E8FEB86659FD93 % (1 << 64) | 1
-        return mix64(h) & ~U64(1)  # the last bit is free for a flag
+        return mix64(h) & ~COUNT_BITS  # the last bits are free for flags and counts
 
 
 def _sliding(a: np.ndarray, width: int, f) -> np.ndarray:
@@ -56,11 +65,12 @@ def _sliding(a: np.ndarray, width: int, f) -> np.ndarray:
     return f(a[:-rest], a[rest:]) if rest else a
 
 
-def selected(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """(positions, hashes) of the selected suffixes: each is the smallest of some ``length``-byte string inside one document."""
+def selected(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(positions, hashes, hashes of what surrounds them) of the selected suffixes: each is the smallest of some ``length``-byte string inside
+    one document."""
     n, width = len(data), length - GRAM + 1
     if n < length:
-        return np.zeros(0, np.int64), np.zeros(0, U64)
+        return np.zeros(0, np.int64), np.zeros(0, U64), np.zeros(0, U64)
     h = gram_hashes(data)
     left = np.repeat(offsets[1:], np.diff(offsets)) - np.arange(n)  # bytes to the document's end
     smallest = _sliding(h, width, np.minimum)
@@ -70,7 +80,14 @@ def selected(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.nda
     most = _sliding(reach, width, np.maximum)[: len(h)]  # largest of the minima of the strings that contain a position
     # where only shorter strings contain a position, 0 stands; a hash of 0 would then be taken needlessly, which does no harm
     at = np.flatnonzero((h == most) & (left[: len(h)] >= GRAM))
-    return at, h[at]
+    row = np.searchsorted(offsets, at, "right") - 1
+    low, high, around = offsets[row], offsets[row + 1] - GRAM, np.zeros(len(at), U64)
+    with np.errstate(over="ignore"):
+        for step in [*range(GRAM - length, length - GRAM, GRAM), length - GRAM]:
+            place = at + step
+            inside = (place >= low) & (place <= high)
+            around = mix64(around * U64(0x9E3779B97F4A7C15) + np.where(inside, h[np.clip(place, 0, len(h) - 1)], (np.minimum(at - low, length) * 256 + np.minimum(high - at, length)).astype(U64)))
+    return at, h[at], around
 
 
 def multikey_order(rows: np.ndarray) -> np.ndarray:
@@ -119,13 +136,14 @@ def _block_schema() -> pa.Schema:
     return pa.schema([("doc_id", pa.int64()), ("text", pa.large_binary())])
 
 
-def _read_block(path: str, block: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(doc_ids, data, offsets) of each slice."""
+def _read_block(path: str, block: int) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]]:
+    """(doc_ids, the same with a number for null, data, offsets) of each slice."""
     with pa.ipc.open_file(pa.BufferReader(get_file(f"{path}/block-{block}.arrow"))) as f:
         for i in range(f.num_record_batches):
             b = f.get_batch(i)
             view = TextView(b.column("text"))
-            yield b.column("doc_id").to_numpy(), view.data, view.offsets
+            ids = b.column("doc_id")
+            yield ids, ids.fill_null(LAST_ID).to_numpy(zero_copy_only=False), view.data, view.offsets
 
 
 def _pack(**arrays: np.ndarray) -> bytes:
@@ -150,7 +168,7 @@ def _rows(out: list[tuple], names: list[str], types: list[pa.DataType]) -> pa.Re
 _MESSAGE = (["part", "block", "kind", "blob"], [pa.int32(), pa.int64(), pa.int32(), pa.binary()])
 _REPLY = (["block", "kind", "blob"], [pa.int64(), pa.int32(), pa.binary()])
 _MESSAGE_SQL, _REPLY_SQL = "part int, block long, kind int, blob binary", "block long, kind int, blob binary"
-GRAMS, SAMPLE, OWNERS, PRESENT = range(4)
+GRAMS, SAMPLE, OWNERS, PRESENT, STRINGS, HOT = range(6)
 
 
 def _split(keys: np.ndarray, parts: int) -> np.ndarray:
@@ -159,6 +177,32 @@ def _split(keys: np.ndarray, parts: int) -> np.ndarray:
     return np.searchsorted(part, np.arange(parts + 1, dtype=U64))
 
 
+def _distinct(h: np.ndarray, around: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """Rows (gram, surroundings, document), each pair of gram and surroundings at most twice: with its first and its last document."""
+    by = np.lexsort((row, around, h))
+    h, around, row = h[by], around[by], row[by]
+    first = np.r_[True, (h[1:] != h[:-1]) | (around[1:] != around[:-1])][: len(h)]
+    last = np.r_[first[1:], True][: len(h)]
+    keep = first | last
+    return np.stack([h[keep], around[keep], row[keep].astype(U64)], axis=1)
+
+
+def _block_grams(rows: np.ndarray) -> np.ndarray:
+    """A block's distinct grams, sorted; the last bit says that several documents have the gram, five bits the binary digits of its
+    number of different surroundings."""
+    if not len(rows):
+        return np.zeros(0, U64)
+    by = np.lexsort((rows[:, 1], rows[:, 0]))
+    h, around, row = rows[by].T
+    new = np.r_[True, h[1:] != h[:-1]]
+    first = np.flatnonzero(new)
+    other = np.cumsum(np.r_[True, new[1:] | (around[1:] != around[:-1])])
+    several = np.minimum.reduceat(row, first) != np.maximum.reduceat(row, first)
+    several |= np.r_[first[1:], len(h)] - first > 1  # slices count documents anew, and a document may repeat a gram: asking once too often does no harm
+    count = np.r_[other[first[1:] - 1], other[-1]] - other[first] + 1
+    return h[first] | several.astype(U64) | (np.frexp(count.astype(float))[1].astype(U64) << U64(1))
+
+
 def _write_blocks(path: str, length: int, parts: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -168,9 +212,9 @@ def _write_blocks(path: str, length: int, parts: int):
         def slices():
             for b in source:
                 view = TextView(b.column("text"))
-                ids = b.column("doc_id").cast(pa.int64()).fill_null(LAST_ID).to_numpy(zero_copy_only=False)
+                ids = b.column("doc_id").cast(pa.int64())
                 for i, j, data, off in view.slices(SLICE):
-                    yield ids[i:j], data, off
+                    yield ids.slice(i, j - i), data, off
 
         pieces, seq = slices(), 0
         while (head := next(pieces, None)) is not None:
@@ -183,12 +227,10 @@ def _write_blocks(path: str, length: int, parts: int):
                     piece = head
                     while piece is not None:
                         ids, data, off = piece
-                        w.write_batch(pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ids), [None, pa.py_buffer(off.astype(np.int64).tobytes()), pa.py_buffer(data.tobytes())])], schema=_block_schema()))
-                        at, h = selected(data, off, length)
+                        w.write_batch(pa.RecordBatch.from_arrays([ids, pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ids), [None, pa.py_buffer(off.astype(np.int64).tobytes()), pa.py_buffer(data.tobytes())])], schema=_block_schema()))
+                        at, h, around = selected(data, off, length)
                         row = np.searchsorted(off, at, "right")
-                        order = np.lexsort((row, h))
-                        hs, rs = h[order], row[order]
-                        grams.append(hs[np.r_[True, (hs[1:] != hs[:-1]) | (rs[1:] != rs[:-1])]] if len(hs) else hs)
+                        grams.append(_distinct(h, around, row))
                         if len(at):
                             pick = at[np.argsort(h)[:: max(1, len(h) // 16)]][:16]
                             sample.append(np.stack([data[p : p + GRAM] for p in pick]).tobytes())
@@ -198,10 +240,8 @@ def _write_blocks(path: str, length: int, parts: int):
                         piece = next(pieces, None)
 
             put_file(f"{path}/block-{block}.arrow", write)
-            g = np.sort(np.concatenate(grams))
-            new = np.flatnonzero(np.r_[True, g[1:] != g[:-1]]) if len(g) else np.zeros(0, np.int64)
-            many = np.diff(np.r_[new, len(g)]) > 1
-            g = g[new] | many.astype(U64)
+            g = _block_grams(np.concatenate(grams))
+            grams.clear()
             cut = _split(g, parts)
             out = [(q, block, GRAMS, g[cut[q] : cut[q + 1]].tobytes()) for q in range(parts) if cut[q] < cut[q + 1]]
             yield _rows([*out, (block % parts, block, SAMPLE, b"".join(sample))], *_MESSAGE)
@@ -221,14 +261,20 @@ def _shared_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     yield _rows(passed, *_REPLY)
     if blobs:
         g, who = np.concatenate(blobs), np.repeat(np.arange(len(blobs), dtype=np.int32), [len(x) for x in blobs])
-        many, g = (g & U64(1)) > 0, g & ~U64(1)
+        blobs = [None] * len(blobs)
+        many, contexts, g = (g & U64(1)) > 0, 1 << ((g & COUNT_BITS) >> U64(1)).astype(np.int64), g & ~COUNT_BITS
         order = np.argsort(g, kind="stable")
         gs = g[order]
-        first = np.r_[True, gs[1:] != gs[:-1]]
-        run = np.cumsum(first) - 1
-        shared = (np.bincount(run)[run] > 1) | many[order]
-        keep = order[shared]
+        first = np.flatnonzero(np.r_[True, gs[1:] != gs[:-1]])
+        size = np.diff(np.r_[first, len(gs)])
+        total = np.add.reduceat(contexts[order], first)
+        hot = total > HOT_CONTEXTS
+        shared = (np.repeat(size, size) > 1) | many[order]
+        keep, flag = order[shared], np.repeat(hot, size)[shared]
+        g[keep] |= flag.astype(U64)
         keep = keep[np.lexsort((g[keep], who[keep]))]
+        if hot.any():
+            yield _rows([(-1, HOT, int(total[hot].sum()).to_bytes(8, "little"))], *_REPLY)
         cut = np.searchsorted(who[keep], np.arange(len(blobs) + 1))
         for at in range(0, len(blobs), 200):
             yield _rows([(blocks[k], GRAMS, g[keep[cut[k] : cut[k + 1]]].tobytes()) for k in range(at, min(at + 200, len(blobs))) if cut[k] < cut[k + 1]], *_REPLY)
@@ -248,30 +294,33 @@ def _by_block(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tup
         yield block, got
 
 
-def _send_contexts(path: str, length: int, splitters: list[bytes]):
-    before, parts = length - GRAM, len(splitters) + 1
+def _send_contexts(path: str, length: int, splitters: list[bytes], buckets: int):
+    before, parts = length - GRAM, max(buckets, len(splitters) + 1)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cuts = np.array(splitters, f"S{GRAM}")
         for block, got in _by_block(batches):
             wanted = np.sort(np.concatenate([np.zeros(0, U64), *[np.frombuffer(x, U64) for kind, x in got if kind == GRAMS]]))
+            many, wanted = wanted & U64(1) > 0, wanted & ~U64(1)
             side, base = [], 0
-            for ids, data, off in _read_block(path, block):
-                at, h = selected(data, off, length)
+            for _, ids, data, off in _read_block(path, block):
+                at, h, _ = selected(data, off, length)
                 if len(wanted):
-                    hit = wanted[np.minimum(np.searchsorted(wanted, h), len(wanted) - 1)] == h
-                    at = at[hit]
+                    where = np.minimum(np.searchsorted(wanted, h), len(wanted) - 1)
+                    hit = wanted[where] == h
+                    at, hot = at[hit], many[where[hit]]
                 else:
-                    at = at[:0]
+                    at, hot = at[:0], np.zeros(0, bool)
                 row = np.searchsorted(off, at, "right") - 1
                 room = np.minimum(at - off[row], before), np.minimum(off[row + 1] - at, length)
                 padded = np.r_[np.zeros(before, np.uint8), data, np.zeros(length, np.uint8)]
                 ctx = padded[at[:, None] + np.arange(before + length)] if len(at) else np.zeros((0, before + length), np.uint8)
                 place = np.arange(before + length) - before
                 ctx[(place < -room[0][:, None]) | (place >= room[1][:, None])] = 0
-                side.append((row + base, at - off[row], room[0].astype(np.uint8), room[1].astype(np.uint8), ctx, ids[row]))
+                side.append((row + base, at - off[row], room[0].astype(np.uint8), room[1].astype(np.uint8), ctx, ids[row], hot))
                 base += len(ids)
-            row, pos, left, right, ctx, doc = (np.concatenate(x) for x in zip(*side, strict=True))
+            row, pos, left, right, ctx, doc, hot = (np.concatenate(x) for x in zip(*side, strict=True))
+            side.clear()
             n = len(row)
             whole = np.zeros((n, -(-(before + length + 2) // 8) * 8), np.uint8)
             whole[:, : before + length], whole[:, before + length], whole[:, before + length + 1] = ctx, left, right
@@ -287,6 +336,11 @@ def _send_contexts(path: str, length: int, splitters: list[bytes]):
             least = np.minimum.reduceat(doc[order], first) if n else np.zeros(0, np.int64)
             put_file(f"{path}/side-{block}.bin", lambda out, a=(row, pos, left, right, number, least): out.write(_pack(row=a[0].astype(np.uint32), pos=a[1].astype(np.uint32), left=a[2], right=a[3], number=a[4].astype(np.uint32), least=a[5].astype(np.int64))))
             rep = order[first]
+            number = np.arange(len(rep))
+            strings = list(_strings(ctx[rep[hot[rep]]], left[rep[hot[rep]]], right[rep[hot[rep]]], number[hot[rep]], length))
+            cool = np.flatnonzero(~hot[rep])
+            rep, number, spread = rep[cool], number[cool], least
+            least = least[cool]
             gram = np.ascontiguousarray(ctx[rep, before : before + GRAM])
             part = np.searchsorted(cuts, gram.view(f"S{GRAM}").ravel(), "right") if len(rep) else np.zeros(0, np.int64)
             by = np.lexsort((gram.view(">u8")[:, 0], part)) if len(rep) else part
@@ -295,12 +349,38 @@ def _send_contexts(path: str, length: int, splitters: list[bytes]):
             for q in range(parts):
                 k = by[cut[q] : cut[q + 1]]
                 if len(k):
-                    out.append((q, block, OWNERS, _pack(ctx=ctx[rep[k]], left=left[rep[k]], right=right[rep[k]], doc=least[k].astype(np.int64), number=k.astype(np.uint32))))
+                    out.append((q, block, OWNERS, _pack(ctx=ctx[rep[k]], left=left[rep[k]], right=right[rep[k]], doc=least[k].astype(np.int64), number=number[k].astype(np.uint32))))
+            for text, shift, which in strings:
+                home = (mix64(text.view(U64).reshape(len(text), -1).sum(axis=1, dtype=U64)) % U64(parts)).astype(np.int64)
+                for q in np.unique(home).tolist():
+                    k = np.flatnonzero(home == q)
+                    out.append((q, block, STRINGS, _pack(text=text[k], shift=np.full(len(k), shift, np.uint8), doc=spread[which[k]].astype(np.int64), number=which[k].astype(np.uint32))))
             yield _rows([*out, (block % parts, block, PRESENT, b"")], *_MESSAGE)
 
     return rows
 
 
+def _strings(ctx: np.ndarray, left: np.ndarray, right: np.ndarray, number: np.ndarray, length: int):
+    """(strings padded to whole words, shift, contexts) of each place of the gram: grams with very many surroundings go by their strings."""
+    before, wide = length - GRAM, -(-length // 8) * 8
+    for shift in range(before + 1 if len(number) else 0):
+        k = np.flatnonzero((left >= shift) & (right >= length - shift))
+        if len(k):
+            text = np.zeros((len(k), wide), np.uint8)
+            text[:, :length] = ctx[k, before - shift : before - shift + length]
+            yield text, shift, number[k]
+
+
+def string_owners(text: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, owner) of the strings that occur in a smaller document."""
+    order = multikey_order(text)
+    first = np.flatnonzero(common_prefix(text, order) < text.shape[1])
+    owner = np.empty(len(doc), np.int64)
+    owner[order] = np.repeat(np.minimum.reduceat(doc[order], first), np.diff(np.r_[first, len(doc)]))
+    rows = np.flatnonzero(owner < doc)
+    return rows, owner[rows]
+
+
 def bucket_owners(ctx: np.ndarray, left: np.ndarray, right: np.ndarray, doc: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Runs (context, first shift, last shift, owner): strings that start ``shift`` bytes before the gram and occur in a smaller document."""
     n, before = len(doc), length - GRAM
@@ -336,15 +416,24 @@ def bucket_owners(ctx: np.ndarray, left: np.ndarray, right: np.ndarray, doc: np.
 
 def _owners(length: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blocks, parts, passed = [], [], []
+        blocks, parts, passed, spread = [], [], [], []
         for b in batches:
             for block, kind, blob in zip(*(b.column(c).to_pylist() for c in ("block", "kind", "blob")), strict=True):
                 if kind == OWNERS:
                     blocks.append(block)
                     parts.append(_unpack(blob))
+                elif kind == STRINGS:
+                    spread.append((block, _unpack(blob)))
                 else:
                     passed.append((block, kind, blob))
         yield _rows(passed, *_REPLY)
+        if spread:
+            text, doc, shift, number = (np.concatenate([p[c] for _, p in spread]) for c in ("text", "doc", "shift", "number"))
+            who = np.repeat([k for k, _ in spread], [len(p["doc"]) for _, p in spread])
+            rec, owner = string_owners(text.reshape(len(doc), -1), doc)
+            for block in np.unique(who[rec]).tolist():
+                x = np.flatnonzero(who[rec] == block)
+                yield _rows([(block, OWNERS, _pack(number=number[rec[x]], lo=shift[rec[x]], hi=shift[rec[x]], owner=owner[x]))], *_REPLY)
         if parts:
             ctx, left, right, doc, number = (np.concatenate([p[c] for p in parts]) for c in ("ctx", "left", "right", "doc", "number"))
             who = np.repeat(np.arange(len(parts)), [len(p["doc"]) for p in parts])
@@ -373,7 +462,7 @@ def _results(path: str, length: int):
             number, lo, hi, owner = number[by], lo[by], hi[by], owner[by]
             s = _unpack(get_file(f"{path}/side-{block}.bin"))
             row, base = s["row"].astype(np.int64), 0
-            for ids, data, off in _read_block(path, block):
+            for named, ids, data, off in _read_block(path, block):
                 a, z = np.searchsorted(row, base), np.searchsorted(row, base + len(ids))
                 at = off[row[a:z] - base] + s["pos"][a:z]
                 doc, num = ids[row[a:z] - base], s["number"][a:z].astype(np.int64)
@@ -399,7 +488,7 @@ def _results(path: str, length: int):
                 kept_off = np.r_[0, np.cumsum(~gone)][off]
                 spans = pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.StructArray.from_arrays([pa.array(opens - np.repeat(off[:-1], np.diff(first)), pa.int64()), pa.array(closes - np.repeat(off[:-1], np.diff(first)), pa.int64())], names=["start", "end"]))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids, pa.int64(), mask=ids == LAST_ID), pa.array(np.diff(off), pa.int64()), spans, pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ids), [None, pa.py_buffer(kept_off.astype(np.int64).tobytes()), pa.py_buffer(kept.tobytes())]).cast(pa.binary())],
+                    [named, pa.array(np.diff(off), pa.int64()), spans, pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ids), [None, pa.py_buffer(kept_off.astype(np.int64).tobytes()), pa.py_buffer(kept.tobytes())]).cast(pa.binary())],
                     names=["doc_id", "n_bytes", "spans", "kept"],
                 )
                 base += len(ids)
@@ -411,14 +500,18 @@ def suffix_dedup(spark: SparkSession, docs: DataFrame, length: int = 50) -> Data
     """doc_id, n_bytes, spans (array of start, end: the maximal removed runs), kept (the remaining bytes) of every row of ``docs``."""
     if not GRAM < length <= 255:
         raise ValueError(f"length must lie between {GRAM + 1} and 255")
-    ws, parts = Workspace(spark, "suffix"), partitions_for(spark)
-    sent = plain(docs, "doc_id", "text").mapInArrow(_write_blocks(ws.path, length, parts), _MESSAGE_SQL)
-    shared = ws.write(sent.repartitionById(parts, F.col("part")).select("block", "kind", "blob").mapInArrow(_shared_grams, _REPLY_SQL), "shared")
-    size = shared.where(F.col("kind") == GRAMS).agg(F.coalesce(F.sum(F.octet_length("blob")), F.lit(0))).first()[0] // 8
-    sample = shared.where((F.col("kind") == SAMPLE) & (F.octet_length("blob") > 0)).orderBy(F.xxhash64("block")).limit(512).select(F.substring("blob", 1, 4096).alias("blob")).collect()  # 2 MB at most
+    ws = Workspace(spark, "suffix")
+    docs = settled(ws, plain(docs, "doc_id", "text"))
+    parts = partitions_for(spark, docs)
+    sent = docs.mapInArrow(tidy(_write_blocks(ws.path, length, parts)), _MESSAGE_SQL)
+    shared = ws.write(sent.repartitionById(parts, F.col("part")).select("block", "kind", "blob").mapInArrow(tidy(_shared_grams), _REPLY_SQL), "shared")
+    sizes = shared.where(F.col("kind") == GRAMS).agg(F.coalesce(F.sum(F.octet_length("blob")), F.lit(0)).alias("n")).first()
+    hot = sum(int.from_bytes(r["blob"], "little") for r in shared.where(F.col("kind") == HOT).select("blob").collect())  # a number a range
+    near = smallest_hashes(shared.where((F.col("kind") == SAMPLE) & (F.octet_length("blob") > 0)), F.xxhash64("block"), shared.where(F.col("kind") == SAMPLE).count(), 512)
+    sample = near.orderBy(F.xxhash64("block"), "block").limit(512).select(F.substring("blob", 1, 4096).alias("blob")).collect()  # 2 MB at most
     grams = np.sort(np.frombuffer(b"".join(bytes(r["blob"]) for r in sample), f"S{GRAM}"))
-    buckets = max(parts, int(size * 2 * length // (32 << 20)))
+    buckets = max(parts, int((sizes["n"] // 8 * 2 + hot * (length - GRAM + 1)) * length // (32 << 20)))
     splitters = sorted({bytes(grams[i * len(grams) // buckets]).ljust(GRAM, b"\0") for i in range(1, buckets)}) if len(grams) else []
-    told = shared.repartition(parts, "block").sortWithinPartitions("block").mapInArrow(_send_contexts(ws.path, length, splitters), _MESSAGE_SQL)
-    owners = ws.write(told.repartitionById(len(splitters) + 1, F.col("part")).select("block", "kind", "blob").mapInArrow(_owners(length), _REPLY_SQL), "owners")
-    return owners.repartition(parts, "block").sortWithinPartitions("block").mapInArrow(_results(ws.path, length), "doc_id long, n_bytes long, spans array<struct<start: long, end: long>>, kept binary")
+    told = shared.where("block >= 0").repartition(parts, "block").sortWithinPartitions("block").mapInArrow(tidy(_send_contexts(ws.path, length, splitters, buckets)), _MESSAGE_SQL)
+    owners = ws.write(told.repartitionById(max(len(splitters) + 1, buckets), F.col("part")).select("block", "kind", "blob").mapInArrow(tidy(_owners(length)), _REPLY_SQL), "owners")
+    return owners.repartition(parts, "block").sortWithinPartitions("block").mapInArrow(tidy(_results(ws.path, length)), "doc_id long, n_bytes long, spans array<struct<start: long, end: long>>, kept binary")

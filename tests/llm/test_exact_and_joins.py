@@ -133,3 +133,38 @@ def test_null_ids_do_not_crash(spark):
     assert exact_dedup(spark, rows).count() == 3
     assert jaccard_components(spark, rows).count() == 3
     assert suffix_dedup(spark, rows).count() == 3
+
+
+@pytest.mark.parametrize("hot", [1, 100_000])
+def test_suffix_dedup_of_a_gram_with_many_surroundings(spark, monkeypatch, hot, tmp_path):
+    """Strings instead of contexts give the same result: the bound is lowered so far that all grams go that way."""
+    from sparkloom.llm import suffix_dedup as S
+
+    r = random.Random(7)
+    common = "the very same sentence stands in nearly every document of this corpus"
+    rows = [(i, "".join(r.choices("abc ", k=r.randint(0, 60))) + common[: r.randint(50, len(common))] + "".join(r.choices("abc ", k=r.randint(0, 60)))) for i in range(60)]
+    raw = [(i, t.encode()) for i, t in rows]
+    first = {}
+    for i, b in raw:
+        for k in range(len(b) - 49):
+            first[b[k : k + 50]] = min(i, first.get(b[k : k + 50], i))
+    want = {}
+    for i, b in raw:
+        gone = np.zeros(len(b), bool)
+        for k in range(len(b) - 49):
+            if first[b[k : k + 50]] < i:
+                gone[k : k + 50] = True
+        want[i] = np.frombuffer(b, np.uint8)[~gone].tobytes()
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    docs.repartition(4).write.parquet(str(tmp_path / "docs"))  # several blocks
+    monkeypatch.setattr(S, "BLOCK_BYTES", 500)
+    monkeypatch.setattr(S, "HOT_CONTEXTS", hot)
+    wrapped = S._shared_grams
+
+    def lowered(batches):  # the workers import the module anew
+        S.HOT_CONTEXTS = hot
+        yield from wrapped(batches)
+
+    monkeypatch.setattr(S, "_shared_grams", lowered)
+    got = {x["doc_id"]: bytes(x["kept"]) for x in S.suffix_dedup(spark, spark.read.parquet(str(tmp_path / "docs"))).collect()}
+    assert got == want
