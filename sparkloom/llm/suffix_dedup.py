@@ -242,7 +242,9 @@ def _write_blocks(path: str, length: int, parts: int):
             put_file(f"{path}/block-{block}.arrow", write)
             g = _block_grams(np.concatenate(grams))
             grams.clear()
-            cut = _split(g, parts)
+            home = mix64(g & ~COUNT_BITS)  # hashed again: the selected hashes are the small ones
+            by = np.argsort(home)
+            g, cut = g[by], _split(home[by], parts)
             out = [(q, block, GRAMS, g[cut[q] : cut[q + 1]].tobytes()) for q in range(parts) if cut[q] < cut[q + 1]]
             yield _rows([*out, (block % parts, block, SAMPLE, b"".join(sample))], *_MESSAGE)
 
