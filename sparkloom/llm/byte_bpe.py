@@ -23,6 +23,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,8 +32,9 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import TextView, plain
+from sparkloom.llm.common import TextView, plain, tidy
 
+SLICE = 1 << 19
 LETTER, NUMBER, SPACE, OTHER = range(4)
 # The code points with the White_Space property.
 WHITE_SPACE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
@@ -194,9 +196,12 @@ def token_slices(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
 
 
 class Ranks:
-    """A vocabulary of ranks: pair merging, cache of slices, decoding."""
+    """A vocabulary of ranks: pair merging, cache of slices, decoding.
 
-    CACHE, LONGEST = 300_000, 64
+    The cache stops growing at ``CACHE`` slices, and starts anew where less than ``STALE`` of a block's slices are in a full one.
+    """
+
+    CACHE, LONGEST, STALE = 300_000, 64, 0.7
 
     def __init__(self, path: str):
         with open(path, "rb") as f:
@@ -233,16 +238,17 @@ class Ranks:
     def encode_slices(self, raw: bytes, starts: list[int]) -> list[bytes]:
         """ids of each slice as little-endian uint32 bytes. starts: byte starts, with the end."""
         pieces = [raw[a:b] for a, b in zip(starts, starts[1:], strict=False)]
-        new = set(pieces) - self.cache.keys()
-        if len(self.cache) + len(new) > self.CACHE:
-            self.cache.clear()
-            new = set(pieces)
-        for p in new:
-            self.cache[p] = np.array(self.merge(p), "<u4").tobytes()
-        out = list(map(self.cache.__getitem__, pieces))
-        for p in new:
-            if len(p) > self.LONGEST:
-                del self.cache[p]
+        cache, merge, pack = self.cache, self.merge, array
+        out = list(map(cache.get, pieces))
+        missing = [k for k, x in enumerate(out) if x is None]
+        if missing:
+            fresh = {p: pack("I", merge(p)).tobytes() for p in {pieces[k] for k in missing}}
+            for k in missing:
+                out[k] = fresh[pieces[k]]
+            if len(cache) > self.CACHE and len(missing) > (1 - self.STALE) * len(pieces):
+                cache.clear()
+            if len(cache) <= self.CACHE:
+                cache.update((p, x) for p, x in fresh.items() if len(p) <= self.LONGEST)
         return out
 
     def decode(self, ids: np.ndarray) -> bytes:
@@ -267,7 +273,7 @@ def encode(docs: DataFrame, path: str, with_offsets: bool = False) -> DataFrame:
         for b in batches:
             view = TextView(b.column("text"))
             ids = b.column("doc_id").cast(pa.int64())
-            for i, j, data, off in view.slices():
+            for i, j, data, off in view.slices(SLICE):
                 starts, first = token_slices(data, off)
                 parts = r.encode_slices(data.tobytes(), [*starts.tolist(), len(data)])
                 f = first.tolist()
@@ -278,7 +284,7 @@ def encode(docs: DataFrame, path: str, with_offsets: bool = False) -> DataFrame:
                     cols.append(pa.array([n[f[k] : f[k + 1]].tobytes() for k in range(j - i)], pa.binary()))
                 yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "ids", "starts", "slice_ids"][: len(cols)])
 
-    return plain(docs, "doc_id", "text").mapInArrow(rows, schema)
+    return plain(docs, "doc_id", "text").mapInArrow(tidy(rows), schema)
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
@@ -292,7 +298,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
                 out = [r.decode(np.frombuffer(x, "<u4")) for x in part.column("ids").to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("ids"), pa.array(out, pa.binary())], names=["doc_id", "ids", "decoded"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(rows, "doc_id long, ids binary, decoded binary")
+    return encoded.select("doc_id", "ids").mapInArrow(tidy(rows), "doc_id long, ids binary, decoded binary")
 
 
 def round_trip(docs: DataFrame, path: str) -> DataFrame:
