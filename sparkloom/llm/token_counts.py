@@ -29,9 +29,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from sparkloom.llm.common import TextView, plain
+from sparkloom.llm.common import TextView, plain, tidy
 
-CHUNK_CHARS, OVERLAP_CHARS = 32_768, 512
+CHUNK_CHARS, OVERLAP_CHARS, SLICE = 32_768, 512, 1 << 20
 #: Plain white space at which a text can be cut, and code points whose class as white space differs between libraries.
 CUT = re.compile(r"(?<=[^\s])[ \t\n\r](?=[^\s])")
 DOUBTFUL = re.compile("[\x1c-\x1f\x85]")
@@ -59,7 +59,7 @@ def load(path: str):
 class Encoder:
     """encode(text) -> (ids, starts, ends) with character offsets; count(texts) -> token counts."""
 
-    MEMO = 200_000
+    MEMO, LONGEST, STALE = 300_000, 40, 0.7  # units remembered; a full memo starts anew where less than STALE of a slice's units are in it
 
     def __init__(self, path: str):
         self.tok, self.piece = load(path), path.endswith(".model")
@@ -91,16 +91,36 @@ class Encoder:
         out, skip = [0] * len(texts), set(whole)
         for i, n in zip(whole, self._plain_counts([texts[i] for i in whole]), strict=True):
             out[i] = n
-        units = [[] if i in skip else t.encode().split() for i, t in enumerate(texts)]
-        new = list({u for x in units for u in x} - self.memo.keys())
-        if len(self.memo) + len(new) > self.MEMO:
-            self.memo.clear()
-            new = list({u for x in units for u in x})
-        for at in range(0, len(new), 2000):
-            part = new[at : at + 2000]
-            self.memo.update(zip(part, self._plain_counts([u.decode() for u in part]), strict=True))
-        get = self.memo.__getitem__
-        return [out[i] if i in skip else sum(map(get, x)) for i, x in enumerate(units)]
+        units, ends = [], []
+        for i, t in enumerate(texts):
+            if i not in skip:
+                units += t.encode().split()
+            ends.append(len(units))
+        got = list(map(self.memo.get, units))
+        missing = [k for k, x in enumerate(got) if x is None]
+        if missing:
+            ask, fresh = list({units[k] for k in missing}), {}
+            for at in range(0, len(ask), 2000):
+                part = ask[at : at + 2000]
+                fresh.update(zip(part, self._plain_counts([u.decode() for u in part]), strict=True))
+            for k in missing:
+                got[k] = fresh[units[k]]
+            if len(self.memo) > self.MEMO and len(missing) > (1 - self.STALE) * len(units):
+                self.memo.clear()
+            if len(self.memo) <= self.MEMO:
+                self.memo.update((u, n) for u, n in fresh.items() if len(u) <= self.LONGEST)
+        upto = np.r_[0, np.cumsum(np.array(got, np.int64))]
+        for i, (a, z) in enumerate(zip([0, *ends], ends, strict=False)):
+            if i not in skip:
+                out[i] = int(upto[z] - upto[a])
+        return out
+
+
+def encoder_of(path: str) -> Encoder:
+    """Once per worker process, with its memo."""
+    if ("encoder", path) not in _LOADED:
+        _LOADED["encoder", path] = Encoder(path)
+    return _LOADED["encoder", path]
 
 
 class Resync:
@@ -152,7 +172,7 @@ class Resync:
 def count_column(column: pa.Array, encoder: Encoder, chunk: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS) -> np.ndarray:
     view = TextView(column)
     out = np.zeros(len(view), np.int64)
-    for i, j, data, off in view.slices():
+    for i, j, data, off in view.slices(SLICE):
         raw = data.tobytes()
         texts = [raw[off[k] : off[k + 1]].decode("utf-8", "replace") for k in range(j - i)]
         short = [k for k, t in enumerate(texts) if len(t) <= chunk]
@@ -166,9 +186,9 @@ def token_counts(docs: DataFrame, path: str, limit: int = 2048, chunk: int = CHU
     """doc_id, n_bytes, n_tokens, over_limit (n_tokens > limit) for every row of ``docs`` (doc_id, text)."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path)
+        encoder = encoder_of(path)
         for b in batches:
             n = count_column(b.column("text"), encoder, chunk, overlap)
             yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array(TextView(b.column("text")).lengths), pa.array(n), pa.array(n > limit)], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
-    return plain(docs, "doc_id", "text").mapInArrow(rows, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return plain(docs, "doc_id", "text").mapInArrow(tidy(rows), "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
