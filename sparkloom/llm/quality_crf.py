@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import IS_GAP, U64, TextView, plain, smallest_hashes, word_hashes
+from sparkloom.llm.common import IS_GAP, U64, TextView, plain, smallest_hashes, tidy, word_hashes
 
 _KIND = np.full(256, 5, np.uint8)  # 0 upper, 1 lower, 2 digit, 3 blank, 4 sentence mark, 5 other ASCII mark, 6 beyond ASCII
 _KIND[65:91], _KIND[97:123], _KIND[48:58], _KIND[[32, 9, 11, 12, 13]] = 0, 1, 2, 3
@@ -340,7 +340,7 @@ def score(docs: DataFrame, model: Model | None, share: float) -> DataFrame:
             out = [document_scores(model, share, data, off) for _, _, data, off in TextView(b.column("text")).slices(WINDOW)]
             yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array(np.concatenate(out) if out else np.zeros(0))], names=["doc_id", "score"])
 
-    return plain(docs, "doc_id", "text").mapInArrow(rows, "doc_id long, score double")
+    return plain(docs, "doc_id", "text").mapInArrow(tidy(rows), "doc_id long, score double")
 
 
 def quality(spark: SparkSession, docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import IS_GAP, TextView, Workspace, filesystem, get_file, partitions_for, plain, put_file
+from sparkloom.llm.common import IS_GAP, TextView, Workspace, filesystem, get_file, partitions_for, plain, put_file, tidy
 
 NO_ID = -(1 << 63)
 SHARD_BYTES, READ_BYTES, CODE_BYTES = 256 << 20, 4 << 20, 1 << 20
@@ -350,7 +350,7 @@ def write_records(spark: SparkSession, docs: DataFrame, path: str, tokenizer: st
     part = F.size(F.filter(bounds, lambda x: x < key)) + F.floor(share * own / (1 << 20))
     placed = docs.withColumn("_share", share).withColumn("_part", F.least(part, F.lit(tasks - 1)).cast("int"))
     sorted_ = placed.repartitionById(tasks, F.col("_part")).sortWithinPartitions(F.asc_nulls_first("doc_id"), "_share", F.asc_nulls_first("text")).select("doc_id", "text")
-    done = sorted_.mapInArrow(_write_shards(path, tokenizer, end_id, shard_bytes), "shard string, records long, ids long").collect()  # a row a file of shard_bytes
+    done = sorted_.mapInArrow(tidy(_write_shards(path, tokenizer, end_id, shard_bytes)), "shard string, records long, ids long").collect()  # a row a file of shard_bytes
     rows, start = [], 0
     for r in sorted(done, key=lambda r: [int(x) for x in r["shard"].split("-")]):
         rows.append((r["shard"], r["records"], r["ids"], start))

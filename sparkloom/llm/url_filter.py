@@ -2,13 +2,15 @@
 
 A rule (host, path, verdict) fits its host and all subdomains where the url's path starts with the rule's; the longest rule wins.
 URLs that a rule decides are the labelled URLs. The trees are trained on a bounded sample of them (``sample`` rows with the
-smallest hash of their url) with logistic loss; features: lengths of url, host, path and query, depth, host labels, digit ratio,
+smallest hash of url and page_id) with logistic loss; features: lengths of url, host, path and query, depth, host labels, digit ratio,
 other marks, entropy of the url's bytes, number of parameters, longest run of digits, fragment, scheme, and the statistics of the
 host's suffix (its last label): how many urls have it, and its smoothed share of blocked ones among the labelled. Suffix statistics
 count all urls. A url that no rule fits is blocked where its predicted chance to be blocked is 0.5 or more.
 
 Null urls and those without ``://`` have empty host and path, no rule, and go to the trees like others. Without labelled urls of
-both verdicts, the verdict is that of the labelled ones, or allow. Repeated page_ids each give a row; an empty table gives none.
+both verdicts, the verdict is that of the labelled ones, or allow. Repeated page_ids each give a row; an empty table gives none. Rules of equal
+length that fit a url are equal, so there are no ties. Very long urls are judged whole, 2,000 urls at a time. Extra columns, also such
+whose names differ only in case, are ignored.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import TextView, heavy_at, join_by_key, lowered_az, plain
+from sparkloom.llm.common import TextView, heavy_at, join_by_key, lowered_az, plain, smallest_hashes
 
 Rule = tuple[str, str]  # "host/path", "allow" or "block"
 
@@ -144,7 +146,9 @@ def url_filter(spark: SparkSession, pages: DataFrame, rules: Sequence[Rule], sam
     joined = join_by_key(named, stats, "suffix", "n", heavy_at(total))
     model = None
     if 0 < bad < known:
-        picked = joined.where(F.col("said").isNotNull()).orderBy(F.xxhash64("url"), "page_id").limit(sample).select("url", "n", "share", "said").toPandas()  # a stated bound
+        key = F.xxhash64("url", "page_id")
+        near = smallest_hashes(joined.where(F.col("said").isNotNull()), key, known, sample)
+        picked = near.orderBy(key, "page_id").limit(sample).select("url", "n", "share", "said").toPandas()  # a stated bound
         model = Trees().fit(features(pa.array(picked["url"]), picked["n"].to_numpy(), picked["share"].to_numpy()), (picked["said"] == "block").to_numpy(float))
     fallback = float(prior >= 0.5 and known > 0)
 
