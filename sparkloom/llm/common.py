@@ -93,7 +93,7 @@ def partitions_for(spark: SparkSession, docs: DataFrame | None = None) -> int:
     if docs is None:
         return n
     size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return max(n, min(256 * n, size // PART_BYTES))
+    return n if size >= 1 << 60 else max(n, min(256 * n, size // PART_BYTES))  # the planner says 2^63 - 1 where it knows nothing
 
 
 def settled(ws: Workspace, docs: DataFrame) -> DataFrame:

@@ -15,8 +15,10 @@ D words (rare) also sends all its shingles, where it meets the others of its kin
 
 *Verification.* Sets with an equal word are a candidate group, its smallest member leads. First each set is verified against the
 leader that leads most of its groups (if the parity sketches do not rule it out); verified links give components. Groups that
-still span several components are then searched whole, in tiles, for pairs across components whose sizes and parity sketches
-(Hamming distance at most D) admit a link. In ``CLOSEST_ROUNDS`` rounds every component of a group verifies its closest such pair, which
+still span several components are then searched whole for pairs across components whose sizes and parity sketches
+(Hamming distance at most D) admit a link. A group of more than ``TILE`` members is dealt to tiles of two blocks each, none of which lies
+within one component, so it is spread over tasks and a family that is one component already is not compared with itself. In
+``CLOSEST_ROUNDS`` rounds every component of a group verifies its closest such pair, which
 is linear in the group and merges families of near copies; what is still across components after that is verified in full.
 So every pair of different sets that links lies in one component, though not all pairs of a group are ever listed.
 
@@ -37,12 +39,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import U64, TextView, Workspace, as_long, heavy_at, join_by_key, mix64, partitions_for, plain, shingles, splitmix
-from sparkloom.llm.components import connected_components
+from sparkloom.llm.common import U64, TextView, Workspace, as_long, heavy_at, join_by_key, mix64, partitions_for, plain, shingles, splitmix, tidy
+from sparkloom.llm.components import ONE_TASK, connected_components
 
 SKETCH_BITS = 1024
 FILTER_SLOTS = 1 << 19
 PAIRS_A_TASK = 4000
+FEW = 50_000
+TILE = 1024
 CLOSEST_ROUNDS = 2
 _SALT = splitmix(128, 0x9A)
 
@@ -277,20 +281,28 @@ def _verify(limit: Threshold, width: int):
     return rows
 
 
-def verify(spark: SparkSession, docs: DataFrame, pairs: DataFrame, entities: DataFrame, limit: Threshold, width: int) -> DataFrame:
-    """The pairs (a, b) of entities that link. entities: ent, rep (doc_id of one document of the entity)."""
-    parts = partitions_for(spark)
-    fan = pairs.groupBy("a").agg(F.ceil(F.count("*") / PAIRS_A_TASK).cast("int").alias("fan"))
-    members = pairs.join(fan, "a").select(F.col("a").alias("lead"), F.col("b").alias("ent"), F.pmod(F.xxhash64("b"), F.col("fan")).cast("int").alias("salt"))
+def few(table: DataFrame, n: int) -> DataFrame:
+    """A table of ``n`` rows of a few ids: broadcast up to ``FEW`` rows, else joined by a shuffle."""
+    return F.broadcast(table) if n <= FEW else table
+
+
+def verify(spark: SparkSession, ws: Workspace, docs: DataFrame, pairs: DataFrame, entities: DataFrame, limit: Threshold, width: int, name: str) -> DataFrame:
+    """The pairs (a, b) of entities that link, written. pairs: a written table. entities: ent, rep (doc_id of one document of the entity)."""
+    parts, n = partitions_for(spark, docs), pairs.count()
+    heavy = max(PAIRS_A_TASK, n >> 16)  # so at most 65,536 leaders have more pairs
+    fan = pairs.groupBy("a").agg(F.ceil(F.count("*") / heavy).cast("int").alias("fan"))
+    members = pairs.join(F.broadcast(fan.where("fan > 1")), "a", "left").select(F.col("a").alias("lead"), F.col("b").alias("ent"), F.pmod(F.xxhash64("b"), F.coalesce("fan", F.lit(1))).cast("int").alias("salt"))
     leads = fan.select(F.col("a").alias("lead"), F.col("a").alias("ent"), F.explode(F.sequence(F.lit(0), F.col("fan") - 1)).alias("salt"))
-    need = members.unionByName(leads).join(entities.select("ent", "rep"), "ent")
-    # a one-hash filter of at most FILTER_SLOTS rows keeps most documents that no pair needs out of the shuffle of texts
-    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_SLOTS))
-    slots = need.select(slot("rep").alias("slot")).distinct()
-    texts = docs.join(F.broadcast(slots), slot("doc_id") == F.col("slot"), "left_semi")
-    joined = texts.join(need, texts["doc_id"] == need["rep"]).select("lead", "salt", "ent", "text")
+    need = ws.write(few(members.unionByName(leads), 2 * n).join(entities.select("ent", "rep"), "ent"), f"{name}-need")
+    texts = docs
+    if n > FEW:
+        # a one-hash filter of at most FILTER_SLOTS rows keeps most documents that no pair needs out of the shuffle of texts
+        slot = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_SLOTS))
+        slots = need.select(slot("rep").alias("slot")).distinct()
+        texts = docs.join(F.broadcast(slots), slot("doc_id") == F.col("slot"), "left_semi")
+    joined = texts.join(few(need, 2 * n), F.col("doc_id") == F.col("rep")).select("lead", "salt", "ent", "text")
     placed = joined.repartition(parts, "lead", "salt").sortWithinPartitions("lead", "salt", F.col("ent") != F.col("lead"))
-    return placed.select("lead", "ent", "text").mapInArrow(_verify(limit, width), "a long, b long")
+    return ws.write(placed.select("lead", "ent", "text").mapInArrow(tidy(_verify(limit, width)), "a long, b long"), f"{name}-links")
 
 
 def _admit(limit: Threshold):
@@ -311,22 +323,50 @@ def _admit(limit: Threshold):
 
 def admitted(pairs: DataFrame, entities: DataFrame, limit: Threshold) -> DataFrame:
     side = lambda c: entities.select(F.col("ent").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(_admit(limit), "a long, b long")
+    return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(_admit(limit), "a long, b long")
+
+
+def tiled(members: DataFrame, tile: int) -> DataFrame:
+    """Members (gid, ent, comp, g: size of the group) dealt to tiles: tile, side, gid, ent, comp.
+
+    A group of at most ``tile`` members is a tile. A larger one is cut into blocks: a component of half a tile or more has its own
+    blocks, smaller ones are pooled. Two blocks make a tile, unless both are of one component, so a family that is one component
+    already costs a copy for each block of others and not the square of its size.
+    """
+    one = members.where(F.col("g") <= tile).select(F.xxhash64("gid").alias("tile"), F.lit(0).alias("side"), "gid", "ent", "comp")
+    big = members.where(F.col("g") > tile)
+    pool = F.lit(-1).cast("long")  # names the pooled components' blocks together with ``pooled``
+    size = big.groupBy("gid", "comp").agg(F.count("*").alias("c")).withColumn("pooled", F.col("c") * 2 < tile).withColumn("own", F.when(F.col("pooled"), pool).otherwise(F.col("comp")))
+    blocks = size.groupBy("gid", "pooled", "own").agg(F.ceil(F.sum("c") / tile).cast("int").alias("fan"))
+    homes = size.drop("c").join(blocks, ["gid", "pooled", "own"])
+    placed = big.join(homes, ["gid", "comp"]).withColumn("at", F.pmod(F.xxhash64("ent"), F.col("fan")).cast("int"))
+    key = F.xxhash64("own", "pooled", "at")
+    each = blocks.select("gid", "pooled", "own", F.explode(F.sequence(F.lit(0), F.col("fan") - 1)).alias("at")).select("gid", "pooled", "own", key.alias("k"))
+    x, y = (each.select("gid", *[F.col(c).alias(f"{c}_{s}") for c in ("pooled", "own", "k")]) for s in "xy")
+    both = F.col("pooled_x") & F.col("pooled_y") & (F.col("k_x") <= F.col("k_y"))
+    mixed = F.col("pooled_x") & ~F.col("pooled_y")
+    families = ~F.col("pooled_x") & ~F.col("pooled_y") & (F.col("k_x") < F.col("k_y")) & (F.col("own_x") != F.col("own_y"))
+    pairs = x.join(y, "gid").where(both | mixed | families).select("gid", F.xxhash64("gid", "k_x", "k_y").alias("tile"), "k_x", "k_y")
+    part = lambda side, k: F.struct(F.lit(side).alias("side"), F.col(k).alias("k"))
+    pairs = pairs.select("gid", "tile", F.explode(F.when(F.col("k_x") == F.col("k_y"), F.array(part(0, "k_x"))).otherwise(F.array(part(1, "k_x"), part(2, "k_y")))).alias("b"))
+    spread = placed.withColumn("k", key).join(pairs.select("gid", "tile", "b.side", "b.k"), ["gid", "k"])
+    return one.unionByName(spread.select("tile", "side", "gid", "ent", "comp"))
 
 
 def _across(limit: Threshold, closest: bool):
-    """Pairs across components of a group whose sizes and sketches admit a link: the closest of each component, or all.
+    """Pairs across components of a tile whose sizes and sketches admit a link: the closest of each component, or all.
 
-    Rows come sorted by gid. A row (gid, null) names a group that has such a pair; components only grow, so the other groups are done.
+    Rows come sorted by tile. Side 0: all pairs of the tile; sides 1 and 2: one member of each.
     """
 
-    def admit(ents, comps, sizes, words):
-        n = len(ents)
+    def admit(side, comps, sizes, words):
+        n = len(side)
         for at in range(0, n, 64):
             for to in range(at // 1024 * 1024, n, 1024):
                 i, j = slice(at, min(at + 64, n)), slice(to, min(to + 1024, n))
                 a, b = sizes[i][:, None], sizes[j][None, :]
                 ok = (comps[i][:, None] != comps[j][None, :]) & (np.minimum(a, b) * limit.den >= np.maximum(a, b) * limit.num)
+                ok &= (side[i][:, None] == 0) | (side[i][:, None] != side[j][None, :])
                 p, q = np.nonzero(ok)
                 later = p + at < q + to
                 p, q = p[later], q[later]
@@ -335,96 +375,112 @@ def _across(limit: Threshold, closest: bool):
                     good = far <= limit.differ(a[p, 0], b[0, q])
                     yield p[good] + at, q[good] + to, far[good]
 
-    def found(ents, comps, sizes, words):
+    def found(t: pa.Table):
+        ents, comps, sizes = (t.column(c).to_numpy() for c in ("ent", "comp", "n"))
+        words, side, none = fold(t.column("bits").to_pylist()), t.column("side").to_numpy(), np.iinfo(np.int64).max
         if not closest:
-            for p, q, _ in admit(ents, comps, sizes, words):
-                yield ents[p], ents[q]
+            for p, q, far in admit(side, comps, sizes, words):
+                yield np.full(len(p), 0), far, ents[p], ents[q]
             return
-        none = np.iinfo(np.int64).max
         best = np.full(len(ents), none)  # distance, then partner
-        for p, q, far in admit(ents, comps, sizes, words):
+        for p, q, far in admit(side, comps, sizes, words):
             np.minimum.at(best, p, far << 32 | q)
             np.minimum.at(best, q, far << 32 | p)
         has = np.flatnonzero(best != none)
         by = has[np.lexsort((best[has], comps[has]))]
         first = by[np.r_[True, comps[by][1:] != comps[by][:-1]]] if len(by) else by
-        yield ents[first], ents[best[first] & 0xFFFFFFFF]
+        yield comps[first], best[first] >> 32, ents[first], ents[best[first] & 0xFFFFFFFF]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         out: list[np.ndarray] = []
-        live: list[int] = []
         size = 0
 
-        def flush(parts):
+        def flush():
             nonlocal size
-            t, before = pa.Table.from_batches(parts), size
-            for x, y in found(t.column("ent").to_numpy(), t.column("comp").to_numpy(), t.column("n").to_numpy(), fold(t.column("bits").to_pylist())):
-                out.append(np.stack([np.minimum(x, y), np.maximum(x, y)]))
+            t = pa.Table.from_batches(held)
+            for comp, far, x, y in found(t):
+                out.append(np.stack([np.full(len(x), t.column("gid")[0].as_py()), comp, far, np.minimum(x, y), np.maximum(x, y)]))
                 size += len(x)
-            if size > before:
-                live.append(t.column("gid")[0].as_py())
+            held.clear()
 
         def emit():
             nonlocal size
-            m = np.unique(np.concatenate([np.zeros((2, 0), np.int64), *out], axis=1), axis=1)
-            gids = pa.array(live, pa.int64())
-            out.clear(), live.clear()
+            m = np.concatenate([np.zeros((5, 0), np.int64), *out], axis=1)
+            out.clear()
             size = 0
-            return pa.RecordBatch.from_arrays([pa.chunked_array([pa.array(m[0]), gids]).combine_chunks(), pa.chunked_array([pa.array(m[1]), pa.nulls(len(gids), pa.int64())]).combine_chunks()], names=["a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in m], names=["gid", "comp", "far", "a", "b"])
 
         for b in batches:
-            g = b.column("gid").to_numpy()
+            g = b.column("tile").to_numpy()
             cut = [0, *(np.flatnonzero(g[1:] != g[:-1]) + 1).tolist(), len(g)]
             for x, y in zip(cut, cut[1:], strict=False):
                 if x == y:
                     continue
-                if held and held[-1].column("gid")[0].as_py() != g[x]:
-                    flush(held)
-                    held = []
+                if held and held[-1].column("tile")[0].as_py() != g[x]:
+                    flush()
                 held.append(b.slice(x, y - x))
-                if size > 2_000_000:
+                if size > 500_000:
                     yield emit()
         if held:
-            flush(held)
+            flush()
         yield emit()
 
     return rows
 
 
-def jaccard_components(spark: SparkSession, docs: DataFrame, num: int = 75, den: int = 100, width: int = 5) -> DataFrame:
+def jaccard_components(spark: SparkSession, docs: DataFrame, num: int = 75, den: int = 100, width: int = 5, tile: int = TILE, one_task: int = ONE_TASK) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links) for every row of ``docs`` (doc_id, text)."""
-    ws, parts, limit = Workspace(spark, "parity"), partitions_for(spark), Threshold(num, den)
+    ws, limit = Workspace(spark, "parity"), Threshold(num, den)
     docs = plain(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
-    sent = docs.mapInArrow(_send(limit, parts, width), "part int, blob binary, doc_id long, n long, ent long, bits binary")
-    met = ws.write(sent.repartitionById(parts, F.col("part")).mapInArrow(_meet, _FOUND), "met")
+    parts = partitions_for(spark, docs)
+    sent = docs.mapInArrow(tidy(_send(limit, parts, width)), "part int, blob binary, doc_id long, n long, ent long, bits binary")
+    met = ws.write(sent.repartitionById(parts, F.col("part")).mapInArrow(tidy(_meet), _FOUND), "met")
     rows = met.where(F.col("kind") == DOCUMENT).select(F.col("a").alias("doc_id"), "n", F.col("b").alias("ent"))
     entities = ws.write(met.where((F.col("kind") == DOCUMENT) & (F.col("n") > 0) & F.col("a").isNotNull()).groupBy(F.col("b").alias("ent")).agg(F.min("a").alias("rep"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.count("*").alias("copies")), "entities")
     led = met.where(F.col("kind") == PAIR).groupBy("a", "b").agg(F.sum("n").alias("words"))
-    pairs = ws.write(led.groupBy("b").agg(F.max(F.struct("words", "a")).alias("m")).select("m.a", "b"), "pairs")
+    pairs = led.groupBy("b").agg(F.max(F.struct("words", "a")).alias("m")).select("m.a", "b")
     texts = docs.where("doc_id IS NOT NULL")
-    links = ws.write(verify(spark, texts, ws.write(admitted(pairs, entities, limit), "admitted"), entities, limit, width), "links")
-    labels = connected_components(spark, ws, links, "first")
+    tried = ws.write(admitted(pairs, entities, limit), "admitted")
+    links = verify(spark, ws, texts, tried, entities, limit, width, "first")
+    labels = connected_components(spark, ws, links, "first", one_task)
 
-    groups = ws.write(met.where(F.col("kind") == GROUP).select(F.col("a").alias("gid"), F.col("b").alias("ent")).distinct(), "groups")
-    tried = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    groups = met.where(F.col("kind") == GROUP).select(F.col("a").alias("gid"), F.col("b").alias("ent")).distinct()
+    tried = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     for k in range(CLOSEST_ROUNDS + 1):
-        labelled = ws.write(groups.join(labels.withColumnRenamed("node", "ent"), "ent", "left").select("gid", "ent", F.coalesce("comp", "ent").alias("comp")), f"open-{k}")
-        spans = labelled.groupBy("gid").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("gid")
-        members = labelled.join(spans, "gid").join(entities.select("ent", "n", "bits"), "ent").repartition(parts, "gid").sortWithinPartitions("gid").select("gid", "ent", "comp", "n", "bits")
-        said = ws.write(members.mapInArrow(_across(limit, k < CLOSEST_ROUNDS), "a long, b long"), f"said-{k}")
-        groups = groups.join(said.where("b IS NULL").select(F.col("a").alias("gid")), "gid", "left_semi")
-        across = ws.write(said.where("b IS NOT NULL").distinct().join(tried, ["a", "b"], "left_anti"), f"across-{k}")
+        labelled = groups.join(few(labels.withColumnRenamed("node", "ent"), labels.count()), "ent", "left").select("gid", "ent", F.coalesce("comp", "ent").alias("comp"))
+        spans = labelled.groupBy("gid").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("g")).where("lo <> hi").select("gid", "g")
+        groups = ws.write(labelled.join(spans, "gid"), f"open-{k}")  # components only grow, so the other groups are done
+        n, most = groups.agg(F.count("*"), F.max("g")).first()
+        if not n:
+            break
+        dealt = tiled(groups, tile) if most > tile else groups.select(F.col("gid").alias("tile"), F.lit(0).alias("side"), "gid", "ent", "comp")
+        members = few(dealt, n if most <= tile else FEW + 1).join(entities.select("ent", "n", "bits"), "ent").repartition(parts, "tile").sortWithinPartitions("tile").select("tile", "side", "gid", "ent", "comp", "n", "bits")
+        said = ws.write(members.mapInArrow(tidy(_across(limit, k < CLOSEST_ROUNDS)), "gid long, comp long, far long, a long, b long"), f"said-{k}")
+        n = said.count()
+        if not n:
+            break
+        groups = groups.join(few(said.select("gid").distinct(), n), "gid", "left_semi").select("gid", "ent")
+        if k < CLOSEST_ROUNDS and most > tile:  # the closest of the tiles' closest
+            said = said.groupBy("gid", "comp").agg(F.min(F.struct("far", "a", "b")).alias("m")).select("m.a", "m.b")
+        new = said.select("a", "b").distinct()
+        across = ws.write(few(new, n).join(tried, ["a", "b"], "left_anti") if n > FEW else _without(new, tried), f"across-{k}")
         if across.isEmpty():
             continue  # nothing new is close; the last round still searches in full
         tried = tried.unionByName(across)
-        links = links.unionByName(ws.write(verify(spark, texts, across, entities, limit, width), f"links-{k}"))
-        labels = connected_components(spark, ws, links, f"cc-{k}")
+        links = links.unionByName(verify(spark, ws, texts, across, entities, limit, width, f"round-{k}"))
+        labels = connected_components(spark, ws, links, f"cc-{k}", one_task)
 
-    labelled = entities.join(labels.withColumnRenamed("node", "ent"), "ent", "left").select("ent", "rep", "copies", F.coalesce("comp", "ent").alias("comp"))
+    labelled = entities.join(few(labels.withColumnRenamed("node", "ent"), labels.count()), "ent", "left").select("ent", "rep", "copies", F.coalesce("comp", "ent").alias("comp"))
     smallest = labelled.groupBy("comp").agg(F.min("rep").alias("component_id"))
     named = ws.write(labelled.join(smallest, "comp").select("ent", "copies", "component_id"), "named")
     n = rows.count()
     linked = join_by_key(rows.where("n > 0 AND doc_id IS NOT NULL"), named, "ent", "copies", heavy_at(n)).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     alone = rows.where("n = 0 OR doc_id IS NULL").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return linked.unionByName(alone)
+
+
+def _without(new: DataFrame, tried: DataFrame) -> DataFrame:
+    """The pairs of ``new``, at most ``FEW``, that are not in ``tried``: only those of ``tried`` that are in ``new`` are compared."""
+    again = tried.join(F.broadcast(new), ["a", "b"], "left_semi").distinct()
+    return new.join(F.broadcast(again), ["a", "b"], "left_anti")

@@ -168,3 +168,30 @@ def test_suffix_dedup_of_a_gram_with_many_surroundings(spark, monkeypatch, hot,
     monkeypatch.setattr(S, "_shared_grams", lowered)
     got = {x["doc_id"]: bytes(x["kept"]) for x in S.suffix_dedup(spark, spark.read.parquet(str(tmp_path / "docs"))).collect()}
     assert got == want
+
+
+@pytest.mark.parametrize("tile, one_task", [(4, 10**6), (1024, 0), (3, 0)])
+def test_jaccard_components_of_a_large_family(spark, tile, one_task):
+    """Tiles and distributed components give what brute force gives: near copies in chains, so groups span several components."""
+    r = random.Random(11)
+    vocab = [f"w{i}" for i in range(400)]
+    rows = []
+    for family in range(4):
+        w = r.choices(vocab, k=40)
+        for _ in range(25):
+            w = list(w)
+            w[r.randrange(len(w))] = r.choice(vocab)
+            rows.append((len(rows) * 13 % 1009, " ".join(w)))
+    sets, parent = {i: shingles(t) for i, t in rows}, {i: i for i, _ in rows}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in itertools.combinations(sets, 2):
+        if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+            x, y = find(a), find(b)
+            parent[max(x, y)] = min(x, y)
+    got = {r["doc_id"]: r["component_id"] for r in jaccard_components(spark, frame(spark, rows), tile=tile, one_task=one_task).collect()}
+    assert got == {i: find(i) for i in sets}
