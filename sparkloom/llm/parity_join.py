@@ -18,7 +18,7 @@ leader that leads most of its groups (if the parity sketches do not rule it out)
 still span several components are then searched whole for pairs across components whose sizes and parity sketches
 (Hamming distance at most D) admit a link. A group of more than ``TILE`` members is dealt to tiles of two blocks each, none of which lies
 within one component, so it is spread over tasks and a family that is one component already is not compared with itself. In
-``CLOSEST_ROUNDS`` rounds every component of a group verifies its closest such pair, which
+``CLOSEST_ROUNDS`` (one: a second found nothing new) rounds every component of a group verifies its closest such pair, which
 is linear in the group and merges families of near copies; what is still across components after that is verified in full.
 So every pair of different sets that links lies in one component, though not all pairs of a group are ever listed.
 
@@ -45,9 +45,9 @@ from sparkloom.llm.components import ONE_TASK, connected_components
 SKETCH_BITS = 1024
 FILTER_SLOTS = 1 << 19
 PAIRS_A_TASK = 4000
-FEW = 50_000
+FEW = 100_000
 TILE = 1024
-CLOSEST_ROUNDS = 2
+CLOSEST_ROUNDS = 1
 _SALT = splitmix(128, 0x9A)
 
 
@@ -445,12 +445,13 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, num: int = 75, den:
     links = verify(spark, ws, texts, tried, entities, limit, width, "first")
     labels = connected_components(spark, ws, links, "first", one_task)
 
-    groups = met.where(F.col("kind") == GROUP).select(F.col("a").alias("gid"), F.col("b").alias("ent")).distinct()
+    groups = ws.write(met.where(F.col("kind") == GROUP).select(F.col("a").alias("gid"), F.col("b").alias("ent")).distinct(), "groups")
     tried = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     for k in range(CLOSEST_ROUNDS + 1):
         labelled = groups.join(few(labels.withColumnRenamed("node", "ent"), labels.count()), "ent", "left").select("gid", "ent", F.coalesce("comp", "ent").alias("comp"))
         spans = labelled.groupBy("gid").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("g")).where("lo <> hi").select("gid", "g")
-        groups = ws.write(labelled.join(spans, "gid"), f"open-{k}")  # components only grow, so the other groups are done
+        spans = ws.write(spans, f"spans-{k}")
+        groups = ws.write(labelled.join(few(spans, spans.count()), "gid"), f"open-{k}")  # components only grow, so the other groups are done
         n, most = groups.agg(F.count("*"), F.max("g")).first()
         if not n:
             break
