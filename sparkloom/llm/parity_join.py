@@ -4,7 +4,7 @@ A document's set is its distinct 5-word shingles, as 64-bit hashes. Two document
 so their symmetric difference is at most D = (|A| + |B|) (den - num) / (den + num).
 
 *Sketch.* Every shingle is XORed into one of the words of a sketch. A shingle in only one of two sets changes one word, so the
-number of words that differ is at most the symmetric difference (the same holds bit by bit for a parity sketch of 1024 bits or more, in which a
+number of words that differ is at most the symmetric difference (the same holds bit by bit for a parity sketch of 512 bits or more, in which a
 shingle flips one bit).
 
 *Pigeonhole join per size band.* Bands are powers of two of the set size; a pair meets in the band of its larger set. Sketches of a
@@ -42,10 +42,10 @@ from pyspark.sql import functions as F
 from sparkloom.llm.common import U64, TextView, Workspace, as_long, heavy_at, join_by_key, mix64, partitions_for, plain, shingles, splitmix, tidy
 from sparkloom.llm.components import ONE_TASK, connected_components
 
-SKETCH_BITS = 1024
+SKETCH_BITS = 512
 FILTER_SLOTS = 1 << 19
 PAIRS_A_TASK = 4000
-FEW = 100_000
+FEW = 200_000
 TILE = 1024
 CLOSEST_ROUNDS = 1
 _SALT = splitmix(128, 0x9A)
@@ -82,9 +82,9 @@ def set_ids(h: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
 
 
 def parity_bits(h: np.ndarray, row: np.ndarray, n: int) -> list[bytes]:
-    """Parity sketch of each row: shingle h flips bit h mod m, where m is a power of two of at least 1024 and four times the set's size."""
+    """Parity sketch of each row: shingle h flips bit h mod m, where m is a power of two of at least ``SKETCH_BITS`` and twice the set's size."""
     size = np.bincount(row, minlength=n)
-    width = np.maximum(SKETCH_BITS, 1 << np.frexp(np.maximum(4 * size - 1, 1))[1]).astype(np.int64)
+    width = np.maximum(SKETCH_BITS, 1 << np.frexp(np.maximum(2 * size - 1, 1))[1]).astype(np.int64)
     out: list[bytes] = [b""] * n
     for m in np.unique(width).tolist():
         rows = np.flatnonzero(width == m)
@@ -326,8 +326,8 @@ def admitted(pairs: DataFrame, entities: DataFrame, limit: Threshold) -> DataFra
     return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(_admit(limit), "a long, b long")
 
 
-def tiled(members: DataFrame, tile: int) -> DataFrame:
-    """Members (gid, ent, comp, g: size of the group) dealt to tiles: tile, side, gid, ent, comp.
+def tiled(members: DataFrame, n: int, tile: int) -> DataFrame:
+    """The ``n`` members (gid, ent, comp, g: size of the group) dealt to tiles: tile, side, gid, ent, comp.
 
     A group of at most ``tile`` members is a tile. A larger one is cut into blocks: a component of half a tile or more has its own
     blocks, smaller ones are pooled. Two blocks make a tile, unless both are of one component, so a family that is one component
@@ -338,7 +338,7 @@ def tiled(members: DataFrame, tile: int) -> DataFrame:
     pool = F.lit(-1).cast("long")  # names the pooled components' blocks together with ``pooled``
     size = big.groupBy("gid", "comp").agg(F.count("*").alias("c")).withColumn("pooled", F.col("c") * 2 < tile).withColumn("own", F.when(F.col("pooled"), pool).otherwise(F.col("comp")))
     blocks = size.groupBy("gid", "pooled", "own").agg(F.ceil(F.sum("c") / tile).cast("int").alias("fan"))
-    homes = size.drop("c").join(blocks, ["gid", "pooled", "own"])
+    homes = size.drop("c").join(few(blocks, 3 * n // tile), ["gid", "pooled", "own"])  # a block holds half a tile or is the last of its group
     placed = big.join(homes, ["gid", "comp"]).withColumn("at", F.pmod(F.xxhash64("ent"), F.col("fan")).cast("int"))
     key = F.xxhash64("own", "pooled", "at")
     each = blocks.select("gid", "pooled", "own", F.explode(F.sequence(F.lit(0), F.col("fan") - 1)).alias("at")).select("gid", "pooled", "own", key.alias("k"))
@@ -455,8 +455,8 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, num: int = 75, den:
         n, most = groups.agg(F.count("*"), F.max("g")).first()
         if not n:
             break
-        dealt = tiled(groups, tile) if most > tile else groups.select(F.col("gid").alias("tile"), F.lit(0).alias("side"), "gid", "ent", "comp")
-        members = few(dealt, n if most <= tile else FEW + 1).join(entities.select("ent", "n", "bits"), "ent").repartition(parts, "tile").sortWithinPartitions("tile").select("tile", "side", "gid", "ent", "comp", "n", "bits")
+        dealt = tiled(groups, n, tile) if most > tile else groups.select(F.col("gid").alias("tile"), F.lit(0).alias("side"), "gid", "ent", "comp")
+        members = few(dealt, 2 * n if most <= tile else FEW + 1).join(entities.select("ent", "n", "bits"), "ent").repartition(parts, "tile").sortWithinPartitions("tile").select("tile", "side", "gid", "ent", "comp", "n", "bits")
         said = ws.write(members.mapInArrow(tidy(_across(limit, k < CLOSEST_ROUNDS)), "gid long, comp long, far long, a long, b long"), f"said-{k}")
         n = said.count()
         if not n:
