@@ -5,6 +5,8 @@ Word lists are our own small neutral ones for the languages of the test tables.
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_right
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
@@ -72,9 +74,13 @@ def sentences(text: Column) -> Column:
 
 
 def hard_cut(text: Column, size: int = CHUNK) -> Column:
-    """Pieces of at most ``size`` characters; an empty text is one empty piece."""
-    n = F.greatest(F.lit(1), F.ceil(F.length(text) / size)).cast("int")
-    return F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.substring(text, k * size + 1, F.lit(size)))
+    """Pieces of at most ``size`` characters, cut in one pass; an empty text is one empty piece."""
+    return F.when(text == "", F.array(F.lit(""))).otherwise(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{size}}}"), F.lit(0)))
+
+
+def piece_count(text: Column, size: int = CHUNK) -> Column:
+    """How many pieces :func:`hard_cut` gives."""
+    return F.greatest(F.lit(1), F.ceil(F.length(text) / size)).cast("int")
 
 
 def pack_chunks(text: Column, size: int = CHUNK) -> Column:
@@ -137,6 +143,21 @@ def sha(text: Column) -> Column:
     return F.sha2(text, 256)
 
 
+#: Families of quotation marks; a mark closes only what one of its own family opened.
+QUOTES = ('"“”„', "'‘’‚", "«»")
+
+
+def quoted(text: Column, least: int = 1, most: int = 200, families: Sequence[str] = QUOTES) -> Column:
+    """Quoted spans of one line, family by family, duplicates kept, blanks collapsed, of ``least`` to ``most`` characters.
+
+    What stands before a mark decides: no letter or digit before one that opens, no blank before one that closes. Hence a span is two marks
+    of a family without another between them, and a mark that cannot close leaves the search to begin again at itself.
+    """
+    found = [F.regexp_extract_all(text, F.lit(rf"(?<![\p{{L}}\p{{Nd}}])[{m}]([^{m}\n]*)(?<![\s\p{{Z}}])[{m}]"), F.lit(1)) for m in families]
+    plain = F.transform(F.concat(*found), lambda q: F.trim(F.regexp_replace(q, r"[\s\p{Z}]+", " ")))
+    return F.filter(plain, lambda q: F.length(q).between(least, most))
+
+
 # ---------------------------------------------------------------- order-dependent kernels (Arrow batches)
 
 NORMAL = T.StructType([T.StructField("norm", T.StringType()), T.StructField("offset_map", T.ArrayType(T.IntegerType())), T.StructField("rules", T.ArrayType(T.StringType()))])
@@ -176,45 +197,42 @@ def normalise(raw: str) -> tuple[str, list[int], list[str]]:
 
 
 def to_raw(offsets: Sequence[int], raw_length: int, start: int, end: int) -> tuple[int, int]:
-    """Raw span of a span of the normalised text; one raw character may have given several."""
-    if end <= start:
-        return offsets[start] if start < len(offsets) else raw_length, offsets[start] if start < len(offsets) else raw_length
-    last = offsets[end - 1]
-    stop = next((o for o in offsets[end:] if o != last), raw_length)
-    return offsets[start], stop
+    """Raw span of a span of the normalised text. Offsets ascend, so the raw character behind the span's last one is found by bisection,
+    however many normalised characters that one gave."""
 
+    def raw(k: int) -> int:
+        return offsets[k] if k < len(offsets) else raw_length
 
-@F.pandas_udf(NORMAL)
-def normalise_udf(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-    for s in batches:
-        yield pd.DataFrame([normalise(x or "") for x in s], columns=["norm", "offset_map", "rules"])
+    return raw(start), raw(bisect_right(offsets, offsets[end - 1])) if end > start else raw(start)
 
 
-def quoted(text: str, least: int = 1, most: int = 200, marks: str = "\"'“”‘’«»") -> list[str]:
-    """Quoted spans: a mark opens where no letter or digit stands before it, else closes; line feeds end an open quote."""
-    out, start = [], None
-    for i, c in enumerate(text):
-        if c == "\n":
-            start = None
-        elif c in marks:
-            before = text[i - 1] if i else " "
-            if start is None:
-                if not before.isalnum():
-                    start = i + 1
-            elif before.isspace():
-                start = i + 1
-            else:
-                span = " ".join(text[start:i].split())
-                if least <= len(span) <= most:
-                    out.append(span)
-                start = None
-    return out
+#: Rules of :func:`normalise` that tell of an attempt to hide a word; long runs and blanks do not.
+EVASIONS = ("invisible", "width")
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def quoted_udf(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+def evasions(rules: Column) -> Column:
+    return F.filter(rules, lambda r: r.isin(*EVASIONS))
+
+
+RAW_WORDS = T.ArrayType(T.StructType([T.StructField("word", T.StringType()), T.StructField("raw_start", T.IntegerType()), T.StructField("raw_end", T.IntegerType()), T.StructField("raw", T.StringType())]))
+
+
+@F.pandas_udf(RAW_WORDS)
+def raw_words_udf(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """The words of the normalised text with their spans in the raw one."""
     for s in batches:
-        yield s.map(lambda x: quoted(x or ""))
+        out = []
+        for text in s.fillna(""):
+            norm, offsets, _ = normalise(text)
+            spans = [(m[0], *to_raw(offsets, len(text), *m.span())) for m in re.finditer(r"\S+", norm)]
+            out.append([{"word": w, "raw_start": a, "raw_end": z, "raw": text[a:z]} for w, a, z in spans])
+        yield pd.Series(out)
+
+
+@F.pandas_udf(NORMAL)
+def normalise_udf(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    for s in batches:
+        yield pd.DataFrame([normalise(x or "") for x in s], columns=["norm", "offset_map", "rules"])
 
 
 def offsets_of(text: str, parts: Sequence[str]) -> list[int]:

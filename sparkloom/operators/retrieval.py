@@ -37,9 +37,11 @@ def lexical_scores(docs: DataFrame, terms: Sequence[str], text: str = "text") ->
     """Rows with at least one word that starts with a term; ``matched`` distinct terms, ``tf`` all hits. No terms: no rows."""
     if not terms:
         return docs.limit(0).withColumns({"matched": F.lit(0), "tf": F.lit(0)})
-    counted = docs.withColumn("_hits", F.transform(F.array(*[F.lit(t) for t in terms]), lambda t: F.size(F.filter(words(F.col(text)), lambda w: w.startswith(t)))))
-    scored = counted.withColumns({"matched": F.size(F.filter("_hits", lambda n: n > 0)), "tf": F.aggregate("_hits", F.lit(0), lambda s, n: s + n)})
-    return scored.where("matched > 0").drop("_hits")
+    # the lambdas bind the words, then the hits, so a text is cut into words once, and the filter stays above the generator
+    begins = lambda t: lambda w: w.startswith(t)
+    hits = F.transform(F.array(words(F.col(text))), lambda own: F.array(*[F.size(F.filter(own, begins(t))) for t in terms]))
+    found = F.transform(hits, lambda h: F.struct(F.size(F.filter(h, lambda n: n > 0)).alias("matched"), F.aggregate(h, F.lit(0), lambda s, n: s + n).alias("tf")))
+    return docs.select("*", F.inline(found)).where("matched > 0")
 
 
 def cosine(a: Column, b: Column) -> Column:

@@ -65,8 +65,8 @@ def sentence_stats(spark, d):
 
 @query("SELECT doc_id, k AS part_no, n AS part_total, sha256(substr(text, k * 700 + 1, 700)) AS part_sha FROM (SELECT doc_id, text, greatest(1, CAST(ceil(length(text) / 700) AS INT)) AS n, unnest(generate_series(0, greatest(1, CAST(ceil(length(text) / 700) AS INT)) - 1)) AS k FROM documents)")
 def chunk_hard_cut(spark, d):
-    c = X.hard_cut(F.col("text"))
-    return _docs(spark, d).select("doc_id", F.size(c).alias("part_total"), F.posexplode(c).alias("part_no", "p")).select("doc_id", "part_no", "part_total", X.sha(F.col("p")).alias("part_sha"))
+    cut = _docs(spark, d).select("doc_id", X.piece_count(F.col("text")).alias("part_total"), X.hard_cut(F.col("text")).alias("c"))
+    return cut.select("doc_id", "part_total", F.posexplode("c").alias("part_no", "p")).select("doc_id", "part_no", "part_total", X.sha(F.col("p")).alias("part_sha"))
 
 
 @query()
@@ -147,20 +147,19 @@ def header_scope(spark, d):
 
 @query()
 def normalize_offsets(spark, d):
-    return _docs(spark, d).withColumn("n", X.normalise_udf(F.col("text"))).select("doc_id", "n.norm", "n.offset_map", "n.rules")
+    return _docs(spark, d).withColumn("n", X.normalise_udf(F.col("text"))).select("doc_id", "n.norm", "n.offset_map", "n.rules", X.evasions(F.col("n.rules")).alias("evasion_flags"))
 
 
 @query()
 def offset_roundtrip(spark, d):
-    """Whether the map has a raw offset for each character and never runs backwards."""
-    n = _docs(spark, d).withColumn("n", X.normalise_udf(F.col("text")))
-    up = F.forall(F.sequence(F.lit(2), F.greatest(F.size("n.offset_map"), F.lit(2))), lambda k: F.coalesce(F.try_element_at("n.offset_map", k) >= F.try_element_at("n.offset_map", k - 1), F.lit(True)))
-    return n.select("doc_id", (F.length("n.norm") == F.size("n.offset_map")).alias("complete"), up.alias("ascending"))
+    """The words of the normalised text as they stand in the raw text, and where."""
+    w = _docs(spark, d).select("doc_id", F.posexplode(X.raw_words_udf(F.col("text"))).alias("k", "w"))
+    return w.select("doc_id", "k", "w.word", "w.raw_start", "w.raw_end", "w.raw")
 
 
 @query()
 def quoted_spans(spark, d):
-    return _docs(spark, d).select("doc_id", F.posexplode(X.quoted_udf(F.col("text"))).alias("k", "quote"))
+    return _docs(spark, d).select("doc_id", F.posexplode(X.quoted(F.col("text"))).alias("k", "quote"))
 
 
 @query()

@@ -108,8 +108,54 @@ def test_normalise_maps_back_over_expanded_characters():
     assert X.to_raw(offsets, 17, 1, 2) == (2, 3)  # one half of the ligature is the whole raw character
 
 
-def test_quotes_open_only_behind_no_letter():
-    assert X.quoted('it\'s "one two" and "three\nfour" "five"') == ["one two", "five"]
+@pytest.mark.parametrize(
+    "text, spans",
+    [
+        ('it\'s "one two" and "three\nfour" "five"', ["one two", "five"]),
+        ("“a  b” 'c' «d e» “f”", ["a b", "f", "c", "d e"]),  # family by family
+        ("\"a' b\" 'x\" y'", ["a' b", 'x" y']),  # another family's mark closes nothing
+        ('"open "again" end', ["again"]),  # a mark behind a blank starts anew
+        ('say "x"y" z', ["x"]),  # a mark behind a letter opens nothing
+        ('"" "a""b"', ["a", "b"]),
+        ("", []),
+    ],
+)
+def test_quotes(spark, text, spans):
+    assert spark.createDataFrame([(text,)], "t string").select(X.quoted(F.col("t"))).first()[0] == spans
+
+
+def test_quote_lengths_and_families(spark):
+    df = spark.createDataFrame([('"abc" \'de\' "f"',)], "t string")
+    assert df.select(X.quoted(F.col("t"), least=2, most=2)).first()[0] == ["de"]
+    assert df.select(X.quoted(F.col("t"), families=["'"])).first()[0] == ["de"]
+
+
+def test_raw_spans_of_normalised_words(spark, sf):
+    from sparkloom import registry
+
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    words = {i: [] for i in texts}
+    for r in registry.queries()["offset_roundtrip"](spark, sf).orderBy("doc_id", "k").collect():
+        text = texts[r["doc_id"]]
+        assert r["raw"] == text[r["raw_start"] : r["raw_end"]]
+        assert X.normalise(r["raw"])[0].strip() == r["word"]
+        words[r["doc_id"]].append((r["word"], r["raw_start"], r["raw_end"]))
+    for i, found in words.items():
+        assert [w for w, _, _ in found] == X.normalise(texts[i] or "")[0].split()
+        assert all(a[2] <= b[1] for a, b in zip(found, found[1:], strict=False))
+
+
+def test_raw_span_at_the_end_and_of_nothing():
+    _, offsets, _ = X.normalise("aﬁ\u200b")
+    assert X.to_raw(offsets, 3, 1, 3) == (1, 3) and X.to_raw(offsets, 3, 0, 1) == (0, 1)
+    assert X.to_raw(offsets, 3, 2, 2) == (1, 1) and X.to_raw(offsets, 3, 3, 3) == (3, 3)
+
+
+def test_hard_cut_counts_its_pieces(spark):
+    texts = ["", "a", "é" * 700, "x\n" * 350 + "😀", "y" * 1401]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", X.hard_cut(F.col("t")).alias("c"), X.piece_count(F.col("t")).alias("n")).collect()
+    for r in rows:
+        assert r["c"] == [r["t"][k : k + 700] for k in range(0, max(1, len(r["t"])), 700)] and r["n"] == len(r["c"])
 
 
 def test_admissible_span_of_short_terms():
