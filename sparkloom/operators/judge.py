@@ -42,7 +42,7 @@ def floors(hits: DataFrame, rules: DataFrame, keys: Sequence[str], code: str) ->
     mine = rules.groupBy(*k).agg(F.max("risk").alias("top"), F.max("family").alias("family"))
     law = rules.groupBy(k[0]).agg(F.lit(True).alias("law_known")).distinct()
     by_code = rules.where(F.col(code).isNotNull()).groupBy(*k, code).agg(F.max(F.when(F.col("cover") == "all", F.col("risk"))).alias("full"), F.max(F.when(F.col("cover") == "partial", F.col("risk"))).alias("part"))
-    j = hits.join(F.broadcast(mine), k, "left").join(F.broadcast(law), k[0], "left").join(F.broadcast(by_code), [*k, code], "left")
+    j = hits.join(mine, k, "left").join(law, k[0], "left").join(by_code, [*k, code], "left")
     known = F.coalesce("law_known", F.lit(False))
     base = F.coalesce("full", F.lit(R1))
     in_family = F.coalesce("family", F.col("sub_items"))
@@ -66,7 +66,7 @@ def ratchet(floor: Column, encoder: Column) -> Column:
 def premise_branches(sentences: DataFrame, premises: DataFrame, category: str) -> DataFrame:
     """Each sentence under each premise of its category; an unknown category takes every premise. premises is a small table."""
     fits = F.col(category).isNull() | (F.col(category) == F.col("of_category"))
-    return sentences.join(F.broadcast(premises), fits)
+    return sentences.join(premises, fits)
 
 
 def recorded(branches: DataFrame, sentence: str) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sparkloom.functions.text import match_norm
+from sparkloom.session import shared_folder
 
 #: Terms are sent to every task; above this many a dictionary is joined through its first characters instead.
 BROADCAST_TERMS = 10_000
@@ -34,18 +35,20 @@ def containing(texts: DataFrame, terms: DataFrame) -> DataFrame:
 
 
 def dictionary_hits(docs: DataFrame, terms: DataFrame, text: str = "text") -> DataFrame:
-    """Theta join: (row, term) where the matching form of the term lies in that of the text, with its first 1-based position there.
-
-    A dictionary of a checked size is broadcast; a larger one meets the text on each term's first characters, with the same rows.
-    """
+    """Theta join: (row, term) where the matching form of the term lies in that of the text, with its first 1-based position there."""
     t = terms.withColumn("term_norm", match_norm(F.col("term")))
     d = docs.withColumn("text_norm", match_norm(F.col(text)))
-    holds = F.expr("instr(text_norm, term_norm) > 0")
-    if t.count() <= BROADCAST_TERMS:
-        joined = d.join(F.broadcast(t), holds)
-    else:
-        joined = d.join(containing(d, t), "text_norm").join(t, "term_norm").select(*d.columns, *t.columns)
-    return joined.withColumn("at", F.expr("instr(text_norm, term_norm)")).drop("text_norm", "term_norm")
+    return contained(d, t).withColumn("at", F.expr("instr(text_norm, term_norm)")).drop("text_norm", "term_norm")
+
+
+def contained(texts: DataFrame, terms: DataFrame, most: int | None = None) -> DataFrame:
+    """Pairs of rows where ``text_norm`` contains ``term_norm``.
+
+    Up to ``most`` terms (``BROADCAST_TERMS``) are broadcast; more meet the texts on their first characters, with the same rows.
+    """
+    if terms.count() <= (BROADCAST_TERMS if most is None else most):
+        return texts.join(F.broadcast(terms), F.expr("instr(text_norm, term_norm) > 0"))
+    return texts.join(containing(texts, terms), "text_norm").join(terms, "term_norm").select(*texts.columns, *terms.columns)
 
 
 def admissible_span(text: str, term: str) -> tuple[int, int] | None | str:
@@ -102,7 +105,7 @@ def only_of(hits: DataFrame, law: str, cites: str) -> DataFrame:
 def routed(rows: DataFrame, scope: DataFrame, category: str) -> DataFrame:
     """Each row with the laws of its category; a law without scope takes all, a row without category goes to all."""
     fits = F.col("scope").isNull() | F.col(category).isNull() | F.array_contains("scope", F.col(category))
-    return rows.join(F.broadcast(scope), fits)
+    return rows.join(scope, fits)
 
 
 def shingle_pairs(docs: DataFrame, key: str, grams: Column, num: int, den: int, most: int | None = None) -> DataFrame:
@@ -128,37 +131,30 @@ def shingle_pairs(docs: DataFrame, key: str, grams: Column, num: int, den: int,
     return scored.where(F.col("c") * den >= F.col("u") * num).select("a", "b", F.round(F.col("c") / F.col("u"), 6).alias("similarity"))
 
 
-def min_label_components(spark: SparkSession, edges: DataFrame, rounds: int = 50) -> DataFrame:
-    """node, comp by iterated smallest labels with pointer jumping; the lineage is cut by reliable checkpoints."""
+def min_label_components(spark: SparkSession, edges: DataFrame) -> DataFrame:
+    """node, comp by iterated smallest labels with pointer jumping until nothing changes; the lineage is cut by reliable checkpoints."""
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        root = spark.conf.get("spark.checkpoint.dir", None)
-        if root is None:
-            import tempfile
-
-            root = tempfile.mkdtemp()  # tests on one machine only
-        spark.sparkContext.setCheckpointDir(root)
-    both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v"))).distinct()
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
+    both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v"))).distinct().checkpoint()
     labels = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("comp"))
-    seen = None
-    for _ in range(rounds):
+    seen, total = None, ()
+    while total != seen:
         near = both.join(labels.select(F.col("u").alias("v"), F.col("comp").alias("c")), "v").groupBy("u").agg(F.min("c").alias("m"))
         step = labels.join(near, "u", "left").select("u", F.least("comp", "m").alias("comp"))
         jump = step.select(F.col("u").alias("comp"), F.col("comp").alias("j"))
         labels = step.join(jump, "comp", "left").select("u", F.least("comp", F.coalesce("j", "comp")).alias("comp")).checkpoint()
-        total = labels.agg(F.sum("comp")).first()[0]
-        if total == seen:
-            break
-        seen = total
+        seen, total = total, labels.agg(F.sum(F.col("comp").cast("decimal(38,0)"))).first()[0]  # labels only get smaller
     return labels.select(F.col("u").alias("node"), "comp")
 
 
 def drop_leaks(train: DataFrame, sealed: DataFrame, text: str, long_key: int = 40) -> DataFrame:
-    """Train rows whose key equals a sealed one, or that contain a long sealed key, go. The sealed side is broadcast if small."""
+    """Train rows whose key equals a sealed one, or that contain a long sealed key, go."""
     keys = sealed.select(match_norm(F.col(text)).alias("_k")).where("_k <> ''").distinct()
     t = train.withColumn("_n", match_norm(F.col(text)))
     equal = t.join(keys, F.col("_n") == F.col("_k"), "left_anti")
-    long = keys.where(F.length("_k") >= long_key)
-    return equal.join(F.broadcast(long), F.expr("instr(_n, _k) > 0"), "left_anti").drop("_n")
+    long = keys.where(F.length("_k") >= long_key).withColumnRenamed("_k", "term_norm")
+    leaks = contained(equal.select(F.col("_n").alias("text_norm")).distinct(), long).select(F.col("text_norm").alias("_n")).distinct()
+    return equal.join(leaks, "_n", "left_anti").select(*train.columns)
 
 
 def duplicate_census(df: DataFrame, page: str) -> DataFrame:

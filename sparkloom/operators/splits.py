@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from sparkloom.session import shared_folder
+
 
 def hash_slot(key: Column, version: str = "v1") -> Column:
     """train, dev or sealed (5:2:3) by SHA-256 of version and key, modulo 10.
@@ -64,19 +66,24 @@ def lost(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return old.select(key).join(new.select(key), key, "left_anti")
 
 
-def retain_types(moves: DataFrame, labels: DataFrame, comp: str, kind: str, least: int = 30, rounds: int = 20) -> list:
-    """Components to put back: while a move takes a type from ``least`` or more to below, its moved components return. Driver loop over counts."""
-    before = {r[kind]: r["n"] for r in labels.groupBy(kind).agg(F.count("*").alias("n")).collect()}
-    back: set = set()
-    for _ in range(rounds):
-        going = moves.where(~F.col(comp).isin(list(back))) if back else moves
-        left = {r[kind]: r["n"] for r in labels.join(going.select(comp), comp, "left_anti").groupBy(kind).agg(F.count("*").alias("n")).collect()}
-        fallen = [k for k, n in before.items() if n >= least and left.get(k, 0) < least]
-        new = {r[comp] for r in labels.where(F.col(kind).isin(fallen)).join(going.select(comp), comp, "left_semi").select(comp).distinct().collect()} - back if fallen else set()
-        if not new:
-            break
-        back |= new
-    return sorted(back)
+def retain_types(spark: SparkSession, moves: DataFrame, labels: DataFrame, comp: str, kind: str, least: int = 30) -> DataFrame:
+    """Components to put back: while a move takes a type from ``least`` or more to below, its moved components return.
+
+    Until nothing more returns, which takes a round for each type at most. Only one count a round reaches the driver.
+    """
+    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
+    enough = labels.groupBy(kind).agg(F.count("*").alias("n")).where(F.col("n") >= least).select(kind)
+    moved = moves.select(comp).distinct()
+    back = moved.limit(0)
+    while True:
+        going = moved.join(back, comp, "left_anti")
+        left = labels.join(going, comp, "left_anti").groupBy(kind).agg(F.count("*").alias("left"))
+        fallen = enough.join(left, kind, "left").where(F.coalesce("left", F.lit(0)) < least).select(kind)
+        new = going.join(labels.join(fallen, kind, "left_semi").select(comp).distinct(), comp, "left_semi").checkpoint()
+        if new.isEmpty():
+            return back
+        back = back.unionByName(new)
 
 
 def variants(df: DataFrame, text: str, rules: Sequence[tuple[str, Column]]) -> DataFrame:

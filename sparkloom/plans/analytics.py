@@ -119,14 +119,13 @@ def requester_assignee(spark, d):
     return o.join(table(spark, d, "customer"), "c_custkey").join(table(spark, d, "supplier"), "s_suppkey", "left").select("o_orderkey", F.col("c_name").alias("requester"), F.col("s_name").alias("assignee"))
 
 
-@query("""WITH e AS (SELECT event_id, user_id, ts, CASE WHEN event_type = 'error' THEN NULL ELSE event_type END AS func FROM events WHERE user_id <= 20)
+@query("""WITH e AS (SELECT event_id, user_id, ts, CASE WHEN event_type = 'error' THEN NULL ELSE event_type END AS func FROM events)
     SELECT event_id, other FROM (SELECT a.event_id, b.event_id AS other, row_number() OVER (PARTITION BY a.event_id ORDER BY b.ts DESC, b.event_id DESC) AS r FROM e a JOIN e b
-    ON a.func IS NOT DISTINCT FROM b.func AND a.user_id = b.user_id AND a.event_id <> b.event_id WHERE a.event_id % 50 = 0) WHERE r <= 10""")
+    ON a.func IS NOT DISTINCT FROM b.func AND a.user_id = b.user_id AND a.event_id <> b.event_id) WHERE r <= 10""")
 def nullsafe_same_place(spark, d):
     """For each event the ten most recent others of the same user and place, where an unknown place equals an unknown one.
 
-    The eleven latest events of a place hold the ten of each of its events, so a place costs its events once and no pairs. The SQL
-    looks at a sample of the events only.
+    The eleven latest events of a place hold the ten of each of its events, so a place costs its events once and no pairs.
     """
     from sparkloom.operators.retrieval import top_per
 

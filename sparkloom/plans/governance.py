@@ -54,7 +54,7 @@ def effective_current_rows(spark, d):
     return o.join(c, "o_custkey").join(F.broadcast(table(spark, d, "nation")), "n_nationkey").select("o_orderkey", "n_name")
 
 
-@query("SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE CAST(o_orderdate AS DATE) > DATE '1996-01-01' AND o_orderkey % 11 <> 0 END AS pending FROM orders WHERE o_orderkey <= 5000")
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE CAST(o_orderdate AS DATE) > DATE '1996-01-01' AND o_orderkey % 11 <> 0 END AS pending FROM orders")
 def effective_date_split(spark, d):
     name = F.when(F.col("o_orderkey") % 7 == 0, "law").when(F.col("o_orderkey") % 11 == 0, "law_19000101").otherwise(F.concat(F.lit("law_"), F.date_format("o_orderdate", "yyyyMMdd")))
     return G.split_in_force(_orders(spark, d, "o_orderdate").withColumn("name", name), "name", F.lit("1996-01-01").cast("date")).select("o_orderkey", "pending")

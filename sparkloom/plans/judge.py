@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.operators import judge as J
+from sparkloom.operators.matching import contained
 from sparkloom.registry import query
 from sparkloom.session import table
 
@@ -191,9 +192,9 @@ def sheet_import(spark, d):
 
 @query("WITH b AS (SELECT item_id, regexp_replace(text, '\\s+', '', 'g') AS q FROM benchmark), s AS (SELECT doc_id, regexp_replace(text, '\\s+', '', 'g') AS t FROM documents) SELECT item_id, count(s.doc_id) > 0 AS verified, count(s.doc_id) AS sources FROM b LEFT JOIN s ON contains(s.t, b.q) GROUP BY item_id")
 def rule_lint(spark, d):
-    """A quote must occur in a source text once white space is gone. The quotes are the small, broadcast side."""
-    b = table(spark, d, "benchmark").select("item_id", F.regexp_replace("text", r"\s+", "").alias("q"))
-    hits = table(spark, d, "documents").select("doc_id", F.regexp_replace("text", r"\s+", "").alias("t")).join(F.broadcast(b), F.expr("contains(t, q)")).groupBy("item_id").agg(F.count("*").alias("n"))
+    """A quote must occur in a source text once white space is gone."""
+    b = table(spark, d, "benchmark").select("item_id", F.regexp_replace("text", r"\s+", "").alias("term_norm"))
+    hits = contained(table(spark, d, "documents").select("doc_id", F.regexp_replace("text", r"\s+", "").alias("text_norm")), b).groupBy("item_id").agg(F.count("*").alias("n"))
     return b.join(hits, "item_id", "left").select("item_id", F.col("n").isNotNull().alias("verified"), F.coalesce("n", F.lit(0)).alias("sources"))
 
 

@@ -154,8 +154,7 @@ def seal_loss(spark, d):
 @query()
 def type_retention(spark, d):
     lab = table(spark, d, "documents").select(F.col("source").alias("comp"), F.col("lang").alias("kind"))
-    back = S.retain_types(lab.select("comp").distinct().where("comp <> 'src0'"), lab, "comp", "kind", 100)
-    return spark.createDataFrame([(x,) for x in back], "comp string")
+    return S.retain_types(spark, lab.select("comp").distinct().where("comp <> 'src0'"), lab, "comp", "kind", 100)
 
 
 @query("SELECT item_id, rule, variant FROM (SELECT item_id, text, unnest(['lower', 'spaced', 'cut', 'doubled']) AS rule, unnest([lower(text), replace(text, ' ', '  '), text[1:40], replace(text, '.', '..')]) AS variant FROM benchmark) WHERE variant <> text")

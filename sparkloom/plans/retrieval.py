@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.operators import retrieval as R
+from sparkloom.operators.matching import contained
 from sparkloom.registry import query
 from sparkloom.session import table
 
@@ -93,7 +94,7 @@ GOLD = f"""WITH {LEX}, gold AS (SELECT b.item_id, min(d.doc_id) AS doc_id FROM b
 
 def _gold(spark: SparkSession, d: str) -> DataFrame:
     bench, docs = table(spark, d, "benchmark"), table(spark, d, "documents")
-    gold = docs.select("doc_id", F.col("text").alias("t")).join(F.broadcast(bench), F.col("t").contains(F.col("text"))).groupBy("item_id").agg(F.min("doc_id").alias("doc_id"))
+    gold = contained(docs.select("doc_id", F.col("text").alias("text_norm")), bench.select("item_id", F.col("text").alias("term_norm"))).groupBy("item_id").agg(F.min("doc_id").alias("doc_id"))
     pool = R.ranked(_lexical(spark, d), lex_order(), "rank", 500).select("doc_id", "rank")
     return bench.select("item_id").join(gold, "item_id", "left").join(pool, "doc_id", "left")
 

@@ -8,17 +8,13 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.registry import query
+from sparkloom.session import shared_folder
 from sparkloom.streaming import events as E
 
 
 def _work(spark: SparkSession) -> str:
-    """A folder for this run below the cluster's shared one; a temporary one only where none is named (tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        import tempfile
-
-        root = tempfile.mkdtemp(prefix="sparkloom-stream-")
-    return f"{root}/stream-{uuid.uuid4().hex[:12]}"
+    """A folder for this run below the shared one."""
+    return f"{shared_folder(spark)}/stream-{uuid.uuid4().hex[:12]}"
 
 
 def _stream(spark: SparkSession, d: str):
@@ -29,24 +25,23 @@ def _stream(spark: SparkSession, d: str):
 
 @query("SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
 def events_stream_window(spark, d):
-    """Tumbling days by event time, written in complete mode to a memory table, as every window matters here."""
-    name = f"w_{uuid.uuid4().hex[:12]}"
-    out = E.windowed_counts(_stream(spark, d), "ts", "event_type")
-    out.writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", f"{_work(spark)}/cp").trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name).select(F.date_format("w.start", "yyyy-MM-dd").alias("day"), "event_type", "n", F.round("total", 4).alias("total"))
+    """Tumbling days by event time. Windows are given out when they change, to files; state behind the watermark is released."""
+    work = _work(spark)
+    counts = E.windowed_counts(_stream(spark, d), "ts", "event_type").select(F.date_format("w.start", "yyyy-MM-dd").alias("day"), "event_type", "n", F.round("total", 4).alias("total"))
+    E.keep_batches(counts, f"{work}/out", f"{work}/cp", "update")
+    return E.merged(spark, f"{work}/out", ["day", "event_type"], ["day", "event_type", "n", "total"])
 
 
 @query("SELECT event_id, user_id, event_type FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 20 DAY")
 def events_batch_sink(spark, d):
-    """Micro-batches through foreachBatch with retention of 20 days."""
+    """Micro-batches through foreachBatch: the last row of an event over all batches, with retention of 20 days."""
     work = _work(spark)
-    E.upserting_sink(_stream(spark, d), f"{work}/out", f"{work}/cp", "event_id", 20)
-    return spark.read.parquet(f"{work}/out").select("event_id", "user_id", "event_type")
+    E.upserting_sink(_stream(spark, d), f"{work}/out", f"{work}/cp", 20)
+    return E.retained(spark, f"{work}/out", "event_id", ["event_id", "user_id", "event_type", "ts"], 20).select("event_id", "user_id", "event_type")
 
 
 @query("SELECT event_type, count(*) AS n FROM events GROUP BY 1")
 def events_running_counters(spark, d):
-    name = f"c_{uuid.uuid4().hex[:12]}"
-    out = E.running_counters(_stream(spark, d), ["event_type"])
-    out.writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", f"{_work(spark)}/cp").trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name)
+    work = _work(spark)
+    E.keep_batches(E.running_counters(_stream(spark, d), ["event_type"]), f"{work}/out", f"{work}/cp", "update")
+    return E.merged(spark, f"{work}/out", ["event_type"], ["event_type", "n"])

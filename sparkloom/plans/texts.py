@@ -189,7 +189,7 @@ def citation_index(spark, d):
     return t.join(known, "ref", "left").select("doc_id", "line_no", "ref", F.col("known").isNull().alias("orphan"))
 
 
-@query(r"""WITH l AS (SELECT doc_id, string_split(regexp_replace(text, '[.] ', chr(10), 'g'), chr(10)) AS l FROM documents WHERE doc_id < 1000000), u AS (SELECT doc_id, generate_subscripts(l, 1) - 1 AS k, trim(unnest(l)) AS item FROM l)
+@query(r"""WITH l AS (SELECT doc_id, string_split(regexp_replace(text, '[.] ', chr(10), 'g'), chr(10)) AS l FROM documents), u AS (SELECT doc_id, generate_subscripts(l, 1) - 1 AS k, trim(unnest(l)) AS item FROM l)
     SELECT doc_id, k, nullif(regexp_extract(item, '^(\S+):', 1), '') AS field, length(item) AS n FROM u WHERE item <> ''""")
 def bullet_explode(spark, d):
     u = _docs(spark, d).select("doc_id", F.posexplode(F.split(F.regexp_replace("text", "[.] ", "\n"), "\n")).alias("k", "item")).withColumn("item", F.trim("item"))

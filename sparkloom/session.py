@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -21,6 +23,16 @@ def builder(app: str = "sparkloom") -> SparkSession.Builder:
     return b
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, named in ``spark.checkpoint.dir``; one of our own only where one machine runs all."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if root:
+        return root
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return tempfile.mkdtemp(prefix="sparkloom-")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """An input table; a missing one stops at once, never as an empty relation."""
     if name not in TABLES:

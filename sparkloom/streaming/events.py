@@ -16,16 +16,37 @@ def run_to_end(stream: DataFrame, path: str, checkpoint: str, mode: str = "appen
     stream.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start(path).awaitTermination()
 
 
-def upserting_sink(stream: DataFrame, path: str, checkpoint: str, key: str, keep_days: int = 90, ts: str = "ts") -> None:
-    """Each micro-batch is written to a folder of its own batch id (so a repeated batch overwrites itself), without rows past retention."""
+def keep_batches(stream: DataFrame, path: str, checkpoint: str, mode: str = "append", change=None) -> None:
+    """Each micro-batch is written to a folder of its own batch id, so a repeated batch overwrites itself. ``change`` may thin it out."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        newest = batch.agg(F.max(ts)).first()[0]
-        if newest is not None:
-            kept = batch.where(F.col(ts) >= F.lit(newest) - F.make_dt_interval(F.lit(keep_days))).dropDuplicates([key])
-            kept.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        (change(batch) if change else batch).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
-    stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def merged(spark: SparkSession, path: str, keys: list[str], columns: list[str]) -> DataFrame:
+    """The rows of all batches, of rows with equal keys that of the last batch (within a batch, the largest row)."""
+    rest = [c for c in columns if c not in keys]
+    last = spark.read.parquet(path).groupBy(*keys).agg(F.max(F.struct("batch", *rest)).alias("_m"))
+    return last.select(*[F.col(c) if c in keys else F.col(f"_m.{c}").alias(c) for c in columns])
+
+
+def upserting_sink(stream: DataFrame, path: str, checkpoint: str, keep_days: int = 90, ts: str = "ts") -> None:
+    """Batches without rows that are past retention already; :func:`retained` reads them."""
+
+    def recent(batch: DataFrame) -> DataFrame:
+        newest = batch.agg(F.max(ts).alias("_newest"))
+        return batch.join(F.broadcast(newest), F.col(ts) >= F.col("_newest") - F.make_dt_interval(F.lit(keep_days))).drop("_newest")
+
+    keep_batches(stream, path, checkpoint, change=recent)
+
+
+def retained(spark: SparkSession, path: str, key: str, columns: list[str], keep_days: int = 90, ts: str = "ts") -> DataFrame:
+    """The sink's rows: the last of each key over all batches, and of those the ones within ``keep_days`` of the newest."""
+    rows = merged(spark, path, [key], columns)
+    newest = spark.read.parquet(path).agg(F.max(ts).alias("_newest"))
+    return rows.join(F.broadcast(newest), F.col(ts) >= F.col("_newest") - F.make_dt_interval(F.lit(keep_days))).drop("_newest")
 
 
 def windowed_counts(stream: DataFrame, ts: str, key: str, size: str = "1 day", late: str = "2 days") -> DataFrame:

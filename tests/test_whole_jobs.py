@@ -34,13 +34,6 @@ def test_every_event_has_its_latest_neighbours(spark, sf, made):
     assert got == sorted(want) and any(a > 20 and a % 50 for a, _ in got)
 
 
-def test_neighbours_equal_the_sql_where_it_looks(spark, sf):
-    cur = connect(sf).execute(ORACLES["nullsafe_same_place"])
-    df = QUERIES["nullsafe_same_place"](spark, sf)
-    users = spark.read.parquet(f"{sf}/events.parquet").where("user_id <= 20 AND event_id % 50 = 0").select("event_id")
-    assert rows_of(df.columns, map(tuple, df.join(users, "event_id").select(df.columns).collect())) == rows_of([c[0] for c in cur.description], cur.fetchall())
-
-
 def test_paths_of_late_orders_are_repaired(spark, made):
     d = made("lineitem", [(k, n) for k in (1, 1999, 2000, 10**9) for n in range(1, 5)], "l_orderkey long, l_linenumber int")
     got = {(r["doc"], r["seq"]): r["unique_path"] for r in QUERIES["path_repair"](spark, d).collect()}
@@ -142,3 +135,38 @@ def test_candidates_are_held_against_accepted_whole_texts(spark, made):
     assert got == {(c, k): why for c in (1, 2) for k, (_, why) in enumerate(texts)} | {(3, 0): None}
     again = {r["conv_id"]: (r["kept"], r["state"]) for r in QUERIES["retry_loop"](spark, d).collect()}
     assert again == {1: (3, "ok"), 2: (3, "ok"), 3: (1, "search_failed")}
+
+
+def test_many_terms_give_what_few_give(spark):
+    from pyspark.sql import functions as F
+
+    from sparkloom.operators.matching import contained
+
+    texts = spark.createDataFrame([(i, t) for i, t in enumerate(["deepwater", "spamfarm", "aé" * 400 + "end", "", None, "x"])], "i int, text_norm string")
+    terms = spark.createDataFrame([("er",), ("spamfarm",), ("aéaéend",), ("x",), ("farms",), ("éa" * 130,)], "term_norm string")
+    few, many = (sorted(map(tuple, contained(texts, terms, most).select("i", F.col("term_norm")).collect())) for most in (100, 0))
+    assert few == many == [(0, "er"), (1, "spamfarm"), (2, "aéaéend"), (2, "éa" * 130), (5, "x")]
+
+
+def test_sink_merges_batches(spark, tmp_path):
+    import datetime
+
+    from sparkloom.streaming import events as E
+
+    day = lambda n: datetime.datetime(2024, 1, 1) + datetime.timedelta(days=n)
+    for k, rows in enumerate([[(1, "old", day(1)), (2, "gone", day(0))], [(1, "new", day(30)), (3, "late", day(25))], [(4, "x", day(28))]]):
+        spark.createDataFrame(rows, "event_id long, v string, ts timestamp").coalesce(1).write.parquet(f"{tmp_path}/in/{k}.parquet")
+    schema = spark.read.parquet(f"{tmp_path}/in/0.parquet").schema
+    for _ in range(2):  # a second run continues and adds nothing
+        E.upserting_sink(E.read_stream(spark, f"{tmp_path}/in/*.parquet", schema, 1), f"{tmp_path}/out", f"{tmp_path}/cp", 10)
+        got = {r["event_id"]: r["v"] for r in E.retained(spark, f"{tmp_path}/out", "event_id", ["event_id", "v", "ts"], 10).collect()}
+        assert got == {1: "new", 3: "late", 4: "x"}
+
+
+def test_types_are_retained_until_nothing_changes(spark):
+    from sparkloom.operators.splits import retain_types
+
+    labels = spark.createDataFrame([("a", "x")] * 3 + [("b", "x"), ("b", "y")] * 2 + [("c", "y")] * 2 + [("d", "z")], "comp string, kind string")
+    moves = spark.createDataFrame([("a",), ("c",), ("d",)], "comp string")
+    assert sorted(r["comp"] for r in retain_types(spark, moves, labels, "comp", "kind", 4).collect()) == ["a", "c"]
+    assert retain_types(spark, moves, labels, "comp", "kind", 100).count() == 0
