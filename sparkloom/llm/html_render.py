@@ -1,22 +1,30 @@
 """HTML extraction by layout-aware rendering.
 
-A scanner gives tags and text; the tree builder adds what HTML lets authors omit (a block closes an open paragraph, an item
-the one before it, a cell its neighbour, an end tag all it encloses; the first content ends the head; void elements have no content).
+A scanner that only goes forward gives tags and text; the tree builder adds what HTML lets authors omit (a block closes an open
+paragraph, an item the one before it, a cell its neighbour, an end tag all it encloses; the first content ends the head; void elements
+have no content). An unfinished tag at the end of a page is dropped, as browsers do, and elements deeper than ``DEEPEST`` stand beside
+one another instead of within.
+
 Visibility: no element of the head, no scripts, styles, templates or form controls' hidden values, no content that stands in for an
-object, frame, canvas, sound or film, no definitions and descriptions of drawings and formulas, nothing under ``hidden``,
-``aria-hidden=true``, inline ``display:none`` or ``visibility:hidden``, nor under a class, id or tag that a style sheet of the page
-hides on every screen (rules for other media, or for some screens only, hide nothing).
+object, frame, canvas, sound or film, no definitions and descriptions of drawings and formulas, nothing under ``aria-hidden=true`` or
+``hidden``, nor under what ``display:none`` applies to; text is left out where the inherited ``visibility`` is hidden, and comes back where
+it is set to visible below. Inline styles and the page's style sheets count, the latter in order of importance, specificity and place,
+for selectors of tags, classes, ids and attributes, also joined, below one another (blank, ``>``) or in lists; selectors with
+pseudo-classes or other combinators, and rules for other media or for some screens only, hide nothing.
+
 All other text is emitted: blocks on lines of their own, paragraphs and headings set off by an empty line, list items with
-marks and indents, preformatted text as it stands, table cells padded to columns.
+marks and indents, preformatted text as it stands. Table cells stand in columns: cells up to ``WIDE`` characters are padded to the longest of
+those in their column, longer ones are not cut and pad nothing, and a cell over several columns or rows keeps the others in theirs as
+long as that takes at most ``WIDEST`` blanks. Indents stop growing at ``WIDE``. So a rendering is at most a few times as long as its page.
 
-Null html gives an empty text. Unclosed, mis-nested and very deep markup is rendered as far as it goes (no recursion over depth
-except for tables in tables, to a depth of 8, beyond which they render as blocks). Repeated page_ids each give a row; an
-empty table gives none.
+Null and empty html give an empty text. Very long pages are rendered whole, one at a time. Repeated page_ids each give a row; an empty
+table gives none. Extra columns, also such whose names differ only in case, are ignored.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from html import unescape
@@ -26,12 +34,15 @@ from pyspark.sql import DataFrame
 
 from sparkloom.llm.common import plain
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(?:!|\?)[^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+#: A tag from its name on; quotes count behind an equals sign only. Atomic, so nothing is looked at twice.
+_TAG = re.compile(r"([A-Za-z][^\s/>]*)((?>[^>=]+|=\s*(?:\"[^\"]*\"|'[^']*')|=)*+)>")
+DEEPEST, WIDE, WIDEST = 512, 48, 96
 _ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _BLANKS = re.compile(r"[ \t\n\r\f]+")
 _CSS_SKIP = re.compile(r"/\*.*?(?:\*/|\Z)|<!--|-->", re.S)
 _CSS_STRING = re.compile(r"\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'", re.S)
-_GONE = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))\b", re.I)
+_DECLARED = re.compile(r"(display|visibility)\s*:\s*([a-z-]+)\s*(!\s*important)?\s*\Z", re.I)
+_PART = re.compile(r"([.#]?)([\w-]+)|\[\s*([\w-]+)\s*(?:=\s*[\"']?([^\"'\]]*)[\"']?\s*)?\]|(\*)")
 
 # Element groups of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -96,16 +107,29 @@ def build(html: str) -> tuple[Node, list[str]]:
         return False
 
     while at < n:
-        m = _TAG.search(html, at)
-        if m is None:
+        i = html.find("<", at)
+        if i < 0:
             text(html[at:])
             break
-        text(html[at : m.start()])
-        at = m.end()
-        if m[2] is None:
+        ends = html.startswith("/", i + 1)
+        c = html[i + 1 + ends : i + 2 + ends]
+        if not c.isascii() or not c.isalpha():
+            if ends and c or c and c in "!?":  # a comment, or what counts as one
+                text(html[at:i])
+                z = html.find("-->", i + 4) + 2 if html.startswith("<!--", i) and not html.startswith("<!-->", i) else html.find(">", i + 2)
+                at = z + 1 if z > 1 else n
+            else:
+                text(html[at : i + 1])
+                at = i + 1
             continue
-        tag = m[2].lower()
-        if m[1]:
+        text(html[at:i])
+        m = _TAG.match(html, i + 1 + ends)
+        if m is None:
+            break
+        at = m.end()
+        tag = m[1].lower()
+        attrs = m[2]
+        if ends:
             if tag == "p" and not count["p"]:
                 stack[-1].kids.append(Node("p"))
             elif tag == "br":
@@ -116,8 +140,8 @@ def build(html: str) -> tuple[Node, list[str]]:
         if tag in ("html", "body"):
             if tag == "body":
                 end_head()
-            if m[3].strip():
-                root.attrs += " " + m[3]
+            if attrs.strip():
+                root.attrs += " " + attrs
             continue
         if tag not in IN_HEAD:
             end_head()
@@ -129,12 +153,12 @@ def build(html: str) -> tuple[Node, list[str]]:
                 pass
         if tag[0] == "h" and tag[1:].isdigit() and stack[-1].tag[:1] == "h" and stack[-1].tag[1:].isdigit():
             count[stack.pop().tag] -= 1
-        node = Node(tag, m[3])
+        node = Node(tag, attrs)
         stack[-1].kids.append(node)
         foreign = count["svg"] > 0 or count["math"] > 0
         if foreign and tag in UNDRAWN:
             node.attrs += " hidden"
-        if m[3].endswith("/") and (foreign or tag in ("svg", "math", "path", "g", "use")):
+        if attrs.endswith("/") and (foreign or tag in ("svg", "math", "path", "g", "use")):
             continue
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}[\s/>]", re.I).search(html, at)
@@ -147,6 +171,9 @@ def build(html: str) -> tuple[Node, list[str]]:
                 node.kids.append(unescape(body))
             at = html.find(">", end.start()) + 1 or n if end else n
         elif tag not in VOID:
+            if len(stack) >= DEEPEST:
+                stack[-2].kids.append(stack[-1].kids.pop())
+                count[stack.pop().tag] -= 1
             stack.append(node)
             count[tag] += 1
     return root, sheets
@@ -170,43 +197,156 @@ def applies(rule: str) -> bool:
     return name == "@layer" or name == "@media" and for_screen(rest) or name == "@supports" and not rest.lstrip().startswith("not")
 
 
-def hidden_by(sheets: list[str]) -> frozenset[str]:
-    """Simple selectors (tag, .class, #id) that the sheets hide."""
-    out = set()
+class Rule:
+    """What a selector says about display or visibility. ``steps``: from the element upwards, (parts, whether directly above)."""
+
+    __slots__ = ("steps", "name", "value", "rank")
+
+    def __init__(self, steps, name, value, rank):
+        self.steps, self.name, self.value, self.rank = steps, name, value, rank
+
+
+def compound(text: str) -> list[tuple[str, str, str | None]] | None:
+    """Parts (kind, name, value) of a compound selector, or None if there are others."""
+    out, at = [], 0
+    while at < len(text):
+        m = _PART.match(text, at)
+        if m is None or m[2] and not m[1] and at:
+            return None
+        out.append(("*", "", None) if m[5] else ("[", m[3].lower(), m[4]) if m[3] else (m[1], m[2] if m[1] else m[2].lower(), None))
+        at = m.end()
+    return out or None
+
+
+def selector(text: str) -> list | None:
+    steps, direct = [], False
+    for word in text.replace(">", " > ").split():
+        if word == ">":
+            if not steps or direct:
+                return None
+            direct = True
+        elif (parts := compound(word)) is None:
+            return None
+        else:
+            steps.append((parts, direct))
+            direct = False
+    if direct or not steps:
+        return None
+    return [(parts, steps[i][1]) for i, (parts, _) in reversed(list(enumerate(steps)))]
+
+
+def style_rules(sheets: list[str]) -> dict[tuple[str, str], list[Rule]]:
+    """Rules by the last part of what they apply to."""
+    found: dict[tuple[str, str], list[Rule]] = {}
+    place = 0
     for s in sheets:
-        s = _BLANKS.sub(" ", _CSS_STRING.sub('""', _CSS_SKIP.sub(" ", s)))
+        s = _BLANKS.sub(" ", _CSS_STRING.sub(lambda m: m[0] if len(m[0]) < 40 and not re.search("[{};]", m[0]) else '""', _CSS_SKIP.sub(" ", s)))
         # open blocks: (selectors, declarations) of a rule, True of an at-rule that counts, False of all others
         stack: list = []
-        at = 0
+        at = other = 0  # other: open blocks that are no at-rules that count
         for m in re.finditer(r"[{};]", s + "}" * s.count("{")):
             before, at = s[at : m.start()].strip(), m.end()
             if m[0] == "{":
-                if all(x is True for x in stack):
-                    stack.append(applies(before.lower()) if before[:1] == "@" else (before, []))
-                else:
-                    stack.append(False)
+                stack.append((applies(before.lower()) if before[:1] == "@" else (before, [])) if not other else False)
+                other += stack[-1] is not True
                 continue
             if stack and isinstance(stack[-1], tuple):
                 stack[-1][1].append(before)
             if m[0] == "}" and stack:
                 top = stack.pop()
-                if isinstance(top, tuple) and _GONE.search(";".join(top[1])):
-                    out.update(x for x in (y.strip() for y in top[0].split(",")) if re.fullmatch(r"[.#]?[\w-]+", x))
-    return frozenset(out)
-
-
-def visible(node: Node, gone: frozenset[str]) -> bool:
-    if node.tag in UNSEEN or node.tag in gone:
-        return False
-    if node.attrs:
-        a = node.get()
-        if "hidden" in a or a.get("aria-hidden", "").lower() == "true" or a.get("type", "").lower() == "hidden" and node.tag == "input" or _GONE.search(a.get("style", "")):
+                other -= top is not True
+                if isinstance(top, tuple):
+                    for d in top[1]:
+                        if (x := _DECLARED.match(d)) is None:
+                            continue
+                        for y in top[0].split(","):
+                            if steps := selector(y.strip()):
+                                place += 1
+                                kinds = [k for parts, _ in steps for k, _, _ in parts]
+                                rank = (bool(x[3]), 0, kinds.count("#"), kinds.count(".") + kinds.count("["), kinds.count(""), place)
+                                k, name, _ = max(steps[0][0], key=lambda part: "*[.#".find(part[0] or "*"))
+                                found.setdefault((k, name) if k in (".", "#") or k == "" else ("*", ""), []).append(Rule(steps, x[1].lower(), x[2].lower(), rank))
+    return found
+
+
+def fits(parts, tag: str, a: dict[str, str], classes) -> bool:
+    for k, name, value in parts:
+        if k == "" and name != tag or k == "." and name not in classes or k == "#" and name != a.get("id"):
             return False
-        if gone and ("#" + a.get("id", "") in gone or any("." + c in gone for c in a.get("class", "").split())):
+        if k == "[" and (name not in a or value is not None and a[name] != value):
             return False
     return True
 
 
+def holds(rule: Rule, above: list) -> bool:
+    """Whether the rule fits the last of ``above``, elements from the root on as (tag, attributes, classes)."""
+    if not fits(rule.steps[0][0], *above[-1]):
+        return False
+    # of ancestors that fit, the lowest is tried first; a step that must be directly above goes back to the next choice
+    todo = [(1, len(above) - 2, rule.steps[0][1])]
+    tried = set()
+    while todo:
+        step, i, direct = todo.pop()
+        if step == len(rule.steps):
+            return True
+        while i >= 0 and (step, i, direct) not in tried:
+            tried.add((step, i, direct))
+            parts, up = rule.steps[step]
+            if fits(parts, *above[i]):
+                todo += [(step, i - 1, False)] if not direct else []
+                todo.append((step + 1, i - 1, up))
+                break
+            if direct:
+                break
+            i -= 1
+    return False
+
+
+def declared(node: Node, above: list, rules: dict) -> tuple[str | None, str | None]:
+    """(display, visibility) that win for an element."""
+    _, a, classes = above[-1]
+    best: dict[str, tuple] = {}
+    if rules:
+        keys = [("", node.tag), ("*", ""), *((".", c) for c in classes)] + ([("#", a["id"])] if "id" in a else [])
+        for key in keys:
+            for r in rules.get(key, ()):
+                if (r.name not in best or r.rank > best[r.name][0]) and holds(r, above):
+                    best[r.name] = (r.rank, r.value)
+    if "style" in a:
+        for k, d in enumerate(_CSS_SKIP.sub(" ", a["style"]).split(";")):
+            if x := _DECLARED.match(d.strip()):
+                rank = (bool(x[3]), 1, 0, 0, 0, k)
+                if x[1].lower() not in best or rank > best[x[1].lower()][0]:
+                    best[x[1].lower()] = (rank, x[2].lower())
+    return best.get("display", (0, None))[1], best.get("visibility", (0, None))[1]
+
+
+def prune(root: Node, rules: dict) -> None:
+    """Take out of the tree what is not seen."""
+    above: list = []
+    todo: list = [(root, True)]
+    while todo:
+        node, seen = todo.pop()
+        if node is None:
+            above.pop()
+            continue
+        a = node.get() if node.attrs else {}
+        above.append((node.tag, a, a.get("class", "").split()))
+        todo.append((None, True))
+        display, visibility = declared(node, above, rules) if rules or "style" in a else (None, None)
+        if display == "none" or "hidden" in a and display is None or a.get("aria-hidden", "").lower() == "true" or node.tag == "input" and a.get("type", "").lower() == "hidden" or node.tag in UNSEEN:
+            node.kids = []
+            node.tag = "#gone"
+            continue
+        if visibility is not None:
+            seen = visibility not in ("hidden", "collapse") and (visibility != "inherit" or seen)
+        if not seen:
+            node.kids = [k for k in node.kids if isinstance(k, Node)]
+            if node.tag in ("img", "input", "hr"):
+                node.tag = "#gone"
+        todo += [(k, seen) for k in reversed(node.kids) if isinstance(k, Node)]
+
+
 class Page:
     """Lines under construction: collapses blanks, keeps at most one empty line between blocks."""
 
@@ -241,7 +381,12 @@ class Page:
             self.gap = False
             self.lines.append(self.indent + self.mark + s if s else "")
             if self.mark:
-                self.indent, self.mark = self.indent + " " * len(self.mark), ""
+                self.deeper(len(self.mark))
+                self.mark = ""
+
+    def deeper(self, n: int) -> None:
+        if len(self.indent) < WIDE:
+            self.indent += " " * n
 
     def space(self) -> None:
         self.end()
@@ -252,37 +397,70 @@ class Page:
         return "\n".join(self.lines).strip("\n")
 
 
-def table_lines(node: Node, gone: frozenset[str], depth: int) -> list[str]:
+def span(cell: Node, name: str) -> int:
+    got = cell.get().get(name, "1") if cell.attrs else "1"
+    return min(max(int(got), 1), 1000) if got.isascii() and got.isdigit() and len(got) < 9 else 1
+
+
+def table_lines(node: Node) -> list[str]:
     rows, caption, todo = [], [], [node]
     while todo:
         x = todo.pop()
         for k in reversed(x.kids):
-            if isinstance(k, Node) and visible(k, gone) and k.tag in ("thead", "tbody", "tfoot", "tr", "caption", "colgroup"):
+            if isinstance(k, Node) and k.tag in ("thead", "tbody", "tfoot", "tr", "caption", "colgroup"):
                 todo.append(k)
         if x.tag == "caption":
-            caption += render(x, gone, depth + 1).split("\n")
+            caption += render(x).split("\n")
         elif x is node or x.tag in ("thead", "tbody", "tfoot", "tr"):
-            cells = [k for k in x.kids if isinstance(k, Node) and k.tag in ("td", "th") and visible(k, gone)]
-            loose = [k for k in x.kids if (k.strip() if isinstance(k, str) else k.tag not in ("thead", "tbody", "tfoot", "tr", "caption", "colgroup", "col", "td", "th"))]
+            cells = [k for k in x.kids if isinstance(k, Node) and k.tag in ("td", "th")]
+            loose = [k for k in x.kids if (k.strip() if isinstance(k, str) else k.tag not in ("thead", "tbody", "tfoot", "tr", "caption", "colgroup", "col", "td", "th", "#gone"))]
             if loose:  # text where a table has no place for it comes before
                 other = Node("div")
                 other.kids = loose
-                caption += [y for y in render(other, gone, depth + 1).split("\n") if y]
+                caption += [y for y in render(other).split("\n") if y]
             if cells:
-                rows.append([render(c, gone, depth + 1).split("\n") for c in cells])
-    width: list[int] = []
+                rows.append([(render(c).split("\n"), span(c, "colspan"), span(c, "rowspan")) for c in cells])
+    # columns: cells over several rows keep their columns in the rows below
+    width: dict[int, int] = {}
+    down: list[tuple[int, int, int]] = []  # (first column, behind the last, rows to come)
+    placed = []
     for r in rows:
-        for i, c in enumerate(r):
-            width[i:] = width[i:] or [0]
-            width[i] = max(width[i], *(len(y) for y in c))
+        at, out, ahead = 0, [], sorted(down)
+        down = [(a, z, n - 1) for a, z, n in down if n > 1]
+        for text, wide, high in r:
+            while ahead and ahead[0][0] <= at:
+                at = max(at, ahead.pop(0)[1])
+            out.append((at, at + wide, text))
+            if wide == 1:
+                width[at] = max([width.get(at, 0), *(len(y) for y in text if len(y) <= WIDE)])
+            if high > 1 and len(down) < WIDEST:
+                down.append((at, at + wide, high - 1))
+            at += wide
+        placed.append(out)
+    columns = sorted(width)
+    starts = [0]
+    for c in columns:
+        starts.append(starts[-1] + width[c] + 2)
+
+    def room(a: int, z: int) -> int:
+        """Characters from the start of column a to that of column z."""
+        n = starts[bisect_left(columns, z)] - starts[bisect_left(columns, a)]
+        return n if n <= WIDEST else 2 * (n > 0)
+
     out = caption
-    for r in rows:
-        for k in range(max(len(c) for c in r)):
-            out.append("  ".join((c[k] if k < len(c) else "").ljust(width[i]) for i, c in enumerate(r)).rstrip())
+    for r in placed:
+        for k in range(max(len(text) for _, _, text in r)):
+            line, at = [], 0
+            for a, z, text in r:
+                own = text[k] if k < len(text) else ""
+                line.append(" " * room(at, a))
+                line.append(own + " " * max(room(a, z) - len(own), 2))
+                at = z
+            out.append("".join(line).rstrip())
     return out
 
 
-def render(root: Node, gone: frozenset[str], depth: int = 0) -> str:
+def render(root: Node) -> str:
     page = Page()
     # entries: text, or (node, None) on the way in, or (None, what to do on the way out)
     todo: list = [*reversed(root.kids)]
@@ -296,7 +474,7 @@ def render(root: Node, gone: frozenset[str], depth: int = 0) -> str:
             x()
             continue
         tag = x.tag
-        if not visible(x, gone):
+        if tag == "#gone":
             continue
         if tag == "br":
             page.end(True)
@@ -314,9 +492,9 @@ def render(root: Node, gone: frozenset[str], depth: int = 0) -> str:
             if a.get("type", "text").lower() in ("submit", "button", "reset") and a.get("value"):
                 page.word(a["value"], False)
             continue
-        if tag == "table" and depth < 8:
+        if tag == "table":
             page.space()
-            for line in table_lines(x, gone, depth):
+            for line in table_lines(x):
                 page.line = [line]
                 page.end(True)
             page.space()
@@ -345,7 +523,7 @@ def render(root: Node, gone: frozenset[str], depth: int = 0) -> str:
             else:
                 page.mark = "- "
         elif tag in ("dd", "blockquote"):
-            page.indent += "  "
+            page.deeper(2)
         pre += tag in ("pre", "xmp")
         todo.append(leave)
         todo += reversed(x.kids)
@@ -356,8 +534,8 @@ def extract(html: str | None) -> str:
     if not html:
         return ""
     root, sheets = build(html)
-    gone = hidden_by(sheets)
-    return render(root, gone) if visible(root, gone) else ""
+    prune(root, style_rules(sheets))
+    return render(root)
 
 
 def html_render(pages: DataFrame) -> DataFrame:
