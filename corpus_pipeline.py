@@ -2,7 +2,11 @@
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and reread as the next one's docs. All but
 the last return the columns of ``documents``; documents that a stage rejects are gone. The last returns the encoded documents with
-their decoded digest. Rows without doc_id pass the filters that need one.
+their decoded digest.
+
+A doc_id names a document: where rows repeat one, a stage that rejects a row with it rejects all of them, and rows that no stage rejects all
+stay, equal ones too. Rows without doc_id pass every filter. Null and empty texts are scored like others; of several one stays.
+Empty tables give no rows. Columns beyond those of ``documents`` are dropped by ``run`` and passed on by a stage.
 """
 
 from __future__ import annotations
@@ -21,7 +25,9 @@ from sparkloom.llm.quality_crf import quality
 
 def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose doc_id is not in ``gone``."""
-    return docs.join(gone.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    own = docs.toDF(*[f"_{i}" for i in range(len(docs.columns))])  # by place, as names may differ only in case
+    ids = gone.select(F.col("doc_id").alias("_gone")).distinct()
+    return own.join(ids, own[f"_{docs.columns.index('doc_id')}"] == ids["_gone"], "left_anti").toDF(*docs.columns)
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
