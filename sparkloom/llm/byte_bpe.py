@@ -15,7 +15,8 @@ The slices between boundaries are looked up in a cache; a slice that is new is m
 heap and linked list (n log n, so a slice without any boundary stays feasible). Byte offsets of slices are retained,
 so ids map back to spans, and decoding joins the vocabulary's bytes.
 
-Null counts as an empty text: no ids. Repeated doc_ids each give their row; an empty table gives no rows.
+Null counts as an empty text: no ids. Very long texts are encoded whole, one at a time. Repeated and null doc_ids each give their row;
+an empty table gives no rows. Extra columns, also such whose names differ only in case, are ignored.
 """
 
 from __future__ import annotations

@@ -13,7 +13,8 @@ at least ``num / den``. Documents are not shuffled.
 Items go to the tasks in blocks of at most about ``ITEM_BLOCK`` items, a pass over the documents a block, so a benchmark of any size works.
 
 Shingles are of 5 words, A-Z lowered; a text with fewer words is one shingle. Null or empty items and documents match nothing. Repeated
-doc_ids or item_ids each give their matches. Empty tables give no rows.
+doc_ids or item_ids each give their matches, and so do null ones. Very long texts are read whole, window by window; a containment at
+the threshold counts. Empty tables give no rows. Extra columns, also such whose names differ only in case, are ignored.
 """
 
 from __future__ import annotations

@@ -3,8 +3,8 @@
 1. One pass hashes every text (A-Z lowered): a 64-bit key and the SHA-256.
 2. The directory: starting from one bucket, a bucket with more than ``capacity`` distinct keys is split
    on its next key bit, and the directory doubles whenever a bucket's local depth would exceed the global
-   depth. Only counts per key prefix reach the driver (2^``max_depth`` at most). A bucket that is still
-   overfull at ``max_depth`` stays as it is: its owner reads it as a stream and chains what collides.
+   depth. Only counts per key prefix reach the driver (2^``max_depth`` at most). So that this many slots do at any size, the capacity
+   is at least twice the mean of a slot; a bucket is never held in memory: its owner reads it as a stream and chains what collides.
 3. Owner tasks hold ranges of buckets. Each distinct text of a map task is sent to its owner once, with the
    number of its copies, so a text that makes up a third of all rows costs its owner one row per map task.
    Owners read rows sorted by key, chain texts of equal key and compare their bytes.
@@ -12,7 +12,8 @@
    Rows find their chain by a join on the digest, hot digests by a broadcast of bounded size.
 
 Null text counts as empty; empty texts are equal to one another; of equal texts the largest doc_id stays (of rows
-that repeat a doc_id too, ``kept`` is true for each row with it). An empty table gives no rows. Extra columns are ignored.
+that repeat a doc_id too, ``kept`` is true for each row with it). Very long texts are hashed and compared whole. An empty table gives no
+rows. Extra columns, also such whose names differ only in case, are ignored.
 """
 
 from __future__ import annotations
@@ -146,8 +147,8 @@ def build_index(spark: SparkSession, docs: DataFrame, ws: Workspace, capacity: i
     counts = np.zeros(size, np.int64)
     for p, n in hashed.groupBy(prefix.cast("int").alias("p")).agg(F.approx_count_distinct("key", 0.05).alias("n")).collect():  # at most 2^max_depth rows
         counts[p] = n
-    directory = Directory(counts, capacity)
-    n = partitions_for(spark)
+    directory = Directory(counts, max(capacity, int(2 * counts.sum() / size)))
+    n = partitions_for(spark, docs)
     slots = spark.createDataFrame([(s, int(o)) for s, o in enumerate(directory.owners(n))], "slot int, owner int")  # at most 2^max_depth rows
     slot = (F.shiftrightunsigned("key", 64 - directory.depth) if directory.depth else F.lit(0)).cast("int")
     texts = docs.mapInArrow(_distinct_texts, "key long, top long, n long, text binary").withColumn("slot", slot).join(F.broadcast(slots), "slot")

@@ -26,7 +26,8 @@ Equal sets (copies) are one entity throughout: a word is sent once an entity and
 Shingles are compared by 64-bit hash, entities by a 64-bit hash of the whole set.
 
 Null and empty texts and texts without words have no shingles and link with nothing. Rows without doc_id have no component
-(null). Rows that repeat a doc_id are handled each with its own text. An empty table gives no rows.
+(null). Rows that repeat a doc_id are handled each with its own text. Very long texts are shingled whole, one at a time; pairs at the
+threshold link. An empty table gives no rows. Extra columns, also such whose names differ only in case, are ignored.
 """
 
 from __future__ import annotations

@@ -16,7 +16,8 @@ Where white space gives no tokens, the encoder remembers the counts of the units
 which is the same stability property;
 texts with the tokenizer's special strings always go through the library whole.
 
-Null counts as an empty text (0 bytes, 0 tokens). Repeated doc_ids each give their row. An empty table gives no rows.
+Null counts as an empty text (0 bytes, 0 tokens). Repeated and null doc_ids each give their row. An empty table gives no rows. Extra
+columns, also such whose names differ only in case, are ignored.
 """
 
 from __future__ import annotations

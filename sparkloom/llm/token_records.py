@@ -304,7 +304,7 @@ def _write_shards(path: str, tokenizer: str, end_id: int, shard_bytes: int):
         def slices():
             for b in batches:
                 view, names = TextView(b.column("text")), b.column("doc_id").cast(pa.int64()).to_pylist()
-                for i, j, data, off in view.slices(CODE_BYTES):
+                for i, j, data, off in view.slices(min(CODE_BYTES, shard_bytes)):
                     yield names[i:j], data, off
 
         source = slices()
