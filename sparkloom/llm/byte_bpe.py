@@ -31,7 +31,6 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from sparkloom.llm.common import TextView, plain, tidy
 
@@ -303,8 +302,22 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
 
 
 def round_trip(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256."""
-    return decode(encode(docs, path), path).select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    """doc_id, n_tokens, ids_sha256, decoded_sha256: encoded, decoded and summed up in one pass, so ids and bytes stay in the task."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        r = ranks(path)
+        for b in batches:
+            view, out = TextView(b.column("text")), []
+            for i, j, data, off in view.slices(SLICE):
+                starts, first = token_slices(data, off)
+                parts, f = r.encode_slices(data.tobytes(), [*starts.tolist(), len(data)]), first.tolist()
+                for k in range(j - i):
+                    ids = b"".join(parts[f[k] : f[k + 1]])
+                    out.append((len(ids) // 4, digest(ids), digest(r.decode(np.frombuffer(ids, "<u4")))))
+            n, coded, decoded = zip(*out, strict=True) if out else ([], [], [])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array(n, pa.int64()), pa.array(coded, pa.string()), pa.array(decoded, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return plain(docs, "doc_id", "text").mapInArrow(tidy(rows), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def digest(x: bytes) -> str:

@@ -21,7 +21,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 U64 = np.uint64
 
 
@@ -102,8 +102,18 @@ def settled(ws: Workspace, docs: DataFrame) -> DataFrame:
     return ws.write(docs, "input") if any(x in plan for x in ("Exchange", "ExistingRDD", "MapInArrow", "Python", "Pandas")) else docs
 
 
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Where the session has Spark's 10,000 rows an Arrow batch, 2,500: texts are long, and every running task holds batches on both sides."""
+    if spark.conf.get(BATCH) == "10000":
+        spark.conf.set(BATCH, "2500")
+
+
 def plain(docs: DataFrame, *cols: str) -> DataFrame:
     """The named columns only, taken by exact name so that extra columns of clashing case cannot interfere."""
+    small_batches(docs.sparkSession)
     out = []
     for c in cols:
         if c not in docs.columns:
@@ -229,18 +239,23 @@ IS_GAP = np.zeros(256, bool)
 IS_GAP[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _P, _PINV = 0x2545F4914F6CDD1D, pow(0x2545F4914F6CDD1D, -1, 1 << 64)
 _POWERS: dict[str, np.ndarray] = {}
+KEPT_POWERS = 1 << 19
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """P^i and P^-i modulo 2^64 for i < n; kept per process, and grown only up to the largest slice seen."""
-    if len(_POWERS.get("p", ())) < n:
-        size = 1 << max(16, (n - 1).bit_length())
-        for name, base in (("p", _P), ("q", _PINV)):
-            out = np.ones(1, U64)
-            with np.errstate(over="ignore"):
-                while len(out) < size:
-                    out = np.concatenate([out, out * U64(pow(base, len(out), 1 << 64))])
-            _POWERS[name] = out
+    """P^i and P^-i modulo 2^64 for i < n; kept per process up to ``KEPT_POWERS``."""
+
+    def made(base: int, size: int) -> np.ndarray:
+        out = np.ones(1, U64)
+        with np.errstate(over="ignore"):
+            while len(out) < size:
+                out = np.concatenate([out, out[: size - len(out)] * U64(pow(base, len(out), 1 << 64))])
+        return out
+
+    if n > KEPT_POWERS:
+        return made(_P, n), made(_PINV, n)
+    if not _POWERS:
+        _POWERS.update(p=made(_P, KEPT_POWERS), q=made(_PINV, KEPT_POWERS))
     return _POWERS["p"][:n], _POWERS["q"][:n]
 
 

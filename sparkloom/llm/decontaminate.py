@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import U64, TextView, plain, shingle_sequence, shingles
+from sparkloom.llm.common import U64, TextView, plain, shingle_sequence, shingles, tidy
 
 BASE, PLACES, ITEM_BLOCK = 16, 128, 20_000
 NONE = U64(0xFFFFFFFFFFFFFFFF)
@@ -108,7 +108,7 @@ def _search(items: Items, ids: list, num: int, den: int):
         for b in batches:
             view, out = TextView(b.column("text")), []
             docs = b.column("doc_id").cast(pa.int64()).to_pylist()
-            for i, j, data, off in view.slices(1 << 20):
+            for i, j, data, off in view.slices(1 << 18):
                 h, row = shingle_sequence(data, off)
                 codes = items.candidates(h, row, j - i)
                 cut = np.searchsorted(row, np.arange(j - i + 1))
@@ -136,5 +136,5 @@ def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, num
     found = []
     for k in range(blocks):
         got = benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).collect()  # a block of bounded size
-        found.append(docs.mapInArrow(_search(Items([r["text"] for r in got]), [r["item_id"] for r in got], num, den), "doc_id long, item_id long, n_item long, n_common long"))
+        found.append(docs.mapInArrow(tidy(_search(Items([r["text"] for r in got]), [r["item_id"] for r in got], num, den)), "doc_id long, item_id long, n_item long, n_common long"))
     return reduce(DataFrame.unionByName, found).withColumn("containment", F.col("n_common") / F.col("n_item"))

@@ -5,8 +5,8 @@
    on its next key bit, and the directory doubles whenever a bucket's local depth would exceed the global
    depth. Only counts per key prefix reach the driver (2^``max_depth`` at most). So that this many slots do at any size, the capacity
    is at least twice the mean of a slot; a bucket is never held in memory: its owner reads it as a stream and chains what collides.
-3. Owner tasks hold ranges of buckets. Each distinct text of a map task is sent to its owner once, with the
-   number of its copies, so a text that makes up a third of all rows costs its owner one row per map task.
+3. Owner tasks hold ranges of buckets. Each distinct text of an Arrow batch is sent to its owner once, with the
+   number of its copies, so a text that makes up a third of all rows costs its owner one row a batch.
    Owners read rows sorted by key, chain texts of equal key and compare their bytes.
 4. The chains are written to shared storage as the index: bucket, key, chain place, digest, row that stays, copies.
    Rows find their chain by a join on the digest, hot digests by a broadcast of bounded size.
@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import TextView, Workspace, heavy_at, join_by_key, partitions_for, plain
+from sparkloom.llm.common import TextView, Workspace, heavy_at, join_by_key, partitions_for, plain, tidy
 
 
 def normalised(column: pa.Array) -> pa.Array:
@@ -141,7 +141,7 @@ def _chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def build_index(spark: SparkSession, docs: DataFrame, ws: Workspace, capacity: int = 4096, max_depth: int = 16) -> tuple[DataFrame, DataFrame, Directory]:
     """(hashed rows, index of chains, directory). docs: doc_id, text."""
-    hashed = ws.write(docs.mapInArrow(_hash_rows, "doc_id long, key long, sha binary"), "rows")
+    hashed = ws.write(docs.mapInArrow(tidy(_hash_rows), "doc_id long, key long, sha binary"), "rows")
     size = 1 << max_depth
     prefix = F.shiftrightunsigned("key", 64 - max_depth)
     counts = np.zeros(size, np.int64)
@@ -151,8 +151,8 @@ def build_index(spark: SparkSession, docs: DataFrame, ws: Workspace, capacity: i
     n = partitions_for(spark, docs)
     slots = spark.createDataFrame([(s, int(o)) for s, o in enumerate(directory.owners(n))], "slot int, owner int")  # at most 2^max_depth rows
     slot = (F.shiftrightunsigned("key", 64 - directory.depth) if directory.depth else F.lit(0)).cast("int")
-    texts = docs.mapInArrow(_distinct_texts, "key long, top long, n long, text binary").withColumn("slot", slot).join(F.broadcast(slots), "slot")
-    chains = texts.repartitionById(n, F.col("owner")).sortWithinPartitions("key").select("key", "top", "n", "text").mapInArrow(_chain, "key long, place int, sha binary, keep_id long, group_size long")
+    texts = docs.mapInArrow(tidy(_distinct_texts), "key long, top long, n long, text binary").withColumn("slot", slot).join(F.broadcast(slots), "slot")
+    chains = texts.repartitionById(n, F.col("owner")).sortWithinPartitions("key").select("key", "top", "n", "text").mapInArrow(tidy(_chain), "key long, place int, sha binary, keep_id long, group_size long")
     return hashed, ws.write(chains, "index"), directory
 
 

@@ -22,7 +22,7 @@ within one component, so it is spread over tasks and a family that is one compon
 is linear in the group and merges families of near copies; what is still across components after that is verified in full.
 So every pair of different sets that links lies in one component, though not all pairs of a group are ever listed.
 
-Equal sets (copies) are one entity throughout: a word is sent once an entity and Arrow batch. Verification decides on whole shingle sets of the texts.
+Equal sets (copies) are one entity throughout: a word is sent once an entity and message. Verification decides on whole shingle sets of the texts.
 Shingles are compared by 64-bit hash, entities by a 64-bit hash of the whole set.
 
 Null and empty texts and texts without words have no shingles and link with nothing. Rows without doc_id have no component
@@ -154,15 +154,16 @@ def sketch_keys(h: np.ndarray, row: np.ndarray, n: int, limit: Threshold) -> tup
 
 # ---------------------------------------------------------------- sending words
 
-KEYS, ENTITIES = 0, 1
+#: Words that a task gathers before it sends them.
+KEYS_A_MESSAGE = 500_000
 
 
 def _send(limit: Threshold, parts: int, width: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, held = [], 0
         for b in batches:
-            view = TextView(b.column("text"))
-            out, found = [], []
-            for i, j, data, off in view.slices(1 << 20):
+            view, found = TextView(b.column("text")), []
+            for i, j, data, off in view.slices(1 << 18):
                 h, row = shingles(data, off, width)
                 n = j - i
                 ids = set_ids(h, row, n)
@@ -173,24 +174,33 @@ def _send(limit: Threshold, parts: int, width: int):
                 keep = once[row]
                 key, r = sketch_keys(h[keep], row[keep], n, limit)
                 out.append((key, ids[r]))
+                held += len(key)
             size, ids = (np.concatenate([np.zeros(0, t), *[f[k] for f in found]]) for k, t in ((0, np.int64), (1, U64)))
             bits = [x for f in found for x in f[2]]
-            key, ent = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, U64),) * 2
-            part = ((key >> U64(32)) * U64(parts) >> U64(32)).astype(np.int64)
-            by = np.lexsort((ent, key)) if len(key) else part
-            key, ent, part = key[by], ent[by], part[by]
-            new = np.r_[True, (key[1:] != key[:-1]) | (ent[1:] != ent[:-1])] if len(key) else np.zeros(0, bool)
-            key, ent, part = key[new], ent[new], part[new]
-            cut = np.searchsorted(part, np.arange(parts + 1))
-            msgs = [(q, key[cut[q] : cut[q + 1]].tobytes() + ent[cut[q] : cut[q + 1]].tobytes()) for q in range(parts) if cut[q] < cut[q + 1]]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([q for q, _ in msgs], pa.int32()), pa.array([x for _, x in msgs], pa.binary())] + [pa.nulls(len(msgs), t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.binary())],
-                names=["part", "blob", "doc_id", "n", "ent", "bits"],
-            )
             yield pa.RecordBatch.from_arrays(
                 [pa.array((ids % U64(parts)).astype(np.int32)), pa.nulls(len(ids), pa.binary()), b.column("doc_id").cast(pa.int64()), pa.array(size, pa.int64()), as_long(ids), pa.array(bits, pa.binary())],
                 names=["part", "blob", "doc_id", "n", "ent", "bits"],
             )
+            if held > KEYS_A_MESSAGE:
+                yield words(out)
+                held = 0
+        yield words(out)
+
+    def words(out: list) -> pa.RecordBatch:
+        """The words of a task so far, each once an entity, a message for each range of words."""
+        key, ent = (np.concatenate([np.zeros(0, U64), *x]) for x in (zip(*out, strict=True) if out else ([], [])))
+        out.clear()
+        part = ((key >> U64(32)) * U64(parts) >> U64(32)).astype(np.int64)
+        by = np.lexsort((ent, key)) if len(key) else part
+        key, ent, part = key[by], ent[by], part[by]
+        new = np.r_[True, (key[1:] != key[:-1]) | (ent[1:] != ent[:-1])] if len(key) else np.zeros(0, bool)
+        key, ent, part = key[new], ent[new], part[new]
+        cut = np.searchsorted(part, np.arange(parts + 1))
+        msgs = [(q, key[cut[q] : cut[q + 1]].tobytes() + ent[cut[q] : cut[q + 1]].tobytes()) for q in range(parts) if cut[q] < cut[q + 1]]
+        return pa.RecordBatch.from_arrays(
+            [pa.array([q for q, _ in msgs], pa.int32()), pa.array([x for _, x in msgs], pa.binary())] + [pa.nulls(len(msgs), t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.binary())],
+            names=["part", "blob", "doc_id", "n", "ent", "bits"],
+        )
 
     return rows
 
@@ -261,7 +271,7 @@ def _verify(limit: Threshold, width: int):
             view = TextView(b.column("text"))
             a_all, e_all = b.column("lead").to_numpy(), b.column("ent").to_numpy()
             la, le = [], []
-            for i, j, data, off in view.slices(1 << 20):
+            for i, j, data, off in view.slices(1 << 18):
                 h, row = shingles(data, off, width)
                 ids = set_ids(h, row, j - i).view(np.int64)
                 cut = np.searchsorted(row, np.arange(j - i + 1)).tolist()
