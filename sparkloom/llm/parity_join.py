@@ -484,9 +484,9 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, num: int = 75, den:
         labels = connected_components(spark, ws, links, f"cc-{k}", one_task)
 
     labelled = entities.join(few(labels.withColumnRenamed("node", "ent"), labels.count()), "ent", "left").select("ent", "rep", "copies", F.coalesce("comp", "ent").alias("comp"))
-    smallest = labelled.groupBy("comp").agg(F.min("rep").alias("component_id"))
-    named = ws.write(labelled.join(smallest, "comp").select("ent", "copies", "component_id"), "named")
     n = rows.count()
+    smallest = labelled.groupBy("comp").agg(F.min("rep").alias("component_id"), F.count("*").alias("members"))
+    named = ws.write(join_by_key(labelled, smallest, "comp", "members", heavy_at(n)).select("ent", "copies", "component_id"), "named")
     linked = join_by_key(rows.where("n > 0 AND doc_id IS NOT NULL"), named, "ent", "copies", heavy_at(n)).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     alone = rows.where("n = 0 OR doc_id IS NULL").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return linked.unionByName(alone)
