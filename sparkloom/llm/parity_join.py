@@ -178,7 +178,7 @@ def _send(limit: Threshold, parts: int, width: int):
             size, ids = (np.concatenate([np.zeros(0, t), *[f[k] for f in found]]) for k, t in ((0, np.int64), (1, U64)))
             bits = [x for f in found for x in f[2]]
             yield pa.RecordBatch.from_arrays(
-                [pa.array((ids % U64(parts)).astype(np.int32)), pa.nulls(len(ids), pa.binary()), b.column("doc_id").cast(pa.int64()), pa.array(size, pa.int64()), as_long(ids), pa.array(bits, pa.binary())],
+                [pa.array((np.arange(len(ids)) % parts).astype(np.int32)), pa.nulls(len(ids), pa.binary()), b.column("doc_id").cast(pa.int64()), pa.array(size, pa.int64()), as_long(ids), pa.array(bits, pa.binary())],
                 names=["part", "blob", "doc_id", "n", "ent", "bits"],
             )
             if held > KEYS_A_MESSAGE:
