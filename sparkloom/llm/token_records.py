@@ -32,10 +32,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import IS_GAP, TextView, Workspace, filesystem, get_file, partitions_for, plain, put_file, tidy
+from sparkloom.llm.common import BYTE_CODE, IS_GAP, U64, TextView, Workspace, filesystem, get_file, mix64, partitions_for, plain, powers, put_file, tidy
 
 NO_ID = -(1 << 63)
-SHARD_BYTES, READ_BYTES, CODE_BYTES = 256 << 20, 4 << 20, 1 << 20
+SHARD_BYTES, READ_BYTES, CODE_BYTES = 256 << 20, 4 << 20, 1 << 19
 
 # ---------------------------------------------------------------- CRC-32C
 
@@ -180,15 +180,18 @@ class UnitEncoder:
     """ids of texts as little-endian bytes, by the tokenizers library, with a memo of units.
 
     A text is cut before each single space that stands between two characters that are no white space; in byte-level
-    vocabularies a token starts there and nothing before or behind it looks across. A unit of plain letters and then other
-    plain marks is asked for in these two parts, which the vocabulary's pattern never joins. Texts where white space meets
+    vocabularies a token starts there and nothing before or behind it looks across. A unit of plain letters, digits, marks other
+    than the apostrophe, and single line feeds between them, is asked for in these parts, which such a vocabulary's pattern never
+    joins. Texts where white space meets
     a space, with special strings, or with code points that libraries class differently, are encoded whole.
-    The memo lives as long as the worker process and only saves time. It stops growing at ``MEMO`` units, and starts anew where a
-    slice finds less than ``STALE`` of its units in a full one.
+    The memo lives as long as the worker process and only saves time: arrays of units and ids behind a table of hashes, so all units of
+    a slice are hashed, looked up, compared byte by byte and replaced by their ids at once. It stops growing at ``MEMO`` units, and
+    starts anew where a slice finds less than ``STALE`` of its units in a full one.
     """
 
-    MEMO, LONGEST, STALE = 400_000, 40, 0.7
-    PARTS = re.compile(rb"([A-Za-z]+)([!-&(-/:-@\[-`{-~]+)")
+    MEMO, LONGEST, STALE, SLOTS = 600_000, 40, 0.7, 1 << 22
+    PARTS = re.compile(rb"[A-Za-z]+|[0-9]+|[!-&(-/:-@\[-`{-~]+|\n")
+    PLAIN = re.compile(rb"[A-Za-z]+(?>[A-Za-z]+|[0-9]+|[!-&(-/:-@\[-`{-~]+|\n(?![\n\s]|\Z))+")
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -205,8 +208,10 @@ class UnitEncoder:
         self.lengths = np.zeros(max(vocab.values()) + 1, np.int64)
         for t, i in vocab.items():
             self.lengths[i] = len(t)
-        self.memo: dict[bytes, bytes] = {}  # of " " + unit
-        self.marks: dict[bytes, bytes] = {}
+        self._forget()
+        self.inner: dict[bytes, bytes] = {}  # of parts that do not begin a unit
+        probe = [b"ab", b".#", b"\n", b"Cd", b"12", b"("]
+        self.parts = self._ids([b"".join(probe)])[0] == b"".join(self._ids(probe))
 
     def _ids(self, texts: list[bytes]) -> list[bytes]:
         found = self.tok.encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)
@@ -234,53 +239,143 @@ class UnitEncoder:
 
     def _learn(self, new: set[bytes]) -> dict[bytes, bytes]:
         """The ids of units that no memo has."""
-        split = {u: m for u in new if (m := self.PARTS.fullmatch(u))}
-        marks = list({m[2] for m in split.values()}.difference(self.marks))
-        for at in range(0, len(marks), 4000):
-            part = marks[at : at + 4000]
-            self.marks.update(zip(part, self._ids(part), strict=True))
-        heads = {m[1]: x for m in split.values() if (x := self.memo.get(m[1]))}
-        ask = {m[1] for m in split.values()}.difference(heads)
-        ask.update(u for u in new if u not in split)
-        found = self._learn_joined(list(ask)) | heads
-        found.update({u: found[m[1]] + self.marks[m[2]] for u, m in split.items()})
-        if len(self.marks) > self.MEMO // 10:
-            self.marks.clear()
+        split = {u: self.PARTS.findall(u) for u in new if self.parts and self.PLAIN.fullmatch(u)}
+        split = {u: p for u, p in split.items() if len(p) > 1}
+        inner = list({x for p in split.values() for x in p[1:]}.difference(self.inner))
+        for at in range(0, len(inner), 4000):
+            part = inner[at : at + 4000]
+            self.inner.update(zip(part, self._ids(part), strict=True))
+        ask = {p[0] for p in split.values()}
+        ask.update(new.difference(split))
+        found = self._learn_joined(list(ask))
+        for u, p in split.items():
+            found[u] = found[p[0]] + b"".join(map(self.inner.__getitem__, p[1:]))
+        if len(self.inner) > self.MEMO // 4:
+            self.inner.clear()
         return found
 
+    def _grow(self, units: list[tuple[bytes, bool]], coded: list[bytes]) -> np.ndarray:
+        """Append entries (behind ``self.n``, which the caller moves); returns their numbers."""
+        k = len(units)
+        at = np.arange(self.n, self.n + k)
+        if self.n + k > len(self.unit_len):
+            more = max(k, len(self.unit_len))
+            for name in ("unit_at", "unit_len", "ids_at", "ids_len"):
+                setattr(self, name, np.concatenate([getattr(self, name), np.zeros(more, np.int64)]))
+        for pool, starts, sizes, items, dtype in (("bytes", "unit_at", "unit_len", [u for u, _ in units], np.uint8), ("ids", "ids_at", "ids_len", coded, self.dtype)):
+            begin, own, add = getattr(self, starts), getattr(self, sizes), np.frombuffer(b"".join(items), dtype)
+            first = int(begin[self.n - 1] + own[self.n - 1]) if self.n else 0
+            old = getattr(self, pool)
+            if first + len(add) > len(old):
+                old = np.concatenate([old, np.zeros(max(len(add), len(old)), dtype)])
+                setattr(self, pool, old)
+            old[first : first + len(add)] = add
+            own[at] = np.array([len(x) for x in items], np.int64) // old.itemsize
+            begin[at] = first + np.cumsum(own[at]) - own[at]
+        return at
+
+    def _insert(self, h: np.ndarray, entry: np.ndarray) -> None:
+        slot = (h & U64(self.SLOTS - 1)).astype(np.int64)
+        while len(slot):
+            free = self.table[slot] < 0
+            self.table[slot[free]] = entry[free]
+            left = self.table[slot] != entry
+            slot, entry = (slot[left] + 1) & (self.SLOTS - 1), entry[left]
+
+    def _find(self, h: np.ndarray) -> np.ndarray:
+        """The entry with each hash, or -1."""
+        slot = (h & U64(self.SLOTS - 1)).astype(np.int64)
+        out = self.table[slot]
+        todo = np.flatnonzero((out >= 0) & (self.hashes[out] != h))
+        while len(todo):
+            slot[todo] = (slot[todo] + 1) & (self.SLOTS - 1)
+            out[todo] = self.table[slot[todo]]
+            todo = todo[(out[todo] >= 0) & (self.hashes[out[todo]] != h[todo])]
+        return out
+
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> list[bytes]:
-        raw, off = data.tobytes(), offsets.tolist()
-        texts = [raw[a:b] for a, b in zip(off, off[1:], strict=False)]
+        raw, off, m = data.tobytes(), offsets.tolist(), len(offsets) - 1
         whole = uncut(data, offsets) | (not self.cuts)
         if any(x in raw for x in self.special):
-            whole |= np.array([any(x in t for x in self.special) for t in texts], bool)
-        out: list[bytes] = [b""] * len(texts)
-        rows, heads, units, ends = np.flatnonzero(~whole).tolist(), [], [], []
-        for i in rows:
-            own = texts[i].split(b" ")
-            heads.append(own[0])
-            units += own
-            ends.append(len(units))
+            whole |= np.array([any(x in raw[a:z] for x in self.special) for a, z in zip(off, off[1:], strict=False)], bool)
+        out: list[bytes] = [b""] * m
         for i in np.flatnonzero(whole).tolist():
-            out[i] = self._ids([texts[i]])[0]
-        memo = self.memo
-        got = list(map(memo.get, units))
-        missing = [k for k, x in enumerate(got) if x is None]
-        if missing:
-            fresh = self._learn({units[k] for k in missing})
-            for k in missing:
-                got[k] = fresh[units[k]]
-            if len(memo) > self.MEMO and len(missing) > (1 - self.STALE) * len(units):
-                memo.clear()
-            if len(memo) <= self.MEMO:
-                memo.update((u, x) for u, x in fresh.items() if len(u) <= self.LONGEST)
-        a = 0
-        for i, z, first in zip(rows, ends, self._ids(heads), strict=True):
-            got[a] = first
-            out[i] = b"".join(got[a:z])
-            a = z
+            out[i] = self._ids([raw[off[i] : off[i + 1]]])[0]
+        # units: what stands between spaces, of the texts that are cut
+        blank = np.flatnonzero(data == 0x20)
+        starts, ends = np.concatenate([offsets[:-1], blank + 1]), np.concatenate([offsets[1:], blank])
+        starts.sort(), ends.sort()
+        row = np.searchsorted(offsets, starts, "right") - 1
+        row[starts == len(data)] = m - 1
+        full = ends > starts  # an empty text; in others no unit of a cut text is empty
+        starts, ends, row = starts[full], ends[full], row[full]
+        cut = ~whole[row]
+        starts, ends, row = starts[cut], ends[cut], row[cut]
+        if not len(starts):
+            return out
+        head = starts == offsets[row]
+        p, q = powers(len(data))
+        with np.errstate(over="ignore"):
+            acc = np.zeros(len(data) + 1, U64)
+            np.cumsum(BYTE_CODE[data] * p, out=acc[1:])
+            h = mix64((acc[ends] - acc[starts]) * q[starts] + (ends - starts).astype(U64) * U64(0xD6E8FEB86659FD93) + head.astype(U64) * U64(0xA24BAED4963EE407))
+        entry, size = self._find(h), ends - starts
+        known = np.flatnonzero(entry >= 0)
+        if len(known):  # equal hashes are compared byte by byte
+            n = size[known]
+            same_size = self.unit_len[entry[known]] == n
+            inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            differ = data[np.repeat(starts[known], n) + inside] != self.bytes[np.minimum(np.repeat(self.unit_at[entry[known]], n) + inside, len(self.bytes) - 1)]
+            bad = ~same_size | (np.add.reduceat(differ, np.cumsum(n) - n) > 0)
+            entry[known[bad]] = -1
+        missing = np.flatnonzero(entry < 0)
+        kept = self.n
+        if len(missing):
+            asked = [(raw[a:z], x) for a, z, x in zip(starts[missing].tolist(), ends[missing].tolist(), head[missing].tolist(), strict=True)]
+            new = list(dict.fromkeys(asked))
+            later = self._learn({u for u, x in new if not x})
+            first = [u for u, x in new if x]
+            begin = dict(zip(first, self._ids(first), strict=True)) if first else {}
+            if self.n > self.MEMO and len(missing) > (1 - self.STALE) * len(starts):
+                self._forget()
+                kept, entry[:] = 0, -1
+                # what the old memo had is asked for again in this one slice
+                missing = np.arange(len(starts))
+                asked = [(raw[a:z], x) for a, z, x in zip(starts.tolist(), ends.tolist(), head.tolist(), strict=True)]
+                new = list(dict.fromkeys(asked))
+                later = self._learn({u for u, x in new if not x})
+                first = [u for u, x in new if x]
+                begin = dict(zip(first, self._ids(first), strict=True)) if first else {}
+            new.sort(key=lambda k: len(k[0]) > self.LONGEST)  # long ones behind, where they are not kept
+            numbers = self._grow(new, [begin[u] if x else later[u] for u, x in new])
+            place = dict(zip(new, numbers.tolist(), strict=True))
+            entry[missing] = [place[k] for k in asked]
+            if kept <= self.MEMO:
+                short = sum(len(u) <= self.LONGEST for u, _ in new)
+                one = np.unique(entry[missing], return_index=True)
+                where = one[0] < kept + short
+                if kept + short > len(self.hashes):
+                    self.hashes = np.concatenate([self.hashes, np.zeros(max(short, len(self.hashes)), U64)])
+                self.hashes[one[0][where]] = h[missing[one[1][where]]]
+                self._insert(h[missing[one[1][where]]], one[0][where])
+                kept += short
+        n = self.ids_len[entry]
+        before = np.cumsum(n) - n
+        ids = self.ids[np.repeat(self.ids_at[entry] - before, n) + np.arange(n.sum())]
+        total = np.bincount(row, n, minlength=m).astype(np.int64)
+        upto = np.cumsum(total) * ids.itemsize
+        made = ids.tobytes()
+        for i, (z, k) in enumerate(zip(upto.tolist(), (total * ids.itemsize).tolist(), strict=True)):
+            if k:
+                out[i] = made[z - k : z]
+        self.n = kept
         return out
 
+    def _forget(self) -> None:
+        self.n, self.table = 0, np.full(self.SLOTS, -1, np.int64)
+        self.hashes, self.bytes, self.ids = np.zeros(1 << 16, U64), np.zeros(1 << 20, np.uint8), np.zeros(1 << 18, self.dtype)
+        self.unit_at, self.unit_len, self.ids_at, self.ids_len = (np.zeros(1 << 16, np.int64) for _ in range(4))
+
 
 _LOADED: dict[str, UnitEncoder] = {}
 
