@@ -45,7 +45,7 @@ from sparkloom.llm.components import ONE_TASK, connected_components
 
 SKETCH_BITS = 512
 FILTER_SLOTS = 1 << 19
-PAIRS_A_TASK = 4000
+PAIRS_A_TASK = 250
 FEW = 200_000
 TILE = 1024
 CLOSEST_ROUNDS = 1
