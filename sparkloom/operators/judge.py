@@ -125,3 +125,82 @@ def carry_forward(df: DataFrame, doc: str, order: str, head: Column, default: st
     from pyspark.sql import Window
 
     return df.withColumn("disposition", F.coalesce(F.last(head, ignorenulls=True).over(Window.partitionBy(doc).orderBy(order)), F.lit(default)))
+
+
+def _implies(when: Column, then: Column) -> Column:
+    """Unknown premises ask for nothing; unknown conclusions are breaches."""
+    return ~F.coalesce(when, F.lit(False)) | F.coalesce(then, F.lit(False))
+
+
+def sentence_contract() -> dict[str, Column]:
+    """Rules that a judged sentence must meet, for ``breaches``.
+
+    Columns: verdict, hold_reason, n_violations, infeasibility, n_evidence, risk, encoder, encoder_basis, not_claim, n_spans, subst_cap (risk at
+    most if substantiated), fact_kind and fact_cap (the open question and the risk at most if true), answered (kinds of facts already answered),
+    subst_answered.
+    """
+    c = F.col
+    confirmed, hold = c("verdict") == "confirmed", c("verdict") == "hold"
+    waits, unsure = hold & (c("hold_reason") == "premise_unknown"), hold & (c("hold_reason") == "low_conf")
+    bad, subst, asked = c("n_violations") > 0, c("subst_cap").isNotNull(), c("fact_kind").isNotNull()
+    facts = F.size("answered") > 0
+    return {
+        "reason_iff_hold": hold == c("hold_reason").isNotNull(),
+        "clean_is_r0": _implies(confirmed & ~bad & c("risk").isNotNull(), c("risk") == R0),
+        "violation_above_r0": _implies(confirmed & bad & c("risk").isNotNull(), c("risk") > R0),
+        "violation_has_cause": _implies(confirmed & bad, c("infeasibility").isNotNull()),
+        "violation_has_evidence": _implies(confirmed & bad, c("n_evidence") > 0),
+        "not_claim_is_clean": _implies(c("not_claim"), confirmed & ~bad & (c("n_spans") == 0) & ~subst & (F.coalesce("risk", F.lit(R0)) == R0)),
+        "encoder_on_hold": _implies(c("encoder").isNotNull(), hold & ~c("not_claim")),
+        "encoder_has_basis": _implies(c("encoder").isNotNull(), c("encoder_basis").isNotNull()),
+        "subst_for_b": _implies(subst, c("infeasibility") == "B"),
+        "subst_verdict": _implies(subst, confirmed | hold),
+        "subst_hold_reason": _implies(subst & hold, waits | unsure),
+        "subst_has_risk": _implies(subst, c("risk").isNotNull()),
+        "subst_not_above": _implies(subst & c("risk").isNotNull(), c("subst_cap") <= c("risk")),
+        "answers_distinct": F.size("answered") == F.size(F.array_distinct("answered")),
+        "answers_place": _implies(facts, confirmed | (waits & (asked | subst)) | unsure),
+        "asked_once": _implies(asked, ~F.array_contains("answered", c("fact_kind"))),
+        "subst_answer_place": _implies(c("subst_answered"), ~asked & (confirmed | unsure)),
+        "question_for_claims": _implies(asked, ~c("not_claim")),
+        "question_on_open_hold": _implies(asked, waits | unsure),
+        "question_has_risk": _implies(asked, c("risk").isNotNull()),
+        "question_not_above": _implies(asked & c("risk").isNotNull(), c("fact_cap") <= c("risk")),
+    }
+
+
+#: Dispositions by rank: a phrase takes the first that any clause with it has.
+PLACES = ("violation", "lawful", "dropped")
+#: Characters by which phrases and clauses meet, and the length of the cuts in which a clause is read.
+PLACE_GRAM, PLACE_CUT = 8, 512
+
+
+def place_phrases(clauses: DataFrame, phrases: DataFrame, doc: str, text: str, phrase: str) -> DataFrame:
+    """doc, phrase, place for each distinct phrase of a document.
+
+    ``clauses`` has ``disposition`` from ``carry_forward`` with the default "document", which stands for the document's own: the first of PLACES that
+    a clause has, else "violation". White space does not count; a phrase in no clause goes by the document. Phrases and clauses meet by the phrase's
+    first PLACE_GRAM characters, so the pairs of a long document are not listed; grams carry no text, the planner may
+    not broadcast them, and those of fewer characters are made only for documents with so short a phrase.
+    """
+    rank = F.coalesce(F.array_position(F.array(*map(F.lit, PLACES)), F.col("disposition")), F.lit(0))
+    squeeze = lambda x: F.regexp_replace(x, r"\s+", "")
+    c = clauses.select(doc, squeeze(F.col(text)).alias("_t"), F.when(rank > 0, rank).alias("_r"))
+    whole = c.groupBy(doc).agg(F.coalesce(F.min("_r"), F.lit(1)).alias("_whole"))
+    p = phrases.select(doc, phrase, squeeze(F.col(phrase)).alias("_p")).distinct()
+    texts = c.select(doc, "_t").distinct().withColumn("_id", F.sha2("_t", 256))
+    cut = texts.select(doc, "_id", F.regexp_extract_all("_t", F.lit(f"(?s).{{1,{PLACE_CUT}}}"), F.lit(0)).alias("_cuts"))
+    tail = lambda i: F.coalesce(F.left(F.get("_cuts", i + 1), F.lit(PLACE_GRAM - 1)), F.lit(""))
+    cut = cut.select(doc, "_id", F.explode(F.transform("_cuts", lambda x, i: F.concat(x, tail(i)))).alias("_c"))
+    at = lambda n: F.transform(F.sequence(F.lit(1), F.length("_c") - n + 1), lambda i: F.substring("_c", i, F.lit(n)))
+    keys = lambda sizes: F.explode(F.array_distinct(F.flatten(F.array(*[F.when(F.length("_c") >= n, at(n)).otherwise(F.array().cast("array<string>")) for n in sizes]))))
+    short = p.where((F.length("_p") > 0) & (F.length("_p") < PLACE_GRAM)).select(doc).distinct()
+    keyed = cut.select(doc, "_id", keys([PLACE_GRAM]).alias("_k")).unionByName(cut.join(short, doc, "left_semi").select(doc, "_id", keys(range(1, PLACE_GRAM)).alias("_k")))
+    met = p.where("_p <> ''").withColumn("_k", F.left("_p", F.lit(PLACE_GRAM))).join(keyed.hint("merge"), [doc, "_k"]).select(doc, phrase, "_p", "_id").distinct()
+    ranks = c.groupBy(doc, "_t").agg(F.min("_r").alias("_r"), F.bool_or(F.col("_r").isNull()).alias("_own")).withColumn("_id", F.sha2("_t", 256))
+    hits = met.join(ranks.hint("merge"), [doc, "_id"]).where(F.contains("_t", "_p"))
+    best = hits.groupBy(doc, phrase).agg(F.min("_r").alias("_best"), F.bool_or("_own").alias("_open"))
+    j = p.select(doc, phrase).join(best, [doc, phrase], "left").join(whole, doc, "left")
+    own = F.coalesce("_whole", F.lit(1))
+    place = F.when(F.col("_best").isNull() | F.col("_open"), F.least(F.coalesce("_best", own), own)).otherwise(F.col("_best"))
+    return j.select(doc, phrase, F.element_at(F.array(*map(F.lit, PLACES)), place.cast("int")).alias("place"))

@@ -206,3 +206,69 @@ def toc_check(spark, d):
     t = table(spark, d, "pages").select("page_id", F.regexp_extract("html", "<h1[^>]*>([^<]*)</h1>", 1).alias("head"), F.instr("html", "<h1").alias("pos"), F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"))
     w = Window.partitionBy(F.col("page_id") % 25).orderBy("page_id")
     return t.select("page_id", ((F.col("head") != "") & F.col("title").contains(F.col("head"))).alias("contained"), F.coalesce(F.col("pos") > F.lag("pos").over(w), F.lit(True)).alias("in_order"))
+
+
+#: Columns of a judged sentence, derived from its number so that every rule of the contract has rows that break it.
+CONTRACT = {
+    "hold_reason": "CASE WHEN verdict = 'hold' THEN CASE WHEN sid % 3 = 0 THEN 'premise_unknown' WHEN sid % 31 = 0 THEN NULL ELSE 'low_conf' END WHEN sid % 29 = 0 THEN 'other' END",
+    "n_violations": "CASE WHEN strong > 0 THEN strong WHEN sid % 37 = 0 THEN 1 ELSE 0 END",
+    "infeasibility": "CASE sid % 4 WHEN 1 THEN 'B' WHEN 2 THEN 'A' WHEN 3 THEN 'C' END",
+    "n_evidence": "sid % 5",
+    "risk": "CASE WHEN sid % 6 < 5 THEN sid % 4 END",
+    "encoder": "CASE WHEN sid % 7 = 0 THEN 1 END",
+    "encoder_basis": "CASE WHEN sid % 2 = 0 THEN 'item' END",
+    "not_claim": "coalesce(reason = 'not_claim', FALSE)",
+    "n_spans": "sid % 2",
+    "subst_cap": "CASE WHEN sid % 8 IN (1, 2) THEN sid % 7 % 4 END",
+    "fact_kind": "CASE sid % 9 WHEN 2 THEN 'f1' WHEN 3 THEN 'f2' END",
+    "fact_cap": "CASE WHEN sid % 9 IN (2, 3) THEN sid % 3 END",
+    "answers": "CASE sid % 10 WHEN 0 THEN 'f1' WHEN 1 THEN 'f1,f2' WHEN 2 THEN 'f2,f2' ELSE '' END",
+    "subst_answered": "sid % 11 = 3",
+}
+OPEN = "verdict = 'hold' AND hold_reason IS NOT DISTINCT FROM 'premise_unknown'"
+SHAKY = "verdict = 'hold' AND hold_reason IS NOT DISTINCT FROM 'low_conf'"
+#: Breaches, each as the condition under which its rule is broken.
+BROKEN = {
+    "reason_iff_hold": "(verdict = 'hold') <> (hold_reason IS NOT NULL)",
+    "clean_is_r0": "verdict = 'confirmed' AND n_violations = 0 AND risk <> 0",
+    "violation_above_r0": "verdict = 'confirmed' AND n_violations > 0 AND risk = 0",
+    "violation_has_cause": "verdict = 'confirmed' AND n_violations > 0 AND infeasibility IS NULL",
+    "violation_has_evidence": "verdict = 'confirmed' AND n_violations > 0 AND n_evidence = 0",
+    "not_claim_is_clean": "not_claim AND (verdict <> 'confirmed' OR n_violations > 0 OR n_spans > 0 OR subst_cap IS NOT NULL OR coalesce(risk, 0) > 0)",
+    "encoder_on_hold": "encoder IS NOT NULL AND (verdict <> 'hold' OR not_claim)",
+    "encoder_has_basis": "encoder IS NOT NULL AND encoder_basis IS NULL",
+    "subst_for_b": "subst_cap IS NOT NULL AND infeasibility IS DISTINCT FROM 'B'",
+    "subst_verdict": "subst_cap IS NOT NULL AND verdict NOT IN ('confirmed', 'hold')",
+    "subst_hold_reason": "subst_cap IS NOT NULL AND verdict = 'hold' AND coalesce(hold_reason, '') NOT IN ('premise_unknown', 'low_conf')",
+    "subst_has_risk": "subst_cap IS NOT NULL AND risk IS NULL",
+    "subst_not_above": "subst_cap > risk",
+    "answers_distinct": "answers = 'f2,f2'",
+    "answers_place": f"answers <> '' AND verdict <> 'confirmed' AND NOT ({SHAKY}) AND NOT ({OPEN} AND (fact_kind IS NOT NULL OR subst_cap IS NOT NULL))",
+    "asked_once": "fact_kind IS NOT NULL AND contains(answers, fact_kind)",
+    "subst_answer_place": f"subst_answered AND (fact_kind IS NOT NULL OR NOT (verdict = 'confirmed' OR ({SHAKY})))",
+    "question_for_claims": "fact_kind IS NOT NULL AND not_claim",
+    "question_on_open_hold": f"fact_kind IS NOT NULL AND NOT ({OPEN}) AND NOT ({SHAKY})",
+    "question_has_risk": "fact_kind IS NOT NULL AND risk IS NULL",
+    "question_not_above": "fact_cap > risk",
+}
+
+
+@query(f"WITH {ROUTE}, r AS (SELECT sid, verdict, {', '.join(f'{x} AS {n}' for n, x in CONTRACT.items())} FROM v) " + " UNION ALL ".join(f"SELECT sid, '{n}' AS rule_id FROM r WHERE {x}" for n, x in BROKEN.items()))
+def sentence_contract(spark, d):
+    rows = _judged(spark, d).selectExpr("sid", "verdict", *[f"{x} AS {n}" for n, x in CONTRACT.items()])
+    return J.breaches(rows.withColumn("answered", F.array_remove(F.split("answers", ","), "")), ["sid"], J.sentence_contract())
+
+
+HEAD = "CASE WHEN strong > 1 THEN 'violation' WHEN caution THEN 'lawful' WHEN demoted > 0 THEN 'dropped' END"
+
+
+@query(f"""WITH {SENT}, c AS (SELECT s.conv_id, regexp_replace(t.text, '\\s+', '', 'g') AS t, coalesce(last_value({HEAD} IGNORE NULLS) OVER (PARTITION BY s.conv_id ORDER BY s.turn), 'document') AS k FROM s JOIN conversations t ON t.conv_id = s.conv_id AND t.turn = s.turn),
+    w AS (SELECT conv_id, CASE WHEN bool_or(k = 'violation') THEN 'violation' WHEN bool_or(k = 'lawful') THEN 'lawful' WHEN bool_or(k = 'dropped') THEN 'dropped' ELSE 'violation' END AS whole FROM c GROUP BY 1),
+    p AS (SELECT DISTINCT conv_id, regexp_extract(text, '\\S+\\s+\\S+$') AS phrase FROM conversations),
+    h AS (SELECT p.conv_id, p.phrase, whole, CASE k WHEN 'document' THEN whole ELSE k END AS k FROM p JOIN w USING (conv_id) LEFT JOIN c ON c.conv_id = p.conv_id AND p.phrase <> '' AND contains(c.t, regexp_replace(p.phrase, '\\s+', '', 'g')))
+    SELECT conv_id, phrase, CASE WHEN bool_or(coalesce(k, whole) = 'violation') THEN 'violation' WHEN bool_or(coalesce(k, whole) = 'lawful') THEN 'lawful' ELSE 'dropped' END AS place FROM h GROUP BY 1, 2""")
+def phrase_placement(spark, d):
+    """The last two words of each turn as phrases, placed by the dispositions of the turns that contain them."""
+    text = table(spark, d, "conversations").select("conv_id", "turn", "text")
+    clauses = J.carry_forward(_sentences(spark, d).join(text, ["conv_id", "turn"]), "conv_id", "turn", F.expr(HEAD), "document")
+    return J.place_phrases(clauses, text.select("conv_id", F.regexp_extract("text", r"\S+\s+\S+$", 0).alias("phrase")), "conv_id", "text", "phrase")

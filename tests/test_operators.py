@@ -210,3 +210,23 @@ def test_outline_renumbering_starts_a_section():
 def test_box_rows_join_lines_of_a_row():
     got = files.box_rows("+--+--+\n| ab | 1 |\n| cd | 2 |\n+--+--+\n| x | y |\n+--+--+")
     assert got == [(["abcd", "12"], False), (["x", "y"], False)]
+
+
+def test_place_phrases_by_clause_and_document(spark):
+    from sparkloom.operators import judge as J
+
+    clauses = spark.createDataFrame([(1, "violation", "says it\ncures all"), (1, "lawful", "tastes good, cures all"), (1, "document", "a closing part"), (2, "dropped", "hidden ad"), (3, "document", "plain")], "doc int, disposition string, text string")
+    phrases = spark.createDataFrame([(1, "cures all"), (1, "tastes  good"), (1, "closing"), (1, "nowhere"), (1, ""), (2, "ad"), (2, "hidden ad"), (3, "plain"), (4, "no clauses"), (2, "ad")], "doc int, phrase string")
+    got = {(r.doc, r.phrase): r.place for r in J.place_phrases(clauses, phrases, "doc", "text", "phrase").collect()}
+    v, w, x = J.PLACES
+    assert got == {(1, "cures all"): v, (1, "tastes  good"): w, (1, "closing"): v, (1, "nowhere"): v, (1, ""): v, (2, "ad"): x, (2, "hidden ad"): x, (3, "plain"): v, (4, "no clauses"): v}
+
+
+def test_every_contract_rule_breaks_and_holds(spark, sf):
+    from sparkloom import registry
+    from sparkloom.operators import judge as J
+
+    q = registry.queries()
+    counts = {r.rule_id: r["count"] for r in q["sentence_contract"](spark, "/root/testdata/sf0.01").groupBy("rule_id").count().collect()}
+    total = q["verdict_cascade"](spark, "/root/testdata/sf0.01").count()
+    assert set(counts) == set(J.sentence_contract()) and max(counts.values()) < total
