@@ -14,6 +14,7 @@ from sparkloom.llm.exact_dedup import exact_dedup
 from sparkloom.llm.html_render import html_render
 from sparkloom.llm.parity_join import jaccard_components
 from sparkloom.llm.quality_crf import quality
+from sparkloom.llm.spelling import spelling_variants
 from sparkloom.llm.suffix_dedup import suffix_dedup
 from sparkloom.llm.token_counts import token_counts
 from sparkloom.llm.token_records import encode_to_records
@@ -69,6 +70,10 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(spark, table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
