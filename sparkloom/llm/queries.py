@@ -12,6 +12,7 @@ from sparkloom.llm.byte_bpe import round_trip
 from sparkloom.llm.decontaminate import contaminated
 from sparkloom.llm.exact_dedup import exact_dedup
 from sparkloom.llm.html_render import html_render
+from sparkloom.llm.merkle import document_proofs
 from sparkloom.llm.parity_join import jaccard_components
 from sparkloom.llm.quality_crf import quality
 from sparkloom.llm.spelling import spelling_variants
@@ -70,6 +71,10 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return document_proofs(spark, table(spark, sf_dir, "documents"))
+
+
 def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_variants(spark, table(spark, sf_dir, "documents"))
 
@@ -84,6 +89,16 @@ SHINGLES = r"""{out}_words AS (
         {out}_at AS (SELECT id, w, unnest(generate_series(1, greatest(1, len(w) - 4))) AS k FROM {out}_words WHERE len(w) > 0),
         {out} AS (SELECT DISTINCT id, array_to_string(list_slice(w, k, k + 4), ' ') AS g FROM {out}_at)"""
 
+#: CRC-32 in SQL: its table of 256 entries, made by its rule, and the sum of a list of bytes.
+CRC_TABLE = """crc_ AS (SELECT list(list_reduce(list_prepend(i, range(8)), lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t FROM range(256) r(i))"""
+CRC = "xor(list_reduce(list_prepend(4294967295::BIGINT, {bytes}), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295)"
+
+
+def _leaf(n_chars: str) -> str:
+    fields = ("doc_id", "source", "lang", n_chars, "text")
+    return "sha256(" + " || ".join(f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen(({c})::VARCHAR) || ':' || ({c}) END" for c in fields) + ")"
+
+
 ORACLE = {
     "op1_exact_dedup": """
         WITH d AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
@@ -107,6 +122,29 @@ ORACLE = {
         SELECT s.id AS doc_id, b.id AS item_id, n.n_item, count(*) AS n_common, count(*) / n.n_item AS containment
         FROM s JOIN b ON s.g = b.g JOIN n ON n.id = b.id GROUP BY s.id, b.id, n.n_item HAVING 100 * count(*) >= 75 * n.n_item
     """,
+    "op11_merkle_manifest": f"""
+        WITH RECURSIVE {CRC_TABLE},
+        leaves AS (SELECT doc_id, coalesce('=' || lang, '') AS g, {_leaf("n_chars")} AS leaf,
+            CASE WHEN {CRC.format(bytes="list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)")} % 7 = 0 THEN {_leaf("n_chars + 1")} END AS other FROM documents, crc_),
+        placed AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, row_number() OVER () AS id, count(*) OVER (PARTITION BY g) AS cnt FROM leaves),
+        low AS (SELECT g, 0 AS level, pos AS idx, leaf AS h, cnt FROM placed
+            UNION ALL SELECT g, level + 1, idx // 2, sha256(string_agg(h, '' ORDER BY idx)), (max(cnt) + 1) // 2 FROM low WHERE cnt > 1 GROUP BY g, level, idx // 2),
+        tops AS (SELECT g, h AS subroot, row_number() OVER (ORDER BY g) - 1 AS pos, count(*) OVER () AS cnt FROM low WHERE cnt = 1),
+        high AS (SELECT 0 AS level, pos AS idx, subroot AS h, cnt FROM tops
+            UNION ALL SELECT level + 1, idx // 2, sha256(string_agg(h, '' ORDER BY idx)), (max(cnt) + 1) // 2 FROM high WHERE cnt > 1 GROUP BY level, idx // 2),
+        asked AS (SELECT DISTINCT p.id, p.g, l.level, p.pos >> l.level AS own, FALSE AS over FROM placed p JOIN (SELECT DISTINCT g, level FROM low WHERE cnt > 1) l USING (g)
+            UNION ALL SELECT p.id, '', l.level, t.pos >> l.level, TRUE FROM placed p JOIN tops t USING (g), (SELECT DISTINCT level FROM high WHERE cnt > 1) l),
+        every AS (SELECT g, level, idx, h, FALSE AS over FROM low UNION ALL SELECT '', level, idx, h, TRUE FROM high),
+        way AS (SELECT a.id, a.own % 2 AS place, e.h, row_number() OVER (PARTITION BY a.id ORDER BY a.over, a.level) AS k
+            FROM asked a LEFT JOIN every e ON e.g = a.g AND e.over = a.over AND e.level = a.level AND e.idx = xor(a.own, 1)),
+        folded AS (SELECT id, 0 AS k, coalesce(other, leaf) AS d FROM placed
+            UNION ALL SELECT f.id, f.k + 1, sha256(CASE WHEN w.h IS NULL THEN f.d WHEN w.place = 0 THEN f.d || w.h ELSE w.h || f.d END) FROM folded f JOIN way w ON w.id = f.id AND w.k = f.k + 1),
+        last AS (SELECT id, arg_max(d, k) AS folded_root FROM folded GROUP BY id),
+        proof AS (SELECT p.id, sha256(coalesce(string_agg(w.h, '' ORDER BY w.k), '')) AS proof_sha256 FROM placed p LEFT JOIN way w USING (id) GROUP BY p.id),
+        root AS (SELECT h AS root FROM high WHERE cnt = 1)
+        SELECT p.doc_id, p.leaf, t.subroot, root, proof_sha256, folded_root, folded_root = root AS verified
+        FROM placed p JOIN tops t USING (g) JOIN proof USING (id) JOIN last USING (id), root
+    """,
 }
 
 
