@@ -145,6 +145,22 @@ ORACLE = {
         SELECT p.doc_id, p.leaf, t.subroot, root, proof_sha256, folded_root, folded_root = root AS verified
         FROM placed p JOIN tops t USING (g) JOIN proof USING (id) JOIN last USING (id), root
     """,
+    "op12_spelling_variants": f"""
+        WITH RECURSIVE {CRC_TABLE},
+        runs AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-zÀ-ÿ]{{7,}}')) AS w FROM documents),
+        hashed AS (SELECT w, {CRC.format(bytes="list_transform(string_split(doc_id || ':', ''), lambda x: ascii(x)::BIGINT) || flatten(list_transform(string_split(w, ''), lambda x: CASE WHEN unicode(x) < 128 THEN [unicode(x)::BIGINT] ELSE [195::BIGINT, unicode(x)::BIGINT - 64] END))")} AS h FROM runs, crc_),
+        spelt AS (SELECT CASE WHEN h % 31 = 0 THEN substr(w, 1, h % length(w)) || substr(w, h % length(w) + 2) ELSE w END AS w FROM hashed),
+        v AS (SELECT w, count(*) AS n FROM spelt WHERE length(w) >= 7 GROUP BY w HAVING count(*) >= 2),
+        at_ AS (SELECT w, n, unnest(generate_series(1, length(w))) AS k FROM v),
+        open_ AS (SELECT w, n, k, substr(w, 1, k - 1) AS a, substr(w, k + 1) AS z FROM at_),
+        less AS (SELECT DISTINCT w, n, a || z AS d FROM open_),
+        near AS (SELECT x.w, y.w AS o, y.n AS on_ FROM open_ x JOIN open_ y ON x.k = y.k AND x.a = y.a AND x.z = y.z AND x.w <> y.w
+            UNION ALL SELECT l.w, v.w, v.n FROM less l JOIN v ON v.w = l.d UNION ALL SELECT v.w, l.w, l.n FROM less l JOIN v ON v.w = l.d),
+        best AS (SELECT w, o, on_, row_number() OVER (PARTITION BY w ORDER BY on_ DESC, o) AS r, count(*) OVER (PARTITION BY w) AS n_near FROM near),
+        formed AS (SELECT v.w, v.n, coalesce(b.n_near, 0) AS n_near, CASE WHEN b.on_ >= 10 * v.n THEN b.o END AS form, CASE WHEN b.on_ >= 10 * v.n THEN b.on_ END AS form_n FROM v LEFT JOIN best b ON b.w = v.w AND b.r = 1),
+        steps AS (SELECT w, w AS root, form AS next FROM formed UNION ALL SELECT s.w, f.w, f.form FROM steps s JOIN formed f ON f.w = s.next)
+        SELECT f.w AS word, f.form, s.root, f.n, f.n_near, f.form_n FROM formed f JOIN steps s ON s.w = f.w AND s.next IS NULL
+    """,
 }
 
 
