@@ -13,6 +13,7 @@ from sparkloom.llm.decontaminate import contaminated
 from sparkloom.llm.exact_dedup import exact_dedup
 from sparkloom.llm.html_render import html_render
 from sparkloom.llm.merkle import document_proofs
+from sparkloom.llm.packing import packed
 from sparkloom.llm.parity_join import jaccard_components
 from sparkloom.llm.quality_crf import quality
 from sparkloom.llm.spelling import spelling_variants
@@ -79,6 +80,10 @@ def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_variants(spark, table(spark, sf_dir, "documents"))
 
 
+def op13_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed(spark, table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 

@@ -35,6 +35,7 @@ SHORTEST, LEAST, RATIO, LONG = 7, 2, 10, 64
 COUNTED = 200_000  # distinct words a task remembers before it sends its counts on
 LETTER = np.zeros(256, bool)
 LETTER[65:91] = LETTER[97:123] = LETTER[0xC3] = True  # U+00C0 to U+00FF are 0xC3 and one continuation byte
+NO_LETTER = ~LETTER & (np.arange(256) < 128)
 
 
 def letter_runs(data: np.ndarray, offsets: np.ndarray, least: int = SHORTEST) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -55,15 +56,15 @@ def letter_runs(data: np.ndarray, offsets: np.ndarray, least: int = SHORTEST) ->
     return starts, ends[long], size[long], np.searchsorted(offsets, starts, "right") - 1
 
 
-def pieces(view: TextView, limit: int = SLICE_BYTES) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(first row, data, offsets) of at most ``limit`` bytes; a longer text is cut at an ASCII character that is no letter."""
+def pieces(view: TextView, limit: int = SLICE_BYTES, stop: np.ndarray = NO_LETTER) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first row, data, offsets) of at most ``limit`` bytes; a longer text is cut before a byte in ``stop``."""
     for i, _, data, off in view.slices(limit):
         at, n = 0, len(data)
         while n - at > limit and len(off) == 2:
             to = at + limit
-            while to < n and (data[to] >= 0x80 or LETTER[data[to]]):
-                stop = np.flatnonzero((data[to : to + 4096] < 0x80) & ~LETTER[data[to : to + 4096]])
-                to = to + int(stop[0]) if len(stop) else min(n, to + 4096)
+            while to < n and not stop[data[to]]:
+                found = np.flatnonzero(stop[data[to : to + 4096]])
+                to = to + int(found[0]) if len(found) else min(n, to + 4096)
             yield i, data[at:to], np.array([0, to - at])
             at = to
         yield i, data[at:], off if len(off) > 2 else np.array([0, n - at])
