@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkloom.operators import postings as P
 from sparkloom.operators import retrieval as R
 from sparkloom.operators.matching import contained
 from sparkloom.registry import query
@@ -12,24 +13,31 @@ from sparkloom.session import table
 
 TERMS = ["ther", "ration", "tion"]
 WORDS = r"list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda w: w <> '')"
-HITS = " , ".join(f"len(list_filter(w, lambda x: starts_with(x, '{t}')))" for t in TERMS)
-LEX = f"""w_ AS (SELECT doc_id, source, lang, {WORDS} AS w FROM documents),
-    h_ AS (SELECT doc_id, source, lang, [{HITS}] AS h FROM w_),
-    lex AS (SELECT doc_id, source, lang, len(list_filter(h, lambda n: n > 0)) AS matched, list_sum(h)::BIGINT AS tf FROM h_ WHERE list_sum(h) > 0)"""
+LAST = ", ".join(f"max(CASE WHEN starts_with(x, '{t}') THEN pos END) OVER up AS l{i}, count(*) FILTER (starts_with(x, '{t}')) OVER (PARTITION BY doc_id) AS c{i}" for i, t in enumerate(TERMS))
+#: Covers by their definition: for each place, the latest place of each term up to it; the earliest of those begins the shortest run that ends there.
+LEX = f"""w_ AS (SELECT doc_id, {WORDS} AS w FROM documents),
+    x_ AS (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS pos FROM w_),
+    e_ AS (SELECT doc_id, pos, {LAST} FROM x_ WHERE {" OR ".join(f"starts_with(x, '{t}')" for t in TERMS)} WINDOW up AS (PARTITION BY doc_id ORDER BY pos)),
+    p_ AS (SELECT doc_id, pos, least({", ".join(f"CASE WHEN c{i} = 0 THEN 2147483647 ELSE coalesce(l{i}, 0) END" for i in range(len(TERMS)))}) AS p FROM e_),
+    k_ AS (SELECT doc_id, p, min(pos) - p + 1 AS size FROM p_ WHERE p > 0 GROUP BY doc_id, p),
+    s_ AS (SELECT doc_id, CAST(sum(CASE WHEN size <= 16 THEN 1000000 ELSE 16000000 // size END) AS BIGINT) AS covers FROM k_ GROUP BY doc_id),
+    t_ AS (SELECT DISTINCT doc_id, {" + ".join(f"(c{i} > 0)::INT" for i in range(len(TERMS)))} AS matched, {" + ".join(f"c{i}" for i in range(len(TERMS)))} AS tf FROM e_),
+    lex AS (SELECT doc_id, source, lang, matched, tf, covers, round(covers / (covers + 1000000), 6) AS density FROM t_ JOIN s_ USING (doc_id) JOIN documents USING (doc_id))"""
 VEC = """q_ AS (SELECT embedding AS q FROM embeddings WHERE vec_id = 0),
     vec AS (SELECT vec_id, label, round(1 - list_dot_product(embedding::DOUBLE[], q::DOUBLE[]) / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]) * list_dot_product(q::DOUBLE[], q::DOUBLE[])), 6) AS distance FROM embeddings, q_)"""
 RANKS = f"""{LEX}, {VEC},
-    l AS (SELECT doc_id, row_number() OVER (ORDER BY matched DESC, tf DESC, doc_id) AS rank_l FROM lex ORDER BY matched DESC, tf DESC, doc_id LIMIT 50),
+    l AS (SELECT doc_id, row_number() OVER (ORDER BY matched DESC, covers DESC, doc_id) AS rank_l FROM lex ORDER BY matched DESC, covers DESC, doc_id LIMIT 50),
     v AS (SELECT vec_id AS doc_id, row_number() OVER (ORDER BY distance, vec_id) AS rank_r FROM vec WHERE vec_id IN (SELECT doc_id FROM documents) ORDER BY distance, vec_id LIMIT 50),
     fused AS (SELECT coalesce(l.doc_id, v.doc_id) AS doc_id, rank_l, rank_r, round(coalesce(1 / (60 + rank_l), 0) + coalesce(1 / (60 + rank_r), 0), 9) AS rrf FROM l FULL OUTER JOIN v ON l.doc_id = v.doc_id)"""
 
 
 def lex_order():
-    return (F.desc("matched"), F.desc("tf"), F.asc("doc_id"))
+    return (F.desc("matched"), F.desc("covers"), F.asc("doc_id"))
 
 
 def _lexical(spark: SparkSession, d: str) -> DataFrame:
-    return R.lexical_scores(table(spark, d, "documents").select("doc_id", "source", "lang", "text"), TERMS).drop("text")
+    docs = table(spark, d, "documents")
+    return P.scores(P.index_of(spark, docs, "doc_id"), "doc_id", TERMS).join(docs.select("doc_id", "source", "lang"), "doc_id")
 
 
 def _vector(spark: SparkSession, d: str) -> DataFrame:
@@ -40,7 +48,8 @@ def _vector(spark: SparkSession, d: str) -> DataFrame:
 def _fused(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("vec_id"))
     vec = R.ranked(_vector(spark, d).join(docs, "vec_id", "left_semi"), [F.asc("distance"), F.asc("vec_id")], "rank_r", R.POOL)
-    return R.fuse(R.ranked(_lexical(spark, d), lex_order(), "rank_l", R.POOL).select("doc_id", "rank_l"), vec.select(F.col("vec_id").alias("doc_id"), "rank_r"), "doc_id")
+    lex = P.scores(P.index_of(spark, table(spark, d, "documents"), "doc_id"), "doc_id", TERMS)
+    return R.fuse(R.ranked(lex, lex_order(), "rank_l", R.POOL).select("doc_id", "rank_l"), vec.select(F.col("vec_id").alias("doc_id"), "rank_r"), "doc_id")
 
 
 @query(f"""WITH {RANKS},
@@ -62,9 +71,15 @@ def vector_topk_per_label(spark, d):
     return R.top_per(_vector(spark, d), ["label"], [F.asc("distance"), F.asc("vec_id")], 5)
 
 
-@query(f"WITH {LEX} SELECT doc_id, source, matched, tf, rn FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY matched DESC, tf DESC, doc_id) AS rn FROM lex) WHERE rn <= 3")
+@query(f"WITH {LEX} SELECT doc_id, source, matched, tf, density, rn FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY matched DESC, covers DESC, doc_id) AS rn FROM lex) WHERE rn <= 3")
 def lexical_topk_per_source(spark, d):
-    return R.top_per(_lexical(spark, d), ["source"], lex_order(), 3).select("doc_id", "source", "matched", "tf", "rn")
+    return R.top_per(_lexical(spark, d), ["source"], lex_order(), 3).select("doc_id", "source", "matched", "tf", "density", "rn")
+
+
+@query(f"WITH {LEX} SELECT doc_id, matched, tf, covers, density FROM lex")
+def cover_density(spark, d):
+    """Every document with one of the terms, scored from the terms' postings."""
+    return P.scores(P.index_of(spark, table(spark, d, "documents"), "doc_id"), "doc_id", TERMS)
 
 
 @query(f"WITH {RANKS} SELECT doc_id, rank_l, rank_r, rrf FROM fused")
@@ -73,7 +88,7 @@ def rrf_fuse_full_outer(spark, d):
 
 
 @query(f"""WITH {LEX}, {VEC},
-    l AS (SELECT doc_id, row_number() OVER (ORDER BY matched DESC, tf DESC, doc_id) AS rank_l FROM lex WHERE source = 'src0'),
+    l AS (SELECT doc_id, row_number() OVER (ORDER BY matched DESC, covers DESC, doc_id) AS rank_l FROM lex WHERE source = 'src0'),
     v AS (SELECT vec_id AS doc_id, row_number() OVER (ORDER BY distance, vec_id) AS rank_r FROM vec JOIN documents ON vec_id = documents.doc_id WHERE source = 'src0')
     SELECT coalesce(l.doc_id, v.doc_id) AS doc_id, rank_l, rank_r, round(coalesce(1 / (60 + rank_l), 0) + coalesce(1 / (60 + rank_r), 0), 9) AS rrf FROM l FULL OUTER JOIN v ON l.doc_id = v.doc_id""")
 def rrf_filter_then_fuse(spark, d):
@@ -82,13 +97,13 @@ def rrf_filter_then_fuse(spark, d):
     return R.law_view(_lexical(spark, d), vec, "doc_id", F.col("source") == "src0", lex_order(), [F.asc("distance"), F.asc("doc_id")]).select("doc_id", "rank_l", "rank_r", "rrf")
 
 
-@query(f"WITH {LEX} SELECT doc_id, source, row_number() OVER (ORDER BY n > 2, matched DESC, tf DESC, doc_id) AS place FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY matched DESC, tf DESC, doc_id) AS n FROM lex)")
+@query(f"WITH {LEX} SELECT doc_id, source, row_number() OVER (ORDER BY n > 2, matched DESC, covers DESC, doc_id) AS place FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY matched DESC, covers DESC, doc_id) AS n FROM lex)")
 def diversify_cap(spark, d):
     return R.diversify(_lexical(spark, d), "source", lex_order()).select("doc_id", "source", "place")
 
 
 GOLD = f"""WITH {LEX}, gold AS (SELECT b.item_id, min(d.doc_id) AS doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text) GROUP BY b.item_id),
-    r AS (SELECT doc_id, row_number() OVER (ORDER BY matched DESC, tf DESC, doc_id) AS rank FROM lex ORDER BY rank LIMIT 500),
+    r AS (SELECT doc_id, row_number() OVER (ORDER BY matched DESC, covers DESC, doc_id) AS rank FROM lex ORDER BY rank LIMIT 500),
     q AS (SELECT b.item_id, gold.doc_id, r.rank FROM benchmark b LEFT JOIN gold USING (item_id) LEFT JOIN r ON r.doc_id = gold.doc_id)"""
 
 
@@ -134,11 +149,11 @@ def search_state_envelope(spark, d):
         n = F.count("*")
         return df.agg(F.lit(name).alias("branch"), F.when(n == 0, none).otherwise("ok").alias("state"), n.alias("pool"), F.least(n, F.lit(5)).alias("top"))
 
-    nothing = R.lexical_scores(table(spark, d, "documents"), [])
+    nothing = P.scores(P.index_of(spark, table(spark, d, "documents"), "doc_id"), "doc_id", [])
     return state(_lexical(spark, d), "lexical", "empty").unionByName(state(_vector(spark, d), "vector", "empty")).unionByName(state(nothing, "no_terms", "no_terms"))
 
 
-@query(f"""WITH {LEX}, f AS (SELECT *, row_number() OVER (ORDER BY matched DESC, tf DESC, doc_id) AS r FROM lex WHERE source IS NOT NULL),
+@query(f"""WITH {LEX}, f AS (SELECT *, row_number() OVER (ORDER BY matched DESC, covers DESC, doc_id) AS r FROM lex WHERE source IS NOT NULL),
     g AS (SELECT *, min(r) OVER (PARTITION BY source, lang) AS f1, row_number() OVER (PARTITION BY source, lang ORDER BY (doc_id % 2 = 0) DESC, r) AS n FROM f)
     SELECT doc_id, source, lang, pick FROM (SELECT *, row_number() OVER (ORDER BY f1) AS pick FROM g WHERE n = 1) WHERE pick <= 5""")
 def pick_dedupe(spark, d):
