@@ -10,6 +10,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sparkloom.operators.automaton import phrases_in
+from sparkloom.operators.numbering import written
+
 R0, R1, R2, R3 = range(4)
 
 
@@ -171,34 +174,27 @@ def sentence_contract() -> dict[str, Column]:
 
 #: Dispositions by rank: a phrase takes the first that any clause with it has.
 PLACES = ("violation", "lawful", "dropped")
-#: Characters by which phrases and clauses meet, and the length of the cuts in which a clause is read.
-PLACE_GRAM, PLACE_CUT = 8, 512
 
 
 def place_phrases(clauses: DataFrame, phrases: DataFrame, doc: str, text: str, phrase: str) -> DataFrame:
     """doc, phrase, place for each distinct phrase of a document.
 
     ``clauses`` has ``disposition`` from ``carry_forward`` with the default "document", which stands for the document's own: the first of PLACES that
-    a clause has, else "violation". White space does not count; a phrase in no clause goes by the document. Phrases and clauses meet by the phrase's
-    first PLACE_GRAM characters, so the pairs of a long document are not listed; grams carry no text, the planner may
-    not broadcast them, and those of fewer characters are made only for documents with so short a phrase.
+    a clause has, else "violation". White space does not count; a phrase in no clause goes by the document. A document's phrases are looked for in its
+    clauses together, by an automaton, in blocks of a stated size (``automaton.phrases_in``).
     """
     rank = F.coalesce(F.array_position(F.array(*map(F.lit, PLACES)), F.col("disposition")), F.lit(0))
     squeeze = lambda x: F.regexp_replace(x, r"\s+", "")
-    c = clauses.select(doc, squeeze(F.col(text)).alias("_t"), F.when(rank > 0, rank).alias("_r"))
+    c = written(clauses.select(doc, squeeze(F.col(text)).alias("_t"), F.when(rank > 0, rank).alias("_r")), "clauses")  # read three times
     whole = c.groupBy(doc).agg(F.coalesce(F.min("_r"), F.lit(1)).alias("_whole"))
     p = phrases.select(doc, phrase, squeeze(F.col(phrase)).alias("_p")).distinct()
-    texts = c.select(doc, "_t").distinct().withColumn("_id", F.sha2("_t", 256))
-    cut = texts.select(doc, "_id", F.regexp_extract_all("_t", F.lit(f"(?s).{{1,{PLACE_CUT}}}"), F.lit(0)).alias("_cuts"))
-    tail = lambda i: F.coalesce(F.left(F.get("_cuts", i + 1), F.lit(PLACE_GRAM - 1)), F.lit(""))
-    cut = cut.select(doc, "_id", F.explode(F.transform("_cuts", lambda x, i: F.concat(x, tail(i)))).alias("_c"))
-    at = lambda n: F.transform(F.sequence(F.lit(1), F.length("_c") - n + 1), lambda i: F.substring("_c", i, F.lit(n)))
-    keys = lambda sizes: F.explode(F.array_distinct(F.flatten(F.array(*[F.when(F.length("_c") >= n, at(n)).otherwise(F.array().cast("array<string>")) for n in sizes]))))
-    short = p.where((F.length("_p") > 0) & (F.length("_p") < PLACE_GRAM)).select(doc).distinct()
-    keyed = cut.select(doc, "_id", keys([PLACE_GRAM]).alias("_k")).unionByName(cut.join(short, doc, "left_semi").select(doc, "_id", keys(range(1, PLACE_GRAM)).alias("_k")))
-    met = p.where("_p <> ''").withColumn("_k", F.left("_p", F.lit(PLACE_GRAM))).join(keyed.hint("merge"), [doc, "_k"]).select(doc, phrase, "_p", "_id").distinct()
-    ranks = c.groupBy(doc, "_t").agg(F.min("_r").alias("_r"), F.bool_or(F.col("_r").isNull()).alias("_own")).withColumn("_id", F.sha2("_t", 256))
-    hits = met.join(ranks.hint("merge"), [doc, "_id"]).where(F.contains("_t", "_p"))
+    p = written(p, "phrases")
+    # the best rank of the clauses with one text, and whether one of them goes by the document
+    marks = c.where(F.col("_t").isNotNull()).groupBy(doc, F.col("_t").alias("text")).agg(F.struct(F.min("_r").cast("int").alias("_r"), F.bool_or(F.col("_r").isNull()).alias("_own")).alias("mark"))
+    marks = marks.select(doc, "text", (F.coalesce("mark._r", F.lit(0)) * 2 + F.col("mark._own").cast("int")).alias("mark"))
+    met = phrases_in(p.where("_p <> ''").select(doc, F.col("_p").alias("phrase")).distinct(), marks, doc)
+    met = met.select(F.col("g").alias(doc), F.col("phrase").alias("_p"), F.when(F.col("mark") > 1, F.floor(F.col("mark") / 2)).alias("_r"), (F.col("mark") % 2 == 1).alias("_own"))
+    hits = p.join(met, [doc, "_p"])
     best = hits.groupBy(doc, phrase).agg(F.min("_r").alias("_best"), F.bool_or("_own").alias("_open"))
     j = p.select(doc, phrase).join(best, [doc, phrase], "left").join(whole, doc, "left")
     own = F.coalesce("_whole", F.lit(1))

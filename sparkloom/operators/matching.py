@@ -2,19 +2,13 @@
 
 from __future__ import annotations
 
-import unicodedata
-from collections.abc import Iterator, Sequence
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from sparkloom.functions.text import match_norm
+from sparkloom.operators import automaton
 from sparkloom.session import shared_folder
 
-#: Terms are sent to every task; above this many a dictionary is joined through its first characters instead.
-BROADCAST_TERMS = 10_000
 #: How many first characters of a term are looked up, and in how many places of a text at a time.
 GRAM, PLACES = 6, 256
 
@@ -38,63 +32,30 @@ def dictionary_hits(docs: DataFrame, terms: DataFrame, text: str = "text") -> Da
     """Theta join: (row, term) where the matching form of the term lies in that of the text, with its first 1-based position there."""
     t = terms.withColumn("term_norm", match_norm(F.col("term")))
     d = docs.withColumn("text_norm", match_norm(F.col(text)))
-    return contained(d, t).withColumn("at", F.expr("instr(text_norm, term_norm)")).drop("text_norm", "term_norm")
+    return contained_at(d, t).drop("text_norm", "term_norm")
 
 
-def contained(texts: DataFrame, terms: DataFrame, most: int | None = None) -> DataFrame:
-    """Pairs of rows where ``text_norm`` contains ``term_norm``.
+def contained_at(texts: DataFrame, terms: DataFrame, block: int = automaton.BLOCK, most: int = automaton.BLOCKS) -> DataFrame:
+    """Pairs of rows where ``text_norm`` contains ``term_norm``, with its first place ``at``.
 
-    Up to ``most`` terms (``BROADCAST_TERMS``) are broadcast; more meet the texts on their first characters, with the same rows.
+    The terms go to the tasks as automata, in blocks of ``block`` characters; a dictionary of more than ``most`` blocks meets the texts on its first characters, with the same rows.
     """
-    if terms.count() <= (BROADCAST_TERMS if most is None else most):
-        return texts.join(F.broadcast(terms), F.expr("instr(text_norm, term_norm) > 0"))
-    return texts.join(containing(texts, terms), "text_norm").join(terms, "term_norm").select(*texts.columns, *terms.columns)
+    blocks = automaton.term_blocks(terms, "term_norm", block, most)
+    if blocks is not None:
+        return automaton.hits(texts, terms, blocks)
+    met = texts.join(containing(texts, terms), "text_norm").join(terms, "term_norm").select(*texts.columns, *terms.columns)
+    return met.withColumn("at", F.expr("instr(text_norm, term_norm)"))
 
 
-def admissible_span(text: str, term: str) -> tuple[int, int] | None | str:
-    """Raw span of the first admissible place of a term; ``"no span"`` where folding per character and as a whole differ.
+def contained(texts: DataFrame, terms: DataFrame, block: int = automaton.BLOCK, most: int = automaton.BLOCKS) -> DataFrame:
+    """Pairs of rows where ``text_norm`` contains ``term_norm``."""
+    return contained_at(texts, terms, block, most).drop("at")
 
-    A term of at most two characters must not start inside a word and run over white space.
-    """
-    fold = lambda s: "".join(unicodedata.normalize("NFKC", s).lower().split())
-    chars, where = [], []
-    for i, c in enumerate(text):
-        for x in fold(c):
-            chars.append(x)
-            where.append(i)
-    n, t = "".join(chars), fold(term)
-    if not t or t not in fold(text):
-        return None
-    if n != fold(text):
-        return "no span"
-    at = n.find(t)
-    while at >= 0:
-        a, b = where[at], where[at + len(t) - 1] + 1
-        before = next((c for c in reversed(text[:a]) if c.isspace() or c.isalnum()), " ")
-        if not (len(t) <= 2 and any(c.isspace() for c in text[a:b]) and not before.isspace()):
-            return a, b
-        at = n.find(t, at + 1)
-    return None
-
-
-def spans_udf(terms: Sequence[str]):
-    """Array of (term, start, end) of all terms with an admissible place."""
-    kind = T.ArrayType(T.StructType([T.StructField("term", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
-
-    @F.pandas_udf(kind)
-    def find(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in batches:
-            out = []
-            for x in s:
-                row = []
-                for t in terms:
-                    got = admissible_span(x or "", t)
-                    if got is not None:
-                        row.append({"term": t, "start": None if got == "no span" else got[0], "end": None if got == "no span" else got[1]})
-                out.append(row)
-            yield pd.Series(out)
-
-    return find
+
+def admissible_span(text: str, term: str) -> tuple[int, int] | None | str:
+    """Raw span of the first admissible place of a term; ``"no span"`` where folding per character and as a whole differ."""
+    got = automaton.spans(text, *automaton.spans_of([term])).get(0)
+    return "no span" if got == (None, None) else got
 
 
 def only_of(hits: DataFrame, law: str, cites: str) -> DataFrame:

@@ -27,6 +27,12 @@ def written(df: DataFrame, name: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt over all cores where it comes in fewer partitions, as a small table in one file does; else as it is."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df._jdf.queryExecution().toRdd().getNumPartitions() < n else df
+
+
 def running(df: DataFrame, order: Sequence[Column], name: str, by: Sequence[str] = (), weight: str | None = None, total: str | None = None, parts: int | None = None, write=written) -> DataFrame:
     """``df`` with ``name``: how many rows (or how much ``weight``, not null) of its group ``by`` stand before the row.
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.operators.numbering import written
+from sparkloom.operators.numbering import spread, written
 from sparkloom.operators.retrieval import words
 from sparkloom.session import shared_folder
 
@@ -55,10 +55,7 @@ def write_index(docs: DataFrame, key: str, path: str, text: str = "text", parts:
     Texts are read once: their postings are written as they come, and laid out from there. Few large files are dealt over the tasks first.
     """
     n = parts or max(2, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    some = docs.select(key, text)
-    if some._jdf.queryExecution().toRdd().getNumPartitions() < n:
-        some = some.repartition(n, key)
-    raw = written(postings(some, key, text), "postings-raw")
+    raw = written(postings(spread(docs.select(key, text)), key, text), "postings-raw")
     raw.repartitionByRange(n, "lead", "word", "key").sortWithinPartitions("lead", "word", "key").write.partitionBy("lead").parquet(path)
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sparkloom.operators import matching as D
 from sparkloom.operators import outline as O
 from sparkloom.operators import splits as S
+from sparkloom.operators.automaton import spans_udf
 from sparkloom.registry import query
 from sparkloom.session import table
 
@@ -33,7 +34,7 @@ def dict_match(spark, d):
 @query()
 def dict_match_span(spark, d):
     c = table(spark, d, "conversations").select("conv_id", "turn", "text")
-    return c.select("conv_id", "turn", F.explode(D.spans_udf([t for t, _, _ in TERMS])(F.col("text"))).alias("h")).select("conv_id", "turn", "h.*")
+    return c.select("conv_id", "turn", F.explode(spans_udf([t for t, _, _ in TERMS])(F.col("text"))).alias("h")).select("conv_id", "turn", "h.*")
 
 
 @query(f"WITH {HITS} SELECT c.conv_id, c.turn, TRUE AS scanned, count(h.term) FILTER (h.strong) AS strong, count(h.term) FILTER (NOT h.strong) AS weak FROM conversations c LEFT JOIN hits h USING (conv_id, turn) GROUP BY 1, 2")

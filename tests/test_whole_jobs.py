@@ -65,14 +65,17 @@ def test_all_cells_of_a_url_are_parsed(spark, made):
 
 
 def test_large_dictionaries_find_what_small_ones_do(spark, monkeypatch):
+    from sparkloom.operators import automaton
     from sparkloom.operators import matching as D
 
     docs = spark.createDataFrame([(1, "Something, else."), (2, "ABCD thing."), (3, None), (4, ""), (5, "ab cd ab cd"), (5, "ab cd ab cd"), (6, "x"), (7, "é" * 254 + "a b c d" + "é" * 600 + "x")], "i int, text string")
     terms = spark.createDataFrame([("thing", 1), ("ab cd", 2), ("abcd", 3), ("x", 4), ("Some thing, else", 5), ("thinner", 6), ("g", 7), (None, 8), ("", 9), ("x", 10)], "term string, k int")
     small = sorted(map(tuple, D.dictionary_hits(docs, terms).collect()), key=repr)
-    monkeypatch.setattr(D, "BROADCAST_TERMS", 3)
-    large = D.dictionary_hits(docs, terms)
-    assert sorted(map(tuple, large.collect()), key=repr) == small and large.columns == D.dictionary_hits(docs, terms.limit(1)).columns
+    blocks = automaton.term_blocks
+    for block, most in ((5, 100), (5, 0)):  # several blocks; none, so that terms meet the texts on their first characters
+        monkeypatch.setattr(automaton, "term_blocks", lambda d, t, b=block, m=most, *_: blocks(d, t, b, m))
+        large = D.dictionary_hits(docs, terms)
+        assert sorted(map(tuple, large.collect()), key=repr) == small and large.columns == D.dictionary_hits(docs, terms.limit(1)).columns
     assert {(2, "thing", 1, 5), (1, "thing", 1, 5), (2, "ab cd", 2, 1)} <= {(r[0], r[2], r[3], r[4]) for r in small}
 
 
@@ -144,7 +147,7 @@ def test_many_terms_give_what_few_give(spark):
 
     texts = spark.createDataFrame([(i, t) for i, t in enumerate(["deepwater", "spamfarm", "aé" * 400 + "end", "", None, "x"])], "i int, text_norm string")
     terms = spark.createDataFrame([("er",), ("spamfarm",), ("aéaéend",), ("x",), ("farms",), ("éa" * 130,)], "term_norm string")
-    few, many = (sorted(map(tuple, contained(texts, terms, most).select("i", F.col("term_norm")).collect())) for most in (100, 0))
+    few, many = (sorted(map(tuple, contained(texts, terms, 100, most).select("i", F.col("term_norm")).collect())) for most in (100, 0))
     assert few == many == [(0, "er"), (1, "spamfarm"), (2, "aéaéend"), (2, "éa" * 130), (5, "x")]
 
 
@@ -170,3 +173,49 @@ def test_types_are_retained_until_nothing_changes(spark):
     moves = spark.createDataFrame([("a",), ("c",), ("d",)], "comp string")
     assert sorted(r["comp"] for r in retain_types(spark, moves, labels, "comp", "kind", 4).collect()) == ["a", "c"]
     assert retain_types(spark, moves, labels, "comp", "kind", 100).count() == 0
+
+
+def test_spans_in_one_pass_equal_each_term_alone():
+    import random
+    import unicodedata
+
+    from sparkloom.operators import automaton as A
+
+    def alone(text, term):  # every place of one term, the first admissible one
+        f = lambda s: "".join(unicodedata.normalize("NFKC", s).lower().split())
+        chars = [(x, i) for i, c in enumerate(text) for x in f(c)]
+        n, t = "".join(x for x, _ in chars), f(term)
+        if not t or t not in f(text):
+            return None
+        if n != f(text):
+            return (None, None)
+        for at in range(len(n) - len(t) + 1):
+            if n.startswith(t, at):
+                a, b = chars[at][1], chars[at + len(t) - 1][1] + 1
+                before = ([c for c in text[:a] if c.isspace() or c.isalnum()] or [" "])[-1]
+                if len(t) > 2 or not any(c.isspace() for c in text[a:b]) or before.isspace():
+                    return (a, b)
+        return None
+
+    r = random.Random(4)
+    terms = ["ab", "ba", "a", "aba", "bab a", "Ab", "ｃ", "c", "é", "", " ", "ﬁ", "fi", "bc"]
+    for _ in range(400):
+        text = "".join(r.choice(["a", "b", " ", "c", "é", "e\u0301", "ﬁ", "ｃ", ",", "A"]) for _ in range(r.randint(0, 14)))
+        got = A.spans(text, *A.spans_of(terms))
+        assert got == {i: x for i, t in enumerate(terms) if (x := alone(text, t)) is not None}, text
+
+
+def test_phrases_meet_only_texts_of_their_group(spark):
+    import random
+
+    from sparkloom.operators.automaton import phrases_in
+
+    r = random.Random(6)
+    word = lambda n: "".join(r.choice("ab") for _ in range(n))
+    phrases = sorted({(g, word(r.randint(1, 5))) for g in ("x", "y", None) for _ in range(40)}, key=repr)
+    texts = sorted({(g, word(r.randint(0, 12))) for g in ("x", "z", None) for _ in range(30)}, key=repr)
+    p, t = spark.createDataFrame(phrases, "g string, phrase string"), spark.createDataFrame([(g, x, len(x)) for g, x in texts], "g string, text string, mark int")
+    want = sorted((g, x, len(y)) for g, x in phrases for h, y in texts if g is not None and g == h and x in y)
+    for many, chars in ((20_000, 10**6), (7, 50), (1, 10**6)):
+        got = [tuple(x) for x in phrases_in(p.where("g IS NOT NULL"), t.where("g IS NOT NULL"), "g", many, chars).collect()]
+        assert sorted(got) == want
