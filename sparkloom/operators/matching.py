@@ -172,6 +172,23 @@ def nearly_equal(a: DataFrame, b: DataFrame, least: float) -> DataFrame:
     return c.join(o, ["_n", "_i", "_p"]).select("_c", "_o").distinct()
 
 
+def deletions(c: Column) -> Column:
+    """The string and all strings with one character less, each once."""
+    less = F.transform(F.sequence(F.lit(1), F.length(c)), lambda k: F.concat(F.substring(c, F.lit(1), k - 1), F.substring(c, k + 1, F.length(c))))
+    return F.array_distinct(F.concat(F.array(c), F.when(F.length(c) > 0, less).otherwise(F.array().cast("array<string>"))))
+
+
+def one_edit(a: DataFrame, b: DataFrame, left: str, right: str) -> DataFrame:
+    """Pairs (left, right) of different strings with one insertion, deletion or replacement between them.
+
+    Such strings share a deletion, or one is a deletion of the other; they meet by an equi-join on these, which spread as the strings do, and are verified.
+    """
+    x = a.select(left).distinct().withColumn("_k", F.explode(deletions(F.col(left))))
+    y = b.select(right).distinct().withColumn("_k", F.explode(deletions(F.col(right))))
+    met = x.join(y, "_k").where((F.col(left) != F.col(right)) & (F.abs(F.length(left) - F.length(right)) <= 1))
+    return met.where(F.call_function("levenshtein", F.col(left), F.col(right), F.lit(1)) >= 0).select(left, right).distinct()
+
+
 def best_claim(claims: DataFrame, official: DataFrame, least: float = 0.8) -> DataFrame:
     """exact > core equal > contains > contained > nearest by edit distance at least ``least`` (above 0), else none.
 

@@ -42,32 +42,32 @@ def running(df: DataFrame, order: Sequence[Column], name: str, by: Sequence[str]
     spark = df.sparkSession
     n = parts or max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
     keys = [*[F.col(c) for c in by], *order]
-    laid = df.repartitionByRange(n, *keys).sortWithinPartitions(*keys).withColumn("_id", F.monotonically_increasing_id())
-    laid = write(laid).withColumn("_part", F.shiftright("_id", PART_BIT))
+    laid = df.repartitionByRange(n, *keys).sortWithinPartitions(*keys).withColumn("_nr_id", F.monotonically_increasing_id())
+    laid = write(laid).withColumn("_nr_part", F.shiftright("_nr_id", PART_BIT))
     one = F.lit(1).cast("long") if weight is None else F.col(weight)
-    sums = laid.groupBy("_part", *by).agg(F.sum(one).alias("_sum"), F.min("_id").alias("_first"))
+    sums = laid.groupBy("_nr_part", *by).agg(F.sum(one).alias("_nr_sum"), F.min("_nr_id").alias("_nr_first"))
     if by:
         group = Window.partitionBy(*by)
-        sums = sums.withColumns({"_all": F.sum("_sum").over(group), "_before": F.sum("_sum").over(group.orderBy("_part")) - F.col("_sum")})
+        sums = sums.withColumns({"_nr_all": F.sum("_nr_sum").over(group), "_nr_before": F.sum("_nr_sum").over(group.orderBy("_nr_part")) - F.col("_nr_sum")})
     else:  # a row a range
-        rows, before = sorted(sums.select("_part", "_sum", "_first").collect()), 0
+        rows, before = sorted(sums.select("_nr_part", "_nr_sum", "_nr_first").collect()), 0
         made = []
         for part, s, first in rows:
             made.append((part, s, first, 0, before))
             before += s
-        sums = spark.createDataFrame([(p, s, f, before, b) for p, s, f, _, b in made], "_part long, _sum long, _first long, _all long, _before long")
+        sums = spark.createDataFrame([(p, s, f, before, b) for p, s, f, _, b in made], "_nr_part long, _nr_sum long, _nr_first long, _nr_all long, _nr_before long")
     if weight is None:
-        inside = F.col("_id") - F.col("_first")
+        inside = F.col("_nr_id") - F.col("_nr_first")
     else:
-        own = Window.partitionBy("_part", *by).orderBy("_id")
-        laid = laid.withColumn("_own", F.sum(weight).over(own) - F.col(weight))
-        inside = F.col("_own")
-    right = sums.select(*[F.col(c).alias(f"_r{c}") for c in ("_part", *by)], "_first", "_all", "_before")
-    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_r{c}")) for c in by], F.col("_part") == F.col("_r_part"))
+        own = Window.partitionBy("_nr_part", *by).orderBy("_nr_id")
+        laid = laid.withColumn("_nr_own", F.sum(weight).over(own) - F.col(weight))
+        inside = F.col("_nr_own")
+    right = sums.select(*[F.col(c).alias(f"_nr_r{c}") for c in ("_nr_part", *by)], "_nr_first", "_nr_all", "_nr_before")
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_nr_r{c}")) for c in by], F.col("_nr_part") == F.col("_nr_r_nr_part"))
     out = laid.join(right if by else F.broadcast(right), same)  # without groups: a row a range
-    added = {name: F.col("_before") + inside}
+    added = {name: F.col("_nr_before") + inside}
     if total:
-        added[total] = F.col("_all")
+        added[total] = F.col("_nr_all")
     return out.select(*df.columns, *[c.alias(k) for k, c in added.items()])
 
 

@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkloom.operators.numbering import numbered
+
 RRF_K, CAP, POOL, MIN_STEM = 60, 2, 50, 2
 #: Our own endings and function words, longest ending first.
 ENDINGS = ("ation", "ing", "ed", "es", "s")
@@ -57,9 +59,10 @@ def vector_distances(vectors: DataFrame, query: DataFrame) -> DataFrame:
 
 
 def ranked(df: DataFrame, order: Sequence[Column], rank: str, limit: int | None = None) -> DataFrame:
-    """Global rank by a total order. The rows to rank are first cut to ``limit`` by a distributed top-k."""
-    top = df.orderBy(*order).limit(limit) if limit else df
-    return top.withColumn(rank, F.row_number().over(Window.orderBy(*order)))
+    """Global rank by a total order: of the first ``limit`` rows, cut by a distributed top-k, or of all rows, numbered in ranges."""
+    if not limit:
+        return numbered(df, order, rank)
+    return df.orderBy(*order).limit(limit).withColumn(rank, F.row_number().over(Window.orderBy(*order)))
 
 
 def top_per(df: DataFrame, by: Sequence[str], order: Sequence[Column], n: int, rank: str = "rn") -> DataFrame:
@@ -73,10 +76,16 @@ def fuse(left: DataFrame, right: DataFrame, key: str, k: int = RRF_K) -> DataFra
     return left.join(right, key, "full_outer").withColumn("rrf", F.round(part("rank_l") + part("rank_r"), 9))
 
 
-def diversify(df: DataFrame, group: str, order: Sequence[Column], cap: int = CAP) -> DataFrame:
-    """``place``: the first ``cap`` rows of each group keep their order, the others move behind in theirs."""
-    within = F.row_number().over(Window.partitionBy(group).orderBy(*order))
-    return df.withColumn("_late", (within > cap).cast("int")).withColumn("place", F.row_number().over(Window.orderBy("_late", *order))).drop("_late")
+def diversify(df: DataFrame, group: str, order: Sequence[Column], cap: int = CAP, pool: bool = False) -> DataFrame:
+    """``place``: the first ``cap`` rows of each group keep their order, the others move behind in theirs.
+
+    ``pool`` says that the rows are a list cut to a size that one task holds; else groups and places are numbered in ranges, whatever their size.
+    """
+    if pool:
+        within = F.row_number().over(Window.partitionBy(group).orderBy(*order))
+        return df.withColumn("_late", (within > cap).cast("int")).withColumn("place", F.row_number().over(Window.orderBy("_late", *order))).drop("_late")
+    late = numbered(df, order, "_within", by=[group]).withColumn("_late", (F.col("_within") > cap).cast("int"))
+    return numbered(late.drop("_within"), [F.col("_late"), *order], "place").drop("_late")
 
 
 def law_view(left: DataFrame, right: DataFrame, key: str, where: Column, order_l: Sequence[Column], order_r: Sequence[Column]) -> DataFrame:
@@ -85,11 +94,11 @@ def law_view(left: DataFrame, right: DataFrame, key: str, where: Column, order_l
 
 
 def pick_distinct(df: DataFrame, coord: Sequence[str], order: Sequence[Column], own: Column, k: int) -> DataFrame:
-    """Each coordinate once at its first place, its own row preferred; cut to k after that."""
-    w = Window.partitionBy(*coord)
-    first = df.where(reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in coord])).withColumn("_r", F.row_number().over(Window.orderBy(*order)))
-    kept = first.withColumn("_first", F.min("_r").over(w)).withColumn("_n", F.row_number().over(w.orderBy(own.desc(), "_r"))).where("_n = 1")
-    return kept.withColumn("pick", F.row_number().over(Window.orderBy("_first"))).where(F.col("pick") <= k).drop("_r", "_first", "_n")
+    """Each coordinate once at its first place, its own row preferred; cut to k after that. Places are numbered in ranges."""
+    first = numbered(df.where(reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in coord])), order, "_r")
+    best = first.groupBy(*coord).agg(F.min("_r").alias("_first"), F.min(F.struct((-own.cast("int")).alias("o"), "_r")).alias("_b"))
+    kept = first.join(best.select("_first", F.col("_b._r").alias("_r")), "_r")
+    return numbered(kept, [F.col("_first")], "pick").where(F.col("pick") <= k).drop("_r", "_first")
 
 
 def rank_quality(found: DataFrame, k: int) -> DataFrame:

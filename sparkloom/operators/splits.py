@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from sparkloom.operators.numbering import numbered
 from sparkloom.session import shared_folder
 
 
@@ -96,10 +97,62 @@ def assign_round(rows: DataFrame, key: str, people: Sequence[str], overlap: floa
     """The first round(n * overlap) rows in seeded order go to everyone, the others in turn, which keeps loads within one."""
     n = rows.count()
     shared = int(n * overlap + 0.5)
-    numbered = rows.select(key).withColumn("_r", F.row_number().over(Window.orderBy(seeded(F.col(key), seed), key)))
+    dealt = numbered(rows.select(key, seeded(F.col(key), seed).alias("_s")), [F.col("_s"), F.col(key)], "_r")
     every = F.array(*[F.lit(p) for p in people])
     who = F.when(F.col("_r") <= shared, every).otherwise(F.array(F.element_at(every, ((F.col("_r") - shared - 1) % len(people) + 1).cast("int"))))
-    return numbered.select(key, F.explode(who).alias("person"), (F.col("_r") <= shared).alias("shared"))
+    return dealt.select(key, F.explode(who).alias("person"), (F.col("_r") <= shared).alias("shared"))
+
+
+def water_fill(load: dict[str, int], allowed: Sequence[str], n: int) -> dict[str, int]:
+    """How many of ``n`` rows each of the allowed people gets if every row goes to the least loaded one (ties: the first)."""
+    order = sorted(allowed, key=lambda p: load[p])
+    got, level, k = dict.fromkeys(allowed, 0), load[order[0]], 1
+    while n > 0:
+        top = load[order[k]] if k < len(order) else None
+        room = n if top is None else min(n, (top - level) * k)
+        each, more = divmod(room, k)
+        raised = [p for p in allowed if p in order[:k]]
+        for i, p in enumerate(raised):
+            got[p] += each + (i < more)
+        n, level = n - room, level + each
+        k += 1
+    return got
+
+
+def label_round(rows: DataFrame, key: str, people: Sequence[str], overlap: float, seed: str, gold: str, excluded: str) -> DataFrame:
+    """key, person, part of one labelling round.
+
+    ``gold`` rows (boolean) go to everyone. Of the fresh rows the first round(n * overlap) in seeded order go to everyone, the others to the least
+    loaded person, which is in turn. Rows with ``excluded`` people (array, not empty), which are looked at again, go to the least loaded of the others: kinds of
+    exclusion with the fewest people left first, then by their names. If nobody is left for a row, nothing is assigned.
+    Only counts by kind of exclusion, at most 2 to the number of people, reach the driver.
+    """
+    again = F.coalesce(F.size(F.array_intersect(excluded, F.array(*map(F.lit, people)))), F.lit(0)) > 0
+    fresh_or_gold = rows.where(~again)
+    nobody = rows.where(F.size(F.array_except(F.array(*map(F.lit, people)), F.coalesce(excluded, F.array().cast("array<string>")))) == 0).count()
+    if nobody:
+        raise ValueError(f"nobody is left for {nobody} rows")
+    of_gold = fresh_or_gold.where(F.coalesce(F.col(gold), F.lit(False))).select(key, F.explode(F.array(*map(F.lit, people))).alias("person"), F.lit("gold").alias("part"))
+    fresh = fresh_or_gold.where(~F.coalesce(F.col(gold), F.lit(False)))
+    dealt = assign_round(fresh, key, people, overlap, seed).select(key, "person", F.when(F.col("shared"), "shared").otherwise("own").alias("part"))
+    n = fresh.count()
+    rest = n - int(n * overlap + 0.5)
+    load = {p: rest // len(people) + (i < rest % len(people)) for i, p in enumerate(people)}
+    kind = F.array_join(F.array_sort(F.array_intersect(excluded, F.array(*map(F.lit, people)))), ",")
+    redo = rows.where(again).select(key, kind.alias("_kind"), seeded(F.col(key), seed).alias("_s"))
+    counts = {r["_kind"]: r["n"] for r in redo.groupBy("_kind").agg(F.count("*").alias("n")).collect()}
+    bounds, free = [], lambda k: [p for p in people if p not in k.split(",")]
+    for k in sorted(counts, key=lambda k: (len(free(k)), k)):
+        upto = 0
+        for p, m in water_fill(load, free(k), counts[k]).items():
+            if m:
+                bounds.append((k, upto, upto + m, p))
+            load[p] += m
+            upto += m
+    table = rows.sparkSession.createDataFrame(bounds, "_kind string, _from long, _to long, person string")
+    placed = numbered(redo, [F.col("_s"), F.col(key)], "_r", by=["_kind"])
+    given = placed.join(F.broadcast(table), "_kind").where("_r > _from AND _r <= _to").select(key, "person", F.lit("again").alias("part"))
+    return of_gold.unionByName(dealt).unionByName(given)
 
 
 def audit_pick(df: DataFrame, key: str, n: int, seed: str) -> DataFrame:

@@ -58,7 +58,7 @@ def _fused(spark: SparkSession, d: str) -> DataFrame:
     SELECT * FROM p WHERE place <= 10""")
 def hybrid_search(spark, d):
     named = _fused(spark, d).join(table(spark, d, "documents").select("doc_id", "source"), "doc_id")
-    return R.diversify(named, "source", [F.desc("rrf"), F.asc("doc_id")]).where("place <= 10").select("doc_id", "source", "rank_l", "rank_r", "rrf", "place")
+    return R.diversify(named, "source", [F.desc("rrf"), F.asc("doc_id")], pool=True).where("place <= 10").select("doc_id", "source", "rank_l", "rank_r", "rrf", "place")
 
 
 @query(f"WITH {VEC} SELECT vec_id, label, distance FROM vec ORDER BY distance, vec_id LIMIT 10")

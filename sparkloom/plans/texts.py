@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.functions import text as X
+from sparkloom.operators.matching import one_edit
 from sparkloom.registry import query
 from sparkloom.session import table
 
@@ -208,9 +209,8 @@ def gate_reasons(spark, d):
 @query("""WITH n AS (SELECT DISTINCT lower(unnest(string_split(p_name, ' '))) AS name FROM part), w AS (SELECT DISTINCT conv_id, lower(unnest(string_split(text, ' '))) AS token FROM conversations)
     SELECT conv_id, token, min(name) AS repaired FROM w JOIN n ON abs(length(token) - length(name)) <= 1 AND length(token) >= 4 AND levenshtein(token, name) <= 1 AND token <> name GROUP BY 1, 2""")
 def edit1_repair(spark, d):
-    """Tokens within one edit of a known name. Candidates meet on the first or the last letter, one of which an edit leaves alone."""
+    """Tokens within one edit of a known name; distinct tokens meet the names on shared deletions."""
     n = table(spark, d, "part").select(F.explode(F.split(F.lower("p_name"), " ")).alias("name")).distinct()
     w = table(spark, d, "conversations").select("conv_id", F.explode(F.split(F.lower("text"), " ")).alias("token")).distinct().where(F.length("token") >= 4)
-    keys = lambda df, c: df.withColumn("k", F.explode(F.array(F.concat(F.lit("p"), F.substring(c, 1, 1)), F.concat(F.lit("s"), F.substring(c, -1, 1)))))
-    hit = (F.abs(F.length("token") - F.length("name")) <= 1) & (F.levenshtein("token", "name") <= 1) & (F.col("token") != F.col("name"))
-    return keys(w, "token").join(keys(n, "name"), "k").where(hit).groupBy("conv_id", "token").agg(F.min("name").alias("repaired"))
+    best = one_edit(w, n, "token", "name").groupBy("token").agg(F.min("name").alias("repaired"))
+    return w.join(best, "token").select("conv_id", "token", "repaired")
