@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.operators import governance as G
 from sparkloom.registry import query
-from sparkloom.session import table
+from sparkloom.session import shared_folder, table
+from sparkloom.sources.collections import collection
 from sparkloom.sources import files
 
 
@@ -153,6 +156,30 @@ def edition_scan(spark, d):
     return files.editions(_orders(spark, d).withColumn("path", path), "path", allow=True).select("path", "o_orderkey")
 
 
+PAGES = {
+    "json": lambda items: F.to_json(F.struct("page", "total", F.col("items"))),
+    "xml": lambda items: F.concat(F.lit("<list page='"), "page", F.lit("' total='"), "total", F.lit("'>"), items(lambda x: F.concat(F.lit("<item key='"), x["key"], F.lit("'><name>"), x["name"], F.lit("</name><balance>"), x["balance"], F.lit("</balance></item>"))), F.lit("</list>")),
+    "html": lambda items: F.concat(F.lit("<html><head><meta name=page content="), "page", F.lit("><meta name=total content="), "total", F.lit("></head><script>key: 0</script>"), items(lambda x: F.concat(F.lit("<article><p>key: "), x["key"], F.lit("<p>name : "), x["name"], F.lit("<p>balance: "), x["balance"], F.lit("</article>"))), F.lit("</html>")),
+}
+
+
+@query("""SELECT kind, s_suppkey // 50 AS page, (SELECT count(*) FROM supplier) AS total, s_suppkey AS key, s_name AS name, CAST(CAST(s_acctbal * 100 AS BIGINT) AS VARCHAR) AS balance
+    FROM supplier, (VALUES ('json'), ('xml'), ('html')) AS k(kind)""")
+def page_collection(spark, d):
+    """Suppliers written as paged JSON, XML and HTML files, one a page, and read back through the data source."""
+    s = table(spark, d, "supplier")
+    total = s.agg(F.count("*").alias("total"))
+    item = F.struct(F.col("s_suppkey").cast("string").alias("key"), F.col("s_name").alias("name"), F.round(F.col("s_acctbal") * 100).cast("long").cast("string").alias("balance"))
+    pages = s.groupBy(F.expr("s_suppkey DIV 50").alias("page")).agg(F.array_sort(F.collect_list(item)).alias("items")).crossJoin(F.broadcast(total))  # 50 suppliers a page; the total is one row
+    work, out = f"{shared_folder(spark)}/collection-{uuid.uuid4().hex[:12]}", None
+    for kind, form in PAGES.items():
+        text = pages.select(form(lambda f: F.array_join(F.transform("items", f), "")).alias("value"))
+        text.write.option("maxRecordsPerFile", 1).text(f"{work}/{kind}")
+        rows = collection(spark, f"{work}/{kind}", kind).select(F.lit(kind).alias("kind"), F.col("page").cast("long").alias("page"), "total", F.col("fields")["key"].cast("long").alias("key"), F.col("fields")["name"].alias("name"), F.col("fields")["balance"].alias("balance"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 @query("SELECT l_orderkey AS path, arg_max(l_linenumber, l_linenumber) AS l_linenumber, arg_max(l_partkey, (l_linenumber, l_partkey)) AS l_partkey FROM lineitem GROUP BY 1")
 def ledger_last_row(spark, d):
     return files.ledger_last(table(spark, d, "lineitem").withColumnRenamed("l_orderkey", "path"), "path", "l_linenumber", ["l_partkey"])
