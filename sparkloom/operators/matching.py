@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.functions.text import match_norm
 from sparkloom.operators import automaton
+from sparkloom.operators.numbering import numbered, written
 from sparkloom.session import shared_folder
 
 #: How many first characters of a term are looked up, and in how many places of a text at a time.
@@ -227,3 +228,73 @@ def first_of_similar(rows: DataFrame, group: str, order: str, norm: str, reason:
     first = seen.select(group, F.explode(F.arrays_zip("_r", "_s")).alias("_z")).select(group, F.col(f"_z._r.{order}").alias(order), F.when(~F.col("_z._s.new"), "duplicate").alias(reason))
     rest = free.where("_n > 1").select(group, order, F.lit("duplicate").alias(reason))
     return rows.where(F.col(reason).isNotNull()).select(group, order, reason).unionByName(first).unionByName(rest)
+
+
+def alike(a: Column, b: Column) -> Column:
+    """Whether the edit ratio of two strings is at least 0.8."""
+    longer = F.greatest(F.length(a), F.length(b))
+    most = F.floor(longer / 5).cast("int")
+    return (F.least(F.length(a), F.length(b)) * 5 >= longer * 4) & (F.call_function("levenshtein", a, b, most) >= 0)
+
+
+def retry_rounds(spark: SparkSession, candidates: DataFrame, group: str, order: str, norm: str, reason: str, per_round: int = 4, rounds: int = 3, want: int = 3) -> tuple[DataFrame, DataFrame]:
+    """Rounds of ``per_round`` candidates for each group until it has ``want`` that are kept. Gives (groups: kept, rounds, state), (judged: order, reason, round).
+
+    What a round carries is a written table: the texts that are kept, and the groups that are still open. A round reads only its own candidates of open groups and
+    holds them against what was carried, fewer than ``want`` texts a group, and then against each other, ``per_round`` at most. The driver reads one flag a round.
+    """
+    dealt = written(numbered(candidates.select(group, order, norm, reason), [F.col(order)], "_n", by=[group]), "candidates")
+    kept = dealt.limit(0).select(group, norm)
+    groups = written(candidates.select(group).distinct().select(group, F.lit(0).alias("kept"), F.lit(0).alias("rounds"), F.lit(True).alias("open")), "groups")
+    judged = []
+    for k in range(1, rounds + 1):
+        asked = dealt.where(F.col("_n").between((k - 1) * per_round + 1, k * per_round)).join(groups.where("open").select(group), group, "left_semi")
+        before = kept.groupBy(group).agg(F.collect_list(norm).alias("_kept"))  # fewer than ``want`` in an open group
+        seen = F.exists(F.coalesce("_kept", F.array().cast("array<string>")), lambda x: alike(x, F.col(norm)))
+        free = asked.join(before, group, "left").withColumn(reason, F.when(F.col(reason).isNotNull(), F.col(reason)).when(seen, "duplicate")).drop("_kept")
+        told = first_of_similar(free, group, order, norm, reason).join(asked.select(group, order, norm), [group, order])
+        told = written(told.withColumn("round", F.lit(k)), f"round-{k}")
+        judged.append(told.select(group, order, reason, "round"))
+        new = told.where(F.col(reason).isNull())
+        kept = written(kept.unionByName(new.select(group, norm)), f"kept-{k}")
+        count = new.groupBy(group).agg(F.count("*").cast("int").alias("_new"))
+        total = F.col("kept") + F.coalesce("_new", F.lit(0))
+        groups = groups.join(count, group, "left").select(group, total.alias("kept"), (F.col("rounds") + F.col("open").cast("int")).alias("rounds"), (F.col("open") & (total < want)).alias("open"))
+        groups = written(groups, f"groups-{k}")
+        if groups.where("open").isEmpty():
+            break
+    every = judged[0]
+    for x in judged[1:]:
+        every = every.unionByName(x)
+    return groups.select(group, F.least(F.col("kept"), F.lit(want)).alias("kept"), "rounds", F.when(F.col("open"), "search_failed").otherwise("ok").alias("state")), every
+
+
+def gram_distance(a: Column, b: Column) -> Column:
+    """1 less the Jaccard similarity of two arrays, in hundredths; 100 if both are empty."""
+    both = F.size(F.array_intersect(a, b))
+    either = F.size(F.array_union(a, b))
+    return F.when(either == 0, 100).otherwise(F.floor(100 - 100 * both / either)).cast("int")
+
+
+def tier_choice(rows: DataFrame, group: str, key: str, closeness: str, angle: str, grams: str) -> DataFrame:
+    """key, tier (safe, even, bold) of three rows of each group that has three or more.
+
+    Rows stand by closeness (then key). With a = n DIV 3, the first a are low, the last a high, the rest between. Safe is the lowest. Bold is the row of the high ones
+    whose angle is new and whose grams are farthest from safe's, then the closest; even is the row between that is farthest from both in the same way, then
+    nearest to the middle of their closeness (distances to thousandths). Ties: the smallest key. Groups are numbered in ranges and candidates reduced by maxima, so no group is gathered.
+    """
+    placed = written(numbered(rows.select(group, key, closeness, angle, F.array_distinct(grams).alias("_g")), [F.col(closeness), F.col(key)], "_n", by=[group], total="_all"), "tiers")
+    a = F.floor(F.col("_all") / 3)
+    enough = placed.where("_all >= 3")
+    pick = lambda df, score: df.groupBy(group).agg(F.max_by(F.struct(key, closeness, angle, "_g"), F.struct(*score, (-F.col(key)).alias("k"))).alias("_p"))
+    safe = written(enough.where("_n = 1").select(group, F.struct(key, closeness, angle, "_g").alias("_s")), "safe")
+    high = enough.where(F.col("_n") > F.col("_all") - a).join(safe, group)
+    new, far = ~F.col(angle).eqNullSafe(F.col(f"_s.{angle}")), gram_distance(F.col("_g"), F.col("_s._g"))
+    bold = written(pick(high, [new.alias("n"), far.alias("d"), F.col(closeness).alias("c")]).select(group, F.col("_p").alias("_b")), "bold")
+    mid = enough.where((F.col("_n") > a) & (F.col("_n") <= F.col("_all") - a)).join(safe, group).join(bold, group)
+    new = new & ~F.col(angle).eqNullSafe(F.col(f"_b.{angle}"))
+    far = F.least(far, gram_distance(F.col("_g"), F.col("_b._g")))
+    off = F.round(F.abs(F.col(closeness) - (F.col(f"_s.{closeness}") + F.col(f"_b.{closeness}")) / 2), 3)
+    even = pick(mid, [new.alias("n"), far.alias("d"), (-off).alias("c")])
+    named = lambda df, c, tier: df.select(group, F.col(f"{c}.{key}").alias(key), F.lit(tier).alias("tier"))
+    return named(safe, "_s", "safe").unionByName(named(even, "_p", "even")).unionByName(named(bold, "_b", "bold"))

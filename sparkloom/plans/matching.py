@@ -224,17 +224,32 @@ def tier_pick(spark, d):
 def candidate_filter(spark, d):
     """First failing reason of each candidate; one that repeats an earlier accepted text, by an edit ratio of 0.8 of whole matching forms, is a duplicate."""
     t = table(spark, d, "conversations").select("conv_id", "turn", "text")
-    reason = F.when(F.length("text") < 20, "short").when(F.col("text").rlike("[0-9]{3,}"), "number").when(F.col("text").rlike("[%&#$*]{3,}"), "symbols")
-    return D.first_of_similar(t.withColumn("reason", reason).withColumn("norm", D.match_norm(F.col("text"))), "conv_id", "turn", "norm", "reason").select("conv_id", "turn", "reason")
+    return D.first_of_similar(t.withColumn("reason", flaw(F.col("text"))).withColumn("norm", D.match_norm(F.col("text"))), "conv_id", "turn", "norm", "reason").select("conv_id", "turn", "reason")
 
 
 @query()
 def retry_loop(spark, d):
-    """Rounds until each conversation has three kept candidates or the rounds end; the driver reads one count a round."""
-    kept = candidate_filter(spark, d).where("reason IS NULL").withColumn("r", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")))
-    convs, rounds = table(spark, d, "conversations").select("conv_id").distinct(), 0
-    for rounds in (1, 2, 3):
-        done = convs.join(kept.where(F.col("r") <= rounds * 2).groupBy("conv_id").agg(F.count("*").alias("n")), "conv_id", "left")
-        if done.where("coalesce(n, 0) < 3").isEmpty():
-            break
-    return done.select("conv_id", F.least(F.coalesce("n", F.lit(0)), F.lit(3)).alias("kept"), F.when(F.coalesce("n", F.lit(0)) >= 3, "ok").otherwise("search_failed").alias("state"), F.lit(rounds).alias("rounds"))
+    """Rounds of four candidates until each conversation has three that are kept, or three rounds are over; each round carries what was kept."""
+    t = table(spark, d, "conversations").select("conv_id", "turn", "text")
+    candidates = t.select("conv_id", "turn", D.match_norm(F.col("text")).alias("norm"), flaw(F.col("text")).alias("reason"))
+    return D.retry_rounds(spark, candidates, "conv_id", "turn", "norm", "reason")[0]
+
+
+def flaw(text):
+    """The first failing rule of a candidate by itself."""
+    return F.when(F.length(text) < 20, "short").when(text.rlike("[0-9]{3,}"), "number").when(text.rlike("[%&#$*]{3,}"), "symbols")
+
+
+@query("""WITH r AS (SELECT doc_id, source, round(cos(doc_id) , 3) AS closeness, lang, list_distinct(list_slice(string_split(lower(text), ' '), 1, 12)) AS g FROM documents),
+    p AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY closeness, doc_id) AS n, count(*) OVER (PARTITION BY source) AS k FROM r),
+    s AS (SELECT * FROM p WHERE n = 1 AND k >= 3),
+    h AS (SELECT p.*, row_number() OVER (PARTITION BY p.source ORDER BY (p.lang IS DISTINCT FROM s.lang) DESC, CAST(floor(100 - 100 * len(list_intersect(p.g, s.g)) / len(list_distinct(list_concat(p.g, s.g)))) AS INT) DESC, p.closeness DESC, p.doc_id) AS o FROM p JOIN s USING (source) WHERE p.n > p.k - p.k // 3),
+    b AS (SELECT * FROM h WHERE o = 1),
+    m AS (SELECT p.*, row_number() OVER (PARTITION BY p.source ORDER BY (p.lang IS DISTINCT FROM s.lang AND p.lang IS DISTINCT FROM b.lang) DESC,
+        least(CAST(floor(100 - 100 * len(list_intersect(p.g, s.g)) / len(list_distinct(list_concat(p.g, s.g)))) AS INT), CAST(floor(100 - 100 * len(list_intersect(p.g, b.g)) / len(list_distinct(list_concat(p.g, b.g)))) AS INT)) DESC,
+        round(abs(p.closeness - (s.closeness + b.closeness) / 2), 3), p.doc_id) AS o FROM p JOIN s USING (source) JOIN b USING (source) WHERE p.n > p.k // 3 AND p.n <= p.k - p.k // 3)
+    SELECT source, doc_id, 'safe' AS tier FROM s UNION ALL SELECT source, doc_id, 'bold' FROM b UNION ALL SELECT source, doc_id, 'even' FROM m WHERE o = 1""")
+def tier_diverse(spark, d):
+    """Three documents of each source: far from the threshold, between, and close to it, that differ in language and in their first words."""
+    rows = table(spark, d, "documents").select("source", "doc_id", F.round(F.cos("doc_id"), 3).alias("closeness"), "lang", F.slice(F.split(F.lower("text"), " "), 1, 12).alias("g"))
+    return D.tier_choice(rows, "source", "doc_id", "closeness", "lang", "g")
