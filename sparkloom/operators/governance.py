@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from collections.abc import Sequence
 from functools import reduce
 
@@ -83,6 +85,45 @@ def reconcile(ledger: DataFrame, disk: DataFrame, key: str, causes: Sequence[tup
     return j.withColumn("state", state).withColumn("cause", F.when(F.col("state") == "missing", F.coalesce(cause, F.lit("other"))))
 
 
+def missing_causes(ledger: DataFrame, disk: DataFrame, excluded: Sequence[str]) -> DataFrame:
+    """path, cause of every ledger row whose path is not on disk; both sides have path, sha, size.
+
+    The first that holds: ``moved`` (its hash lies on disk under another path), ``excluded`` (a declared pattern fits its path), ``cleared`` (nothing of its folder is
+    left), ``replaced`` (its folder has a file of its size that the ledger does not know), else ``lost``. Hashes, folders and sizes meet as distinct keys.
+    """
+    folder = F.regexp_replace("path", "/[^/]*$", "")
+    gone = ledger.select("path", "sha", "size", folder.alias("folder")).join(disk.select("path"), "path", "left_anti")
+    here = disk.select("path", "sha", "size", folder.alias("folder"))
+    elsewhere = here.select("sha").where("sha IS NOT NULL").distinct().withColumn("_moved", F.lit(True))
+    folders = here.select("folder").distinct().withColumn("_folder", F.lit(True))
+    unknown = here.join(ledger.select("path"), "path", "left_anti").select("folder", "size").distinct().withColumn("_same", F.lit(True))
+    j = gone.join(elsewhere, "sha", "left").join(folders, "folder", "left").join(unknown, ["folder", "size"], "left")
+    declared = F.lit(False)
+    for pattern in excluded:
+        declared = declared | F.col("path").rlike(glob_pattern(pattern))
+    cause = F.when(F.col("_moved"), "moved").when(declared, "excluded").when(F.col("_folder").isNull(), "cleared").when(F.col("_same"), "replaced").otherwise("lost")
+    return j.select("path", cause.alias("cause"))
+
+
+def glob_pattern(glob: str) -> str:
+    """Regular expression of a path glob: ``**`` crosses folders, ``*`` and ``?`` do not."""
+    parts = {"**": ".*", "*": "[^/]*", "?": "[^/]"}
+    return "^" + "".join(parts.get(x) or re.escape(x) for x in re.findall(r"\*\*|\*|\?|[^*?]+", glob)) + "$"
+
+
+def run_delta(old: DataFrame, new: DataFrame, key: str, amount: str) -> DataFrame:
+    """One row: documents added, gone, changed; amounts of both runs; what of their difference comes from documents that came or went, and what from those in both."""
+    j = old.select(key, F.col(amount).alias("a"), F.lit(1).alias("_a")).join(new.select(key, F.col(amount).alias("b"), F.lit(1).alias("_b")), key, "full_outer")
+    only_a, only_b = F.col("_b").isNull(), F.col("_a").isNull()
+    both = ~only_a & ~only_b
+    total = lambda c, when: F.coalesce(F.sum(F.when(when, F.col(c))), F.lit(0)).cast("long")
+    return j.agg(
+        F.count_if(only_b).alias("added"), F.count_if(only_a).alias("gone"), F.count_if(both & ~F.col("a").eqNullSafe(F.col("b"))).alias("changed"),
+        total("a", F.lit(True)).alias("old_total"), total("b", F.lit(True)).alias("new_total"),
+        (total("b", only_b) - total("a", only_a)).alias("source_caused"), (total("b", both) - total("a", both)).alias("rule_caused"),
+    )
+
+
 def run_diff(a: DataFrame, b: DataFrame, key: str, fields: Sequence[str]) -> DataFrame:
     """One row: only_a, only_b, and for each field the number of rows in both that changed."""
     j = a.select(key, *[F.col(f).alias(f"a_{f}") for f in fields], F.lit(1).alias("_a")).join(b.select(key, *[F.col(f).alias(f"b_{f}") for f in fields], F.lit(1).alias("_b")), key, "full_outer")

@@ -117,6 +117,35 @@ def ledger_reconcile(spark, d):
     return G.reconcile(o.where("o_orderkey % 5 <> 0"), disk, "o_orderkey", [("moved", F.col("o_orderkey") % 4 == 0), ("excluded", F.col("o_orderkey") % 2 == 0)]).select("o_orderkey", "state", "cause")
 
 
+@query("""WITH f AS (SELECT doc_id, source, 'corpus/' || source || '/' || doc_id || CASE WHEN (doc_id // 20) % 10 = 7 AND lang = 'fr' THEN '.part' ELSE '.txt' END AS path, sha256(text) AS sha, n_chars AS size FROM documents),
+    disk AS (SELECT path, sha, size FROM f WHERE (doc_id // 20) % 10 < 6 AND source <> 'src3' UNION ALL SELECT 'moved/' || doc_id || '.txt', sha, size FROM f WHERE (doc_id // 20) % 10 = 6
+        UNION ALL SELECT 'corpus/' || source || '/new-' || doc_id || '.txt', sha256('new' || doc_id), size FROM f WHERE (doc_id // 20) % 10 = 8 AND source <> 'src3'),
+    gone AS (SELECT *, regexp_replace(path, '/[^/]*$', '') AS folder FROM f WHERE path NOT IN (SELECT path FROM disk)),
+    here AS (SELECT *, regexp_replace(path, '/[^/]*$', '') AS folder FROM disk), own AS (SELECT * FROM here WHERE path NOT IN (SELECT path FROM f))
+    SELECT path, CASE WHEN sha IN (SELECT sha FROM disk) THEN 'moved' WHEN path LIKE 'corpus/%.part' THEN 'excluded' WHEN folder NOT IN (SELECT folder FROM here) THEN 'cleared'
+        WHEN EXISTS (SELECT 1 FROM own WHERE own.folder = gone.folder AND own.size = gone.size) THEN 'replaced' ELSE 'lost' END AS cause FROM gone""")
+def missing_causes(spark, d):
+    """Documents as files of a ledger, and a disk on which some were moved, replaced or lost, and one folder was cleared; causes follow from hashes, paths and sizes."""
+    k, src, slot = F.col("doc_id"), F.col("source"), F.expr("doc_id DIV 20 % 10")
+    name = F.concat(F.lit("corpus/"), src, F.lit("/"), k.cast("string"), F.when((slot == 7) & (F.col("lang") == "fr"), ".part").otherwise(".txt"))
+    f = table(spark, d, "documents").select("doc_id", "source", name.alias("path"), F.sha2("text", 256).alias("sha"), F.col("n_chars").alias("size"))
+    stays = f.where((slot < 6) & (src != "src3")).select("path", "sha", "size")
+    moved = f.where(slot == 6).select(F.concat(F.lit("moved/"), k.cast("string"), F.lit(".txt")).alias("path"), "sha", "size")
+    new = f.where((slot == 8) & (src != "src3")).select(F.concat(F.lit("corpus/"), src, F.lit("/new-"), k.cast("string"), F.lit(".txt")).alias("path"), F.sha2(F.concat(F.lit("new"), k.cast("string")), 256).alias("sha"), "size")
+    return G.missing_causes(f.select("path", "sha", "size"), stays.unionByName(moved).unionByName(new), ["corpus/**.part"])
+
+
+@query(r"""WITH o AS (SELECT doc_id, len(string_split(text, '. ')) AS n FROM documents WHERE doc_id % 7 <> 0), n AS (SELECT doc_id, len(regexp_split_to_array(text, '[.!?]\s')) AS n FROM documents WHERE doc_id % 11 <> 0),
+    j AS (SELECT o.n AS a, n.n AS b, o.doc_id AS oi, n.doc_id AS ni FROM o FULL OUTER JOIN n USING (doc_id))
+    SELECT count(*) FILTER (oi IS NULL) AS added, count(*) FILTER (ni IS NULL) AS gone, count(*) FILTER (oi = ni AND a <> b) AS changed, CAST(sum(a) AS BIGINT) AS old_total, CAST(sum(b) AS BIGINT) AS new_total,
+        CAST(sum(b) FILTER (oi IS NULL) - sum(a) FILTER (ni IS NULL) AS BIGINT) AS source_caused, CAST(sum(b) FILTER (oi = ni) - sum(a) FILTER (oi = ni) AS BIGINT) AS rule_caused FROM j""")
+def run_delta(spark, d):
+    """Sentences of two runs over two editions of the corpus, of which the second also cuts by another rule."""
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    old = docs.where("doc_id % 7 <> 0").select("doc_id", F.size(F.split("text", r"\. ")).alias("n"))
+    return G.run_delta(old, docs.where("doc_id % 11 <> 0").select("doc_id", F.size(F.split("text", r"[.!?]\s")).alias("n")), "doc_id", "n")
+
+
 @query(f"WITH {OLD} SELECT count(*) FILTER (n.o_orderkey IS NULL) AS only_a, count(*) FILTER (o.o_orderkey IS NULL) AS only_b, count(*) FILTER (n.o_orderkey = o.o_orderkey AND n.o_orderstatus IS DISTINCT FROM o.o_orderstatus) AS changed_o_orderstatus, count(*) FILTER (n.o_orderkey = o.o_orderkey AND n.o_totalprice IS DISTINCT FROM o.o_totalprice) AS changed_o_totalprice FROM old o FULL OUTER JOIN new n USING (o_orderkey)")
 def run_diff(spark, d):
     return G.run_diff(*_old_new(spark, d), "o_orderkey", ["o_orderstatus", "o_totalprice"])
