@@ -107,8 +107,9 @@ def route(sentences: DataFrame, doc: str) -> DataFrame:
 def upsert_sentences(old: DataFrame, new: DataFrame, key: str, cols: Sequence[str], order: str) -> DataFrame:
     """Replace in place, append what is new behind, keep the order."""
     o, n = old.select(key, F.col(order).alias("_o"), *[F.col(c).alias(f"o_{c}") for c in cols]), new.select(key, F.col(order).alias("_n"), *[F.col(c).alias(f"n_{c}") for c in cols], F.lit(True).alias("_has"))
-    j = o.join(n, key, "full_outer")
-    return j.select(key, *[F.when(F.col("_has"), F.col(f"n_{c}")).otherwise(F.col(f"o_{c}")).alias(c) for c in cols], F.coalesce(F.col("_o"), F.col("_n") + 1_000_000).alias(order))
+    most = old.agg(F.coalesce(F.max(order) + 1, F.lit(0)).alias("_most"))  # one row
+    j = o.join(n, key, "full_outer").crossJoin(F.broadcast(most))
+    return j.select(key, *[F.when(F.col("_has"), F.col(f"n_{c}")).otherwise(F.col(f"o_{c}")).alias(c) for c in cols], F.coalesce(F.col("_o"), F.col("_n") + F.col("_most")).alias(order))
 
 
 def breaches(df: DataFrame, row: Sequence[str], rules: dict[str, Column]) -> DataFrame:

@@ -119,7 +119,7 @@ def outcome_route(spark, d):
     return J.route(_routable(spark, d), "conv_id")
 
 
-@query("WITH o AS (SELECT conv_id * 1000 + turn AS sid, role, turn FROM conversations WHERE turn % 3 <> 2), n AS (SELECT conv_id * 1000 + turn AS sid, upper(role) AS role, turn FROM conversations WHERE turn % 2 = 0) SELECT coalesce(o.sid, n.sid) AS sid, CASE WHEN n.sid IS NOT NULL THEN n.role ELSE o.role END AS role, coalesce(o.turn, n.turn + 1000000) AS turn FROM o FULL OUTER JOIN n ON o.sid = n.sid")
+@query("WITH o AS (SELECT conv_id * 1000 + turn AS sid, role, turn FROM conversations WHERE turn % 3 <> 2), n AS (SELECT conv_id * 1000 + turn AS sid, upper(role) AS role, turn FROM conversations WHERE turn % 2 = 0) SELECT coalesce(o.sid, n.sid) AS sid, CASE WHEN n.sid IS NOT NULL THEN n.role ELSE o.role END AS role, coalesce(o.turn, n.turn + (SELECT max(turn) + 1 FROM o)) AS turn FROM o FULL OUTER JOIN n ON o.sid = n.sid")
 def upsert_reducer(spark, d):
     c = table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("sid"), "role", "turn")
     return J.upsert_sentences(c.where("turn % 3 <> 2"), c.where("turn % 2 = 0").withColumn("role", F.upper("role")), "sid", ["role"], "turn")

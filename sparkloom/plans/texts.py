@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.functions import text as X
+from sparkloom.operators import masking as K
 from sparkloom.operators.matching import one_edit
 from sparkloom.registry import query
 from sparkloom.session import table
@@ -50,6 +51,44 @@ def mask_residue(spark, d):
     return _docs(spark, d).select("doc_id", ((F.length(m) - F.length(F.replace(m, F.lit("[org]"), F.lit("")))) / 5).cast("long").alias("masked"), X.residue(m, NAMES).alias("residue"))
 
 
+def _rx(t: str, pattern: str, mark: str) -> str:
+    return f"regexp_replace({t}, '{pattern}', '[{mark}]', 'g')"
+
+
+_LONGEST = "list_filter(list_transform(list_sort(list_transform(list_distinct({0}), lambda x: {{'k': -length(x), 'n': x}})), lambda s: s.n), lambda n: length(n) >= 3)"
+_ALL = "list_reduce(list_prepend({0}, {1}), lambda a, b: replace(a, b, '[org]'))"
+_STEPS = [  # (axis, expression over t)
+    ("org", _ALL.format("t", _LONGEST.format(f"list_filter([anchor, regexp_replace(anchor, ' {K.FORMS}$| {K.FOREIGN}$', '')], lambda x: x IS NOT NULL)"))), ("person", _rx("t", K.PERSON, "person")), None,
+    ("org", _rx("t", f"{K.NAME} {K.FORMS}", "org")), ("org", _rx("t", f"{K.NAME} {K.FOREIGN}", "org")), ("org", _ALL.format("t", "names")), ("org", _rx("t", K.ALIAS, "org")), ("addr", _rx("t", K.ADDRESS, "addr")), ("brand", _rx("t", K.BRAND, "brand")),
+]
+
+
+def _masking_sql() -> str:
+    out = ["""w_ AS (SELECT doc_id, source, text, list_transform(regexp_extract_all(text, '[a-z]{4,}')[1:7], lambda x: upper(x[1]) || x[2:]) AS w FROM documents),
+    m0 AS (SELECT doc_id, CAST(substr(source, 4) AS INT) % 4 AS p, CASE WHEN doc_id % 2 = 0 THEN w[6] || ' GmbH' END AS anchor, [''] AS names,
+        'from ' || w[1] || ' ' || w[2] || ' Ltd (' || w[3] || ') of 12 ' || w[4] || ' Street: Dr. ' || w[5] || ' writes that ' || w[1] || ' ' || w[2] || ' and ' || w[6] || ' GmbH sell ' || w[7] || '®. ' || text AS t FROM w_ WHERE len(w) = 7)"""]
+    for k, s in enumerate(_STEPS):
+        names = _LONGEST.format(f"list_concat(regexp_extract_all(t, '({K.NAME}) {K.FORMS}', 1), regexp_extract_all(t, '({K.NAME}) {K.FOREIGN}', 1))") if s is None else "names"
+        t = "t" if s is None else f"CASE WHEN p >= {K.AXES.index(s[0])} THEN {s[1]} ELSE t END"
+        out.append(f"m{k + 1} AS (SELECT doc_id, p, anchor, {names} AS names, {t} AS t FROM m{k})")
+    marks = ", ".join(f"(length(t) - length(replace(t, '[{a}]', ''))) // {len(a) + 2} AS {a}" for a in K.AXES)
+    left = " + ".join(f"CASE WHEN p >= {i} THEN len(regexp_extract_all(t, '({K.RESIDUE[a]})')) ELSE 0 END" for i, a in enumerate(K.AXES))
+    return f"WITH {', '.join(out)} SELECT doc_id, sha256(t) AS masked_sha, {marks}, {left} AS residue FROM m{len(_STEPS)}"
+
+
+@query(_masking_sql())
+def mask_policy(spark, d):
+    """Documents behind a sentence that declares names from their own words; source number modulo 4 says how many axes are declared."""
+    w = F.transform(F.slice(F.regexp_extract_all("text", F.lit("[a-z]{4,}"), F.lit(0)), 1, 7), F.initcap)
+    docs = table(spark, d, "documents").select("doc_id", "source", "text", w.alias("w")).where("size(w) = 7")
+    x = lambda k: F.col("w")[k - 1]
+    parts = ["from ", x(1), " ", x(2), " Ltd (", x(3), ") of 12 ", x(4), " Street: Dr. ", x(5), " writes that ", x(1), " ", x(2), " and ", x(6), " GmbH sell ", x(7), "®. ", F.col("text")]
+    letter = F.concat(*[F.lit(y) if isinstance(y, str) else y for y in parts])
+    rows = docs.select("doc_id", "source", letter.alias("t"), F.when(F.col("doc_id") % 2 == 0, F.concat(x(6), F.lit(" GmbH"))).alias("anchor"))
+    out = K.mask(rows, "t", "anchor", "source", {f"src{i}": K.AXES[: 1 + i % 4] for i in range(20)})
+    return out.select("doc_id", F.sha2("masked", 256).alias("masked_sha"), "counts.*", sum((F.col(f"left.{a}") for a in K.AXES), F.lit(0)).alias("residue"))
+
+
 SENT = r"list_filter(list_transform(string_split(regexp_replace({t}, '([.!?])[ ]+', '\1' || chr(10), 'g'), chr(10)), lambda s: trim(s)), lambda s: s <> '')"
 
 
