@@ -10,7 +10,8 @@ object, frame, canvas, sound or film, no definitions and descriptions of drawing
 ``hidden``, nor under what ``display:none`` applies to; text is left out where the inherited ``visibility`` is hidden, and comes back where
 it is set to visible below. Inline styles and the page's style sheets count, the latter in order of importance, specificity and place,
 for selectors of tags, classes, ids and attributes, also joined, below one another (blank, ``>``) or in lists; selectors with
-pseudo-classes or other combinators, and rules for other media or for some screens only, hide nothing.
+pseudo-classes or other combinators, and rules for other media or for some screens only, hide nothing. A string that a style sheet does
+not finish ends with its line. What inputs show as their value is text; it and the text of images stand apart from their neighbours.
 
 All other text is emitted: blocks on lines of their own, paragraphs and headings set off by an empty line, list items with
 marks and indents, preformatted text as it stands. Table cells stand in columns: cells up to ``WIDE`` characters are padded to the longest of
@@ -40,7 +41,8 @@ DEEPEST, WIDE, WIDEST = 512, 48, 96
 _ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _BLANKS = re.compile(r"[ \t\n\r\f]+")
 _CSS_SKIP = re.compile(r"/\*.*?(?:\*/|\Z)|<!--|-->", re.S)
-_CSS_STRING = re.compile(r"\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'", re.S)
+#: A string ends at its quote or, unfinished, with the line; either way the next one starts behind it.
+_CSS_STRING = re.compile(r"\"(?:\\.|[^\"\\\n])*+\"?|'(?:\\.|[^'\\\n])*+'?", re.S)
 _DECLARED = re.compile(r"(display|visibility)\s*:\s*([a-z-]+)\s*(!\s*important)?\s*\Z", re.I)
 _PART = re.compile(r"([.#]?)([\w-]+)|\[\s*([\w-]+)\s*(?:=\s*[\"']?([^\"'\]]*)[\"']?\s*)?\]|(\*)")
 
@@ -61,6 +63,8 @@ IMPLIED = {
     "tr": ({"tr", "td", "th", "caption", "colgroup"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}),
     "tbody": ({"thead", "tbody", "tfoot", "caption", "colgroup"}, {"table"}), "thead": ({"thead", "tbody", "tfoot", "caption", "colgroup"}, {"table"}), "tfoot": ({"thead", "tbody", "tfoot", "caption", "colgroup"}, {"table"}),
 }
+#: Types of inputs that do not show their value as text.
+VALUELESS = frozenset("hidden checkbox radio file image password color range".split())
 SCOPE = frozenset("table td th caption html template button object".split())
 #: How far the end tag of a table or of a part of one reaches.
 PARTS = {"table": frozenset({"template"})} | dict.fromkeys("tr td th thead tbody tfoot caption".split(), frozenset({"table", "template"}))
@@ -200,10 +204,76 @@ def applies(rule: str) -> bool:
 class Rule:
     """What a selector says about display or visibility. ``steps``: from the element upwards, (parts, whether directly above)."""
 
-    __slots__ = ("steps", "name", "value", "rank")
-
-    def __init__(self, steps, name, value, rank):
-        self.steps, self.name, self.value, self.rank = steps, name, value, rank
+    __slots__ = ("steps", "value", "rank")
+
+    def __init__(self, steps, value, rank):
+        self.steps, self.value, self.rank = steps, value, rank
+
+
+def key_of(parts) -> tuple[str, str]:
+    """The part of a compound selector that fits the fewest elements: an id, a class, an attribute, a tag."""
+    k, name, _ = max(parts, key=lambda part: "*_[.#".find(part[0] or "_"))
+    return k, name
+
+
+def keys_of(tag: str, a: dict[str, str], classes) -> list[tuple[str, str]]:
+    """All that ``key_of`` may give for a selector that fits the element."""
+    return [("", tag), ("*", ""), *((".", c) for c in classes), *(("[", n) for n in a)] + ([("#", a["id"])] if "id" in a else [])
+
+
+class Rules:
+    """The rules of a page: property -> key of what they apply to -> key of what that must stand in (None: anything) -> best first.
+
+    An element looks only at rules whose two keys are its own and one of an open element's, and stops at the first that holds.
+    Elements that no selector can tell apart, with their ancestors, are judged once.
+    """
+
+    def __init__(self, best: dict):
+        self.found: dict[str, dict] = {}
+        self.outer: set = set()
+        self.values: dict[str, set] = {}
+        self.parts: set = set()
+        for (steps, name), (rank, value) in best.items():
+            own, outer = key_of(steps[0][0]), key_of(steps[1][0]) if len(steps) > 1 else None
+            outer = None if outer == ("*", "") else outer
+            self.outer.add(outer)
+            self.found.setdefault(name, {}).setdefault(own, {}).setdefault(outer, []).append(Rule(steps, value, rank))
+            for parts, _ in steps:
+                for k, n, v in parts:
+                    self.parts.add((k, n))
+                    if k == "[":
+                        self.values.setdefault(n, set()).add(v)
+        for groups in self.found.values():
+            for by_outer in groups.values():
+                for some in by_outer.values():
+                    some.sort(key=lambda r: r.rank, reverse=True)
+        self.paths: dict[tuple, int] = {}
+        self.said: list[dict[str, tuple]] = []
+
+    def __bool__(self) -> bool:
+        return bool(self.found)
+
+    def path(self, upper: int, tag: str, a: dict[str, str], classes, keys: list) -> tuple[int, bool]:
+        """(number of what selectors can see of an element and its ancestors, whether it is new)."""
+        seen = (upper, frozenset((*k, a[k[1]] if k[0] == "[" and a[k[1]] in self.values[k[1]] else None) for k in keys if k in self.parts))
+        new = seen not in self.paths
+        return self.paths.setdefault(seen, len(self.paths)), new
+
+    def judge(self, above: list, keys: list, opened: Counter) -> dict[str, tuple]:
+        """property -> (rank, value) that wins for the last of ``above``; ``opened``: keys of the elements above it."""
+        out: dict[str, tuple] = {}
+        for name, groups in self.found.items():
+            for key in keys:
+                by_outer = groups.get(key, {})
+                for outer in [None, *opened] if len(opened) < len(by_outer) else by_outer:
+                    if outer is None or opened[outer]:
+                        for r in by_outer.get(outer, ()):
+                            if name in out and r.rank < out[name][0]:
+                                break
+                            if holds(r, above):
+                                out[name] = (r.rank, r.value)
+                                break
+        return out
 
 
 def compound(text: str) -> list[tuple[str, str, str | None]] | None:
@@ -218,7 +288,7 @@ def compound(text: str) -> list[tuple[str, str, str | None]] | None:
     return out or None
 
 
-def selector(text: str) -> list | None:
+def selector(text: str) -> tuple | None:
     steps, direct = [], False
     for word in text.replace(">", " > ").split():
         if word == ">":
@@ -232,41 +302,41 @@ def selector(text: str) -> list | None:
             direct = False
     if direct or not steps:
         return None
-    return [(parts, steps[i][1]) for i, (parts, _) in reversed(list(enumerate(steps)))]
+    return tuple((tuple(parts), direct) for parts, direct in reversed(steps))
 
 
-def style_rules(sheets: list[str]) -> dict[tuple[str, str], list[Rule]]:
-    """Rules by the last part of what they apply to."""
-    found: dict[tuple[str, str], list[Rule]] = {}
+def style_rules(sheets: list[str]) -> Rules:
+    best: dict[tuple, tuple] = {}  # (steps, property) -> (rank, value)
     place = 0
     for s in sheets:
         s = _BLANKS.sub(" ", _CSS_STRING.sub(lambda m: m[0] if len(m[0]) < 40 and not re.search("[{};]", m[0]) else '""', _CSS_SKIP.sub(" ", s)))
-        # open blocks: (selectors, declarations) of a rule, True of an at-rule that counts, False of all others
+        # open blocks: (selectors, declarations by property) of a rule, True of an at-rule that counts, False of all others
         stack: list = []
         at = other = 0  # other: open blocks that are no at-rules that count
         for m in re.finditer(r"[{};]", s + "}" * s.count("{")):
             before, at = s[at : m.start()].strip(), m.end()
             if m[0] == "{":
-                stack.append((applies(before.lower()) if before[:1] == "@" else (before, [])) if not other else False)
+                stack.append((applies(before.lower()) if before[:1] == "@" else (before, {})) if not other else False)
                 other += stack[-1] is not True
                 continue
-            if stack and isinstance(stack[-1], tuple):
-                stack[-1][1].append(before)
+            if stack and isinstance(stack[-1], tuple) and (x := _DECLARED.match(before)):
+                last = stack[-1][1].get(x[1].lower())
+                if not last or x[3] or not last[0]:  # of a rule's declarations of a property one counts
+                    stack[-1][1][x[1].lower()] = (bool(x[3]), x[2].lower())
             if m[0] == "}" and stack:
                 top = stack.pop()
                 other -= top is not True
-                if isinstance(top, tuple):
-                    for d in top[1]:
-                        if (x := _DECLARED.match(d)) is None:
-                            continue
-                        for y in top[0].split(","):
-                            if steps := selector(y.strip()):
-                                place += 1
-                                kinds = [k for parts, _ in steps for k, _, _ in parts]
-                                rank = (bool(x[3]), 0, kinds.count("#"), kinds.count(".") + kinds.count("["), kinds.count(""), place)
-                                k, name, _ = max(steps[0][0], key=lambda part: "*[.#".find(part[0] or "*"))
-                                found.setdefault((k, name) if k in (".", "#") or k == "" else ("*", ""), []).append(Rule(steps, x[1].lower(), x[2].lower(), rank))
-    return found
+                if isinstance(top, tuple) and top[1]:
+                    for y in top[0].split(","):
+                        if steps := selector(y.strip()):
+                            place += 1
+                            kinds = Counter(k for parts, _ in steps for k, _, _ in parts)
+                            steps = tuple((tuple(dict.fromkeys(parts)), direct) for parts, direct in steps)
+                            for name, (important, value) in top[1].items():
+                                rank = (important, 0, kinds["#"], kinds["."] + kinds["["], kinds[""], place)
+                                if (steps, name) not in best or rank > best[steps, name][0]:
+                                    best[steps, name] = (rank, value)
+    return Rules(best)
 
 
 def fits(parts, tag: str, a: dict[str, str], classes) -> bool:
@@ -280,7 +350,7 @@ def fits(parts, tag: str, a: dict[str, str], classes) -> bool:
 
 def holds(rule: Rule, above: list) -> bool:
     """Whether the rule fits the last of ``above``, elements from the root on as (tag, attributes, classes)."""
-    if not fits(rule.steps[0][0], *above[-1]):
+    if len(rule.steps) > len(above) or not fits(rule.steps[0][0], *above[-1]):
         return False
     # of ancestors that fit, the lowest is tried first; a step that must be directly above goes back to the next choice
     todo = [(1, len(above) - 2, rule.steps[0][1])]
@@ -302,16 +372,9 @@ def holds(rule: Rule, above: list) -> bool:
     return False
 
 
-def declared(node: Node, above: list, rules: dict) -> tuple[str | None, str | None]:
-    """(display, visibility) that win for an element."""
-    _, a, classes = above[-1]
-    best: dict[str, tuple] = {}
-    if rules:
-        keys = [("", node.tag), ("*", ""), *((".", c) for c in classes)] + ([("#", a["id"])] if "id" in a else [])
-        for key in keys:
-            for r in rules.get(key, ()):
-                if (r.name not in best or r.rank > best[r.name][0]) and holds(r, above):
-                    best[r.name] = (r.rank, r.value)
+def declared(a: dict[str, str], said: dict[str, tuple]) -> tuple[str | None, str | None]:
+    """(display, visibility) that win for an element, of what the style sheets say and its own style."""
+    best = dict(said)
     if "style" in a:
         for k, d in enumerate(_CSS_SKIP.sub(" ", a["style"]).split(";")):
             if x := _DECLARED.match(d.strip()):
@@ -321,19 +384,36 @@ def declared(node: Node, above: list, rules: dict) -> tuple[str | None, str | No
     return best.get("display", (0, None))[1], best.get("visibility", (0, None))[1]
 
 
-def prune(root: Node, rules: dict) -> None:
+def prune(root: Node, rules: Rules) -> None:
     """Take out of the tree what is not seen."""
     above: list = []
+    paths: list[tuple[int, list]] = [(-1, [])]  # (number of the path, keys that rules ask ancestors for)
+    opened: Counter = Counter()
     todo: list = [(root, True)]
     while todo:
         node, seen = todo.pop()
         if node is None:
             above.pop()
+            if rules:
+                for k in paths.pop()[1]:
+                    opened[k] -= 1
+                    if not opened[k]:
+                        del opened[k]
             continue
         a = node.get() if node.attrs else {}
-        above.append((node.tag, a, a.get("class", "").split()))
+        above.append((node.tag, a, frozenset(a.get("class", "").split())))
         todo.append((None, True))
-        display, visibility = declared(node, above, rules) if rules or "style" in a else (None, None)
+        said: dict[str, tuple] = {}
+        if rules:
+            keys = keys_of(*above[-1])
+            number, new = rules.path(paths[-1][0], *above[-1], keys)
+            if new:
+                rules.said.append(rules.judge(above, keys, opened))
+            said = rules.said[number]
+            asked = [k for k in keys if k in rules.outer]
+            paths.append((number, asked))
+            opened.update(asked)
+        display, visibility = declared(a, said) if said or "style" in a else (None, None)
         if display == "none" or "hidden" in a and display is None or a.get("aria-hidden", "").lower() == "true" or node.tag == "input" and a.get("type", "").lower() == "hidden" or node.tag in UNSEEN:
             node.kids = []
             node.tag = "#gone"
@@ -485,12 +565,12 @@ def render(root: Node) -> str:
         if tag == "img":
             alt = x.get().get("alt", "")
             if alt.strip():
-                page.word(alt, False)
+                page.word(f" {alt} ", False)
             continue
         if tag == "input":
             a = x.get()
-            if a.get("type", "text").lower() in ("submit", "button", "reset") and a.get("value"):
-                page.word(a["value"], False)
+            if a.get("type", "text").lower() not in VALUELESS and a.get("value"):
+                page.word(f" {a['value']} ", False)
             continue
         if tag == "table":
             page.space()

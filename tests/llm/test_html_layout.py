@@ -1,5 +1,6 @@
 """Tables, inherited visibility, selectors, and pages that are made to take long or to swell."""
 
+import random
 import time
 
 import pytest
@@ -38,6 +39,61 @@ def test_layout(name):
     assert extract(html) == want
 
 
+def plain_style(rules, path):
+    """(display, visibility) by trying every rule, in order, at every element: no index, no memory."""
+    best = {}
+    for place, (selector, name, value, important) in enumerate(rules):
+        steps = selector.replace(">", " > ").split()
+
+        def fits(i, at):  # steps up to i, the last at element ``at``
+            part, (tag, cls) = steps[i], path[at]
+            want_tag, *want = part.split(".")
+            if want_tag and want_tag != tag or not set(want) <= set(cls):
+                return False
+            if i == 0:
+                return True
+            if steps[i - 1] == ">":
+                return at > 0 and fits(i - 2, at - 1)
+            return any(fits(i - 1, k) for k in range(at))
+
+        if fits(len(steps) - 1, len(path) - 1):
+            rank = (important, selector.count("."), sum(x[0] not in ".>" for x in steps), place)
+            if name not in best or rank > best[name][0]:
+                best[name] = (rank, value)
+    return best.get("display", (0, ""))[1], best.get("visibility", (0, ""))[1]
+
+
+def test_style_sheets_equal_brute_force():
+    rng = random.Random(7)
+    for _ in range(400):
+        compound = lambda: rng.choice(["b", "i", "u", "", ""]) + rng.choice(["", ".p", ".q", ".r", ".p.q"])
+        rules = []
+        for _ in range(rng.randint(1, 8)):
+            some = [x for _ in range(rng.randint(1, 4)) if (x := compound())] or ["b"]
+            name = rng.choice(["display", "visibility"])
+            rules.append((rng.choice([" ", ">", " > "]).join(some), name, rng.choice(["none", "inline"] if name == "display" else ["hidden", "visible"]), rng.random() < 0.2))
+        sheet = "".join(f"{s}{{{n}:{v}{'!important' * i}}}" for s, n, v, i in rules)
+        html, want, path, open_ = "<style>" + sheet + "</style>", "", [("html", [])], [("", True)]
+        for k in range(30):
+            if len(path) > 1 and rng.random() < 0.4:
+                html += f"</{path.pop()[0]}>"
+                open_.pop()
+            else:
+                path.append((rng.choice("biu"), rng.sample("pqr", rng.randint(0, 2))))
+                html += f"<{path[-1][0]} class='{' '.join(path[-1][1])}'>w{k}"
+                display, visibility = plain_style(rules, path)
+                gone = "gone" if open_[-1][0] or display == "none" else ""
+                open_.append((gone, visibility == "visible" or visibility == "" and open_[-1][1]))
+                want += f"w{k}" if not gone and open_[-1][1] else ""
+        assert extract(html) == want, html
+
+
+def test_controls_and_images_stand_apart():
+    html = "<p>a<input value=b>c<input type=submit value=d><input type=checkbox value=no><input type=password value=no>e<img alt=f src=x>g"
+    assert extract(html) == "a b c d e f g"
+    assert extract("<style>.a{content:\"x\n}.b{display:none}</style><i class=b>no</i>y") == "y"
+
+
 SIZE = 300_000
 MADE = {
     "unclosed tags": "<a " * (SIZE // 3),
@@ -55,6 +111,33 @@ MADE = {
     "spans over rows": "<table><tr>" + "<td rowspan=60000>x" * 5000 + "<tr><td>b" * 10_000 + "</table>",
     "lists": "<ul><li>x" * (SIZE // 9),
 }
+MB = 1_000_000
+SHEETS = {
+    "unfinished strings": '<style>' + '\\"\"\"' * (MB // 4) + '</style>x',
+    "selectors by declarations": "<style>" + ",".join([f".k{i}" for i in range(MB // 16)]) + "{" + "display:none;" * (MB // 26) + "}</style><i class=k7>no</i>x",
+    "elements by rules of a tag": "<style>" + "i{display:none}" * (MB // 30) + "</style>" + "<i>no</i>" * (MB // 18) + "x",
+    "elements by rules that do not hold": "<style>" + "".join(f".k{i} i{{display:none}}" for i in range(MB // 44)) + "</style>" + "".join(f"<i z{i}>x</i>" for i in range(MB // 30)),
+    "elements by classes": "<style>" + "".join(f".k{i}{{display:none}}" for i in range(MB // 44)) + "</style>" + "".join(f"<i class=k{i}>no</i>" for i in range(MB // 44)) + "x",
+    "classes by rules": "<style>" + "".join(f".k{i}.no{{display:none}}" for i in range(MB // 44)) + "</style><i class='" + " ".join(f"k{i}" for i in range(MB // 14)) + "'>x</i>",
+    "different elements by rules below": "<style>" + "".join(f".k{i} i{{display:none}}" for i in range(MB // 50)) + "</style>" + "".join(f"<i class=k{i}>x</i>" for i in range(MB // 50)),
+    "steps by depth": "<style>" + "b " * (MB // 4) + "i{display:none}" + "b " * 400 + "i{display:none}</style>" + "<b>" * 450 + "<i>no</i>" * (MB // 20) + "x",
+}
+
+
+@pytest.mark.parametrize("name", SHEETS)
+def test_style_sheets_take_linear_time(name):
+    start = time.process_time()
+    out = extract(SHEETS[name])
+    took = time.process_time() - start
+    assert took < 3 * max(1.0, machine()), f"{took} seconds for {len(SHEETS[name])} characters"
+    assert out.strip("x") == ""
+
+
+def machine() -> float:
+    """How slow this machine is: seconds for work that takes 0.1 s on a fast one, times ten."""
+    start = time.process_time()
+    sum(i * i for i in range(1_500_000))
+    return 10 * (time.process_time() - start)
 
 
 @pytest.mark.parametrize("name", MADE)
