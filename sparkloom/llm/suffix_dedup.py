@@ -42,6 +42,8 @@ from sparkloom.llm.common import BYTE_CODE, U64, TextView, Workspace, get_file,
 
 GRAM, BLOCK_BYTES, SLICE, LAST_ID = 16, 8 << 20, 1 << 20, (1 << 63) - 1
 HOT_CONTEXTS = 100_000
+#: What a range of suffixes may hold; the number of ranges, and of the samples that place them, follows from it.
+BUCKET_BYTES = 32 << 20
 COUNT_BITS = U64(0x3F)
 _CODEC = "zstd"
 
@@ -498,6 +500,16 @@ def _results(path: str, length: int):
     return rows
 
 
+def sampled_blocks(buckets: int) -> int:
+    """How many blocks give their sampled grams: several grams for each bucket, however many there are."""
+    return max(512, buckets // 2)
+
+
+def quantiles(grams: np.ndarray, buckets: int) -> list[bytes]:
+    """Distinct splitters, at most ``buckets`` - 1, from sorted sampled grams."""
+    return sorted({bytes(grams[i * len(grams) // buckets]).ljust(GRAM, b"\0") for i in range(1, buckets)}) if len(grams) else []
+
+
 def suffix_dedup(spark: SparkSession, docs: DataFrame, length: int = 50) -> DataFrame:
     """doc_id, n_bytes, spans (array of start, end: the maximal removed runs), kept (the remaining bytes) of every row of ``docs``."""
     if not GRAM < length <= 255:
@@ -509,11 +521,12 @@ def suffix_dedup(spark: SparkSession, docs: DataFrame, length: int = 50) -> Data
     shared = ws.write(sent.repartitionById(parts, F.col("part")).select("block", "kind", "blob").mapInArrow(tidy(_shared_grams), _REPLY_SQL), "shared")
     sizes = shared.where(F.col("kind") == GRAMS).agg(F.coalesce(F.sum(F.octet_length("blob")), F.lit(0)).alias("n")).first()
     hot = sum(int.from_bytes(r["blob"], "little") for r in shared.where(F.col("kind") == HOT).select("blob").collect())  # a number a range
-    near = smallest_hashes(shared.where((F.col("kind") == SAMPLE) & (F.octet_length("blob") > 0)), F.xxhash64("block"), shared.where(F.col("kind") == SAMPLE).count(), 512)
-    sample = near.orderBy(F.xxhash64("block"), "block").limit(512).select(F.substring("blob", 1, 4096).alias("blob")).collect()  # 2 MB at most
+    buckets = max(parts, int((sizes["n"] // 8 * 2 + hot * (length - GRAM + 1)) * length // BUCKET_BYTES))
+    wanted = sampled_blocks(buckets)
+    near = smallest_hashes(shared.where((F.col("kind") == SAMPLE) & (F.octet_length("blob") > 0)), F.xxhash64("block"), shared.where(F.col("kind") == SAMPLE).count(), wanted)
+    sample = near.orderBy(F.xxhash64("block"), "block").limit(wanted).select(F.substring("blob", 1, 4096).alias("blob")).collect()  # a few hundred bytes a bucket
     grams = np.sort(np.frombuffer(b"".join(bytes(r["blob"]) for r in sample), f"S{GRAM}"))
-    buckets = max(parts, int((sizes["n"] // 8 * 2 + hot * (length - GRAM + 1)) * length // (32 << 20)))
-    splitters = sorted({bytes(grams[i * len(grams) // buckets]).ljust(GRAM, b"\0") for i in range(1, buckets)}) if len(grams) else []
+    splitters = quantiles(grams, buckets)
     told = shared.where("block >= 0").repartition(parts, "block").sortWithinPartitions("block").mapInArrow(tidy(_send_contexts(ws.path, length, splitters, buckets)), _MESSAGE_SQL)
     owners = ws.write(told.repartitionById(max(len(splitters) + 1, buckets), F.col("part")).select("block", "kind", "blob").mapInArrow(tidy(_owners(length)), _REPLY_SQL), "owners")
     return owners.repartition(parts, "block").sortWithinPartitions("block").mapInArrow(tidy(_results(ws.path, length)), "doc_id long, n_bytes long, spans array<struct<start: long, end: long>>, kept binary")

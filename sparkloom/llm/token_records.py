@@ -29,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.llm.common import BYTE_CODE, IS_GAP, U64, TextView, Workspace, filesystem, get_file, mix64, partitions_for, plain, powers, put_file, tidy
@@ -432,17 +432,31 @@ def _write_shards(path: str, tokenizer: str, end_id: int, shard_bytes: int):
     return rows
 
 
+def below(cuts: list[int], key: Column, or_equal: bool = False) -> Column:
+    """How many of the ascending ``cuts`` lie below ``key`` (or at it), by bisection: a number of steps with the logarithm of their number."""
+    if not cuts:
+        return F.lit(0)
+    found = F.split(F.lit(",".join(str(int(x)) for x in cuts)), ",").cast("array<long>")  # a constant
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(len(cuts).bit_length()))])
+
+    def step(at: Column, wide: Column) -> Column:
+        cut = F.get(found, at + wide - 1)  # null behind the end
+        return F.when((cut <= key) if or_equal else (cut < key), at + wide).otherwise(at)
+
+    return F.reduce(steps, F.lit(0), step)
+
+
 def write_records(spark: SparkSession, docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, tasks: int | None = None, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """Write ``docs`` (doc_id, text) below ``path``; returns the manifest: shard, records, ids, start (global)."""
-    tasks = tasks or partitions_for(spark)
-    docs = plain(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
+    docs = plain(docs, "doc_id", "text")
+    tasks = tasks or partitions_for(spark, docs)
+    docs = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
     key = F.coalesce("doc_id", F.lit(NO_ID))
-    cuts = docs.select(F.percentile_approx(key, [i / tasks for i in range(1, tasks)] or [0.5], 10_000).alias("q")).first()["q"] or []
-    bounds = F.array(*[F.lit(int(x)).cast("long") for x in cuts]) if cuts else F.array().cast("array<long>")
+    cuts = docs.select(F.percentile_approx(key, [i / tasks for i in range(1, tasks)] or [0.5], max(10_000, 4 * tasks)).alias("q")).first()["q"] or []
     # a doc_id that fills k ranges is dealt over them by a hash of the text, by which its rows are in order
     share = F.pmod(F.xxhash64("text"), F.lit(1 << 20))
-    own = F.size(F.filter(bounds, lambda x: x == key))
-    part = F.size(F.filter(bounds, lambda x: x < key)) + F.floor(share * own / (1 << 20))
+    first = below(cuts, key)
+    part = first + F.floor(share * (below(cuts, key, or_equal=True) - first) / (1 << 20))
     placed = docs.withColumn("_share", share).withColumn("_part", F.least(part, F.lit(tasks - 1)).cast("int"))
     sorted_ = placed.repartitionById(tasks, F.col("_part")).sortWithinPartitions(F.asc_nulls_first("doc_id"), "_share", F.asc_nulls_first("text")).select("doc_id", "text")
     done = sorted_.mapInArrow(tidy(_write_shards(path, tokenizer, end_id, shard_bytes)), "shard string, records long, ids long").collect()  # a row a file of shard_bytes

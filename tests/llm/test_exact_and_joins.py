@@ -7,6 +7,7 @@ import random
 import numpy as np
 import pytest
 
+from sparkloom.llm import suffix_dedup as S
 from sparkloom.llm.decontaminate import contaminated
 from sparkloom.llm.exact_dedup import Directory, exact_dedup
 from sparkloom.llm.parity_join import jaccard_components
@@ -99,7 +100,18 @@ def test_decontaminate(spark):
     assert got == want
 
 
-def test_suffix_dedup(spark):
+def test_splitters_grow_with_the_buckets():
+    per_block = 16  # grams that a block samples at least
+    for buckets in (8, 5_000, 60_000):
+        n = per_block * S.sampled_blocks(buckets)
+        raw = random.Random(buckets).randbytes(16 * n)
+        grams = np.sort(np.frombuffer(raw, "S16"))
+        assert len(S.quantiles(grams, buckets)) == buckets - 1 and n >= 8 * buckets
+
+
+@pytest.mark.parametrize("bucket_bytes", [32 << 20, 4_000])
+def test_suffix_dedup(spark, bucket_bytes, monkeypatch):
+    monkeypatch.setattr(S, "BUCKET_BYTES", bucket_bytes)
     r = random.Random(5)
     word = lambda: "".join(r.choices("abcdeé", k=r.randint(1, 6)))
     passages = [" ".join(word() for _ in range(30)) for _ in range(6)]
@@ -138,8 +150,6 @@ def test_null_ids_do_not_crash(spark):
 @pytest.mark.parametrize("hot", [1, 100_000])
 def test_suffix_dedup_of_a_gram_with_many_surroundings(spark, monkeypatch, hot, tmp_path):
     """Strings instead of contexts give the same result: the bound is lowered so far that all grams go that way."""
-    from sparkloom.llm import suffix_dedup as S
-
     r = random.Random(7)
     common = "the very same sentence stands in nearly every document of this corpus"
     rows = [(i, "".join(r.choices("abc ", k=r.randint(0, 60))) + common[: r.randint(50, len(common))] + "".join(r.choices("abc ", k=r.randint(0, 60)))) for i in range(60)]

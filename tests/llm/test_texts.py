@@ -1,11 +1,14 @@
 """Tokenizer operators against their libraries, HTML, URLs, quality, and the pipeline."""
 
+import bisect
+import random
 import zlib
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from sparkloom.llm import byte_bpe, html_render, quality_crf, token_counts, token_records, url_filter
 
@@ -33,6 +36,33 @@ def test_records_round_trip(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("cuts", [[], [5], [-3, 0, 0, 0, 7, 9, 9, 2**63 - 1], sorted(random.Random(1).choices(range(500), k=1_000))])
+def test_places_among_cuts(spark, cuts):
+    keys = [-(2**63), -4, -3, -1, 0, 1, 7, 8, 9, 10, 250, 499, 500, 2**63 - 1]
+    rows = spark.createDataFrame([(k,) for k in keys], "k long").select("k", token_records.below(cuts, F.col("k")).alias("a"), token_records.below(cuts, F.col("k"), or_equal=True).alias("z"))
+    assert sorted(map(tuple, rows.collect())) == [(k, bisect.bisect_left(cuts, k), bisect.bisect_right(cuts, k)) for k in keys]
+
+
+def test_ranges_grow_with_the_table(spark, monkeypatch, tmp_path):
+    from sparkloom.llm import common
+
+    spark.range(4_000).select(F.col("id").alias("doc_id"), F.sha2(F.col("id").cast("string"), 256).alias("text")).write.parquet(f"{tmp_path}/d")
+    docs = spark.read.parquet(f"{tmp_path}/d")
+    few = common.partitions_for(spark, docs)
+    monkeypatch.setattr(common, "PART_BYTES", 1 << 12)
+    many = common.partitions_for(spark, docs)
+    assert many >= 3 * few
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    manifest = token_records.write_records(spark, docs, f"file://{tmp_path}/r", path)
+    assert manifest.where("records > 0").count() >= many // 2 and manifest.agg(F.max("records")).first()[0] <= 3 * 4_000 // many
+    got = token_records.read_records(spark, manifest, f"file://{tmp_path}/r").orderBy("doc_id").collect()
+    at = 0
+    for k, r in enumerate(got):
+        assert (r["doc_id"], r["start"]) == (k, at)
+        at += r["n_tokens"]
+    assert len(got) == 4_000
+
+
 def test_crc32c_and_damage():
     assert token_records.crc32c(b"123456789") == 0xE3069283 and token_records.crc32c(b"") == 0
     record = bytearray(token_records.frames([b"payload" * 100])[0])
