@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkloom.operators import contracts as C
 from sparkloom.operators import judge as J
 from sparkloom.operators.matching import contained
 from sparkloom.registry import query
@@ -259,6 +260,79 @@ def sentence_contract(spark, d):
     return J.breaches(rows.withColumn("answered", F.array_remove(F.split("answers", ","), "")), ["sid"], J.sentence_contract())
 
 
+#: Responses, their sentences and branches, derived from keys so that every rule has rows that break it and rows that do not.
+RESPONSE = {
+    "outcome": "CASE conv_id % 5 WHEN 1 THEN 'certificate' WHEN 2 THEN 'guidance' WHEN 3 THEN 'passed' ELSE 'hold' END",
+    "category": "CASE conv_id % 7 WHEN 0 THEN NULL WHEN 1 THEN 'other_law' ELSE 'food' END",
+    "category_source": "CASE WHEN conv_id % 7 > 0 AND conv_id % 11 > 0 OR conv_id % 21 = 0 THEN 'given' END",
+    "n_not_reviewed": "CASE WHEN conv_id % 7 = 1 AND conv_id % 3 > 0 OR conv_id % 17 = 0 THEN 1 ELSE 0 END",
+    "certificate": "CASE WHEN conv_id % 5 = 1 AND conv_id % 4 > 0 OR conv_id % 19 = 0 THEN substr('ABC', CAST(conv_id % 3 + 1 AS INT), 1) END",
+    "n_candidates": "CASE WHEN conv_id % 13 IN (3, 4) THEN 2 ELSE 0 END",
+    "attempt": "CASE WHEN conv_id % 23 = 0 THEN 1 ELSE 0 END",
+}
+PARTS = {
+    "verdict": "CASE WHEN conv_id % 4 = 3 THEN 'confirmed' ELSE verdict END",
+    "hold_reason": "CASE WHEN verdict = 'hold' AND conv_id % 4 <> 3 THEN CASE sid % 6 WHEN 0 THEN 'premise_unknown' WHEN 1 THEN 'cat_unknown' WHEN 2 THEN CASE WHEN conv_id % 8 = 1 THEN 'law_uncovered' ELSE 'low_conf' END ELSE 'low_conf' END END",
+    "n_violations": "strong",
+    "infeasibility": "CASE WHEN strong > 0 THEN CASE WHEN conv_id % 3 > 0 THEN 'B' ELSE substr('ABC', CAST(sid % 3 + 1 AS INT), 1) END END",
+    "risk": "CASE WHEN sid % 13 > 0 THEN CASE WHEN conv_id % 6 = 3 THEN 0 ELSE least(strong, 3) END END",
+    "n_spans": "CASE WHEN conv_id % 9 > 0 THEN 1 ELSE sid % 2 END",
+    "subst": "conv_id % 9 <> 2",
+    "asked": "sid % 9 IN (2, 3)",
+    "denied": "sid % 10 = 0",
+}
+BRANCHES = {
+    "premise": "CASE WHEN branch = 0 OR conv_id % 10 = 0 THEN 'food' ELSE 'care' END",
+    "verified": "branch = 0 AND conv_id % 4 = 0 OR branch = 1 AND conv_id % 12 = 0",
+    "sid": "CASE WHEN conv_id % 14 = 0 THEN -sid ELSE sid END",
+    "risk": "CASE WHEN sid % 5 > 0 THEN CASE WHEN conv_id % 22 = 0 THEN 3 ELSE branch * (conv_id % 2) END END",
+}
+
+
+def _as(cols: dict[str, str]) -> str:
+    return ", ".join(f"{x} AS {n}" for n, x in cols.items())
+
+
+def _where(table: str, when: str) -> str:
+    return f"EXISTS (SELECT 1 FROM {table} WHERE {table}.conv_id = r.conv_id AND {when})"
+
+
+#: Breaches, each as the condition under which a response r breaks its rule, over sentences q and branches b.
+BROKEN_RESPONSE = {
+    "certificate_given": "outcome = 'certificate' AND certificate IS NULL",
+    "certificate_not_for_b": "outcome = 'certificate' AND certificate = 'B'",
+    "certificate_alone": "outcome = 'certificate' AND n_candidates > 0",
+    "certificate_only_then": "outcome <> 'certificate' AND certificate IS NOT NULL",
+    "candidates_on_pass": "n_candidates > 0 AND outcome <> 'passed'",
+    "candidates_not_for_a": "n_candidates > 0 AND " + _where("q", "infeasibility = 'A'"),
+    "pass_is_clean": "outcome = 'passed' AND " + _where("q", "(verdict <> 'confirmed' OR risk IS NULL OR risk > 0)"),
+    "one_round": "attempt <> 0",
+    "guidance_is_settled": "outcome = 'guidance' AND " + _where("q", "verdict <> 'confirmed' AND NOT (verdict = 'hold' AND coalesce(hold_reason, '') = 'premise_unknown' AND (subst OR asked) AND risk IS NOT NULL)"),
+    "guidance_without_ac": "outcome = 'guidance' AND " + _where("q", "infeasibility IN ('A', 'C')"),
+    "guidance_has_b": "outcome = 'guidance' AND NOT " + _where("q", "infeasibility = 'B' AND n_violations > 0"),
+    "guidance_says_how": "outcome = 'guidance' AND " + _where("q", "infeasibility = 'B' AND n_violations > 0 AND (NOT (subst OR denied) OR n_spans = 0)"),
+    "one_verified": "(SELECT count(DISTINCT branch) FROM b WHERE b.conv_id = r.conv_id AND verified) > 1",
+    "record_not_below": "NOT " + _where("b", "verified") + " AND EXISTS (SELECT 1 FROM b LEFT JOIN q ON q.sid = b.sid WHERE b.conv_id = r.conv_id AND b.risk IS NOT NULL AND NOT coalesce(q.risk >= b.risk, FALSE))",
+    "hold_has_branches": _where("q", "hold_reason IN ('cat_unknown', 'premise_unknown') AND NOT subst AND NOT asked") + " AND NOT " + _where("b", "TRUE"),
+    "premises_distinct": "(SELECT count(DISTINCT branch) > count(DISTINCT premise) FROM b WHERE b.conv_id = r.conv_id)",
+    "branches_of_response": _where("b", "NOT EXISTS (SELECT 1 FROM q WHERE q.sid = b.sid)"),
+    "notice_iff_uncovered": "(category IS NOT DISTINCT FROM 'other_law') <> (n_not_reviewed > 0)",
+    "uncovered_never_passes": "category = 'other_law' AND outcome = 'passed'",
+    "law_hold_where_uncovered": "category IS DISTINCT FROM 'other_law' AND " + _where("q", "hold_reason = 'law_uncovered'"),
+    "category_has_source": "(category IS NULL) <> (category_source IS NULL)",
+}
+
+
+@query(f"WITH {ROUTE}, q AS (SELECT conv_id, turn, sid, {_as(PARTS)} FROM v), r AS (SELECT conv_id, {_as(RESPONSE)} FROM (SELECT DISTINCT conv_id FROM v)), b AS (SELECT conv_id, branch, {_as(BRANCHES)} FROM (SELECT conv_id, turn, sid, unnest([0, 1]) AS branch FROM v WHERE conv_id % 2 = 0 OR conv_id % 3 = 0)) " + " UNION ALL ".join(f"SELECT conv_id, '{n}' AS rule_id FROM r WHERE {x}" for n, x in BROKEN_RESPONSE.items()))
+def response_contract(spark, d):
+    """The rules of whole responses, over responses, sentences and branches made from the conversations."""
+    v = _judged(spark, d)
+    sentences = v.selectExpr("conv_id", "sid", *[f"{x} AS {n}" for n, x in PARTS.items()])
+    responses = v.select("conv_id").distinct().selectExpr("conv_id", *[f"{x} AS {n}" for n, x in RESPONSE.items()])
+    branches = v.where("conv_id % 2 = 0 OR conv_id % 3 = 0").select("conv_id", "sid", F.explode(F.array(F.lit(0), F.lit(1))).alias("branch")).selectExpr("conv_id", "branch", *[f"{x} AS {n}" for n, x in BRANCHES.items()])
+    return C.response_contract(responses, sentences, branches, "conv_id", "sid", ["other_law"])
+
+
 HEAD = "CASE WHEN strong > 1 THEN 'violation' WHEN caution THEN 'lawful' WHEN demoted > 0 THEN 'dropped' END"
 
 
