@@ -97,6 +97,20 @@ def sentence_split(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", F.posexplode(X.sentences(F.col("text"))).alias("sent_no", "sentence"))
 
 
+#: Marks of short copy, put where the conversations have words and commas.
+COPY = "replace(replace(replace(replace(text, ', ', ' #'), ' der ', ' \U0001F600\uFE0F '), ' the ', ' \u2728 '), ' in ', '\u2026\u3000')"
+_W = r"\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+_MARK = r"[.!?\x{3002}\x{FF01}\x{FF1F}\x{2026}\x{1F000}-\x{1FAFF}\x{2600}-\x{27BF}\x{2B00}-\x{2BFF}\x{FE0F}\x{200D}]"
+
+
+@query(f"""WITH c AS (SELECT conv_id, turn, {COPY} AS t FROM conversations), m AS (SELECT *, regexp_replace(regexp_replace(t, '({_MARK})[{_W}]+', '\\1' || chr(10), 'g'), '[{_W}]+(#[^{_W}])', chr(10) || '\\1', 'g') AS m FROM c),
+    s AS (SELECT conv_id, turn, t, list_filter(list_transform(string_split(m, chr(10)), lambda p: regexp_replace(p, '^[{_W}]+|[{_W}]+$', '', 'g')), lambda p: p <> '') AS s FROM m),
+    f AS (SELECT conv_id, turn, CASE WHEN len(s) > 0 THEN s ELSE [t] END AS s FROM s) SELECT conv_id, turn, generate_subscripts(s, 1) - 1 AS sent_no, unnest(s) AS sentence FROM f""")
+def copy_split(spark, d):
+    """Conversations as short copy: end marks, pictographs and hashtags bound sentences."""
+    return table(spark, d, "conversations").select("conv_id", "turn", F.posexplode(X.copy_sentences(F.expr(COPY))).alias("sent_no", "sentence"))
+
+
 @query(f"WITH s AS (SELECT doc_id, {SENT.format(t='text')} AS s FROM documents) SELECT doc_id, greatest(len(s), 1) AS sentences, coalesce(list_max(list_transform(s, lambda x: length(x))), 0) AS longest FROM s")
 def sentence_stats(spark, d):
     s = X.sentences(F.col("text"))

@@ -164,6 +164,41 @@ def test_admissible_span_of_short_terms():
     assert D.admissible_span("many long words", "long") == (5, 9)
 
 
+def test_copy_sentences_equal_a_plain_scan(spark):
+    import random
+    import time
+
+    marks = ".!?\u3002\uff01\uff1f\u2026\u2600\u27bf\u2b50\ufe0f\u200d\U0001f000\U0001faff"
+    rng = random.Random(3)
+    texts = [None, "", " \u3000", "\n", "3.5g of it", "now #a#b # c", "a \U0001f600\ufe0f b\u2728c", "x\r\n\r\n#y", "same. same.  same."]
+    texts += ["".join(rng.choices("ab#\n \u3000\u00a0\x1f\u2600" + marks, k=rng.randint(1, 30))) for _ in range(600)]
+
+    def plain(t):
+        out, own, k = [], "", 0
+        while k < len(t):
+            end = k
+            while end < len(t) and t[end].isspace():
+                end += 1
+            tag = end + 1 < len(t) and t[end] == "#" and not t[end + 1].isspace()
+            if end > k and ("\n" in t[k:end] or tag or k and t[k - 1] in marks):
+                # a line feed within the white space: what is around it is trimmed either way
+                out.append(own)
+                own = ""
+            else:
+                own += t[k:end]
+            if end < len(t):
+                own += t[end]
+            k = end + 1
+        return [p.strip() for p in [*out, own] if p.strip()] or [t]
+
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, t string")
+    for r in df.select("k", X.copy_sentences(F.col("t")).alias("s")).collect():
+        assert r.s == (None if texts[r.k] is None else plain(texts[r.k])), repr(texts[r.k])
+    long = spark.createDataFrame([(" " * 500_000 + "x" + "\u3000 " * 500_000 + "#y",)], "t string")
+    start = time.monotonic()
+    assert long.select(X.copy_sentences(F.col("t")).alias("s")).first().s == ["x", "#y"] and time.monotonic() - start < 20
+
+
 def test_sentences_never_empty(spark):
     df = spark.createDataFrame([("One. Two! three",), ("",), ("   ",)], "t string").select(X.sentences(F.col("t")).alias("s"))
     assert [r["s"] for r in df.collect()] == [["One.", "Two!", "three"], [""], ["   "]]
