@@ -20,6 +20,8 @@ INVISIBLE = "​‌‍⁠﻿­"
 #: Words whose spelling with separators between the letters counts as evasion.
 GUARDED = ("free", "pills", "win")
 CHUNK = 700
+#: Blanks of Unicode (category Zs), which sentences are trimmed of.
+BLANKS = " \u00A0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200A\u202F\u205F\u3000"
 
 
 def sep_norm(text: Column) -> Column:
@@ -69,7 +71,8 @@ def mask_anchors(text: Column, names: Sequence[str], mark: str = "[org]") -> Col
 def sentences(text: Column) -> Column:
     """Boundaries: line feeds, and a blank behind a full stop, exclamation or question mark. Never empty: falls back to the whole."""
     parts = F.split(F.regexp_replace(text, r"([.!?])[ ]+", "$1\n"), "\n")
-    kept = F.filter(F.transform(parts, F.trim), lambda s: s != "")
+    # one argument: F.trim by itself would be given a part's number as what to trim
+    kept = F.filter(F.transform(parts, lambda s: F.trim(s, F.lit(BLANKS))), lambda s: s != "")
     return F.when(F.size(kept) > 0, kept).otherwise(F.array(text))
 
 
