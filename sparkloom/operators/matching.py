@@ -179,15 +179,17 @@ def deletions(c: Column) -> Column:
     return F.array_distinct(F.concat(F.array(c), F.when(F.length(c) > 0, less).otherwise(F.array().cast("array<string>"))))
 
 
-def one_edit(a: DataFrame, b: DataFrame, left: str, right: str) -> DataFrame:
+def one_edit(a: DataFrame, b: DataFrame, left: str, right: str, in_bytes: bool = False) -> DataFrame:
     """Pairs (left, right) of different strings with one insertion, deletion or replacement between them.
 
     Such strings share a deletion, or one is a deletion of the other; they meet by an equi-join on these, which spread as the strings do, and are verified.
+    ``in_bytes``: the edit is one byte of UTF-8, as DuckDB's levenshtein counts; it never changes more than one character, so the same strings meet.
     """
+    unit = (lambda c: F.decode(F.encode(F.col(c), "UTF-8"), "ISO-8859-1")) if in_bytes else F.col  # a character a byte
     x = a.select(left).distinct().withColumn("_k", F.explode(deletions(F.col(left))))
     y = b.select(right).distinct().withColumn("_k", F.explode(deletions(F.col(right))))
     met = x.join(y, "_k").where((F.col(left) != F.col(right)) & (F.abs(F.length(left) - F.length(right)) <= 1))
-    return met.where(F.call_function("levenshtein", F.col(left), F.col(right), F.lit(1)) >= 0).select(left, right).distinct()
+    return met.where(F.call_function("levenshtein", unit(left), unit(right), F.lit(1)) >= 0).select(left, right).distinct()
 
 
 def best_claim(claims: DataFrame, official: DataFrame, least: float = 0.8) -> DataFrame:
