@@ -9,7 +9,9 @@ import re
 from bisect import bisect_right
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -181,7 +183,7 @@ def quoted(text: Column, least: int = 1, most: int = 200, families: Sequence[str
 
 # ---------------------------------------------------------------- order-dependent kernels (Arrow batches)
 
-NORMAL = T.StructType([T.StructField("norm", T.StringType()), T.StructField("offset_map", T.ArrayType(T.IntegerType())), T.StructField("rules", T.ArrayType(T.StringType()))])
+NORMAL, RAW_WORD = "doc_id long, norm string, offset_map array<int>, rules array<string>", "doc_id long, k int, word string, raw_start int, raw_end int, raw string"
 
 
 def normalise(raw: str) -> tuple[str, list[int], list[str]]:
@@ -235,25 +237,52 @@ def evasions(rules: Column) -> Column:
     return F.filter(rules, lambda r: r.isin(*EVASIONS))
 
 
-RAW_WORDS = T.ArrayType(T.StructType([T.StructField("word", T.StringType()), T.StructField("raw_start", T.IntegerType()), T.StructField("raw_end", T.IntegerType()), T.StructField("raw", T.StringType())]))
+#: Characters of normalised texts, or words, in a batch that the kernels give; one text may have more.
+BATCH_CHARS, BATCH_WORDS = 1 << 20, 20_000
 
 
-@F.pandas_udf(RAW_WORDS)
-def raw_words_udf(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """The words of the normalised text with their spans in the raw one."""
-    for s in batches:
-        out = []
-        for text in s.fillna(""):
-            norm, offsets, _ = normalise(text)
-            spans = [(m[0], *to_raw(offsets, len(text), *m.span())) for m in re.finditer(r"\S+", norm)]
-            out.append([{"word": w, "raw_start": a, "raw_end": z, "raw": text[a:z]} for w, a, z in spans])
-        yield pd.Series(out)
+def normalised_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For mapInArrow over (doc_id, text): norm, offset_map and rules of each text. A text's lists end with it; only a batch of ``BATCH_CHARS`` is held, four bytes an offset."""
+
+    def made(ids: list, norms: list[str], maps: list[np.ndarray], rules: list[list[str]]) -> pa.RecordBatch:
+        ends = np.cumsum([0, *map(len, maps)]).astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(maps)))
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(norms, pa.string()), lists, pa.array(rules, pa.list_(pa.string()))], names=["doc_id", "norm", "offset_map", "rules"])
+
+    out, size = ([], [], [], []), 0
+    for b in batches:
+        for i, x in zip(b.column("doc_id"), b.column("text"), strict=True):
+            norm, offsets, rules = normalise(x.as_py() or "")
+            for c, v in zip(out, (i.as_py(), norm, np.array(offsets, np.int32), rules), strict=True):
+                c.append(v)
+            size += len(norm)
+            if size >= BATCH_CHARS:
+                yield made(*out)
+                out, size = ([], [], [], []), 0
+    if out[0]:
+        yield made(*out)
 
 
-@F.pandas_udf(NORMAL)
-def normalise_udf(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-    for s in batches:
-        yield pd.DataFrame([normalise(x or "") for x in s], columns=["norm", "offset_map", "rules"])
+def raw_word_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For mapInArrow over (doc_id, text): a row a word of the normalised text with its span in the raw one, ``BATCH_WORDS`` at a time."""
+    kinds = [pa.int64(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.string()]
+
+    def made(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["doc_id", "k", "word", "raw_start", "raw_end", "raw"])
+
+    out: list[tuple] = []
+    for b in batches:
+        for i, x in zip(b.column("doc_id"), b.column("text"), strict=True):
+            doc, text = i.as_py(), x.as_py() or ""
+            norm, offsets, _ = normalise(text)
+            for k, m in enumerate(re.finditer(r"\S+", norm)):
+                a, z = to_raw(offsets, len(text), *m.span())
+                out.append((doc, k, m[0], a, z, text[a:z]))
+                if len(out) >= BATCH_WORDS:
+                    yield made(out)
+                    out = []
+    if out:
+        yield made(out)
 
 
 def offsets_of(text: str, parts: Sequence[str]) -> list[int]:
