@@ -17,25 +17,37 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkloom.llm.common import small_batches, tidy
 from sparkloom.operators.numbering import spread, written
 from sparkloom.operators.retrieval import words
 from sparkloom.session import shared_folder
 
 LEAD, SPAN, UNIT = 1, 16, 1_000_000
+#: Words that are inverted at a time; one text may have more.
+SLICE_WORDS = 1 << 18
 
 
 def postings(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """lead, word, key, places (ascending, from 0) of every word of every document; words are cut in the JVM and inverted by document in its task."""
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            ends, i = np.cumsum(pc.list_value_length(b.column("w")).to_numpy(zero_copy_only=False)), 0
+            while i < b.num_rows:
+                j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + SLICE_WORDS, "right")))
+                yield b.slice(i, j - i)
+                i = j
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
             lists = b.column("w").cast(pa.large_list(pa.large_string()))
             coded = lists.flatten().dictionary_encode()
             code, names = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary
-            sizes = np.diff(lists.offsets.to_numpy())
+            sizes = np.diff(lists.offsets.to_numpy())  # of the slice
             row = np.repeat(np.arange(len(sizes)), sizes)
             place = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
             order = np.lexsort((code, row))  # stable: places stay in order
@@ -46,7 +58,8 @@ def postings(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
 
     kind = docs.schema[key].dataType.simpleString()
     cut = docs.select(F.col(key).alias("key"), words(F.col(text)).alias("w")).where(F.size("w") > 0)
-    return cut.mapInArrow(rows, f"word string, key {kind}, places array<int>").select(F.left("word", F.lit(LEAD)).alias("lead"), "word", "key", "places")
+    small_batches(docs.sparkSession)
+    return cut.mapInArrow(tidy(rows), f"word string, key {kind}, places array<int>").select(F.left("word", F.lit(LEAD)).alias("lead"), "word", "key", "places")
 
 
 def write_index(docs: DataFrame, key: str, path: str, text: str = "text", parts: int | None = None) -> None:
