@@ -1,6 +1,6 @@
 """Mixture-controlled packing of token ids into sequences of a fixed length.
 
-Each source is a queue of its documents in order of doc_id. A window is a round of deficit round-robin that stands for ``window`` tokens: it gives every
+The documents of a source are a queue, in order of doc_id. A window is a round of deficit round-robin that stands for ``window`` tokens: it gives every
 queue credit in proportion to its target (by default its share of all tokens, so all queues end together), and each queue in turn sends whole
 packets, which are documents or pieces of ``packet`` tokens of longer ones, while its credit lasts. What is left of the credit, less than a packet, is
 carried into the next window; a queue that is empty leaves its share to the others. So after every window each queue has sent its target
@@ -14,8 +14,8 @@ ranges (``operators.numbering``).
 The stream of windows is cut into sequences of ``length`` ids. The last tokens that fill none are cut into sequences of powers of two, so nothing is padded.
 
 Texts are read and encoded once: ids are written with two bytes each where the vocabulary fits, the plan is made from lengths alone, and the ids meet their
-plan by one shuffle. A queue may hold any share of the rows: nothing is gathered by queue but one row of totals; sources beyond ``QUEUES`` share queues by a
-hash.
+plan by one shuffle. A queue may hold any share of the rows: nothing is gathered by queue but one row of totals. A source that ``targets`` names has a queue of its own, the others have the queue of their hash, one of ``QUEUES``;
+so sources may share a queue (20 of them with odds of 0.3 %), and which do depends on their names only, not on how many there are.
 
 Null and empty texts are the end id alone. Rows that repeat a doc_id, and rows without one (first in their queue), are packed like others. Rows
 without source have a queue of their own. An empty table gives no rows. Extra columns, also such whose names differ only in case, are ignored.
@@ -37,7 +37,7 @@ from sparkloom.llm.spelling import pieces
 from sparkloom.llm.token_records import CODE_BYTES, UnitEncoder
 from sparkloom.operators.numbering import running
 
-LENGTH, WINDOW, PACKET, QUEUES = 4096, 65_536, 1024, 4096
+LENGTH, WINDOW, PACKET, QUEUES = 4096, 65_536, 1024, 65_536
 GAP = IS_GAP.copy()
 GAP[0x0B:0x0D] = False  # vertical tab and form feed do not cut a long text
 DOUBTFUL = np.zeros(256, bool)
@@ -341,15 +341,17 @@ def packed(
         raise ValueError("length must be a power of two")
     ws = Workspace(spark, "packing")
     texts = ws.write(coded(docs, tokenizer, end_id).withColumn("row", F.monotonically_increasing_id()), "coded")
-    few = texts.select("source").distinct().limit(queues + 1).count() <= queues
-    name = F.col("source") if few else F.pmod(F.crc32(F.coalesce("source", F.lit(""))), F.lit(queues)).cast("string")
+    bucket = F.concat(F.lit("#"), F.pmod(F.xxhash64("source"), F.lit(queues)).cast("string"))
+    own = F.col("source").isin(*[x for x in targets or {} if x is not None])
+    name = F.when(own, F.concat(F.lit("="), "source")).when(F.col("source").isNotNull(), bucket)  # whatever the number of sources
+    named = {x if x is None else f"={x}": w for x, w in (targets or {}).items()}
     sizes = texts.select("row", "doc_id", "doc_tokens", name.alias("name"))
-    sums = sorted(((r["name"], r["n"]) for r in sizes.groupBy("name").agg(F.sum("doc_tokens").alias("n")).collect()), key=lambda r: (r[0] is not None, r[0] or ""))  # at most ``queues`` rows
+    sums = sorted(((r["name"], r["n"]) for r in sizes.groupBy("name").agg(F.sum("doc_tokens").alias("n")).collect()), key=lambda r: (r[0] is not None, r[0] or ""))  # at most ``queues`` rows, one for each of ``targets`` and one
     total = sum(n for _, n in sums)
     if not total:
         rows, kind = take(with_ids)
         return spark.createDataFrame([], kind)
-    mix = Mixture([n for _, n in sums], weights_of(sums, targets if few else None), window)
+    mix = Mixture([n for _, n in sums], weights_of(sums, named), window)
     numbers = spark.createDataFrame([(x, i) for i, (x, _) in enumerate(sums)], "_name string, queue int")
     placed = sizes.join(F.broadcast(numbers), F.col("name").eqNullSafe(F.col("_name"))).select("row", "queue", "doc_id", "doc_tokens")
     parts = partitions_for(spark, docs)
