@@ -54,8 +54,23 @@ class OutlineTree:
         yield from outline(text or "")
 
 
+#: What the planner expects of a partition of rows, in bytes; sorted rows take several times that.
+PART_BYTES = 8 << 20
+
+
+def parts_for(rows: DataFrame) -> int:
+    """Shuffle partitions as set, and more where the planner's estimate of the rows' size needs them."""
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return n if size >= 1 << 60 else max(n, -(-size // PART_BYTES))
+
+
 def unique_paths(rows: DataFrame, doc: str, seq: str, path: str) -> DataFrame:
-    """Duplicate paths of a document all get a ~k suffix in order; descendants follow the last such path before them."""
+    """Duplicate paths of a document all get a ~k suffix in order; descendants follow the last such path before them.
+
+    Rows are dealt by document once, into partitions whose number grows with the input; windows, join and groups then stay in them.
+    """
+    rows = rows.repartition(parts_for(rows), doc)
     w = Window.partitionBy(doc, path)
     r = rows.withColumns({"_n": F.count("*").over(w), "_k": F.row_number().over(w.orderBy(seq))})
     own = r.withColumn("fixed", F.when(F.col("_n") > 1, F.concat(path, F.lit("~"), F.col("_k").cast("string"))).otherwise(F.col(path)))
